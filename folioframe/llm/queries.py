@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from folioframe.llm import bpe, decontaminate
+from folioframe.llm import bpe, decontaminate, pii, warc
 from folioframe.plans import Registry
 from folioframe.sources.tables import table
 
@@ -27,3 +26,16 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of ten benchmark words in every whole text; see decontaminate."""
     return decontaminate.summary(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@REGISTRY.add("op6_disclosure")
+def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that reveal it, in every whole text; see pii."""
+    return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
+
+
+@REGISTRY.add("op5_warc")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page to seekable bundles and read all of them back; see warc."""
+    back = warc.read(warc.archive(table(spark, sf_dir, "pages")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
