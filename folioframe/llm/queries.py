@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioframe.llm import bpe, decontaminate, pii, warc
+from folioframe.llm import bpe, decontaminate, imatch, linechunks, pii, warc
 from folioframe.plans import Registry
 from folioframe.sources.tables import table
 
@@ -39,3 +40,17 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page to seekable bundles and read all of them back; see warc."""
     back = warc.read(warc.archive(table(spark, sf_dir, "pages")))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@REGISTRY.add("op4_line_chunks", linechunks.SQL)
+def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages taken out of every whole text; see linechunks."""
+    out = linechunks.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_gone").cast("long").alias("n_gone"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@REGISTRY.add("op10_imatch", imatch.SQL)
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of every whole text, its edited text and the next document's; see imatch."""
+    out = imatch.fingerprints(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
