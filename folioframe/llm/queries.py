@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bpe, decontaminate, imatch, linechunks, pii, warc
+from folioframe.llm import bpe, decontaminate, imatch, linechunks, pii, sigtree, warc
 from folioframe.plans import Registry
 from folioframe.sources.tables import table
 
@@ -54,3 +54,9 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I-Match fingerprints of every whole text, its edited text and the next document's; see imatch."""
     out = imatch.fingerprints(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@REGISTRY.add("op8_signature_trees", sigtree.SQL)
+def op8_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of whole texts that share 80 % of their five-word shingles; see sigtree."""
+    return sigtree.join(table(spark, sf_dir, "documents"))
