@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bpe, decontaminate, imatch, linechunks, pii, sigtree, warc
+from folioframe.llm import bpe, crf, decontaminate, imatch, linechunks, pii, quality, sigtree, warc
 from folioframe.plans import Registry
 from folioframe.sources.tables import table
 
@@ -60,3 +60,25 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of whole texts that share 80 % of their five-word shingles; see sigtree."""
     return sigtree.join(table(spark, sf_dir, "documents"))
+
+
+def _crc(doc_id: str, of: int) -> Column:
+    """crc32 of the id as text, modulo ``of``: the folds of the labelled rows."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(of))
+
+
+@REGISTRY.add("op1_crf")
+def op1_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, from the languages of its words; see crf."""
+    held_out = _crc("doc_id", 4) == 2
+    out = crf.identify(table(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_words")
+
+
+@REGISTRY.add("op2_nnpu")
+def op2_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, from trusted positives and unlabelled texts; see quality."""
+    docs, held_out = table(spark, sf_dir, "documents"), _crc("doc_id", 3) == 1
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    out = quality.score(docs, model)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
