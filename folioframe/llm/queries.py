@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bpe, crf, decontaminate, imatch, linechunks, pii, quality, sigtree, warc
+from folioframe.llm import bpe, crf, decontaminate, domtree, imatch, linechunks, pii, quality, sigtree, warc
 from folioframe.plans import Registry
 from folioframe.sources.tables import table
 
@@ -82,3 +82,9 @@ def op2_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out)
     out = quality.score(docs, model)
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@REGISTRY.add("op3_dom_tree")
+def op3_dom_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; see domtree."""
+    return domtree.main_text(table(spark, sf_dir, "pages"))
