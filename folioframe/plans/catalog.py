@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from folioframe.plans import Registry
+from folioframe.plans import Registry, scalars, structure
 
 REGISTRY = Registry()
-
-from folioframe.plans import structure  # noqa: E402
-
-structure.register(REGISTRY)
+for _module in (structure, scalars):
+    _module.register(REGISTRY)
