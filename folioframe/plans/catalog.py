@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folioframe.plans import Registry, scalars, structure
+from folioframe.plans import Registry, finding, scalars, structure
 
 REGISTRY = Registry()
-for _module in (structure, scalars):
+for _module in (structure, scalars, finding):
     _module.register(REGISTRY)
