@@ -5,8 +5,9 @@ bytes if and only if merging the bytes of each neighbouring pair alone gives tha
 the encoding of every prefix is fixed by the bytes so far, and reading bytes from left to right needs only the
 positions from which a longer token may still begin. The transducer's states are (last token written, bytes
 waiting); a step reads one byte and writes the tokens on which all open continuations agree, so that what waits
-is bounded by the longest token. States and steps are made when first met and kept (determinisation is lazy);
-the table is emptied when it grows beyond a set size, which changes no result.
+is bounded by the longest token. Determinisation is lazy: a step is added to the table when a state has lacked one
+for the second time; until then the rest of the piece is read without the table, by the same rule. The table is
+emptied when it grows beyond a set size, which changes no result.
 
 Rows: null text counts as empty and has no ids. Any other text gives one row, however long or often repeated.
 Extra columns are ignored; only the id and text columns are read.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from folioframe.llm.shared import blocks
 
 #: Steps and words kept by each Python worker.
-MAX_STEPS, MAX_WORDS = 400_000, 400_000
+MAX_STEPS, MAX_WORDS = 150_000, 200_000
 #: Ids that streaming decoding takes at once.
 DECODE_IDS = 65_536
 
@@ -66,6 +67,7 @@ class Transducer:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.number: dict[tuple[int, bytes], int] = {(-1, b""): 0}
         self.states: list[tuple] = [(-1, b"", (), ((0, 0),))]
+        self.lacked: list[int] = [0]
         self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
         self.made = 0
 
@@ -151,36 +153,81 @@ class Transducer:
             to = self.number[last, waiting] = len(self.states)
             self.states.append((last, waiting, back, tuple(now)))
             self.steps.append({})
+            self.lacked.append(0)
         self.made += 1
         out = self.steps[state][byte] = (to, written)
         return out
 
+    def rest(self, state: int, piece: bytes, at: int) -> list[int]:
+        """The tokens still to be written when ``piece`` is read on from ``at`` to its end, without the table."""
+        last, waiting, back, live = self.states[state]
+        back, n = list(back), len(waiting)
+        tree, tokens, leads, pairs = self.tree, self.token, self.leads, self.pairs
+        for byte in piece[at:]:
+            now, found = [], None
+            for q, node in live:
+                node = tree.get(node << 8 | byte)
+                if node is None:
+                    continue
+                token = tokens[node]
+                if found is None and token >= 0:
+                    left = back[q - 1][1] if q else last
+                    ok = pairs.get((left, token))
+                    if ok or ok is None and self.stands(left, token):
+                        found = (q, token)
+                if leads[node]:
+                    now.append((q, node))
+            if found is None:
+                raise ValueError("the vocabulary lacks a byte")
+            back.append(found)
+            n += 1
+            now.append((n, 0))
+            live = now
+        tail = []
+        while n:
+            n, token = back[n - 1]
+            tail.append(token)
+        tail.reverse()
+        return tail
+
     def encode(self, piece: bytes) -> list[int]:
-        if self.made > self.max_steps:
+        if self.made > self.max_steps or len(self.pairs) > 4 * self.max_steps:
             self.clear()
         out: list[int] = []
         state, steps = 0, self.steps
-        for byte in piece:
+        for at, byte in enumerate(piece):
             to = steps[state].get(byte)
-            state, written = to if to is not None else self.step(state, byte)
+            if to is None:
+                if not self.lacked[state]:
+                    self.lacked[state] = 1
+                    return out + self.rest(state, piece, at)
+                to = self.step(state, byte)
+            state, written = to
             if written:
                 out += written
-        _, waiting, back, _ = self.states[state]
-        tail, q = [], len(waiting)
-        while q:
-            q, token = back[q - 1]
-            tail.append(token)
-        return out + tail[::-1]
+        return out + self.rest(state, b"", 0)
 
 
 class Words(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers, through the transducer when first met."""
+    """Piece -> its ids as little-endian unsigned 32-bit integers, through the transducer when first met.
+
+    Two generations are kept: what was not met in the last ``MAX_WORDS`` new pieces is forgotten.
+    """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
-        self.ranks, self.machine = ranks, Transducer(ranks)
+        self.ranks, self.machine, self.older = ranks, Transducer(ranks), {}
+
+    def tidy(self) -> None:
+        if len(self) > MAX_WORDS:
+            self.older = dict(self)
+            self.clear()
 
     def __missing__(self, piece: str) -> bytes:
+        known = self.older.get(piece)
+        if known is not None:
+            self[piece] = known
+            return known
         raw = piece.encode()
         whole = self.ranks.get(raw)
         ids = [whole] if whole is not None else self.machine.encode(raw)
@@ -260,8 +307,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id:
                 out = []
                 for x in texts.slice(i, j - i).to_pylist():
                     out.append(b"".join(map(words.__getitem__, find(x))) if x else b"")
-                    if len(words) > MAX_WORDS:
-                        words.clear()
+                    words.tidy()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
