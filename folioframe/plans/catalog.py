@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folioframe.plans import Registry, finding, scalars, structure
+from folioframe.plans import Registry, assembly, finding, scalars, structure
 
 REGISTRY = Registry()
-for _module in (structure, scalars, finding):
+for _module in (structure, scalars, finding, assembly):
     _module.register(REGISTRY)
