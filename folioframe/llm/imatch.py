@@ -3,10 +3,11 @@
 Terms are lower-case runs of letters and digits. The lexicon holds the terms whose document frequency lies in a band
 (from ``LOW`` to ``HIGH`` thousandths of the documents, at least two documents): not so rare as to be noise, nor so
 common as to tell nothing. Its size is bounded, whatever the corpus: the terms of at least LOW/1000 of the documents
-are at most 1000/LOW times the distinct terms of an average document. Each of 64 randomised lexicon subsets keeps a
-share of the lexicon, from a half (level 1) to 1/256 (level 8), eight subsets a level. A document's fingerprint is,
-for each subset, a hash of its distinct terms that the subset keeps, sorted; it is empty where there are none. A
-document without terms in the band is hashed over all its terms.
+are at most 1000/LOW times the distinct terms of an average document. A random hash of each term deals the lexicon
+into eight subsets; each of them is halved five times by further bits of the hash, which makes 48 randomised subsets
+in six levels, with an eighth to 1/256 of the lexicon. A document's fingerprint is, for each subset, a hash of its
+distinct terms that the subset keeps, sorted; it is empty where there are none. A document without terms in the band
+is hashed over all its terms.
 
 The likeness of two fingerprints is the largest share, over the levels, of equal hashes among the subsets in which
 either has terms, of levels with at least four such; else the share over all levels. Where neither has any term it
@@ -26,10 +27,8 @@ from pyspark.sql import functions as F
 
 #: The band of document frequencies, in thousandths of the documents.
 LOW, HIGH = 1, 50
-LEVELS, EACH = 8, 8
-PRIME = 4294967291
-#: Multipliers and offsets of the subsets' hashes, by a linear congruential rule.
-FACTORS = [((1103515245 * (i + 1) + 12345) % 2147483647, (1140671485 * (i + 1) + 12820163) % 16777216) for i in range(LEVELS * EACH)]
+#: Levels of subsets, and subsets in each.
+LEVELS, EACH = 6, 8
 #: Lists of the lexicon, each looked up by a hash.
 SLOTS = 1 << 14
 NOT_TERM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,21 +61,21 @@ def slots(words: DataFrame) -> Column:
 
 
 def fingerprint(text: Column, lists: Column) -> Column:
-    """array<string> of 64: the fingerprint's parts."""
+    """array<string> of LEVELS * EACH: the fingerprint's parts."""
     some = F.filter(terms(text), lambda t: F.contains(F.element_at(lists, _slot(t) + 1), F.concat(F.lit(" "), t, F.lit(" "))))
-    hashed = lambda ts: F.transform(F.array_sort(ts), lambda t: F.struct(t.alias("t"), F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint").alias("h")))
-    subsets = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"), F.lit(2 ** (i // EACH + 1)).cast("bigint").alias("of")) for i, (a, b) in enumerate(FACTORS)])
+    # what is used twice is bound once, as the argument of a lambda over a single element
+    chosen = F.transform(F.array(some), lambda x: F.when(F.size(x) > 0, x).otherwise(terms(text)))
+    hashed = F.transform(chosen, lambda ts: F.transform(F.array_sort(ts), lambda t: F.struct(t.alias("t"), F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint").alias("h"))))
 
-    def parts(ts: Column) -> Column:
-        def part(s: Column) -> Column:
-            mine = F.filter(ts, lambda x: (x["h"] * s["a"] + s["b"]) % PRIME % s["of"] == 0)
-            return F.when(F.size(mine) == 0, "").otherwise(F.substring(F.md5(F.array_join(mine["t"], " ").cast("binary")), 1, 8))
+    def halve(lists: Column, bit: Column) -> Column:
+        return F.concat(lists, F.transform(F.slice(lists, -EACH, EACH), lambda s: F.filter(s, lambda x: x["h"].bitwiseAND(bit) == 0)))
 
-        return F.transform(subsets, part)
+    def parts(ts: Column) -> Column:
+        dealt = F.transform(F.sequence(F.lit(0), F.lit(EACH - 1)), lambda j: F.filter(ts, lambda x: x["h"].bitwiseAND(F.lit(EACH - 1)) == j))
+        every = F.aggregate(F.array(*[F.lit(EACH << k) for k in range(LEVELS - 1)]), dealt, halve)
+        return F.transform(every, lambda s: F.when(F.size(s) == 0, "").otherwise(F.substring(F.md5(F.array_join(s["t"], " ").cast("binary")), 1, 8)))
 
-    # each is bound once, as the argument of a lambda over a single element
-    chosen = F.transform(F.array(F.struct(some.alias("in_band"))), lambda x: F.when(F.size(x["in_band"]) > 0, x["in_band"]).otherwise(terms(text)))
-    return F.element_at(F.transform(F.transform(chosen, hashed), parts), 1)
+    return F.element_at(F.transform(hashed, parts), 1)
 
 
 def likeness(a: Column, b: Column, equal: Column) -> Column:
@@ -149,13 +148,12 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def _sql() -> str:
-    subsets = ", ".join(f"{{'a': {a}::BIGINT, 'b': {b}::BIGINT, 'of': {2 ** (i // EACH + 1)}::BIGINT}}" for i, (a, b) in enumerate(FACTORS))
     split = lambda x: f"list_filter(list_distinct(regexp_split_to_array(lower({x}), '{NOT_TERM}')), lambda t: t <> '')"
-    parts = lambda ts: f"""list_transform(list_transform((SELECT list(s) FROM (SELECT unnest([{subsets}]) AS s)), lambda s: list_transform(list_filter({ts}, lambda x: (x.h * s.a + s.b) % {PRIME} % s.of = 0), lambda x: x.t)),
+    parts = lambda ts: f"""list_transform(list_transform(range({LEVELS * EACH}), lambda i: list_transform(list_filter({ts}, lambda x: x.h % {EACH} = i % {EACH} AND (x.h // {EACH}) % (1 << (i // {EACH})) = 0), lambda x: x.t)),
         lambda m: CASE WHEN len(m) = 0 THEN '' ELSE substr(md5(array_to_string(m, ' ')), 1, 8) END)"""
     share = lambda z, least: f"(CASE WHEN len(list_filter({z}, lambda v: v > 0)) >= {least} THEN len(list_filter({z}, lambda v: v = 2))::DOUBLE / len(list_filter({z}, lambda v: v > 0)) END)"
     near = lambda z, same: f"coalesce(greatest({', '.join(share(f'{z}[{k * EACH + 1}:{k * EACH + EACH}]', 4) for k in range(LEVELS))}), {share(z, 1)}, CASE WHEN {same} THEN 1.0 ELSE 0.0 END)"
-    state = lambda a, b: f"list_transform(range(1, 65), lambda i: CASE WHEN {a}[i] = '' AND {b}[i] = '' THEN 0 WHEN {a}[i] = {b}[i] THEN 2 ELSE 1 END)"
+    state = lambda a, b: f"list_transform(range(1, {LEVELS * EACH + 1}), lambda i: CASE WHEN {a}[i] = '' AND {b}[i] = '' THEN 0 WHEN {a}[i] = {b}[i] THEN 2 ELSE 1 END)"
     return f"""
 WITH d AS (
     SELECT doc_id, coalesce(text, '') AS text FROM documents
@@ -176,7 +174,7 @@ WITH d AS (
 ), fp AS (
     SELECT doc_id, e, {parts('coalesce(inb, allt)')} AS f FROM ts
 ), none AS (
-    SELECT list_transform(range(64), lambda i: '') AS f
+    SELECT list_transform(range({LEVELS * EACH}), lambda i: '') AS f
 ), j AS (
     SELECT ed.doc_id, text, nxt, edited, coalesce(a.f, none.f) AS own, coalesce(b.f, none.f) AS chg
     FROM ed CROSS JOIN none LEFT JOIN fp a ON a.doc_id = ed.doc_id AND NOT a.e LEFT JOIN fp b ON b.doc_id = ed.doc_id AND b.e
