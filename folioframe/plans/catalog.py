@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folioframe.plans import Registry, assembly, finding, scalars, structure
+from folioframe.plans import Registry, assembly, finding, models, scalars, structure
 
 REGISTRY = Registry()
-for _module in (structure, scalars, finding, assembly):
+for _module in (structure, scalars, finding, assembly, models):
     _module.register(REGISTRY)
