@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folioframe.plans import Registry, assembly, finding, models, scalars, structure
+from folioframe.plans import Registry, assembly, finding, models, scalars, streams, structure
 
 REGISTRY = Registry()
-for _module in (structure, scalars, finding, assembly, models):
+for _module in (structure, scalars, finding, assembly, models, streams):
     _module.register(REGISTRY)
