@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folioframe.plans import Registry, assembly, finding, models, scalars, streams, structure
+from folioframe.plans import Registry, assembly, finding, models, records, scalars, streams, structure
 
 REGISTRY = Registry()
-for _module in (structure, scalars, finding, assembly, models, streams):
+for _module in (structure, scalars, finding, assembly, models, records, streams):
     _module.register(REGISTRY)
