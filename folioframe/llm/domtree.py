@@ -384,7 +384,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     marked = rows.where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
     every = max(1, rows.count() // (4 * most))
-    sources = [r["html"] for r in marked.where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).select("html").limit(most).collect()]
+    sources = [r["html"] for r in marked.where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).orderBy(F.xxhash64("page_id"), "html").limit(most).collect()]
     sent = spark.sparkContext.broadcast(train(labelled_pages(sorted(sources))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

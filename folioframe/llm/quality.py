@@ -152,8 +152,13 @@ def _sample(rows: DataFrame, most: int) -> np.ndarray:
     n = rows.count()
     if n > 2 * most:
         rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(2**32)) < int(1.5 * most / n * 2**32))
-    got = [bytes(r["x"]) for r in _described(rows).limit(most).collect()]
-    return np.frombuffer(b"".join(sorted(got)), np.float32).reshape(-1, N_FEATURES)
+    return _first(rows, most)
+
+
+def _first(rows: DataFrame, most: int) -> np.ndarray:
+    """Features of the ``most`` rows (id, text) that a hash of the id puts first: the same ones in every run."""
+    got = _described(rows.withColumn("id", F.xxhash64("id")).orderBy("id", F.length("text")).limit(most)).collect()
+    return np.frombuffer(b"".join(bytes(r["x"]) for r in sorted(got)), np.float32).reshape(-1, N_FEATURES)
 
 
 def train(docs: DataFrame, labels: DataFrame, train_on: Column, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Model:
@@ -165,8 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, text: str = "tex
     n = trusted.count()
     if n > 2 * POSITIVE:
         trusted = trusted.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2**32)) < int(1.5 * POSITIVE / n * 2**32))
-    near = rows.join(F.broadcast(trusted.limit(2 * POSITIVE)), "id")  # bounded by the sample's size
-    positive = np.frombuffer(b"".join(sorted(bytes(r["x"]) for r in _described(near).limit(POSITIVE).collect())), np.float32).reshape(-1, N_FEATURES)
+    chosen = trusted.orderBy(F.xxhash64("id"), "id").limit(POSITIVE)
+    positive = _first(rows.join(F.broadcast(chosen), "id"), POSITIVE)  # bounded by the sample's size
     unlabelled = _sample(rows, UNLABELLED)
     return fit(positive, unlabelled, prior_of(counts, positive, unlabelled))
 
