@@ -14,6 +14,41 @@ REGISTRY = Registry()
 #: The vocabulary of the token queries, by its name in the installed package of public tokenizers.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WINDOW_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+WARC_SQL = """
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS d FROM pages
+), k AS (
+    SELECT d, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY d
+)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN k USING (d)
+"""
+
+WINDOW_SQL = f"""
+WITH dw AS (
+    SELECT doc_id, {_WINDOW_WORDS} AS ws FROM documents
+), im AS (
+    SELECT item_id, ws, least(10, len(ws)) AS m FROM (SELECT item_id, {_WINDOW_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0
+), win AS (
+    SELECT DISTINCT item_id, m, array_to_string(ws[k:k + m - 1], ' ') AS w FROM (SELECT item_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS k FROM im)
+), occ AS (
+    SELECT doc_id, k, m, array_to_string(ws[k:k + m - 1], ' ') AS w
+    FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS k FROM dw CROSS JOIN (SELECT DISTINCT m FROM win) WHERE len(ws) >= m)
+), hit AS (
+    SELECT DISTINCT doc_id, k, m, item_id FROM occ JOIN win USING (m, w)
+), pos AS (
+    SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS place FROM hit) GROUP BY doc_id
+), it AS (
+    SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM hit GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
 
 @REGISTRY.add("op7_bpe")
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +58,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-@REGISTRY.add("op9_wu_manber")
+@REGISTRY.add("op9_wu_manber", WINDOW_SQL)
 def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of ten benchmark words in every whole text; see decontaminate."""
     return decontaminate.summary(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
@@ -35,7 +70,7 @@ def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
 
 
-@REGISTRY.add("op5_warc")
+@REGISTRY.add("op5_warc", WARC_SQL)
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page to seekable bundles and read all of them back; see warc."""
     back = warc.read(warc.archive(table(spark, sf_dir, "pages")))
