@@ -57,3 +57,15 @@ def latest(log: DataFrame, key: str, order: list[Column], deleted: Column | None
     """The newest row of each key; keys whose newest row is deleted are gone."""
     top = log.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
     return top.where(~deleted) if deleted is not None else top
+
+
+def regions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, region): the smallest id that each of ``nodes`` (id) reaches by ``edges`` (a, b), both ways."""
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
+    labels = nodes.select("id", F.col("id").alias("region")).checkpoint()
+    while True:
+        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("region").alias("near"))
+        new = labels.join(near, "id", "left").select("id", F.col("region").alias("before"), F.least("region", F.coalesce("near", "region")).alias("region")).checkpoint()
+        labels = new.select("id", "region")
+        if new.where("before <> region").isEmpty():
+            return labels

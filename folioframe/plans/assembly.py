@@ -11,6 +11,7 @@ from folioframe.operators import compare, pages
 from folioframe.plans import Registry
 from folioframe.plans.scalars import LINES_SQL, lines
 from folioframe.plans.structure import ROWS_SQL, WORDS_SQL, wrapped
+from folioframe.sources.scratch import ensure_checkpoints
 from folioframe.sources.tables import table
 
 PAGES_SQL = f"SELECT doc, page, count(*) AS n_rows, sum(length(row_text))::BIGINT AS weight, md5(string_agg(row_text, chr(10) ORDER BY line)) AS body FROM ({ROWS_SQL}) GROUP BY doc, page"
@@ -142,6 +143,12 @@ def register(r: Registry) -> None:
         """Pages of neighbouring documents in their best order-keeping alignment."""
         return compare.align_pages(similar(spark, sf_dir).where("sim > 0.1"), 0.1)
 
+    @r.add("d4_moved_pages")
+    def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Pages of neighbouring documents paired greedily by likeness, in rounds of pairs best on both sides."""
+        ensure_checkpoints(spark)
+        return compare.mutual_best(similar(spark, sf_dir).where("sim > 0.1")).withColumn("sim", F.round("sim", 9))
+
     @r.add(
         "d11_difference_counts",
         f"""

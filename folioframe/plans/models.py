@@ -14,6 +14,7 @@ from folioframe.operators import forms, rules, trees
 from folioframe.plans import Registry
 from folioframe.plans.scalars import LINES_SQL, lines
 from folioframe.plans.structure import WORDS_SQL
+from folioframe.sources.scratch import ensure_checkpoints
 from folioframe.sources.tables import table
 
 TAGS_SQL = """SELECT page_id, i - 1 AS ord, lower(replace(raw, '/', '')) AS tag, raw LIKE '/%' AS closing FROM (
@@ -263,10 +264,7 @@ def register(r: Registry) -> None:
     @r.add("o1_reachable", "SELECT 'c' || o_custkey AS id, 1 AS hops FROM orders WHERE o_orderkey < 500 GROUP BY 1 UNION ALL SELECT 'o' || o_orderkey, 0 FROM orders WHERE o_orderkey < 500 UNION ALL SELECT DISTINCT 'n' || c_nationkey, 2 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 500 UNION ALL SELECT DISTINCT 'r' || n_regionkey, 3 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey < 500")
     def o1(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Objects that some orders reach: customers, nations, regions."""
-        if not spark.sparkContext.getCheckpointDir():
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-folioframe-"))
+        ensure_checkpoints(spark)
         name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
         edges = (
             table(spark, sf_dir, "orders").select(name("o", "o_orderkey").alias("src"), name("c", "o_custkey").alias("dst"))

@@ -13,9 +13,10 @@ from folioframe.functions.text import words
 from folioframe.operators import search, trees
 from folioframe.plans import Registry
 from folioframe.plans.assembly import PAGES_SQL, page_table
-from folioframe.plans.models import COMMENTS_SQL, ENGLISH, FIELDS_SQL, FRENCH, TAGS_SQL, comments, fields
+from folioframe.plans.models import COMMENTS_SQL, ENGLISH, FIELDS_SQL, FRENCH, PIXELS_SQL, TAGS_SQL, comments, fields, pixels
 from folioframe.plans.scalars import LINES_SQL, lines
 from folioframe.plans.structure import WORDS_SQL
+from folioframe.sources.scratch import ensure_checkpoints
 from folioframe.sources.sinks import first_of_each
 from folioframe.sources.tables import table
 
@@ -299,3 +300,83 @@ def register(r: Registry) -> None:
         far = rows.drop("label").join(F.broadcast(means)).select("vec_id", "label", F.sqrt(square).alias("d"))
         best = F.slice(F.array_sort(F.collect_list(F.struct("d", "label"))), 1, 2)
         return far.groupBy("vec_id").agg(best.alias("b")).select("vec_id", F.posexplode("b").alias("k", "s")).select("vec_id", "s.label", (F.col("k") + 1).alias("k"), F.round("s.d", 6).alias("distance"))
+
+    @r.add("p6_french_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS found FROM orders")
+    def p6(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Dates found in sentences written from orders: 1er janvier 2024, or 3/2/2024."""
+        months = "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split()
+        date, day = F.col("o_orderdate"), F.dayofmonth("o_orderdate")
+        spelt = F.concat(F.when(day == 1, "1er").otherwise(day.cast("string")), F.lit(" "), F.element_at(F.array(*map(F.lit, months)), F.month(date)), F.lit(" "), F.year(date).cast("string"))
+        short = F.concat_ws("/", day.cast("string"), F.month(date).cast("string"), F.year(date).cast("string"))
+        rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("le "), F.when(F.col("o_orderkey") % 2 == 0, spelt).otherwise(short), F.lit(".")).alias("line"))
+        form = r"([0-9]{1,2})(?:er)? (" + "|".join(months) + r") ([0-9]{4})"
+        month = F.array_position(F.array(*map(F.lit, months)), F.regexp_extract("line", form, 2)).cast("int")
+        named = F.make_date(F.regexp_extract("line", form, 3).try_cast("int"), F.nullif(month, F.lit(0)), F.regexp_extract("line", form, 1).try_cast("int"))
+        digits = r"([0-9]{1,2})([/.-])([0-9]{1,2})\2([0-9]{4})"
+        part = lambda k: F.regexp_extract("line", digits, k).try_cast("int")
+        return rows.select("o_orderkey", F.date_format(F.coalesce(named, F.make_date(part(4), part(3), part(1))), "yyyy-MM-dd").alias("found"))
+
+    zone_sql = "SELECT s_suppkey AS page, s_suppkey % 60 AS zx0, s_suppkey % 60 + 20 AS zx1 FROM supplier"
+
+    @r.add("p11_overlap_removal", f"SELECT page, l_orderkey, l_linenumber, x0 FROM ({BOX_SQL}) b WHERE NOT EXISTS (SELECT 1 FROM ({zone_sql}) z WHERE z.page = b.page AND b.x0 < zx1 AND b.x1 > zx0 AND b.y0 < 40 AND b.y1 > 10)")
+    def p11(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Rectangles that a zone of their page touches are gone."""
+        k = F.col("s_suppkey")
+        zones = table(spark, sf_dir, "supplier").select(k.alias("zpage"), (k % 60).alias("zx0"), (k % 60 + 20).alias("zx1"))
+        b = boxes(spark, sf_dir)
+        touched = (b["page"] == zones["zpage"]) & (b["x0"] < zones["zx1"]) & (b["x1"] > zones["zx0"]) & (b["y0"] < 40) & (b["y1"] > 10)
+        return b.join(zones, touched, "left_anti").select("page", "l_orderkey", "l_linenumber", "x0")
+
+    @r.add("g13_split_by_groups", f"SELECT doc, page, (page % 3)::BIGINT AS part FROM ({PAGES_SQL}) WHERE page <= 6")
+    def g13(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Pages dealt into given groups; group members beyond the document's pages are rejected."""
+        groups = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(6).cast("bigint"))).alias("page"))
+        return groups.join(page_table(spark, sf_dir).select("doc", "page"), ["doc", "page"], "left_semi").select("doc", "page", (F.col("page") % 3).alias("part"))
+
+    @r.add("l3_autolink", "WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS t FROM pages), c AS (SELECT page_id, '/' || split_part(trim(regexp_extract(html, '<li><a[^>]*>([^<]*)</a>', 1)), ' ', 1) AS t FROM pages) SELECT count(*) AS n, count(*) FILTER (WHERE (page_id, t) NOT IN (SELECT (page_id, t) FROM h)) AS added FROM c")
+    def l3(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Candidate links of pages, less those that the page has already: found and added."""
+        pages = table(spark, sf_dir, "pages")
+        have = search.hrefs(pages).select("page_id", F.col("target").alias("t")).distinct().withColumn("have", F.lit(True))
+        name = F.element_at(F.split(F.trim(F.regexp_extract("html", "<li><a[^>]*>([^<]*)</a>", 1)), " "), 1)
+        found = pages.select("page_id", F.concat(F.lit("/"), name).alias("t")).join(have, ["page_id", "t"], "left")
+        return found.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("have").isNull()).alias("added"))
+
+    @r.add("k4_subtree_removed", "SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS ord FROM nation WHERE n_regionkey <> 2 AND n_nationkey % 5 <> 1")
+    def k4(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Nodes left when a branch (a region) and some leaves are taken out, siblings counted anew."""
+        left = table(spark, sf_dir, "nation").where("n_regionkey <> 2 AND n_nationkey % 5 <> 1")
+        return left.select("n_nationkey", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).cast("bigint").alias("ord"))
+
+    @r.add("t1_t2_orders", f"SELECT page, l_orderkey, l_linenumber, x0, row_number() OVER (PARTITION BY page ORDER BY y1 DESC, x0, l_orderkey, l_linenumber, x1) AS place FROM ({BOX_SQL})")
+    def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Reading order: from top to bottom, then from left to right."""
+        w = Window.partitionBy("page").orderBy(F.desc("y1"), "x0", "l_orderkey", "l_linenumber", "x1")
+        return boxes(spark, sf_dir).select("page", "l_orderkey", "l_linenumber", "x0", F.row_number().over(w).cast("bigint").alias("place"))
+
+    @r.add("u9_reading_order", f"WITH a AS (SELECT doc, idx, row_number() OVER (PARTITION BY doc ORDER BY idx) AS i, row_number() OVER (PARTITION BY doc ORDER BY length(contents), idx) AS j FROM ({COMMENTS_SQL})) SELECT doc, min(i) FILTER (WHERE i <> j) AS first_difference FROM a GROUP BY doc")
+    def u9(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The first place at which two orders of a document's items differ."""
+        rank = lambda *by: F.row_number().over(Window.partitionBy("doc").orderBy(*by)).cast("bigint")
+        a = comments(spark, sf_dir).select("doc", rank("idx").alias("i"), rank(F.length("contents"), "idx").alias("j"))
+        return a.groupBy("doc").agg(F.min(F.when(F.col("i") != F.col("j"), F.col("i"))).alias("first_difference"))
+
+    cell_sql = f"SELECT DISTINCT image * 1000 + (x // 8) * 10 + y // 8 AS id, image, x // 8 AS cx, y // 8 AS cy FROM ({PIXELS_SQL}) WHERE r > 200 AND g > 60"
+
+    @r.add(
+        "x2_regions",
+        f"""
+        WITH RECURSIVE c AS ({cell_sql}), e AS (SELECT p.id AS a, q.id AS b FROM c p JOIN c q ON p.image = q.image AND abs(p.cx - q.cx) <= 1 AND abs(p.cy - q.cy) <= 1 AND p.id <> q.id),
+        t(a, b) AS (SELECT id, id FROM c UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a)
+        SELECT image, region, count(*) AS n_cells, min(cx)::BIGINT AS x0, min(cy)::BIGINT AS y0, max(cx)::BIGINT AS x1, max(cy)::BIGINT AS y1 FROM (SELECT a AS id, min(b) AS region FROM t GROUP BY a) JOIN c USING (id) GROUP BY image, region
+        """,
+    )
+    def x2(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Cells of marked pixels in connected regions, with their boxes."""
+        ensure_checkpoints(spark)
+        cx, cy = F.floor(F.col("x") / 8), F.floor(F.col("y") / 8)
+        c = pixels(spark, sf_dir).where("r > 200 AND g > 60").select((F.col("image") * 1000 + cx * 10 + cy).alias("id"), "image", cx.alias("cx"), cy.alias("cy")).distinct().checkpoint()
+        q = c.select(F.col("id").alias("b"), "image", F.col("cx").alias("qx"), F.col("cy").alias("qy"))
+        edges = c.join(q, "image").where("abs(cx - qx) <= 1 AND abs(cy - qy) <= 1 AND id < b").select(F.col("id").alias("a"), "b")
+        found = trees.regions(c, edges).join(c, "id")
+        return found.groupBy("image", "region").agg(F.count(F.lit(1)).alias("n_cells"), F.min("cx").alias("x0"), F.min("cy").alias("y0"), F.max("cx").alias("x1"), F.max("cy").alias("y1"))

@@ -15,3 +15,9 @@ def shared_folder(spark: SparkSession, what: str) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-folioframe-"))
         named = spark.sparkContext.getCheckpointDir()
     return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Have a checkpoint folder set: that of the cluster, or a temporary one in a local session."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-folioframe-"))
