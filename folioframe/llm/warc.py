@@ -34,6 +34,8 @@ from folioframe.llm.shared import blocks, scratch, stash
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Uncompressed bytes after which a frame ends, and compressed bytes after which a bundle ends.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 128 << 20
+#: Tasks that read bundles at most.
+MOST_READERS = 20_000
 INDEX = "page_id bigint, record_id string, bundle string, frame int, offset bigint, length bigint"
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -206,8 +208,8 @@ def read(index: DataFrame) -> DataFrame:
                         at = end
                     yield _rows(RECORD, rows)
 
-    bundles = index.groupBy("bundle").agg(F.count(F.lit(1)).alias("n")).select("bundle")
-    return bundles.mapInArrow(run, RECORD)
+    bundles = index.select("bundle").distinct()
+    return bundles.repartition(max(1, min(MOST_READERS, bundles.count()))).mapInArrow(run, RECORD)  # else one task may get all
 
 
 @lru_cache(8)
