@@ -40,8 +40,10 @@ def near_pairs(bags: DataFrame, threshold: float = 0.5) -> DataFrame:
     totals = bags.groupBy("doc").agg(F.sum("n").alias("total"))
     order = Window.partitionBy("doc").orderBy("df", "word", "k")
     prefix = ranked.withColumn("place", F.row_number().over(order)).join(totals, "doc").where(F.col("place") <= F.col("total") - F.ceil(F.col("total") * part - 1e-9) + 1).where("df > 1")
-    left, right = prefix.select("word", "k", F.col("doc").alias("a"), F.col("total").alias("ta")), prefix.select("word", "k", F.col("doc").alias("b"), F.col("total").alias("tb"))
-    sized = (F.col("a") < F.col("b")) & (F.least("ta", "tb") >= F.greatest("ta", "tb") * part - 1e-9)
+    left, right = prefix.select("word", "k", F.col("doc").alias("a"), F.col("total").alias("ta"), F.col("place").alias("pa")), prefix.select("word", "k", F.col("doc").alias("b"), F.col("total").alias("tb"), F.col("place").alias("pb"))
+    # at the first shared element, what may still be shared is bounded by what is left of either
+    left_over = F.least(F.col("ta") - F.col("pa"), F.col("tb") - F.col("pb")) + 1
+    sized = (2 * left_over >= (F.col("ta") + F.col("tb")) * threshold - 1e-9) & (F.col("a") < F.col("b")) & (F.least("ta", "tb") >= F.greatest("ta", "tb") * part - 1e-9)
     pairs = left.join(right, ["word", "k"]).where(sized).select("a", "b").distinct()
     return dice_of_pairs(pairs, bags).where(F.col("dice") >= threshold)
 
