@@ -6,8 +6,8 @@ the encoding of every prefix is fixed by the bytes so far, and reading bytes fro
 positions from which a longer token may still begin. The transducer's states are (last token written, bytes
 waiting); a step reads one byte and writes the tokens on which all open continuations agree, so that what waits
 is bounded by the longest token. Determinisation is lazy: a step is added to the table when a state has lacked one
-for the second time; until then the rest of the piece is read without the table, by the same rule. The table is
-emptied when it grows beyond a set size, which changes no result.
+for the second time; until then, and when the table has reached its set size, the rest of the piece is read without
+the table, by the same rule.
 
 Rows: null text counts as empty and has no ids. Any other text gives one row, however long or often repeated.
 Extra columns are ignored; only the id and text columns are read.
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from folioframe.llm.shared import blocks
 
-#: Steps and words kept by each Python worker.
-MAX_STEPS, MAX_WORDS = 150_000, 200_000
+#: Steps, words and token pairs kept by each Python worker.
+MAX_STEPS, MAX_WORDS, MAX_PAIRS = 60_000, 120_000, 200_000
 #: Ids that streaming decoding takes at once.
 DECODE_IDS = 65_536
 
@@ -64,7 +64,7 @@ class Transducer:
 
     def clear(self) -> None:
         """Forget all states but the first."""
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.number: dict[tuple[int, bytes], int] = {(-1, b""): 0}
         self.states: list[tuple] = [(-1, b"", (), ((0, 0),))]
         self.lacked: list[int] = [0]
@@ -97,7 +97,7 @@ class Transducer:
 
     def stands(self, left: int, right: int) -> bool:
         """May ``right`` follow ``left`` (-1: the piece begins)? Not if parts that meet at the border merge first."""
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 24 | right)
         if known is None:
             a, b = (None if left < 0 else self.edge(left, True)), self.edge(right, False)
             known = b is not None and (left < 0 or a is not None)
@@ -107,7 +107,7 @@ class Transducer:
                 rank = self.ranks.get(x + y)
                 known = rank is None or rank >= x_ends or rank > y_ends  # of equal ranks the leftmost is merged first
                 i, j = (i + 1, j) if x_ends <= y_ends else (i, j + 1)
-            self.pairs[left, right] = known
+            self.pairs[left << 24 | right] = known
         return known
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -122,7 +122,7 @@ class Transducer:
             token = tokens[node]
             if found is None and token >= 0:
                 left = back[q - 1][1] if q else last
-                ok = pairs.get((left, token))
+                ok = pairs.get(left << 24 | token)
                 if ok or ok is None and self.stands(left, token):
                     found = (q, token)
             if leads[node]:
@@ -172,7 +172,7 @@ class Transducer:
                 token = tokens[node]
                 if found is None and token >= 0:
                     left = back[q - 1][1] if q else last
-                    ok = pairs.get((left, token))
+                    ok = pairs.get(left << 24 | token)
                     if ok or ok is None and self.stands(left, token):
                         found = (q, token)
                 if leads[node]:
@@ -191,14 +191,14 @@ class Transducer:
         return tail
 
     def encode(self, piece: bytes) -> list[int]:
-        if self.made > self.max_steps or len(self.pairs) > 4 * self.max_steps:
-            self.clear()
+        if len(self.pairs) > MAX_PAIRS:
+            self.pairs.clear()
         out: list[int] = []
         state, steps = 0, self.steps
         for at, byte in enumerate(piece):
             to = steps[state].get(byte)
             if to is None:
-                if not self.lacked[state]:
+                if not self.lacked[state] or self.made >= self.max_steps:
                     self.lacked[state] = 1
                     return out + self.rest(state, piece, at)
                 to = self.step(state, byte)
@@ -292,55 +292,73 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return lambda x: (wide if beyond.search(x) else narrow).findall(x)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) batches -> (doc_id, ids)."""
+    find, words = splitter(pattern), _words(path)
+    for batch in batches:
+        texts = batch.column("text")
+        for i, j, _, _ in blocks(texts):
+            out = []
+            for x in texts.slice(i, j - i).to_pylist():
+                out.append(b"".join(map(words.__getitem__, find(x))) if x else b"")
+                words.tidy()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(out, pa.binary())], ["doc_id", "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) batches -> (doc_id, ids, text), as a stream of blocks of ids."""
+    table = _spelled(path)
+    for batch in batches:
+        _, ids = batch.columns
+        for i in range(0, len(ids), 256):
+            out = []
+            for raw in ids.slice(i, 256).to_pylist():
+                stream, got = Utf8Stream(), []
+                todo = iter(memoryview(raw or b"").cast("I"))
+                while some := list(islice(todo, DECODE_IDS)):
+                    got.append(stream.feed(b"".join(map(table.__getitem__, some))))
+                out.append("".join([*got, stream.end()]))
+            yield pa.RecordBatch.from_arrays([*(c.slice(i, 256) for c in batch.columns), pa.array(out, pa.string())], ["doc_id", "ids", "text"])
+
+
+@lru_cache(2)
+def _spelled(path: str) -> list[bytes]:
+    """The bytes of each id."""
+    ranks = vocabulary(path)
+    table = [b""] * (max(ranks.values(), default=0) + 1)
+    for t, i in ranks.items():
+        table[i] = t
+    return table
+
+
+def _texts(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, str]:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), docs.schema[doc_id].dataType.simpleString()
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, ids BINARY): the ids of each whole text, little-endian unsigned 32-bit integers one after another.
 
     ``path`` names a vocabulary file that every executor has (as part of an installed package or a shared mount).
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, words = splitter(pattern), _words(path)
-        for batch in batches:
-            texts = batch.column("text")
-            for i, j, _, _ in blocks(texts):
-                out = []
-                for x in texts.slice(i, j - i).to_pylist():
-                    out.append(b"".join(map(words.__getitem__, find(x))) if x else b"")
-                    words.tidy()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(out, pa.binary())], ["doc_id", "ids"])
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ids binary")
+    rows, kind = _texts(docs, text, doc_id)
+    return rows.mapInArrow(lambda batches: _encoded(batches, path, pattern), f"doc_id {kind}, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, text): what the ids of ``encode`` stand for, read as a stream of blocks of ids."""
+    """(doc_id, ids, text): what the ids of ``encode`` stand for."""
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, path), f"doc_id {kind}, ids binary, text string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = vocabulary(path)
-        table = [b""] * (max(ranks.values(), default=0) + 1)
-        for t, i in ranks.items():
-            table[i] = t
-        for batch in batches:
-            _, ids = batch.columns
-            for i in range(0, len(ids), 256):
-                out = []
-                for raw in ids.slice(i, 256).to_pylist():
-                    stream, got = Utf8Stream(), []
-                    todo = iter(memoryview(raw or b"").cast("I"))
-                    while some := list(islice(todo, DECODE_IDS)):
-                        got.append(stream.feed(b"".join(map(table.__getitem__, some))))
-                    out.append("".join([*got, stream.end()]))
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, 256) for c in batch.columns), pa.array(out, pa.string())], ["doc_id", "ids", "text"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, encoded.select("doc_id", "ids", F.lit("").alias("text")).schema)
+
+def roundtrip(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, ids, text) of encoding and decoding, in one Python worker for each task."""
+    rows, kind = _texts(docs, text, doc_id)
+    return rows.mapInArrow(lambda batches: _decoded(_encoded(batches, path, pattern), path), f"doc_id {kind}, ids binary, text string")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoding every text and decoding its ids."""
-    both = decode(encode(docs, path, pattern), path)
-    return both.select(
+    return roundtrip(docs, path, pattern).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
