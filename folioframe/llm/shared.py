@@ -46,6 +46,11 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go when the driver's JVM collects its garbage; ask for that between large steps."""
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _tidy() -> None:
     for spark, path in _written:

@@ -5,14 +5,17 @@ share one of the first |s| - ceil(0.8 |s|) + 1 shingles of each in any one order
 sets that share such a shingle form a block, and no link lies outside the blocks. The order puts shingles that are
 frequent in a bounded sample last; that choice changes only the sizes of blocks.
 
-Within a block, sets are the leaves of a signature tree. A node holds the OR of its sets' token bitmaps, their range
+Within a block, sets are the leaves of signature trees. A node holds the OR of its sets' token bitmaps, their range
 of sizes and the most tokens that one set has on one bit. Two nodes are traversed together unless the overlap that
-bitmaps and sizes allow is too small. Pairs that remain are compared over their whole sets.
+bitmaps and sizes allow is too small. Bitmaps are of at least twice as many bits as the set has shingles, a power
+of two; a block has a tree for each width, and the trees of neighbouring widths are traversed together over bitmaps
+folded to the smaller one (sets of farther widths differ too much in size). Pairs that remain are compared over their
+whole sets.
 
 Large groups of near copies never make all their pairs: sets are first linked with the smallest set of the same
 minimal hash, and blocks pair only sets of different components. Blocks of more than ``TILE`` sets are dealt out as
 tiles, so that no task holds more than two tiles of one block. Only shingles in blocks of several components are
-joined back, after their counts have been combined in the tasks.
+joined back, after their counts have been combined in the tasks; of shingles that stand in the same sets one is enough.
 
 Hashes are of 64 bits: two given shingles are confused with a chance of 2**-64.
 
@@ -33,15 +36,16 @@ from xxhash import xxh3_128_digest
 
 from folioframe.llm.graph import components
 from folioframe.llm.hashing import LOWER, mixed, window_hashes, word_hashes, word_spans
-from folioframe.llm.shared import blocks, stash
+from folioframe.llm.shared import blocks, stash, tidy
 
 WIDTH, PERCENT = 5, 80
 #: Rows of the sample that shows which shingles are frequent, and in how many of them those are.
 SAMPLE_ROWS, SAMPLE_OFTEN = 4000, 5
-#: Bits of a signature, sets under a node, sets of a block in one tile, minimal hashes that link a set to another.
-BITS, FAN, TILE, STARS = 1024, 16, 2048, 3
+#: Bits of a signature for each shingle and at least, sets under a node, sets of a block in one tile, minimal hashes
+#: that link a set to another.
+SPARSE, LEAST_BITS, FAN, TILE, STARS = 2, 256, 16, 2048, 4
 #: Values that are sent to every task at most; beyond, they are joined by shuffle.
-SENT = 2_000_000
+SENT = 1_000_000
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[32, 9, 10, 11, 12, 13]] = False
@@ -75,12 +79,21 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 
 def signature(u: np.ndarray) -> tuple[bytes, int]:
-    """The bitmap of a set, and the most tokens on one bit."""
-    at = (u >> np.uint64(40)).astype(np.int64) & (BITS - 1)
-    count = np.bincount(at, minlength=BITS)
+    """The bitmap of a set, and the most tokens on one bit; folding a bitmap in halves gives that of fewer bits."""
+    bits = max(LEAST_BITS, 1 << int(SPARSE * len(u) - 1).bit_length()) if len(u) else LEAST_BITS
+    at = (u >> np.uint64(20)).astype(np.int64) & (bits - 1)
+    count = np.bincount(at, minlength=bits)
     return np.packbits(count > 0, bitorder="little").tobytes(), int(count.max(initial=0))
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) OR-ed down to ``words`` words."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
 def summaries(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """(id, n, key, prefix, stars, bits, heap) of each row: what blocks and trees need of its set."""
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
@@ -96,8 +109,7 @@ def summaries(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) ->
                     common = np.isin(u, last, assume_unique=True) if len(last) and n else np.zeros(n, bool)
                     rare = u[~common]
                     prefixes.append(np.concatenate([rare, u[common]])[: n - -(-percent * n // 100) + 1 if n else 0])
-                    some = rare if len(rare) else u
-                    stars.append(np.array([mixed(some ^ t).min() for t in turns], np.uint64) if n else u)
+                    stars.append(np.array([mixed(u ^ t).min() for t in turns], np.uint64) if n else u)
                     b, heap = signature(u)
                     sizes.append(n)
                     keys.append(xxh3_128_digest(u.tobytes()))
@@ -126,10 +138,10 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
     if pairs.isEmpty():
         return pairs
     ids = stash(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
-    sets = stash(tokens(docs.join(_sized(ids), "id", "left_semi")).dropDuplicates(["id"]), "pair-sets")
+    sets = stash(tokens(docs.join(_sized(ids), "id", "left_semi")), "pair-sets")
     a, b = sets.toDF("a", "of_a"), sets.toDF("b", "of_b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(b, "b").join(a, "a").where(shared * (100 + percent) >= (F.size("of_a") + F.size("of_b")) * percent).select("a", "b")
+    return pairs.join(b, "b").join(a, "a").where(shared * (100 + percent) >= (F.size("of_a") + F.size("of_b")) * percent).select("a", "b").distinct()
 
 
 class Tree:
@@ -181,26 +193,53 @@ def close(one: Tree, other: Tree | None, percent: int = PERCENT) -> Iterator[tup
             todo += [(p, x, q, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
 
 
-def _block_pairs(side: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: np.ndarray, heap: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _block_pairs(side: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[bytes], heap: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs of one tile: within it (side 0), or between its sides 1 and 2."""
+    if side[0] and (side == side[0]).all() or (comp == comp[0]).all():
+        return
+    width = np.array([len(b) // 8 for b in bits])
+    trees: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    for s in np.unique(side).tolist():
+        for w in np.unique(width).tolist():
+            rows = np.flatnonzero((side == s) & (width == w))
+            if len(rows):
+                rows = rows[np.argsort(n[rows], kind="stable")]
+                trees[s, w] = rows, np.frombuffer(b"".join([bits[k] for k in rows]), np.uint64).reshape(len(rows), w)
+
+    def tree(s: int, w: int, to: int) -> tuple[np.ndarray, Tree]:
+        rows, own = trees[s, w]
+        return rows, Tree(n[rows], folded(own, to), heap[rows] * (w // to))  # a folded bit holds what two bits held at most
+
+    for s, w in trees:
+        for t, v in trees:
+            if (s, t) not in ((0, 0), (1, 2)) or v > 2 * w or w > 2 * v or s == t and w > v:
+                continue
+            rows, one = tree(s, w, min(w, v))
+            others, two = (rows, None) if (s, w) == (t, v) else tree(t, v, min(w, v))
+            for a, b in close(one, two, percent):
+                a, b = rows[a], others[b]
+                far = comp[a] != comp[b]
+                if far.any():
+                    yield a[far], b[far]
 
-    def tree(rows: np.ndarray) -> tuple[np.ndarray, Tree]:
-        rows = rows[np.argsort(n[rows], kind="stable")]
-        return rows, Tree(n[rows], bits[rows], heap[rows])
 
-    if not side[0]:
-        rows, one = tree(np.arange(len(n)))
-        others, two = rows, None
-    elif (side == side[0]).all():
-        return
-    else:
-        rows, one = tree(np.flatnonzero(side == 1))
-        others, two = tree(np.flatnonzero(side == 2))
-    for a, b in close(one, two, percent):
-        a, b = rows[a], others[b]
-        far = comp[a] != comp[b]
-        if far.any():
-            yield a[far], b[far]
+def plausible(pairs: DataFrame, heads: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of the pairs (a, b) that bitmaps and sizes allow."""
+    one = heads.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    two = heads.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ba", "bb")), strict=True):
+                x, y = (np.frombuffer(v, np.uint64)[None] for v in (x, y))
+                words = min(x.shape[1], y.shape[1])
+                x, y = folded(x, words), folded(y, words)
+                lone = min(na - int(np.bitwise_count(x).sum()), nb - int(np.bitwise_count(y).sum()))
+                keep.append((lone + int(np.bitwise_count(x & y).sum())) * (100 + percent) >= (na + nb) * percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a bigint, b bigint")
 
 
 def block_pairs(tiles: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -212,7 +251,7 @@ def block_pairs(tiles: DataFrame, percent: int = PERCENT) -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             token, tile, side, ids, comp, n, heap = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "tile", "side", "id", "comp", "n", "heap"))
-            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(len(ids), BITS // 64)
+            bits = batch.column("bits").to_pylist()
             edge = np.flatnonzero((np.diff(token) != 0) | (np.diff(tile) != 0)) + 1
             out_a, out_b = [], []
             for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(ids)], strict=True):
@@ -225,7 +264,7 @@ def block_pairs(tiles: DataFrame, percent: int = PERCENT) -> DataFrame:
                                 seen.add((u, v))
                                 out_a.append(u)
                                 out_b.append(v)
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
@@ -256,20 +295,23 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: i
 
     base = stash(summaries(rows, frequent, percent), "sets")
     some = base.where("n > 0 AND id IS NOT NULL")
-    classes = some.groupBy("key").agg(F.min("id").alias("class"))
-    classes = stash(classes, "classes")
-    heads = stash(some.join(classes.select(F.col("class").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "prefix", "stars", "bits", "heap"), "heads")
+    classes = stash(some.groupBy("key").agg(F.min("id").alias("class")), "classes")
+    others = stash(some.select("id", "key").join(classes, "key").where("id <> class").select("id").distinct(), "copies")
+    heads = some.join(_sized(others), "id", "left_anti")
 
-    star = heads.select("id", F.posexplode("stars").alias("turn", "star"))
+    star = stash(heads.select("id", F.posexplode("stars").alias("turn", "star")), "stars")
     first = star.groupBy("turn", "star").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    stars = verified(star.join(first, ["turn", "star"]).where("id <> a").select("a", F.col("id").alias("b")).distinct(), rows, percent)
-    stars = stash(stars, "star-links")
+    starred = star.join(first, ["turn", "star"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    stars = stash(verified(plausible(starred, heads, percent), rows, percent), "star-links")
     label = components(stars).withColumnRenamed("component", "comp")
-
-    known = stash(heads.select("id", "n", "prefix").join(label, "id", "left").select("id", "n", "prefix", F.coalesce("comp", "id").alias("comp")), "known")
-    postings = known.select("id", "n", "comp", F.explode("prefix").alias("token"))
-    mixed_tokens = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token", "k")
-    mixed_tokens = stash(mixed_tokens, "blocks")
+    tidy(docs.sparkSession)
+
+    postings = heads.select("id", "n", "prefix").join(label, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), F.explode("prefix").alias("token"))
+    # two sums of hashes tell blocks of different members apart
+    member = lambda seed: F.sum(F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 24))
+    found = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high"), member(1).alias("m1"), member(2).alias("m2"))
+    mixed_tokens = stash(found.where("low <> high").groupBy("k", "m1", "m2").agg(F.min("token").alias("token")).select("token", "k"), "blocks")
+    tidy(docs.sparkSession)
     placed = postings.join(_sized(mixed_tokens), "token")
     parts = F.ceil(F.col("k") / TILE).cast("int")
     mine = F.pmod(F.xxhash64("id"), parts).cast("int")
