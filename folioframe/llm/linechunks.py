@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.llm.shared import stash
+
 #: One line in so many ends a chunk, and so many words make a single line a passage.
 ONE_IN, LONG_LINE = 2, 50
 
@@ -99,6 +101,79 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", one_in: i
     )
 
 
+def passages(text: Column, one_in: int = ONE_IN, words: int = LONG_LINE) -> Column:
+    """array<struct<first, last>> of a text: its chunks that are passages, and its least runs of ``words`` words.
+
+    From each line goes one run downward and one upward, which ends with the line that brings it to ``words`` words;
+    a line counts as one word at least. Any passage of so many words is covered by the runs inside it, and whether a
+    run is least is told by its own lines, so that every copy of the passage has the same runs.
+    """
+    lines = F.split(text, "\n", -1)
+
+    def reach(some: Column) -> Column:
+        """So many of the first lines hold enough words; 0 where all of them don't."""
+        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"))
+        add = lambda acc, w: F.when(acc["sum"] >= words, acc).otherwise(F.struct((acc["n"] + 1).alias("n"), (acc["sum"] + w).alias("sum")))
+        return F.aggregate(some, zero, add, lambda acc: F.when(acc["sum"] >= words, acc["n"]).otherwise(0))
+
+    def ends(sizes: Column) -> Column:
+        """Lengths of the run from each line on; few lines are looked at first, as most runs are short."""
+
+        def of(i: Column) -> Column:
+            near = F.array(reach(F.slice(sizes, i, min(8, words))))
+            return F.element_at(F.transform(near, lambda n: F.when(n > 0, n).otherwise(reach(F.slice(sizes, i, words)))), 1)
+
+        return F.transform(F.sequence(F.lit(1), F.size(sizes)), of)
+
+    def build(x: Column) -> Column:
+        n = F.size(x["sizes"])
+        pair = lambda a, b: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"))
+        down = F.transform(ends(x["sizes"]), lambda k, i: F.when(k > 0, pair(i + 1, i + k)))
+        up = F.transform(ends(F.reverse(x["sizes"])), lambda k, i: F.when(k > 0, pair(n - i - k + 1, n - i)))
+        return F.filter(F.concat(down, up), lambda r: r.isNotNull())
+
+    runs = F.element_at(F.transform(F.array(F.struct(F.transform(lines, lambda x: F.size(F.split(F.trim(x), r"\s+"))).alias("sizes"))), build), 1)
+    whole = F.transform(F.filter(chunks(text, one_in), _is_passage), lambda c: F.struct(c["first"].cast("int").alias("first"), c["last"].cast("int").alias("last")))
+    return F.array_distinct(F.concat(whole, runs))
+
+
+def dedup_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", one_in: int = ONE_IN, words: int = LONG_LINE) -> DataFrame:
+    """``docs`` without the lines of later copies of any passage, wherever it begins and ends; columns as in ``dedup``.
+
+    A line goes if it lies in a run of ``words`` words or more (or in a chunk, as in ``dedup``) that stands byte for
+    byte at an earlier place too. A copy that overlaps the earliest one stays, so that periodic texts keep that one.
+    """
+    body = F.col(text).cast("string")
+    n_lines = F.size(F.split(F.col("_text"), "\n", -1))
+    said = lambda lines, r: F.array_join(F.slice(lines, r["first"], r["last"] - r["first"] + 1), "\n")
+    bind = lambda runs, f: F.element_at(F.transform(F.array(F.struct(F.split("_text", "\n", -1).alias("lines"), runs.alias("runs"))), f), 1)
+    apart = F.col(doc_id).isNotNull() & F.col(text).isNotNull()
+    # both joins by document read the same columns, so that the texts are dealt out once
+    rows = docs.where(apart).withColumn("_id", F.struct(F.col(doc_id).alias("id"), F.unhex(F.md5(body.cast("binary"))).alias("of")))
+    rows = rows.withColumn("_text", body).drop(doc_id, text)
+    told = bind(passages(F.col("_text"), one_in, words), lambda x: F.transform(x["runs"], lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), F.xxhash64(said(x["lines"], r)).alias("hash"))))
+    marks = stash(rows.select("_id", F.explode(told).alias("r")).select("_id", "r.*"), "passages")
+    often = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    places = marks.join(often, "hash").groupBy("_id").agg(F.collect_set(F.struct("first", "last")).alias("_maybe"))
+    bodies = bind(F.col("_maybe"), lambda x: F.transform(x["runs"], lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), said(x["lines"], r).alias("body"))))
+    texts = rows.select("_id", "_text").join(places, "_id").select("_id", F.explode(bodies).alias("r")).select("_id", "r.*")
+    texts = texts.where(F.length(F.trim(F.translate("body", "\n\t", ""))) > 0).withColumn("digest", F.unhex(F.md5(F.col("body").cast("binary"))))
+    kept = texts.groupBy("digest").agg(F.min(F.struct("_id", "first", "last", "body")).alias("kept"))
+    overlaps = (F.col("_id") == F.col("kept._id")) & (F.col("first") <= F.col("kept.last"))
+    later = texts.join(kept, "digest").where((F.col("body") == F.col("kept.body")) & ~overlaps)
+    gone = later.groupBy("_id").agg(F.collect_set(F.struct("first", "last")).alias("_runs"))
+    lost = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["first"], r["last"]))))
+    left = bind(F.array_except(F.sequence(F.lit(1), n_lines), lost), lambda x: F.array_join(F.transform(x["runs"], lambda i: F.element_at(x["lines"], i)), "\n"))
+    has = F.col("_runs").isNotNull()
+    out = rows.join(gone, "_id", "left").withColumn("_n_gone", F.when(has, F.size(lost)).otherwise(0)).withColumn(text, F.when(has, left).otherwise(F.col("_text")))
+    out = out.withColumn("_n_lines", n_lines).withColumn(doc_id, F.col("_id.id"))
+    same = docs.where(~apart).withColumn("_text", body).withColumn("_n_lines", F.when(F.col("_text").isNotNull(), n_lines).otherwise(0))
+    same = same.withColumn("_n_gone", F.lit(0)).withColumn(text, F.col("_text"))
+    columns = [*docs.columns, "_n_lines", "_n_gone"]
+    return out.select(columns).unionByName(same.select(columns))
+
+
+
 SQL = f"""
 WITH d AS (
     SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents

@@ -84,6 +84,13 @@ def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_gone").cast("long").alias("n_gone"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+@REGISTRY.add("op4_line_passages")
+def op4_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All later copies of passages of 50 words or more taken out of every whole text, in any context; see linechunks."""
+    out = linechunks.dedup_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_gone").cast("long").alias("n_gone"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 @REGISTRY.add("op10_imatch", imatch.SQL)
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I-Match fingerprints of every whole text, its edited text and the next document's; see imatch."""
