@@ -39,9 +39,11 @@ HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-h
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 SPACE = re.compile(r"\s+")
 
-# Fixed values of HTML: elements without content, of raw text, of inline level, and those that end an open <p>.
+# Fixed values of HTML: elements without content, of left-out content, those of them without markup inside (with their
+# closing tags), of inline level, and those that end an open <p>.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template svg math select".split())
+LITERAL = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.IGNORECASE) for t in "script style textarea title iframe xmp".split()}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -62,20 +64,25 @@ class Page:
             self.block_node.append(stack[-1])
             return len(self.block_node) - 1
 
-        for m in TOKEN.finditer(source):
-            if raw is not None:
-                if m.group(1) is None or m.group().startswith("<") and not m.group().startswith("</") or m.group(1).lower() != raw:
-                    continue
+        look = 0  # where the next token is looked for
+        while m := TOKEN.search(source, look):
+            look = m.end()
+            tag, closing = (m.group(1) or "").lower(), m.group().startswith("</")
+            inside = raw is not None
+            if inside and closing and tag == raw:
                 at, raw = m.end(), None
                 continue
-            if m.start() < at:
+            if tag in LITERAL and not closing and not (m.group(2) or "").rstrip().endswith("/"):
+                # no markup up to the closing tag, whatever stands there
+                end = LITERAL[tag].search(source, look)
+                look = end.end() if end else len(source)
+            if inside:
                 continue
             if m.start() > at:
                 self.pieces.append((stack[-1], block, source[at : m.start()]))
-            at = m.end()
+            at = look
             if m.group(1) is None:
                 continue
-            tag, closing = m.group(1).lower(), m.group().startswith("</")
             if closing:
                 if tag in [self.tag[k] for k in stack[1:]]:
                     inline = tag in INLINE
@@ -112,7 +119,7 @@ class Page:
                         break
             attributes = m.group(2) or ""
             if tag in RAW:
-                if not attributes.rstrip().endswith("/"):
+                if tag not in LITERAL and not attributes.rstrip().endswith("/"):
                     raw = tag
                 continue
             names = tuple(p.lower() for a in ATTRIBUTE.finditer(attributes) for p in NAME_PART.findall(a.group(2) or a.group(3) or a.group(4) or "")) if attributes else ()

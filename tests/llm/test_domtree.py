@@ -62,3 +62,13 @@ def test_text_of_blocks():
 def test_empty(spark):
     docs = spark.createDataFrame([], "page_id long, url string, html string")
     assert d.main_text(docs).count() == 0
+
+
+def test_scripts_are_no_markup():
+    text = lambda source: (lambda p: d.extract(p, np.ones(len(p.tag), bool)))(d.Page(source))
+    for inside in ("for(i=0;i<n;i++){f(i)}", "var t='<p';", "if(a<b)x=\"it's\"", "<!-- never ended", "a<!--b", "'</scripts>'", "<![CDATA[ x", "x='<style>'"):
+        for tag, end in (("script", "</script>"), ("SCRIPT", "</ScRiPt >"), ("script type='a>b'", "</script\n>")):
+            assert text(f"<p>one</p><{tag}>{inside}{end}<p>two</p><script>3</script><p>four") == "one\n\ntwo\n\nfour", inside
+    assert text("a<style>p>a::before{content:'<b'}</STYLE>b<textarea><p></textarea>c<title>x <y</title>d") == "abcd"
+    assert text("a<template><script>i<n</script><p>x</p><!-- </template> --></template>b<svg><style>a<b</style></svg>c") == "abc"
+    assert text("a<script>1<n") == "a" and text("a<script src=x />b") == "ab"
