@@ -16,6 +16,7 @@ left out, and the rest joined in page order by two line breaks.
 
 Rows: null html is an empty page; pages without content have empty text and 0 characters. Markup may be broken:
 unclosed elements end with their parents. Repeated rows give repeated rows. Only the three named columns are read.
+Where no page of a corpus marks its main text there is nothing to learn from, and each page's whole text is returned.
 """
 
 from __future__ import annotations
@@ -390,7 +391,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     spark = pages.sparkSession
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     marked = rows.where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    every = max(1, rows.count() // (4 * most))
+    every = max(1, marked.count() // (4 * most))
     sources = [r["html"] for r in marked.where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).orderBy(F.xxhash64("page_id"), "html").limit(most).collect()]
     sent = spark.sparkContext.broadcast(train(labelled_pages(sorted(sources))))
 

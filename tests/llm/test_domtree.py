@@ -72,3 +72,18 @@ def test_scripts_are_no_markup():
     assert text("a<style>p>a::before{content:'<b'}</STYLE>b<textarea><p></textarea>c<title>x <y</title>d") == "abcd"
     assert text("a<template><script>i<n</script><p>x</p><!-- </template> --></template>b<svg><style>a<b</style></svg>c") == "abc"
     assert text("a<script>1<n") == "a" and text("a<script src=x />b") == "ab"
+
+
+def test_rare_marks(spark):
+    r = np.random.default_rng(9)
+    made = [page(k, r) for k in range(480)]
+    bare = lambda h: h.replace("<article>", "<div class=content>").replace("</article>", "</div>")
+    rows = [(k, f"u{k}", h if k % 40 == 0 else bare(h)) for k, (h, _) in enumerate(made)]
+    got = {x.page_id: x.text for x in d.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), most=12).collect()}
+    assert np.mean([got[k] == made[k][1] for k in range(480)]) > 0.9
+
+
+def test_no_marks(spark):
+    rows = [(1, "u", "<nav>a</nav><p>b"), (2, "u", "<footer>c</footer>"), (3, "u", None)]
+    got = {x.page_id: x.text for x in d.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "a\n\nb", 2: "c", 3: ""}
