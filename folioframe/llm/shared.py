@@ -1,4 +1,4 @@
-"""Where intermediate tables go, and how Arrow text columns are seen as bytes."""
+"""Where intermediate tables go, joins on keys that may be hot, and how Arrow text columns are seen as bytes."""
 
 from __future__ import annotations
 
@@ -9,30 +9,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised operators look at together.
 BLOCK_BYTES = 1 << 20
+#: Rows, of a few numbers each, that are sent to every task at most; beyond, they are joined by shuffle.
+SENT = 1_000_000
+#: A key of fewer rows is never dealt out over several tasks.
+LEAST_HOT = 500
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (a local session, as in tests) a temporary folder of this machine is set once.
+    In a local session, as in tests, a temporary folder of this machine is set where the setting is absent; on a
+    cluster its absence is an error, as executors would each write to a folder of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-folioframe-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path under the shared folder; it is removed when the driver's Python ends."""
+    """A new path under the shared folder; it is removed when the driver's Python ends, unless it was before."""
     path = f"{shared_dir(spark)}/folioframe/{what}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
     return path
 
 
@@ -46,20 +54,69 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Shuffle files of finished steps go when the driver's JVM collects its garbage; ask for that between large steps."""
-    spark.sparkContext._jvm.System.gc()
+def remove(paths: list[str]) -> None:
+    """Delete paths that ``scratch`` gave."""
+    for path in paths:
+        if spark := _written.pop(path, None):
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Tables:
+    """Intermediate tables of one job: ``stash`` writes them, leaving the ``with`` removes all but those to ``keep``."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def stash(self, df: DataFrame, what: str) -> DataFrame:
+        out = stash(df, what)
+        self.paths.append(next(reversed(_written)))
+        return out
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        """Written like the others, and left to the caller."""
+        return stash(df, what)
+
+    def drop(self) -> None:
+        """Remove what has been written so far."""
+        remove(self.paths)
+        self.paths = []
+
+    def __exit__(self, *_: object) -> None:
+        self.drop()
 
 
 @atexit.register
 def _tidy() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone already, and its folder with it
-            return
+    try:
+        remove(list(_written))
+    except Exception:  # the session may be gone already, and its folder with it
+        return
+
+
+def sized(df: DataFrame, most: int | None = None) -> DataFrame:
+    """With the broadcast hint if its rows, of one or two short values each, have been counted and are few."""
+    most = SENT if most is None else most
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], by: Column, n: str = "k") -> DataFrame:
+    """Inner join of ``big`` with ``small``, which has a row for each key and the count ``n`` of the key's rows in big.
+
+    A key of more rows than an average partition is dealt out over several, by a hash of ``by``, and its row of
+    ``small`` goes to each of those. There are fewer hot keys than partitions, so their list is broadcast.
+    """
+    spark = big.sparkSession
+    total = small.agg(F.sum(n)).head()[0] or 0
+    limit = max(LEAST_HOT, int(total) // int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = F.ceil(F.col(n) / limit).cast("int")
+    hot = small.where(F.col(n) > limit).select(*keys, parts.alias("_parts"))
+    dealt = big.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts").cast("bigint")), F.lit(0).cast("bigint"))).drop("_parts")
+    copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts.cast("bigint") - 1)))
+    return dealt.join(copies, [*keys, "_part"]).drop("_part")
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -13,15 +13,17 @@ folded to the smaller one (sets of farther widths differ too much in size). Pair
 whole sets.
 
 Large groups of near copies never make all their pairs: sets are first linked with the smallest set of the same
-minimal hash, and blocks pair only sets of different components. Blocks of more than ``TILE`` sets are dealt out as
-tiles, so that no task holds more than two tiles of one block. Only shingles in blocks of several components are
-joined back, after their counts have been combined in the tasks; of shingles that stand in the same sets one is enough.
+minimal hash, and only blocks of several components go on. Blocks of more than ``TILE`` sets are dealt out as tiles,
+so that no task holds more than two tiles of one block. The trees of a tile give clusters of sets that they connect
+over several components; whole sets go to those clusters only, and each gives the accepted links that connect its
+sets, at most one fewer than those. Shingles of one block alone are joined back, after their counts have been combined
+in the tasks; of shingles that stand in the same sets one is enough. Keys of many rows are dealt out over tasks.
 
 Hashes are of 64 bits: two given shingles are confused with a chance of 2**-64.
 
 Rows: null texts, and texts without words, have no shingles and are linked with nothing. Texts of fewer than five
-words are one shingle. A row with a null id has a null component. Repeated rows give repeated rows; an id stands
-for one text. Only the id and text columns are read.
+words are one shingle. A row with a null id has a null component. Repeated rows give repeated rows. Where an id stands
+for several texts, each row has the component of its own text. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from xxhash import xxh3_128_digest
 
 from folioframe.llm.graph import components
 from folioframe.llm.hashing import LOWER, mixed, window_hashes, word_hashes, word_spans
-from folioframe.llm.shared import blocks, stash, tidy
+from folioframe.llm.shared import Tables, blocks, join_counted, sized
 
 WIDTH, PERCENT = 5, 80
 #: Rows of the sample that shows which shingles are frequent, and in how many of them those are.
@@ -44,8 +46,8 @@ SAMPLE_ROWS, SAMPLE_OFTEN = 4000, 5
 #: Bits of a signature for each shingle and at least, sets under a node, sets of a block in one tile, minimal hashes
 #: that link a set to another.
 SPARSE, LEAST_BITS, FAN, TILE, STARS = 2, 256, 16, 2048, 4
-#: Values that are sent to every task at most; beyond, they are joined by shuffle.
-SENT = 1_000_000
+#: Shingles of a tile, which bound its memory where sets are large.
+TILE_SHINGLES = 4_000_000
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[32, 9, 10, 11, 12, 13]] = False
@@ -68,14 +70,16 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """(id, tokens): all shingle hashes of each row of docs (id, text), ascending as unsigned numbers."""
+    """(id, key, tokens) of each row of docs (id, text): a digest of its set, and all its hashes, ascending unsigned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), _lists(list(_shingles(data, offsets)))], ["id", "tokens"])
+                sets = list(_shingles(data, offsets))
+                keys = [xxh3_128_digest(u.tobytes()) for u in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(keys, pa.binary()), _lists(sets)], ["id", "key", "tokens"])
 
-    return docs.mapInArrow(run, "id bigint, tokens array<bigint>")
+    return docs.mapInArrow(run, "id bigint, key binary, tokens array<bigint>")
 
 
 def signature(u: np.ndarray) -> tuple[bytes, int]:
@@ -123,25 +127,23 @@ def summaries(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) ->
     return docs.mapInArrow(run, "id bigint, n bigint, key binary, prefix array<bigint>, stars array<bigint>, bits binary, heap int")
 
 
-def _few(df: DataFrame) -> bool:
-    return df.limit(SENT + 1).count() <= SENT
+def whole_sets(nodes: DataFrame, heads: DataFrame, docs: DataFrame, own: Tables) -> DataFrame:
+    """(node, tokens): the whole set of each of ``nodes`` (node), made again from the text of its head."""
+    wanted = own.stash(heads.select("node", "id", "key").join(sized(nodes), "node", "left_semi"), "wanted")
+    some = tokens(docs.join(sized(wanted.select("id").distinct()), "id", "left_semi"))
+    return own.stash(some.join(wanted, ["id", "key"]).select("node", "tokens"), "whole-sets")
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """With the broadcast hint if its rows, of one or two numbers each, have been counted and are few."""
-    return F.broadcast(df) if _few(df) else df
-
-
-def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar enough."""
-    pairs = stash(pairs, "pairs")
+def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, own: Tables, percent: int = PERCENT) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose whole sets are similar enough; an ``a`` of many pairs is dealt out."""
+    pairs = own.stash(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
-    ids = stash(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
-    sets = stash(tokens(docs.join(_sized(ids), "id", "left_semi")), "pair-sets")
-    a, b = sets.toDF("a", "of_a"), sets.toDF("b", "of_b")
+    sets = whole_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), heads, docs, own)
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).join(sets.toDF("a", "of_a"), "a")
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(b, "b").join(a, "a").where(shared * (100 + percent) >= (F.size("of_a") + F.size("of_b")) * percent).select("a", "b").distinct()
+    both = join_counted(pairs.join(sets.toDF("b", "of_b"), "b"), hubs, ["a"], F.col("b"))
+    return both.where(shared * (100 + percent) >= (F.size("of_a") + F.size("of_b")) * percent).select("a", "b").distinct()
 
 
 class Tree:
@@ -193,10 +195,8 @@ def close(one: Tree, other: Tree | None, percent: int = PERCENT) -> Iterator[tup
             todo += [(p, x, q, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
 
 
-def _block_pairs(side: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[bytes], heap: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of one tile: within it (side 0), or between its sides 1 and 2."""
-    if side[0] and (side == side[0]).all() or (comp == comp[0]).all():
-        return
+def near_leaves(side: np.ndarray, n: np.ndarray, bits: list[bytes], heap: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of one tile that may be similar: within it (side 0), or between its sides 1 and 2."""
     width = np.array([len(b) // 8 for b in bits])
     trees: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     for s in np.unique(side).tolist():
@@ -217,16 +217,24 @@ def _block_pairs(side: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[b
             rows, one = tree(s, w, min(w, v))
             others, two = (rows, None) if (s, w) == (t, v) else tree(t, v, min(w, v))
             for a, b in close(one, two, percent):
-                a, b = rows[a], others[b]
-                far = comp[a] != comp[b]
-                if far.any():
-                    yield a[far], b[far]
+                yield rows[a], others[b]
+
+
+def merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Unite the groups of a[i] and b[i] in ``root`` (each row's smallest member); the pairs that were needed for it."""
+    used = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        p, q = root[x], root[y]
+        if p != q:
+            root[root == max(p, q)] = min(p, q)
+            used.append(i)
+    return used
 
 
 def plausible(pairs: DataFrame, heads: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of the pairs (a, b) that bitmaps and sizes allow."""
-    one = heads.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    two = heads.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    one = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).join(heads.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
+    two = heads.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,50 +247,114 @@ def plausible(pairs: DataFrame, heads: DataFrame, percent: int = PERCENT) -> Dat
                 keep.append((lone + int(np.bitwise_count(x & y).sum())) * (100 + percent) >= (na + nb) * percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a bigint, b bigint")
+    return join_counted(pairs.join(two, "b"), one, ["a"], F.col("b")).mapInArrow(run, "a bigint, b bigint")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of equal keys, which stand together, as one batch each; such a run may go on in the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        last = [batch.column(k)[len(batch) - 1].as_py() for k in keys]
+        if all(held[0].column(k)[0].as_py() == x for k, x in zip(keys, last, strict=True)):
+            continue  # one run so far
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        differs = np.zeros(len(whole), bool)
+        for k in keys:
+            codes = whole.column(k).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            differs[1:] |= codes[1:] != codes[:-1]
+        edges = [0, *np.flatnonzero(differs).tolist()]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield whole.slice(a, b - a)
+        held = [whole.slice(edges[-1])]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def clusters(tiles: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(cluster, node): sets of a tile that the trees connect over several components, and that are to be compared.
+
+    ``tiles`` (token, tile, side, node, comp, n, bits, heap) stand together. A set stands in one cluster of a tile at
+    most, so that the rows are no more than those of the tiles, however many pairs the trees leave.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in _runs(batches, ["token", "tile"]):
+            side, nodes, comp, n, heap = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("side", "node", "comp", "n", "heap"))
+            if len(nodes) < 2 or side[0] and (side == side[0]).all() or (comp == comp[0]).all():
+                continue
+            root = np.arange(len(nodes))
+            for a, b in near_leaves(side, n, batch.column("bits").to_pylist(), heap, percent):
+                far = (comp[a] != comp[b]) & (root[a] != root[b])
+                merged(root, a[far], b[far])
+            for r in np.flatnonzero(np.bincount(root, minlength=len(root)) > 1).tolist():
+                some = np.unique(nodes[root == r])
+                key = xxh3_128_digest(some.tobytes())
+                if len(some) > 1 and key not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(key)
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(some), pa.binary()), pa.array(some, pa.int64())], ["cluster", "node"])
+
+    return tiles.mapInArrow(run, "cluster binary, node bigint")
+
+
+def _spanning(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of similar sets that connect what can be connected: at most one fewer than there are sets."""
+    m = len(sets)
+    bits, heap = zip(*(signature(u) for u in sets), strict=True)
+    n = np.array([len(u) for u in sets])
+    at = np.concatenate([[0], np.cumsum(n)])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    held = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    first = np.unique(comp, return_index=True, return_inverse=True)
+    root = first[1][first[2]]
+    out = []
+    for a, b in near_leaves(np.zeros(m, np.int64), n, list(bits), np.array(heap), percent):
+        far = root[a] != root[b]
+        a, b = a[far], b[far]
+        for x in np.unique(a).tolist():
+            others = b[(a == x) & (root[b] != root[x])]
+            if not len(others):
+                continue
+            own = ids[at[x] : at[x + 1]]
+            held[own] = True
+            both = np.array([np.count_nonzero(held[ids[at[y] : at[y + 1]]]) for y in others.tolist()])
+            held[own] = False
+            alike = others[both * (100 + percent) >= (n[x] + n[others]) * percent]
+            out += [(x, int(alike[k])) for k in merged(root, np.full(len(alike), x), alike)]
+    return out
 
 
-def block_pairs(tiles: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): pairs that the trees leave, of tiles (token, tile, side, id, comp, n, bits, heap) that stand together."""
+def spanning_links(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): accepted links of clusters (cluster, node, comp, tokens) that stand together, no more than connect them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        seen: set[tuple[int, int]] = set()
-
-        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            token, tile, side, ids, comp, n, heap = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "tile", "side", "id", "comp", "n", "heap"))
-            bits = batch.column("bits").to_pylist()
-            edge = np.flatnonzero((np.diff(token) != 0) | (np.diff(tile) != 0)) + 1
-            out_a, out_b = [], []
-            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(ids)], strict=True):
-                s = slice(a, b)
-                if b - a > 1:
-                    for x, y in _block_pairs(side[s], n[s], comp[s], bits[s], heap[s], percent):
-                        p, q = ids[s][x], ids[s][y]
-                        for u, v in zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), strict=True):
-                            if (u, v) not in seen:
-                                seen.add((u, v))
-                                out_a.append(u)
-                                out_b.append(v)
-            if len(seen) > 200_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-
-        for batch in batches:  # a tile may go on in the next batch
-            last = (batch.column("token")[-1].as_py(), batch.column("tile")[-1].as_py()) if len(batch) else None
-            if last is None:
-                continue
-            held.append(batch)
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            token, tile = whole.column("token").to_numpy(zero_copy_only=False), whole.column("tile").to_numpy(zero_copy_only=False)
-            cut = int(np.argmax((token == last[0]) & (tile == last[1])))
-            if cut:
-                yield from work(whole.slice(0, cut))
-            held = [whole.slice(cut)]
-        if held:
-            yield from work(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        for batch in _runs(batches, ["cluster"]):
+            nodes, comp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp"))
+            rows = batch.column("tokens")
+            flat, at = rows.values.to_numpy(zero_copy_only=False).view(np.uint64), rows.offsets.to_numpy()
+            one = np.unique(nodes, return_index=True)[1]  # rows that repeat an id and text repeat their node
+            sets = [flat[at[k] : at[k + 1]] for k in one.tolist()]
+            pairs = _spanning(sets, comp[one], percent)
+            a, b = (np.array([nodes[one[p[k]]] for p in pairs], np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return members.mapInArrow(run, "a bigint, b bigint")
+
 
-    return tiles.mapInArrow(run, "a bigint, b bigint")
+def _noded(some: DataFrame, classes: DataFrame, own: Tables) -> DataFrame:
+    """``some`` (id, key, ..) with ``node``, a number for each class of equal sets.
+
+    It is the smallest id of the class, or, where an id is the smallest of several classes (an id that stands for
+    different texts), a hash of the class's digest.
+    """
+    twice = classes.groupBy("low").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("low")
+    clash = own.stash(classes.join(twice, "low").select("key", F.xxhash64("key").alias("apart")), "clashes")
+    return some.join(sized(clash), "key", "left").withColumn("node", F.coalesce("apart", "id")).drop("apart")
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -292,46 +364,54 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: i
     sample = tokens(rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)).select("tokens").distinct()
     often = sample.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLE_OFTEN)
     frequent = np.array([r["t"] for r in often.select("t").toLocalIterator()], np.int64).view(np.uint64)  # bounded by the sample
+    with Tables() as own:
+        return _joined(rows, frequent, percent, own)
+
 
-    base = stash(summaries(rows, frequent, percent), "sets")
+def _joined(rows: DataFrame, frequent: np.ndarray, percent: int, own: Tables) -> DataFrame:
+    base = own.stash(summaries(rows, frequent, percent), "sets")
     some = base.where("n > 0 AND id IS NOT NULL")
-    classes = stash(some.groupBy("key").agg(F.min("id").alias("class")), "classes")
-    others = stash(some.select("id", "key").join(classes, "key").where("id <> class").select("id").distinct(), "copies")
-    heads = some.join(_sized(others), "id", "left_anti")
-
-    star = stash(heads.select("id", F.posexplode("stars").alias("turn", "star")), "stars")
-    first = star.groupBy("turn", "star").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    starred = star.join(first, ["turn", "star"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    stars = stash(verified(plausible(starred, heads, percent), rows, percent), "star-links")
-    label = components(stars).withColumnRenamed("component", "comp")
-    tidy(docs.sparkSession)
-
-    postings = heads.select("id", "n", "prefix").join(label, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), F.explode("prefix").alias("token"))
+    classes = own.stash(some.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("k")), "classes")
+    twins = join_counted(some.select("id", "key"), classes.where("k > 1"), ["key"], F.col("id"))
+    others = own.stash(twins.where("id <> low").select("id", "key").distinct(), "copies")
+    heads = _noded(some.join(sized(others), ["id", "key"], "left_anti"), classes, own)
+
+    star = own.stash(heads.select("node", F.posexplode("stars").alias("turn", "star")), "stars")
+    first = own.stash(star.groupBy("turn", "star").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1"), "star-heads")
+    starred = own.stash(join_counted(star, first, ["turn", "star"], F.col("node")).where("node <> a").select("a", F.col("node").alias("b")).distinct(), "starred")
+    stars = own.stash(verified(plausible(starred, heads, percent), heads, rows, own, percent), "star-links")
+    label = components(stars).toDF("node", "comp")
+
+    postings = heads.select("node", "n", "prefix").join(label, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), F.explode("prefix").alias("token"))
     # two sums of hashes tell blocks of different members apart
-    member = lambda seed: F.sum(F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 24))
-    found = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high"), member(1).alias("m1"), member(2).alias("m2"))
-    mixed_tokens = stash(found.where("low <> high").groupBy("k", "m1", "m2").agg(F.min("token").alias("token")).select("token", "k"), "blocks")
-    tidy(docs.sparkSession)
-    placed = postings.join(_sized(mixed_tokens), "token")
-    parts = F.ceil(F.col("k") / TILE).cast("int")
-    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
+    member = lambda seed: F.sum(F.shiftrightunsigned(F.xxhash64("node", F.lit(seed)), 24))
+    found = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), member(1).alias("m1"), member(2).alias("m2"))
+    mixed_tokens = own.stash(found.where("low <> high").groupBy("k", "size", "m1", "m2").agg(F.min("token").alias("token")).select("token", F.ceil(F.greatest(F.col("k") / TILE, F.col("size") / TILE_SHINGLES)).cast("int").alias("parts")), "blocks")
+    placed = postings.join(sized(mixed_tokens), "token")
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     tiles = (
-        placed.withColumn("parts", parts)
-        .withColumn("mine", mine)
+        placed.withColumn("mine", mine)
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("token", (F.least("mine", "with") * F.col("parts") + F.greatest("mine", "with")).alias("tile"), F.when(F.col("mine") == F.col("with"), 0).when(F.col("mine") < F.col("with"), 1).otherwise(2).alias("side"), "id", "comp", "n")
-        .join(heads.select("id", "bits", "heap"), "id")
+        .select("token", (F.least("mine", "with") * F.col("parts") + F.greatest("mine", "with")).alias("tile"), F.when(F.col("mine") == F.col("with"), 0).when(F.col("mine") < F.col("with"), 1).otherwise(2).alias("side"), "node", "comp", "n")
+        .join(heads.select("node", "bits", "heap"), "node")
         .repartition("token", "tile")
         .sortWithinPartitions("token", "tile")
     )
-    links = verified(block_pairs(tiles, percent).distinct(), rows, percent)
-    all_links = stash(stars.union(links), "links")
-    final = components(all_links)
-
+    near = own.stash(clusters(tiles, percent).distinct(), "clusters")
+    sets = whole_sets(near.select("node").distinct(), heads, rows, own)
+    told = sets.join(label, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "tokens")
+    links = spanning_links(near.join(told, "node").repartition("cluster").sortWithinPartitions("cluster"), percent)
+    final = components(own.stash(stars.union(links), "links")).toDF("node", "component")
+
+    # components by their smallest id, which is their smallest node unless an id stands for several texts
+    named = _noded(classes.withColumnRenamed("low", "id"), classes.select("key", "low"), own).select("key", "id", "node", "k").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = own.stash(named, "named")
+    smallest = named.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("m"))
     ids = base.select("id", "n", "key")
-    of_class = ids.where("n > 0 AND id IS NOT NULL").join(classes, "key").join(final.withColumnRenamed("id", "class"), "class", "left")
-    out = of_class.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
-    return out.unionByName(ids.where("n = 0 OR id IS NULL").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    of_class = join_counted(named, smallest, ["component"], F.col("node"), "m").select("key", "component_id", "k")
+    out = join_counted(ids.where("n > 0 AND id IS NOT NULL"), of_class, ["key"], F.col("id")).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    alone = ids.where("n = 0 OR id IS NULL").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    return own.keep(out.unionByName(alone), "components")
 
 
 SQL = """

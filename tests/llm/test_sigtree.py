@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from folioframe.llm import sigtree
+from folioframe.llm import shared, sigtree
 
 
 def plain(rows):
@@ -56,7 +56,8 @@ def test_against_all_pairs(spark, monkeypatch):
     assert got == want
     monkeypatch.setattr(sigtree, "TILE", 3)
     monkeypatch.setattr(sigtree, "SAMPLE_OFTEN", 10**9)
-    monkeypatch.setattr(sigtree, "SENT", 0)
+    monkeypatch.setattr(shared, "SENT", 0)
+    monkeypatch.setattr(shared, "LEAST_HOT", 2)
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in sigtree.join(docs).collect()}
     assert got == want
 
@@ -77,7 +78,47 @@ def test_trees_lose_no_pair():
     sets.sort(key=len)
     n = np.array([len(s) for s in sets])
     bits, heap = zip(*(sigtree.signature(s) for s in sets))
-    found = sigtree._block_pairs(np.zeros(len(n), int), n, np.arange(len(n)), list(bits), np.array(heap), 80)
+    found = sigtree.near_leaves(np.zeros(len(n), int), n, list(bits), np.array(heap), 80)
     left = {(min(x, y), max(x, y)) for a, b in found for x, y in zip(a.tolist(), b.tolist())}
     all_pairs = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
     assert all_pairs <= left and len(left) < 2 * len(all_pairs)
+
+
+def test_ids_of_several_texts(spark):
+    one, two = "a b c d e f g h", "z y x w v u t s"
+    docs = spark.createDataFrame([(7, one), (7, two), (7, two), (3, two), (9, one), (5, None), (5, "q r s t u v")], "doc_id long, text string")
+    got = sorted(tuple(x) for x in sigtree.join(docs).collect())
+    assert got == [(3, 4, 3), (5, 0, 5), (5, 2, 5), (7, 4, 3), (7, 4, 3), (7, 4, 7), (9, 4, 7)]
+    docs = spark.createDataFrame([(7, one), (7, two)], "doc_id long, text string")
+    assert sorted(tuple(x) for x in sigtree.join(docs).collect()) == [(7, 4, 7)] * 2
+
+
+def test_large_group_gives_few_rows(spark, monkeypatch):
+    """Near copies of one text: clusters and links grow with the sets, not with their pairs, even without stars."""
+    r = random.Random(2)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(300):
+        t = list(base)
+        t[r.randrange(5)] = f"x{k}"
+        t[59 - r.randrange(3)] = f"y{k}"
+        texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = plain(list(enumerate(texts)))
+    monkeypatch.setattr(sigtree, "plausible", lambda pairs, heads, percent: pairs.limit(0))
+    made = {}
+
+    def counted(name, was):
+        def run(df, percent):
+            out = was(df, percent)
+            made[name] = out.count()
+            return out
+
+        return run
+
+    for name in ("clusters", "spanning_links"):
+        monkeypatch.setattr(sigtree, name, counted(name, getattr(sigtree, name)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in sigtree.join(docs).collect()}
+    assert got == want and len({c for _, c in want.values()}) < 80
+    prefix = 56 - 45 + 1
+    assert made["clusters"] <= 300 * prefix and made["spanning_links"] <= 300 * prefix
