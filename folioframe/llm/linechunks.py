@@ -2,16 +2,19 @@
 
 A rolling hash over the hashes of a line and the one before it ends a chunk where it falls on a chosen residue, so
 that boundaries move with the text when lines are put in or taken out. A chunk of several lines, or of one line with
-many words, whose digest occurs more than once in the corpus is a candidate. Candidates of one digest are compared
-byte by byte with the earliest (smallest doc_id, then place in the document), which stays; equal ones go.
+many words, is a passage. The edges of a passage fuse with the lines around it where no boundary falls on them; so
+that it is found whole in any context, the least runs of lines with ``LONG_LINE`` words from each line, downward and
+upward, are passages too: their boundaries depend on their own lines alone.
 
-Only digests are shuffled to find candidates, counted in the tasks first; texts move once, by document, and the text
-of a candidate chunk once more. A digest that a third of all rows share is one counted row of each task, and its
-occurrences meet the one kept row in a join whose large partitions adaptive execution splits.
+A passage whose hash occurs more than once in the corpus is a candidate. Candidates of one digest are compared byte by
+byte with the earliest (smallest doc_id, then place in the document), which stays; lines of equal ones go.
 
-Rows: null texts stay null and empty ones empty; a document all of whose chunks are removed has the empty text.
-Rows with a null id are kept as they are. Rows that repeat an id and text are one document and are treated alike.
-Extra columns pass through.
+Hashes are counted in the tasks before they are shuffled; texts move by document, and the text of a candidate once
+more. Digests and hashes of many rows are dealt out over tasks before they meet the one kept row.
+
+Rows: null texts stay null and empty ones empty; a document all of whose lines are removed has the empty text.
+Rows with a null id are kept as they are. Rows that repeat an id and text are one document and are treated alike; of
+one id with several texts each text is a document. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.shared import stash
+from folioframe.llm.shared import Tables, few, join_counted
 
 #: One line in so many ends a chunk, and so many words make a single line a passage.
 ONE_IN, LONG_LINE = 2, 50
@@ -61,46 +64,6 @@ def _is_passage(chunk: Column) -> Column:
     return ((chunk["last"] > chunk["first"]) | (words >= LONG_LINE)) & (F.length(F.trim(F.translate(chunk["body"], "\n\t", ""))) > 0)
 
 
-def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", one_in: int = ONE_IN) -> tuple[DataFrame, DataFrame]:
-    """(documents with _chunks, removals): removals is (_id, _gone array of first-line numbers)."""
-    cut = docs.withColumn("_id", F.col(doc_id)).withColumn("_chunks", chunks(F.col(text).cast("string"), one_in))
-    marks = (
-        docs.select(F.col(doc_id).alias("_id"), F.explode(chunks(F.col(text).cast("string"), one_in)).alias("c"))
-        .where(F.col("_id").isNotNull())
-        .where(_is_passage(F.col("c")))
-        .select("_id", F.col("c.first").alias("first"), F.unhex(F.md5(F.col("c.body").cast("binary"))).alias("digest"))
-    )
-    often = marks.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("digest")
-    places = marks.join(often, "digest").groupBy("_id").agg(F.collect_set("first").alias("_maybe"))
-    moved = cut.drop("_chunks").join(places, "_id", "left")
-    texts = (
-        moved.where(F.col("_maybe").isNotNull())
-        .select("_id", F.explode(F.filter(chunks(F.col(text).cast("string"), one_in), lambda c: F.array_contains("_maybe", c["first"]))).alias("c"))
-        .select("_id", F.col("c.first").alias("first"), F.col("c.body").alias("body"), F.unhex(F.md5(F.col("c.body").cast("binary"))).alias("digest"))
-    )
-    kept = texts.groupBy("digest").agg(F.min(F.struct("_id", "first", "body")).alias("kept"))
-    same = (F.col("body") == F.col("kept.body")) & ~((F.col("_id") == F.col("kept._id")) & (F.col("first") == F.col("kept.first")))
-    gone = texts.join(kept, "digest").where(same).groupBy("_id").agg(F.collect_set("first").alias("_gone"))
-    return moved, gone
-
-
-def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", one_in: int = ONE_IN) -> DataFrame:
-    """``docs`` with later copies of repeated passages taken out of ``text``, and the columns _n_lines, _n_gone."""
-    moved, gone = repeated(docs, text, doc_id, one_in)
-    all_chunks = chunks(F.col(text).cast("string"), one_in)
-    stays = F.filter("_chunks", lambda c: ~F.array_contains("_gone", c["first"]))
-    lines = lambda some: F.aggregate(some, F.lit(0), lambda n, c: n + c["last"] - c["first"] + 1)
-    has = F.col("_gone").isNotNull()
-    out = moved.join(gone, "_id", "left").withColumn("_chunks", F.when(has, all_chunks)).withColumn("_stay", stays)
-    n_lines = F.size(F.split(F.col(text).cast("string"), "\n", -1))
-    return (
-        out.withColumn("_n_lines", F.when(F.col(text).isNotNull(), n_lines).otherwise(0))
-        .withColumn("_n_gone", F.when(has, F.col("_n_lines") - lines(F.col("_stay"))).otherwise(0))
-        .withColumn(text, F.when(has, F.array_join("_stay.body", "\n")).otherwise(F.col(text).cast("string")))
-        .select(*docs.columns, "_n_lines", "_n_gone")
-    )
-
-
 def passages(text: Column, one_in: int = ONE_IN, words: int = LONG_LINE) -> Column:
     """array<struct<first, last>> of a text: its chunks that are passages, and its least runs of ``words`` words.
 
@@ -137,68 +100,77 @@ def passages(text: Column, one_in: int = ONE_IN, words: int = LONG_LINE) -> Colu
     return F.array_distinct(F.concat(whole, runs))
 
 
-def dedup_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", one_in: int = ONE_IN, words: int = LONG_LINE) -> DataFrame:
-    """``docs`` without the lines of later copies of any passage, wherever it begins and ends; columns as in ``dedup``.
+def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", one_in: int = ONE_IN, words: int = LONG_LINE) -> DataFrame:
+    """``docs`` with later copies of repeated passages taken out of ``text``, and the columns _n_lines, _n_gone.
 
-    A line goes if it lies in a run of ``words`` words or more (or in a chunk, as in ``dedup``) that stands byte for
-    byte at an earlier place too. A copy that overlaps the earliest one stays, so that periodic texts keep that one.
+    A line goes if it lies in a passage that stands byte for byte at an earlier place too. A copy that overlaps the
+    earliest one stays, so that periodic texts keep that one. Columns of docs named _n_lines or _n_gone are replaced.
     """
+    columns = [c for c in docs.columns if c not in ("_n_lines", "_n_gone")]
+    apart = F.col(doc_id).isNotNull() & F.col(text).isNotNull()
     body = F.col(text).cast("string")
-    n_lines = F.size(F.split(F.col("_text"), "\n", -1))
+    n_lines = F.size(F.split("text", "\n", -1))
     said = lambda lines, r: F.array_join(F.slice(lines, r["first"], r["last"] - r["first"] + 1), "\n")
-    bind = lambda runs, f: F.element_at(F.transform(F.array(F.struct(F.split("_text", "\n", -1).alias("lines"), runs.alias("runs"))), f), 1)
-    apart = F.col(doc_id).isNotNull() & F.col(text).isNotNull()
-    # both joins by document read the same columns, so that the texts are dealt out once
-    rows = docs.where(apart).withColumn("_id", F.struct(F.col(doc_id).alias("id"), F.unhex(F.md5(body.cast("binary"))).alias("of")))
-    rows = rows.withColumn("_text", body).drop(doc_id, text)
-    told = bind(passages(F.col("_text"), one_in, words), lambda x: F.transform(x["runs"], lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), F.xxhash64(said(x["lines"], r)).alias("hash"))))
-    marks = stash(rows.select("_id", F.explode(told).alias("r")).select("_id", "r.*"), "passages")
-    often = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    places = marks.join(often, "hash").groupBy("_id").agg(F.collect_set(F.struct("first", "last")).alias("_maybe"))
-    bodies = bind(F.col("_maybe"), lambda x: F.transform(x["runs"], lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), said(x["lines"], r).alias("body"))))
-    texts = rows.select("_id", "_text").join(places, "_id").select("_id", F.explode(bodies).alias("r")).select("_id", "r.*")
-    texts = texts.where(F.length(F.trim(F.translate("body", "\n\t", ""))) > 0).withColumn("digest", F.unhex(F.md5(F.col("body").cast("binary"))))
-    kept = texts.groupBy("digest").agg(F.min(F.struct("_id", "first", "last", "body")).alias("kept"))
-    overlaps = (F.col("_id") == F.col("kept._id")) & (F.col("first") <= F.col("kept.last"))
-    later = texts.join(kept, "digest").where((F.col("body") == F.col("kept.body")) & ~overlaps)
-    gone = later.groupBy("_id").agg(F.collect_set(F.struct("first", "last")).alias("_runs"))
-    lost = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["first"], r["last"]))))
+    bind = lambda runs, f: F.element_at(F.transform(F.array(F.struct(F.split("text", "\n", -1).alias("lines"), runs.alias("runs"))), f), 1)
+    # a row's key tells texts of one id apart; the other columns travel in one struct, so that no name can clash
+    rows = docs.where(apart).select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(body).alias("of")).alias("key"), body.alias("text"), F.struct(*[F.col(c) for c in columns if c != text] or [F.lit(0)]).alias("rest"))
+    with Tables() as own:
+        told = bind(passages(F.col("text"), one_in, words), lambda x: F.transform(x["runs"], lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), F.xxhash64(said(x["lines"], r)).alias("hash"))))
+        marks = own.stash(rows.select("key", F.explode(told).alias("r")).select("key", "r.*"), "passages")
+        often = own.stash(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "repeated")
+        some = often.select("hash")
+        found = marks.join(F.broadcast(some), "hash") if few(some) else join_counted(marks, often, ["hash"], F.col("key"))
+        places = own.stash(found.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("maybe")), "places")
+        bodies = bind(F.col("maybe"), lambda x: F.transform(x["runs"], lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), said(x["lines"], r).alias("body"))))
+        exploded = rows.select("key", "text").join(places, "key").select("key", F.explode(bodies).alias("r")).select("key", "r.*")
+        texts = exploded.where(F.length(F.trim(F.translate("body", "\n\t", ""))) > 0).withColumn("digest", F.unhex(F.md5(F.col("body").cast("binary"))))
+        texts = own.stash(texts, "bodies")
+        kept = texts.groupBy("digest").agg(F.min(F.struct("key", "first", "last", "body")).alias("kept"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        overlaps = (F.col("key") == F.col("kept.key")) & (F.col("first") <= F.col("kept.last"))
+        later = join_counted(texts, own.stash(kept, "kept"), ["digest"], F.col("key")).where((F.col("body") == F.col("kept.body")) & ~overlaps)
+        gone = own.keep(later.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "gone")
+    lost = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"]))))
     left = bind(F.array_except(F.sequence(F.lit(1), n_lines), lost), lambda x: F.array_join(F.transform(x["runs"], lambda i: F.element_at(x["lines"], i)), "\n"))
-    has = F.col("_runs").isNotNull()
-    out = rows.join(gone, "_id", "left").withColumn("_n_gone", F.when(has, F.size(lost)).otherwise(0)).withColumn(text, F.when(has, left).otherwise(F.col("_text")))
-    out = out.withColumn("_n_lines", n_lines).withColumn(doc_id, F.col("_id.id"))
-    same = docs.where(~apart).withColumn("_text", body).withColumn("_n_lines", F.when(F.col("_text").isNotNull(), n_lines).otherwise(0))
-    same = same.withColumn("_n_gone", F.lit(0)).withColumn(text, F.col("_text"))
-    columns = [*docs.columns, "_n_lines", "_n_gone"]
-    return out.select(columns).unionByName(same.select(columns))
-
+    has = F.col("runs").isNotNull()
+    of = lambda c: F.col("now").alias(c) if c == text else F.col("rest")[c].alias(c)
+    out = rows.join(gone, "key", "left").select("rest", F.when(has, left).otherwise(F.col("text")).alias("now"), n_lines.alias("_n_lines"), F.when(has, F.size(lost)).otherwise(0).alias("_n_gone"))
+    out = out.select(*[of(c) for c in columns], "_n_lines", "_n_gone")
+    same = docs.where(~apart).select(*[body.alias(c) if c == text else F.col(c) for c in columns], F.when(body.isNotNull(), F.size(F.split(body, "\n", -1))).otherwise(0).alias("_n_lines"), F.lit(0).alias("_n_gone"))
+    return out.unionByName(same)
 
 
+_WORDS = "len(regexp_split_to_array(trim(line, ' '), '[ \\t\\x0B\\f\\r]+'))"
 SQL = f"""
 WITH d AS (
     SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
 ), h AS (
-    SELECT doc_id, text, ls, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM d
+    SELECT doc_id, ls, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM d WHERE text IS NOT NULL
 ), e AS (
-    SELECT doc_id, text, ls, list_filter(range(1, len(hs) + 1), lambda i: i = len(hs)
+    SELECT doc_id, ls, list_filter(range(1, len(hs) + 1), lambda i: i = len(hs)
         OR ((hs[i] * 5 + (CASE WHEN i > 1 THEN hs[greatest(i - 1, 1)] ELSE 0 END) * 3) >> 6) % {ONE_IN} = 0) AS es
     FROM h
 ), c AS (
-    SELECT doc_id, unnest(list_transform(range(1, len(es) + 1), lambda k: {{
-        'first': CASE WHEN k = 1 THEN 1 ELSE es[k - 1] + 1 END, 'last': es[k],
-        'body': array_to_string(ls[(CASE WHEN k = 1 THEN 1 ELSE es[k - 1] + 1 END):es[k]], chr(10))}})) AS x
-    FROM e
+    SELECT doc_id, unnest(list_transform(range(1, len(es) + 1), lambda k: {{'a': CASE WHEN k = 1 THEN 1 ELSE es[k - 1] + 1 END, 'b': es[k]}})) AS x FROM e
+), l AS (
+    SELECT doc_id, i, line, {_WORDS} AS n FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM h)
+), w AS (
+    SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto, sum(n) OVER (PARTITION BY doc_id ORDER BY i) - n AS before FROM l
+), s AS (
+    SELECT doc_id, x.a AS a, x.b AS b, true AS chunk FROM c
+    UNION ALL SELECT p.doc_id, p.i, q.i, false FROM (SELECT *, before + {LONG_LINE} AS want FROM w) p ASOF JOIN w q ON p.doc_id = q.doc_id AND p.want <= q.upto
+    UNION ALL SELECT p.doc_id, q.i, p.i, false FROM (SELECT *, upto - {LONG_LINE} AS want FROM w) p ASOF JOIN w q ON p.doc_id = q.doc_id AND p.want >= q.before
 ), q AS (
-    SELECT doc_id, x.first AS a, x.last AS b, x.body AS body,
-        (x.last > x.first OR length(x.body) - length(replace(x.body, ' ', '')) + 1 >= {LONG_LINE})
-        AND length(trim(replace(replace(x.body, chr(10), ''), chr(9), ''))) > 0 AS passage
-    FROM c
+    SELECT DISTINCT doc_id, a, b, array_to_string(ls[a:b], chr(10)) AS body, chunk FROM s JOIN h USING (doc_id)
+), k AS (
+    SELECT DISTINCT doc_id, a, b, body FROM q
+    WHERE (NOT chunk OR b > a OR length(body) - length(replace(body, ' ', '')) + 1 >= {LONG_LINE}) AND length(trim(replace(replace(body, chr(10), ''), chr(9), ''))) > 0
+), f AS (
+    SELECT body, min({{'doc_id': doc_id, 'a': a, 'b': b}}) AS first FROM k GROUP BY body HAVING count(*) > 1
 ), g AS (
-    SELECT doc_id, a, b, body, passage AND row_number() OVER (PARTITION BY passage, body ORDER BY doc_id, a) > 1 AS gone FROM q
+    SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM k JOIN f USING (body) WHERE NOT (doc_id = first.doc_id AND a <= first.b)
 ), r AS (
-    SELECT doc_id, sum(b - a + 1)::BIGINT AS n_lines, coalesce(sum(CASE WHEN gone THEN b - a + 1 END), 0)::BIGINT AS n_gone,
-        coalesce(string_agg(body, chr(10) ORDER BY a) FILTER (WHERE NOT gone), '') AS kept
-    FROM g GROUP BY doc_id
+    SELECT doc_id, count(*) AS n_lines, count(g.i) AS n_gone, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE g.i IS NULL), '') AS kept
+    FROM l LEFT JOIN g USING (doc_id, i) GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_gone, 0) AS n_gone, sha256(kept) AS text_sha256
 FROM d LEFT JOIN r USING (doc_id)

@@ -79,16 +79,15 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add("op4_line_chunks", linechunks.SQL)
 def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated passages taken out of every whole text; see linechunks."""
+    """Later copies of repeated passages taken out of every whole text, in any context; see linechunks."""
     out = linechunks.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_gone").cast("long").alias("n_gone"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-@REGISTRY.add("op4_line_passages")
+@REGISTRY.add("op4_line_passages", linechunks.SQL)
 def op4_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All later copies of passages of 50 words or more taken out of every whole text, in any context; see linechunks."""
-    out = linechunks.dedup_passages(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_gone").cast("long").alias("n_gone"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    """The same rows under the name that the passages in any context had before op4_line_chunks took them in."""
+    return op4_line_chunks(spark, sf_dir)
 
 
 @REGISTRY.add("op10_imatch", imatch.SQL)

@@ -97,10 +97,14 @@ def _tidy() -> None:
         return
 
 
-def sized(df: DataFrame, most: int | None = None) -> DataFrame:
-    """With the broadcast hint if its rows, of one or two short values each, have been counted and are few."""
-    most = SENT if most is None else most
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def few(df: DataFrame) -> bool:
+    """Whether its rows, of one or two short values each, are few enough to be sent to every task; they are counted."""
+    return df.limit(SENT + 1).count() <= SENT
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """With the broadcast hint if it is ``few``."""
+    return F.broadcast(df) if few(df) else df
 
 
 def join_counted(big: DataFrame, small: DataFrame, keys: list[str], by: Column, n: str = "k") -> DataFrame:
