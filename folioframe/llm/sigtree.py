@@ -99,7 +99,7 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def summaries(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(id, n, key, prefix, stars, bits, heap) of each row: what blocks and trees need of its set."""
+    """(id, of, n, key, prefix, stars, bits, heap) of each row (id, of, text): what blocks and trees need of its set."""
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +120,11 @@ def summaries(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) ->
                     bits.append(b)
                     heaps.append(heap)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(prefixes), _lists(stars), pa.array(bits, pa.binary()), pa.array(heaps, pa.int32())],
-                    ["id", "n", "key", "prefix", "stars", "bits", "heap"],
+                    [batch.column("id").slice(i, j - i), batch.column("of").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(prefixes), _lists(stars), pa.array(bits, pa.binary()), pa.array(heaps, pa.int32())],
+                    ["id", "of", "n", "key", "prefix", "stars", "bits", "heap"],
                 )
 
-    return docs.mapInArrow(run, "id bigint, n bigint, key binary, prefix array<bigint>, stars array<bigint>, bits binary, heap int")
+    return docs.mapInArrow(run, "id bigint, of bigint, n bigint, key binary, prefix array<bigint>, stars array<bigint>, bits binary, heap int")
 
 
 def whole_sets(nodes: DataFrame, heads: DataFrame, docs: DataFrame, own: Tables) -> DataFrame:
@@ -359,7 +359,16 @@ def _noded(some: DataFrame, classes: DataFrame, own: Tables) -> DataFrame:
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    return linked(docs, text, doc_id, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, component) of every row.
+
+    The hash tells texts of one id apart, and the last column components of one smallest id; it is null without shingles.
+    """
+    body = F.col(text).cast("string")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(body).alias("of"), body.alias("text"))
     every = max(1, rows.count() // SAMPLE_ROWS)
     sample = tokens(rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)).select("tokens").distinct()
     often = sample.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLE_OFTEN)
@@ -407,13 +416,30 @@ def _joined(rows: DataFrame, frequent: np.ndarray, percent: int, own: Tables) ->
     named = _noded(classes.withColumnRenamed("low", "id"), classes.select("key", "low"), own).select("key", "id", "node", "k").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = own.stash(named, "named")
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("m"))
-    ids = base.select("id", "n", "key")
-    of_class = join_counted(named, smallest, ["component"], F.col("node"), "m").select("key", "component_id", "k")
-    out = join_counted(ids.where("n > 0 AND id IS NOT NULL"), of_class, ["key"], F.col("id")).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    alone = ids.where("n = 0 OR id IS NULL").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    ids = base.select("id", "of", "n", "key")
+    of_class = join_counted(named, smallest, ["component"], F.col("node"), "m").select("key", "component_id", "component", "k")
+    out = join_counted(ids.where("n > 0 AND id IS NOT NULL"), of_class, ["key"], F.col("id")).select(F.col("id").alias("doc_id"), F.col("of").alias("text_hash"), F.col("n").alias("n_shingles"), "component_id", "component")
+    alone = ids.where("n = 0 OR id IS NULL").select(F.col("id").alias("doc_id"), F.col("of").alias("text_hash"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("bigint").alias("component"))
     return own.keep(out.unionByName(alone), "components")
 
 
+def distinct(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with their columns, of one document of each component: that of the smallest id.
+
+    Rows that repeat an id and text count as one document and stay together; where the smallest id stands for several
+    texts of a component, one of those stays. Rows with a null id stay.
+    """
+    with Tables() as own:
+        found = own.stash(linked(docs, text, doc_id, percent).where("doc_id IS NOT NULL AND n_shingles > 0").drop("n_shingles"), "linked")
+        heads = found.where("doc_id = component_id").groupBy("component", "doc_id").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"))
+        several = own.stash(heads.where("low <> high").select("component", "doc_id", "low"), "several")
+        beside = found.join(sized(several), ["component", "doc_id"]).where("text_hash <> low").select("doc_id", "text_hash")
+        gone = own.keep(found.where("doc_id <> component_id").select("doc_id", "text_hash").union(beside).distinct(), "gone")
+    # names that no column of docs can have meet in the join
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"))
+    return packed.join(sized(gone), ["doc_id", "text_hash"], "left_anti").select("row.*")
+
+
 SQL = """
 WITH w AS (
     SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws

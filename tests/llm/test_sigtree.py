@@ -122,3 +122,14 @@ def test_large_group_gives_few_rows(spark, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) < 80
     prefix = 56 - 45 + 1
     assert made["clusters"] <= 300 * prefix and made["spanning_links"] <= 300 * prefix
+
+
+def test_one_of_each_component_stays(spark):
+    one, two, near = "a b c d e f g h i j k l m n o p", "z y x w v u t s", "A b c d e f g h i j k l m n o p q"
+    rows = [(7, one), (7, two), (7, two), (3, two), (9, near), (None, one), (None, one), (5, one + " r"), (5, near), (1, None), (1, ""), (8, "p q"), (8, "q p")]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, text_hash string, component_id string")
+    left = sigtree.distinct(docs)
+    assert left.columns == docs.columns
+    got = sorted(((x.doc_id, x.text) for x in left.collect()), key=str)
+    assert sum(x[0] == 5 for x in got) == 1
+    assert [x for x in got if x[0] != 5] == sorted([(3, two), (None, one), (None, one), (1, None), (1, ""), (8, "p q"), (8, "q p")], key=str)
