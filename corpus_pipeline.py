@@ -17,6 +17,8 @@ from folioframe.llm.shared import stash
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The vocabulary of the last stage, by its name in the installed package of public tokenizers.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
 def train_on() -> Column:
     """Rows whose labels may be learned from; the others stay for measuring."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
@@ -43,15 +45,12 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that repeat an id and text count as one document and stay together.
     """
-    found = sigtree.join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    return sigtree.distinct(docs.select(*COLUMNS))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents in which a window of benchmark words occurs."""
-    hits = decontaminate.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dirty = hits.where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*COLUMNS)
+    """Drop the rows in whose texts a window of benchmark words occurs; each row is judged by its own text."""
+    return decontaminate.without(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
