@@ -6,12 +6,13 @@ transitions between languages are learned together by gradient ascent on the con
 come from the forward-backward algorithm. Training sequences join pieces of different documents, so that texts that
 switch languages are known to the model. A document's language is that with the largest mean marginal of its words.
 
-Training rows are a bounded sample (``PER_LANG`` documents of each language, at most ``PIECES`` pieces of each);
-prediction reads whole texts. Forward-backward runs over all words of a block of texts side by side: each text is cut
+Training rows are a bounded sample (``PER_LANG`` documents of each language, at most ``PIECES`` pieces of ``PIECE`` words
+of each); prediction reads whole texts. Forward-backward runs over all words of a block of texts side by side: each text is cut
 into chunks, the chunks' transfer matrices are multiplied first, messages pass from chunk to chunk, and then run
 within all chunks at once; the marginals are those of the whole text.
 
-Rows: null texts and texts without letters are `und` with score 0. Repeated rows are predicted alike. With no
+Rows: null texts and texts without letters are `und` with score 0. Of languages with equal marginals the first in
+alphabetical order is taken. Repeated rows are predicted alike. With no
 training rows every text is `und`. Only id, text and, for training, the label are read.
 """
 
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.llm.hashing import LOWER, word_hashes, word_spans
@@ -29,6 +30,8 @@ from folioframe.llm.shared import blocks
 
 #: Training documents of a language, pieces of a document, words of a piece, pieces of a training sequence.
 PER_LANG, PIECES, PIECE, JOINED = 150, 20, 12, 3
+#: Labels that are learned, the most frequent ones, and bytes of a word of a training piece.
+LABELS, WORD_BYTES = 256, 64
 #: Sizes of the hashed tables; rounds of training; words of a chunk.
 GRAMS, AFFIXES, ROUNDS, CHUNK = 1 << 16, 1 << 15, 40, 32
 UNKNOWN = "und"
@@ -98,9 +101,13 @@ class Model:
 
     def marginals(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
         """P(language) of each word; ``first``: each text's first word, and the end."""
+        return self.messages(scores, first)[0]
+
+    def messages(self, scores: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(language) of each word given its whole text, and the forward message of each word, up to a factor."""
         n, k = scores.shape
         if not n:
-            return scores
+            return scores, scores
         lens = np.diff(first)
         texts = np.flatnonzero(lens)
         per = -(-lens[texts] // CHUNK)
@@ -152,6 +159,7 @@ class Model:
             a = ((a @ move) if t else np.where(at_first[:, None], start, come @ move)) * emit[:, t]
             a = a / np.maximum(a.max(1, keepdims=True), 1e-30)
             alpha[:, t] = a
+        forward = alpha[real]
         b = beta_out
         for t in range(CHUNK - 1, -1, -1):
             if t + 1 < CHUNK:
@@ -160,7 +168,18 @@ class Model:
                 b = np.where(real[:, t + 1, None], inner, b)
             alpha[:, t] *= b
         out = alpha[real]
-        return out / out.sum(1, keepdims=True)
+        return out / out.sum(1, keepdims=True), forward
+
+    def pairs(self, p: np.ndarray, forward: np.ndarray, linked: np.ndarray) -> np.ndarray:
+        """P(language of a word, language of the next) for the words whose next is in the same text (``linked``).
+
+        That is alpha(a) move(a, b) emit(b) beta(b) / Z, where emit(b) beta(b) is what the next word's marginal holds
+        beyond its forward part.
+        """
+        move = np.exp(self.weights[3] - self.weights[3].max())
+        left, right = forward[:-1][linked], p[1:][linked]
+        joint = left[:, :, None] * move * (right / np.maximum(left @ move, 1e-30))[:, None, :]
+        return joint / joint.sum((1, 2), keepdims=True)
 
 
 def train(texts: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) -> Model:
@@ -205,15 +224,11 @@ def train(texts: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) ->
     truth = np.eye(k, dtype=np.float32)[y]
     for _ in range(rounds):
         scores = model.emissions(g)
-        p = model.marginals(scores, first)
+        p, forward = model.messages(scores, first)
         gap = (truth - p) / n
         grads = [np.stack([np.bincount(at, gap[of, c], len(w)) for c in range(k)], 1) for w, at, of in ((model.weights[0], g.grams, of_gram), (model.weights[2], entry, slice(None)))]
         affix = sum(np.stack([np.bincount(a, gap[:, c], AFFIXES) for c in range(k)], 1) for a in g.affixes)
-        # pairs of neighbours: their joint marginals under the model, by local messages
-        left, right = p[:-1][~is_first[1:]], p[1:][~is_first[1:]]
-        move = np.exp(model.weights[3] - model.weights[3].max())
-        joint = left[:, :, None] * move * right[:, None, :] / np.maximum((left @ move)[:, None, :], 1e-12)
-        joint /= joint.sum((1, 2), keepdims=True)
+        joint = model.pairs(p, forward, ~is_first[1:])
         seen = truth[:-1][~is_first[1:]].T @ truth[1:][~is_first[1:]]
         grads = [grads[0], affix, grads[1], (seen - joint.sum(0)) / n, gap[is_first].sum(0)[None]]
         for w, s, d in zip(model.weights, squares, grads, strict=True):
@@ -223,20 +238,44 @@ def train(texts: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) ->
     return model
 
 
+def pieces(rows: DataFrame) -> DataFrame:
+    """(h, y, piece) of rows (h, y, t): at most ``PIECES`` runs of ``PIECE`` words from anywhere in each whole text.
+
+    Words of more than ``WORD_BYTES`` bytes are left out. Which pieces are taken is told by h alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in blocks(batch.column("t")):
+                starts, ends, first = word_spans(data, offsets, IS_LETTER)
+                whole = data.tobytes()
+                at, said = [], []
+                for d, h in enumerate(batch.column("h").slice(i, j - i).to_pylist()):
+                    a, b = int(first[d]), int(first[d + 1])
+                    for x in np.random.default_rng(h % 2**32).permutation(np.arange(a, b, PIECE))[:PIECES].tolist():
+                        words = [whole[starts[w] : ends[w]] for w in range(x, min(x + PIECE, b)) if ends[w] - starts[w] <= WORD_BYTES]
+                        at.append(i + d)
+                        said.append(b" ".join(words).decode(errors="replace"))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in ("h", "y")), pa.array(said, pa.string())], ["h", "y", "piece"])
+
+    return rows.mapInArrow(run, "h bigint, y string, piece string")
+
+
 def sample(labelled: DataFrame, text: str, label: str, key: Column, per_label: int = PER_LANG) -> list[tuple[str, str]]:
-    """At most ``per_label`` (text, label) rows for each label, by the order of a hash; read in two bounded steps."""
-    rows = labelled.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("y"), F.xxhash64(key).alias("h"))
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(False)
-    for y, n in counts.items():
-        reach = int(min(1.0, 1.5 * per_label / n) * 2**32)
-        share = share | ((F.col("y") == y) & (F.pmod("h", F.lit(2**32)) < reach))
-    near = [(r["h"], r["y"], r["t"]) for r in rows.where(share).limit(2 * per_label * max(1, len(counts))).collect()]
-    out: dict[str, list] = {}
-    for _, y, t in sorted(near):
-        if len(to := out.setdefault(y, [])) < per_label:
-            to.append((t, y))
-    return [x for some in out.values() for x in some]
+    """(piece, label) rows of at most ``per_label`` documents of each of the ``LABELS`` most frequent labels.
+
+    Documents are taken by the order of a hash, the same ones in every run. Pieces are cut in the tasks, so that the
+    driver gets no more than labels x documents x PIECES x PIECE words of WORD_BYTES bytes, however long the texts.
+    """
+    body = F.col(text).cast("string")
+    rows = labelled.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(body.alias("t"), F.col(label).cast("string").alias("y"), F.xxhash64(key, body).alias("h"))
+    counts = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(LABELS)
+    # more than enough of each label by their hashes, equal rows once, then exactly the first of each label
+    near = rows.join(F.broadcast(counts), "y").where(F.pmod("h", F.lit(2**32)) < 1.5 * per_label / F.col("n") * 2**32)
+    once = near.groupBy("y", "h").agg(F.min("t").alias("t"))
+    rank = F.row_number().over(Window.partitionBy("y").orderBy("h"))
+    chosen = once.withColumn("rank", rank).where(F.col("rank") <= per_label).select("h", "y", "t")
+    return [(r["piece"], r["y"]) for r in pieces(chosen).collect()]
 
 
 def label_words(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

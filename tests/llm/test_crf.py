@@ -1,5 +1,7 @@
 """Held-out accuracy, marginals against plain forward-backward, and edge cases."""
 
+import itertools
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -33,6 +35,50 @@ def test_marginals():
         assert np.abs(got[a:b] - want).max() < 1e-4
 
 
+def test_pairs_against_enumeration():
+    """Joint marginals of neighbours, and the gradient of the log-likelihood in the transitions by differences."""
+    r = np.random.default_rng(3)
+    m = crf.Model(["a", "b", "c"], np.zeros(0, np.uint64))
+    m.weights[3][:], m.weights[4][:] = r.normal(size=(3, 3)) * 2, r.normal(size=(1, 3))
+    scores, first, n = r.normal(size=(7, 3)).astype(np.float32) * 2, np.array([0, 5, 7]), 7
+
+    def value(ys, move):
+        out = 0.0
+        for a, b in zip(first, first[1:], strict=False):
+            out += float(m.weights[4][0][ys[a]]) + sum(float(scores[t][ys[t]]) for t in range(a, b)) + sum(move[ys[t], ys[t + 1]] for t in range(a, b - 1))
+        return out
+
+    move = m.weights[3].astype(float)
+    every = list(itertools.product(range(3), repeat=n))
+    log_z = lambda w: np.logaddexp.reduce([value(ys, w) for ys in every])
+    linked = np.array([True, True, True, True, False, True])
+    want, total = np.zeros((5, 3, 3)), log_z(move)
+    for ys in every:
+        for k, t in enumerate(np.flatnonzero(linked)):
+            want[k, ys[t], ys[t + 1]] += np.exp(value(ys, move) - total)
+    got = m.pairs(*m.messages(scores, first), linked)
+    assert np.abs(got - want).max() < 1e-4
+    for a, b in ((0, 1), (2, 2)):
+        step = np.zeros((3, 3))
+        step[a, b] = 1e-4
+        assert abs((log_z(move + step) - log_z(move - step)) / 2e-4 - got.sum(0)[a, b]) < 1e-3
+
+
+def test_training_sample_is_bounded(spark):
+    rows = [(k, "long " * 5000 + "x" * 1000, "en") for k in range(5)] + [(None, "same text", "fr")] * 40 + [(k, f"autre texte {k}", "fr") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = crf.sample(docs, "text", "lang", F.col("doc_id"), 10)
+    assert got and all(len(p.split()) <= crf.PIECE and max(map(len, p.split() or [""])) <= crf.WORD_BYTES for p, _ in got)
+    assert sum(y == "en" for _, y in got) == 5 * crf.PIECES and 5 <= sum(y == "fr" for _, y in got) <= 10
+    assert sorted(got) == sorted(crf.sample(docs.repartition(3), "text", "lang", F.col("doc_id"), 10))
+
+
+def test_ties(spark):
+    model = crf.Model(["da", "no"], np.zeros(0, np.uint64))
+    docs = spark.createDataFrame([(1, "hus"), (1, "hus")], "doc_id long, text string")
+    assert [(x.lang_pred, x.score) for x in crf.label_words(docs, model).collect()] == [("da", 0.5)] * 2
+
+
 def test_languages_and_switches(spark):
     train, test = texts(30, 2), texts(10, 3)
     mixed = " ".join(["the house which other thing"] * 5 + ["été maison leçon eaux queue"] * 5)
