@@ -135,11 +135,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole, at
 
 
-def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows in runs of about ``most`` bytes (one row at least): (first, end, bytes, offsets from 0)."""
+def blocks(column: pa.Array, most: int = BLOCK_BYTES, rows: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows in runs of about ``most`` bytes (one row at least) and at most ``rows``: (first, end, bytes, offsets from 0)."""
     data, at = utf8(column)
     n, i = len(at) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
+        j = j if rows is None else min(j, i + rows)
         yield i, j, data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
