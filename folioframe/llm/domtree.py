@@ -16,12 +16,15 @@ left out, and the rest joined in page order by two line breaks.
 
 Rows: null html is an empty page; pages without content have empty text and 0 characters. Markup may be broken:
 unclosed elements end with their parents. Repeated rows give repeated rows. Only the three named columns are read.
-Where no page of a corpus marks its main text there is nothing to learn from, and each page's whole text is returned.
+Where no page of a corpus marks its main text, the layouts are made of the blocks of any pages, so that what is known
+of tags and of common names still tells menus and footers from content. Text in script, style, textarea, select, title,
+iframe, template and svg elements is none of the page; that of noscript, math and (undecoded) xmp elements is.
 """
 
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -43,39 +46,67 @@ SPACE = re.compile(r"\s+")
 # Fixed values of HTML: elements without content, of left-out content, those of them without markup inside (with their
 # closing tags), of inline level, and those that end an open <p>.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp template svg math select".split())
+RAW = frozenset("script style textarea title iframe template svg select".split())
 LITERAL = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.IGNORECASE) for t in "script style textarea title iframe xmp".split()}
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label map mark meter nobr object output picture progress q rp rt ruby s samp slot small span strike strong sub sup time tt u var video".split())
+FORMULA = frozenset("math merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Kinds of child tags that have edge potentials of their own.
 EDGE_KINDS = {t: k for k, t in enumerate("? div section p h li article main aside nav header footer form table td ul blockquote".split())}
 
 
+#: Elements nested deeper become siblings there, as browsers do it; distinct names of ancestors that a node sees, nearest first.
+DEEPEST, ABOVE = 512, 32
+
+
+def is_inline(tag: str) -> bool:
+    """Elements of running text; those of unknown names with a hyphen, which are custom elements, are of that kind too."""
+    return tag in INLINE or tag in FORMULA or "-" in tag
+
+
 class Page:
-    """Nodes in page order: tag, parent, names, and the texts between tags with the node that holds them."""
+    """Nodes in page order: tag, parent, depth, names, whether in a link, and the texts between tags with their nodes.
+
+    Time is in proportion to the source: what is open is also held by tag, and its blocks apart.
+    """
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.names = ["#root"], [-1], [()]
+        self.tag, self.parent, self.depth, self.names, self.in_link = ["#root"], [-1], [0], [()], [False]
         self.pieces: list[tuple[int, int, str]] = []  # (node, block, text)
-        self.block_node: list[int] = [0]
-        stack, at, block, raw = [0], 0, 0, None
+        self.n_blocks = 1
+        stack, block, at, raw = [0], 0, 0, None
+        open_at: dict[str, list[int]] = {}  # places in the stack of the open elements of a tag
+        open_blocks: list[int] = []  # and of those that aren't inline
 
         def new_block() -> int:
-            self.block_node.append(stack[-1])
-            return len(self.block_node) - 1
+            self.n_blocks += 1
+            return self.n_blocks - 1
+
+        def cut(k: int) -> None:
+            while len(stack) > k:
+                tag = self.tag[stack.pop()]
+                open_at[tag].pop()
+                if open_blocks and open_blocks[-1] == len(stack):
+                    open_blocks.pop()
+
+        def last(tags: set[str]) -> int:
+            return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
 
         look = 0  # where the next token is looked for
         while m := TOKEN.search(source, look):
             look = m.end()
             tag, closing = (m.group(1) or "").lower(), m.group().startswith("</")
+            attributes = m.group(2) or ""
             inside = raw is not None
             if inside and closing and tag == raw:
-                at, raw = m.end(), None
+                at, raw = look, None
                 continue
-            if tag in LITERAL and not closing and not (m.group(2) or "").rstrip().endswith("/"):
+            literal = None
+            if tag in LITERAL and not closing and not attributes.rstrip().endswith("/"):
                 # no markup up to the closing tag, whatever stands there
                 end = LITERAL[tag].search(source, look)
+                literal = source[look : end.start() if end else len(source)]
                 look = end.end() if end else len(source)
             if inside:
                 continue
@@ -84,16 +115,16 @@ class Page:
             at = look
             if m.group(1) is None:
                 continue
+            inline = is_inline(tag)
             if closing:
-                if tag in [self.tag[k] for k in stack[1:]]:
-                    inline = tag in INLINE
-                    k = max(i for i, n in enumerate(stack) if self.tag[n] == tag)
-                    if inline and any(self.tag[n] not in INLINE for n in stack[k + 1 :]):
+                if open_at.get(tag):
+                    k = open_at[tag][-1]
+                    if inline and open_blocks and open_blocks[-1] > k:
                         continue  # a misnested inline element ends with the block that it began in
-                    del stack[k:]
+                    cut(k)
                     if not inline:
                         block = new_block()
-                elif tag not in INLINE:
+                elif not inline:
                     block = new_block()
                 continue
             if tag == "br" or tag == "wbr":
@@ -103,22 +134,12 @@ class Page:
                 if tag == "hr":
                     block = new_block()
                 continue
-            if tag in ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == "p":
-                        del stack[k:]
-                        break
-                    if self.tag[stack[k]] not in INLINE:
-                        break
+            if tag in ENDS_P and open_blocks and self.tag[stack[open_blocks[-1]]] == "p":
+                cut(open_blocks[-1])
             if tag in CLOSES:
                 ends, bar = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] in bar:
-                        break
-                    if self.tag[stack[k]] in ends:
-                        del stack[k:]
-                        break
-            attributes = m.group(2) or ""
+                if last(ends) > last(bar):
+                    cut(last(ends))
             if tag in RAW:
                 if tag not in LITERAL and not attributes.rstrip().endswith("/"):
                     raw = tag
@@ -126,19 +147,22 @@ class Page:
             names = tuple(p.lower() for a in ATTRIBUTE.finditer(attributes) for p in NAME_PART.findall(a.group(2) or a.group(3) or a.group(4) or "")) if attributes else ()
             if attributes and HIDDEN.search(attributes):
                 names += ("#hidden",)
-            if tag in INLINE and not names:
-                # plain inline elements aren't nodes of their own, but links count
-                node = stack[-1]
-                self.tag.append(tag)
-                self.parent.append(node)
-                self.names.append(())
-                stack.append(len(self.tag) - 1)
-                continue
+            parent = stack[-1] if self.depth[stack[-1]] < DEEPEST else self.parent[stack[-1]]
             self.tag.append(tag)
-            self.parent.append(stack[-1])
+            self.parent.append(parent)
+            self.depth.append(self.depth[parent] + 1)
             self.names.append(names)
+            self.in_link.append(tag == "a" or self.in_link[parent])
+            if tag == "xmp":  # its source is its text
+                if literal:
+                    self.pieces.append((len(self.tag) - 1, new_block(), entities.escape(literal)))
+                block = new_block()
+                continue
+            open_at.setdefault(tag, []).append(len(stack))
+            if not inline:
+                open_blocks.append(len(stack))
             stack.append(len(self.tag) - 1)
-            if tag not in INLINE and not attributes.rstrip().endswith("/"):
+            if not inline and not attributes.rstrip().endswith("/"):
                 block = new_block()
         if raw is None and at < len(source):
             self.pieces.append((stack[-1], block, source[at:]))
@@ -160,70 +184,59 @@ class Slots(dict):
         return out
 
 
-def _bucket(x: float) -> int:
-    return int(np.log2(x + 1) * 1.5) if x < 1e6 else 30
+def _bucket(x: np.ndarray) -> np.ndarray:
+    return np.where(x < 1e6, np.log2(np.minimum(x, 1e6) + 1) * 1.5, 30).astype(np.int64)
 
 
-def describe(page: Page, slots: Slots) -> tuple[list[list[int]], list[int], list[int]]:
-    """Feature slots of each node, edge kinds, and depths."""
-    n = len(page.tag)
-    text, link, marks = [0] * n, [0] * n, [0] * n
-    for node, _, t in page.pieces:
-        size = len(t)
-        k, in_link = node, False
-        while k >= 0:
-            in_link = in_link or page.tag[k] == "a"
-            k = page.parent[k]
-        text[node] += size
-        if in_link:
-            link[node] += size
-        marks[node] += t.count(".") + t.count(",")
-    own = list(text)
-    depth = [0] * n
-    for k in range(1, n):
-        depth[k] = depth[page.parent[k]] + 1
-    for k in range(n - 1, 0, -1):
-        p = page.parent[k]
-        text[p] += text[k]
-        link[p] += link[k]
-        marks[p] += marks[k]
-    children = [0] * n
-    for k in range(1, n):
-        children[page.parent[k]] += 1
-    total = max(1, text[0])
-    out, kinds, above = [], [], [frozenset()] * n
-    before = 0
-    for k in range(n):
+def _above(page: Page, slots: Slots) -> list[tuple[int, ...]]:
+    """Slots of the names and tags of each node's ancestors, nearest first."""
+    out: list[tuple[int, ...]] = [()]
+    for k in range(1, len(page.tag)):
         p = page.parent[k]
-        tag = "h" if len(page.tag[k]) == 2 and page.tag[k][0] == "h" and page.tag[k][1].isdigit() else page.tag[k]
-        kinds.append(EDGE_KINDS.get(tag, 0))
-        above[k] = above[p] | frozenset(page.names[p]) | {page.tag[p]} if p >= 0 else frozenset()
-        f = ["bias", f"t:{tag}", f"len:{_bucket(text[k])}", f"own:{_bucket(own[k])}", f"link:{int(4 * link[k] / max(1, text[k]))}", f"marks:{_bucket(100 * marks[k] / max(1, text[k]))}", f"depth:{min(depth[k], 8)}", f"at:{int(5 * before / total)}", f"kids:{_bucket(children[k])}"]
-        f += [f"n:{x}" for x in page.names[k]] + [f"a:{x}" for x in above[k]]
-        f.append(f"t+link:{tag}:{int(2 * link[k] / max(1, text[k]))}")
-        before += own[k]
-        out.append([slots[x] for x in f])
-    return out, kinds, depth
+        new = dict.fromkeys([slots[f"a:{x}"] for x in page.names[p]] + [slots[f"a:{page.tag[p]}"]])
+        out.append(out[p] if all(x in out[p] for x in new) else tuple(dict.fromkeys([*new, *out[p]]))[:ABOVE])
+    return out
 
 
 class Forest:
     """The nodes of several pages, level by level, for messages over all of them at once."""
 
     def __init__(self, pages: list[Page], slots: Slots) -> None:
-        feats, kinds, depths, parents, base = [], [], [], [], 0
-        self.first = [0]
-        for page in pages:
-            f, k, d = describe(page, slots)
-            feats += f
-            kinds += k
-            depths += d
-            parents += [p + base if p >= 0 else -1 for p in page.parent]
-            base += len(page.tag)
-            self.first.append(base)
-        self.kind, self.parent, depth = np.array(kinds, np.int64), np.array(parents, np.int64), np.array(depths, np.int64)
-        self.slot = np.array([x for f in feats for x in f], np.int64)
-        self.of = np.repeat(np.arange(base), [len(f) for f in feats])
-        self.levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max(initial=0)) + 1)]
+        sizes = [len(p.tag) for p in pages]
+        self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64).tolist()
+        n = self.first[-1]
+        base = np.repeat(self.first[:-1], sizes).astype(np.int64)
+        parent = np.array([x for p in pages for x in p.parent], np.int64)
+        self.parent = np.where(parent >= 0, parent + base, -1)
+        depth = np.array([x for p in pages for x in p.depth], np.int64)
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)[1:] if n else []
+        tags = ["h" if len(t) == 2 and t[0] == "h" and t[1].isdigit() else t for p in pages for t in p.tag]
+        names, tag = np.unique(np.array(tags, object), return_inverse=True) if n else (np.zeros(0, object), np.zeros(0, np.int64))
+        self.kind = np.array([EDGE_KINDS.get(t, 0) for t in names], np.int64)[tag] if n else tag
+        # sizes of texts, in a node and under it
+        node = np.array([b + x for p, b in zip(pages, self.first, strict=False) for x, _, _ in p.pieces], np.int64)
+        of = [t for p in pages for _, _, t in p.pieces]
+        own = np.bincount(node, [len(t) for t in of], n)
+        text, marks = own.copy(), np.bincount(node, [t.count(".") + t.count(",") for t in of], n)
+        link = own * np.array([x for p in pages for x in p.in_link], float)
+        for nodes in reversed(self.levels):
+            for x in (text, link, marks):
+                np.add.at(x, self.parent[nodes], x[nodes])
+        kids = np.bincount(self.parent[self.parent >= 0], minlength=n)
+        before = np.cumsum(own) - own
+        at = (before - before[base]) / np.maximum(text[base], 1) if n else own
+        some = np.maximum(text, 1)
+        table = lambda family, x: np.array([slots[f"{family}:{v}"] for v in range(int(x.max(initial=0)) + 1)], np.int64)[x]
+        whole = lambda x: np.maximum(x, 0).astype(np.int64)
+        by_tag = np.array([[slots[f"t+link:{t}:{v}"] for v in range(3)] for t in names], np.int64).reshape(-1, 3)
+        fixed = [np.full(n, slots["bias"]), np.array([slots[f"t:{t}"] for t in names], np.int64)[tag] if n else tag]
+        for family, x in (("len", _bucket(text)), ("own", _bucket(own)), ("link", whole(4 * link / some)), ("marks", _bucket(100 * marks / some)), ("depth", np.minimum(depth, 8)), ("at", whole(5 * at)), ("kids", _bucket(kids))):
+            fixed.append(table(family, x))
+        fixed.append(by_tag[tag, whole(2 * link / some)])
+        named = [[*(slots[f"n:{x}"] for x in names), *above] for p in pages for names, above in zip(p.names, _above(p, slots), strict=True)]
+        self.slot = np.concatenate([*fixed, np.fromiter(itertools.chain.from_iterable(named), np.int64)])
+        self.of = np.concatenate([np.tile(np.arange(n), len(fixed)), np.repeat(np.arange(n), [len(x) for x in named])]).astype(np.int64)
 
     def marginals(self, weight: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(content) of each node, and P(parent's state, own state) of each node but roots (node, 2, 2).
@@ -296,18 +309,31 @@ def extract(page: Page, content: np.ndarray) -> str:
 
 
 def self_labelled(page: Page) -> np.ndarray | None:
-    """Labels of a page with one article or main element; None for other pages."""
-    mains = [k for k, t in enumerate(page.tag) if t == "article"] or [k for k, t in enumerate(page.tag) if t == "main"]
+    """Labels of a page with one article, or else one main element, that stands in no other; None for other pages.
+
+    Navigation, asides, footers, forms and reader comments (articles within the article, or parts named so) are not
+    content, nor are headers, but those that hold the heading.
+    """
+    n = len(page.tag)
+    within = [False] * n
+    titled = [False] * n
+    for k in range(1, n):
+        within[k] = within[page.parent[k]] or page.tag[page.parent[k]] == "article"
+    for k in range(n - 1, 0, -1):
+        titled[page.parent[k]] |= titled[k] or len(page.tag[k]) == 2 and page.tag[k][0] == "h" and page.tag[k][1].isdigit()
+    mains = [k for k, t in enumerate(page.tag) if t == "article" and not within[k]] or [k for k, t in enumerate(page.tag) if t == "main"]
     if len(mains) != 1:
         return None
-    y = np.zeros(len(page.tag), np.int8)
-    out = {"nav", "aside", "footer", "form", "header"}
-    for k in range(mains[0], len(page.tag)):
-        p = page.parent[k]
-        y[k] = k == mains[0] or (p >= mains[0] and y[p] and page.tag[k] not in out)
+    y = np.zeros(n, np.int8)
+    for k in range(mains[0], n):
+        p, tag = page.parent[k], page.tag[k]
+        out = tag in ("nav", "aside", "footer", "form", "article") or tag == "header" and not titled[k] or not COMMENT_NAMES.isdisjoint(page.names[k])
+        y[k] = k == mains[0] or (p >= mains[0] and y[p] and not out)
     return y
 
 
+#: Parts of class names and ids that name reader comments.
+COMMENT_NAMES = frozenset("comment comments discussion disqus replies reply respond".split())
 # Names of page parts, in the words that style sheets commonly use; the first row names content.
 CONTENT_NAMES = ["content", "post-content", "entry-content", "article-body", "main-content", "story", "post", "text", "body", "articleText"]
 PARTS = {
@@ -350,7 +376,16 @@ def relaid(texts: list[str], rng: np.random.Generator) -> tuple[Page, np.ndarray
         return f"<{tag}{names}>{inside}</{tag}>"
 
     some = lambda kinds, p: "".join(part(k) for k in kinds if rng.random() < p)
-    paragraphs = [f"<p>{pick()}</p>" if rng.random() < 0.85 else rng.choice([f"<h2>{words(5)}</h2>", f"<blockquote><p>{pick()}</p></blockquote>", f"<ul><li>{pick()}</li><li>{words(9)}</li></ul>", f"<table><tr><td>{words(6)}</td><td>{words(4)}</td></tr></table>", f"<pre>{pick()}</pre>"]) for _ in range(int(rng.integers(1, 9)))]
+
+    def prose() -> str:
+        """Running text, part of it in elements of that kind."""
+        some = pick().split()
+        for _ in range(int(rng.integers(0, 3))):
+            k, tag = int(rng.integers(len(some))) if some else 0, rng.choice(["b", "i", "em", "strong", "a", "code", "span", "u", "sup"])
+            some[k : k + 1] = [f"<{tag}{' href=/y' if tag == 'a' else ''}>{x}</{tag}>" for x in some[k : k + 1]]
+        return " ".join(some)
+
+    paragraphs = [f"<p>{prose()}</p>" if rng.random() < 0.85 else rng.choice([f"<h2>{words(5)}</h2>", f"<blockquote><p>{pick()}</p></blockquote>", f"<ul><li>{pick()}</li><li>{words(9)}</li></ul>", f"<table><tr><td>{words(6)}</td><td>{words(4)}</td></tr></table>", f"<pre>{pick()}</pre>"]) for _ in range(int(rng.integers(1, 9)))]
     if rng.random() < 0.3:
         paragraphs.insert(int(rng.integers(len(paragraphs) + 1)), part(rng.choice(["ad", "share", "notice", "side", "form"])))
     tag = rng.choice(["article", "main", "div", "div", "section"])
@@ -371,17 +406,18 @@ def relaid(texts: list[str], rng: np.random.Generator) -> tuple[Page, np.ndarray
     return made, y
 
 
-def labelled_pages(sources: list[str], layouts: int = 3, seed: int = 3) -> list[tuple[Page, np.ndarray]]:
-    """Training pages from html sources: self-labelled ones, and layouts made of their blocks."""
+def labelled_pages(sources: list[str], layouts: int = 3, seed: int = 3, marked: bool = True) -> list[tuple[Page, np.ndarray]]:
+    """Training pages from html sources: self-labelled ones, and layouts made of their blocks (or, unmarked, of any)."""
     rng = np.random.default_rng(seed)
     out = []
     for source in sources:
         page = Page(source)
         y = self_labelled(page)
-        if y is None:
+        if y is not None:
+            out.append((page, y))
+        elif marked:
             continue
-        out.append((page, y))
-        texts = [t for t in extract(page, y).split("\n\n") if t]
+        texts = [t for t in extract(page, np.ones(len(page.tag)) if y is None else y).split("\n\n") if t]
         out += [relaid(texts, rng) for _ in range(layouts)]
     return out
 
@@ -391,9 +427,12 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     spark = pages.sparkSession
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     marked = rows.where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    every = max(1, marked.count() // (4 * most))
-    sources = [r["html"] for r in marked.where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).orderBy(F.xxhash64("page_id"), "html").limit(most).collect()]
-    sent = spark.sparkContext.broadcast(train(labelled_pages(sorted(sources))))
+    n = marked.count()
+    some, n = (marked, n) if n else (rows.where(F.length("html") > 0), rows.count())
+    every = max(1, n // (4 * most))
+    sources = [r["html"] for r in some.where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).orderBy(F.xxhash64("page_id"), "html").limit(most).collect()]
+    pages_of = labelled_pages(sorted(sources)) or labelled_pages(sorted(sources), marked=False)
+    sent = spark.sparkContext.broadcast(train(pages_of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, slots = sent.value, Slots()

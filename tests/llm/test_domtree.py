@@ -1,6 +1,7 @@
 """Marginals against enumeration, accuracy on pages that were not learned from, and edge cases."""
 
 import itertools
+import time
 
 import numpy as np
 
@@ -84,6 +85,66 @@ def test_rare_marks(spark):
 
 
 def test_no_marks(spark):
-    rows = [(1, "u", "<nav>a</nav><p>b"), (2, "u", "<footer>c</footer>"), (3, "u", None)]
-    got = {x.page_id: x.text for x in d.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {1: "a\n\nb", 2: "c", 3: ""}
+    """No page of the corpus marks its main text: menus and footers still go."""
+    r = np.random.default_rng(9)
+    made = [page(k, r) for k in range(150)]
+    bare = lambda h: h.replace("<article>", "<div class=content>").replace("</article>", "</div>")
+    rows = [(k, f"u{k}", bare(h)) for k, (h, _) in enumerate(made)] + [(900, "u", None)]
+    got = {x.page_id: x.text for x in d.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), most=60).collect()}
+    assert got[900] == "" and np.mean([got[k] == made[k][1] for k in range(150)]) > 0.9
+    assert d.main_text(spark.createDataFrame(rows[-1:], "page_id long, url string, html string")).first().text == ""
+
+
+PROSE = ["The river had risen overnight, and by morning the lower fields lay under a sheet of brown water.", "Nobody in the village could remember a spring like it, although the oldest of them tried.", "By noon the council had met twice, once in the hall and once, for want of chairs, in the churchyard.", "They agreed that the bridge should be closed, that the school should stay open, and that soup was needed."]
+#: Pages written by hand, no part of which is made like the pages that are learned from, and their main texts.
+BY_HAND = [
+    (f"""<!doctype html><html><head><title>Flood</title></head><body><header class="site-header"><a href="/">Valley News</a><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">Sport</a></li></ul></nav></header>
+<div id="cookie-notice"><p>We use cookies to improve this site.</p><button>Accept</button></div>
+<main><article><header><h1>Water in the fields</h1><p>{PROSE[0]}</p></header><p>{PROSE[1]}</p><h2>The council</h2><p>{PROSE[2]}</p><p>{PROSE[3]}</p>
+<section class="comments"><h3>Comments</h3><article class="comment"><p>I remember a worse one.</p></article><article class="comment"><p>So do I.</p></article></section></article></main>
+<aside class="sidebar"><h4>Most read</h4><ul><li><a href="/1">Ten walks</a></li><li><a href="/2">Five pies</a></li></ul></aside><footer><p>Valley News, all rights reserved</p></footer></body></html>""",
+     ["Water in the fields", PROSE[0], PROSE[1], "The council", PROSE[2], PROSE[3]]),
+    (f"""<html><body><div class="topbar"><a href="/">Blog</a> <a href="/about">About</a></div><div class="wrapper"><div class="post"><h1>High water</h1><p>{PROSE[0]} {PROSE[1]}</p>
+<div class="advert"><p>Boots, now half price!</p></div><p>{PROSE[2]}</p><blockquote><p>{PROSE[3]}</p></blockquote></div><div class="comments"><div class="comment"><p>First!</p></div></div></div>
+<div class="footer"><a href="/imprint">Imprint</a></div></body></html>""",
+     ["High water", f"{PROSE[0]} {PROSE[1]}", PROSE[2], PROSE[3]]),
+    (f"""<html><body><nav><a href="/">Start</a><a href="/x">Archive</a></nav><main><h1>Closed bridge</h1><p>{PROSE[2]}</p><ul><li>{PROSE[3]}</li><li>{PROSE[0]}</li></ul><p>It holds <data value="3">three</data> arches and <math><mi>n</mi><mo>=</mo><mn>2</mn></math> lanes.</p>
+<form action="/s"><label>Search</label><input><button>Go</button></form></main><footer>Contact: town hall</footer></body></html>""",
+     ["Closed bridge", PROSE[2], PROSE[3], PROSE[0], "It holds three arches and n=2 lanes."]),
+    (f"""<html><body><header><h2><a href="/">The Daily</a></h2></header><section id="content"><h1>Soup</h1><p>{PROSE[3]}</p><p>{PROSE[1]}</p><p>{PROSE[0]}</p></section>
+<div class="related"><h3>Related</h3><ul><li><a href="/7">Bread</a></li><li><a href="/8">Salt</a></li></ul></div><div class="newsletter"><p>Subscribe to our newsletter.</p><form><input><button>Send</button></form></div><footer><ul><li><a href="/l">Legal</a></li></ul></footer></body></html>""",
+     ["Soup", PROSE[3], PROSE[1], PROSE[0]]),
+]
+
+
+def test_pages_by_hand():
+    r = np.random.default_rng(5)
+    model = d.train(d.labelled_pages([page(k, r)[0] for k in range(120)]))
+    parsed = [d.Page(h) for h, _ in BY_HAND]
+    f = d.Forest(parsed, d.Slots())
+    content = f.marginals(model.weight, model.edge)[0] >= 0.5
+    kept = [set(d.extract(p, content[a:b]).split("\n\n")) for p, a, b in zip(parsed, f.first, f.first[1:])]
+    right = [len(k & set(want)) / max(1, len(k | set(want))) for k, (_, want) in zip(kept, BY_HAND)]
+    assert np.mean(right) > 0.9, (right, [k ^ set(w) for k, (_, w) in zip(kept, BY_HAND)])
+
+
+def test_own_labels():
+    p = d.Page(BY_HAND[0][0])
+    assert d.extract(p, d.self_labelled(p)).split("\n\n") == BY_HAND[0][1]
+    assert d.self_labelled(d.Page("<article>a</article><article>b</article>")) is None
+
+
+def test_elements_of_running_text():
+    text = lambda source: (lambda p: d.extract(p, np.ones(len(p.tag), bool)))(d.Page(source))
+    assert text("<p>a <data value=1>b</data> <output>c</output> <object>d</object> <my-word>e</my-word> f") == "a b c d e f"
+    assert text("a<noscript><p>b</p></noscript>c<xmp><p>d &amp; e</p></xmp>f <math><msup><mi>x</mi><mn>2</mn></msup></math>") == "a\n\nb\n\nc\n\n<p>d &amp; e</p>\n\nf x2"
+
+
+def test_deep_pages_take_linear_time():
+    model = d.Model()
+    for source in ("<div>" * 200_000, "".join(f"<div class='c{k}'>t" for k in range(50_000)), "<b>" * 100_000 + "<p>x</p>" * 100_000, "<div><i>" * 60_000 + "</i>" * 200_000, "<p><b>x" * 140_000):
+        start = time.time()
+        p = d.Page(source)
+        f = d.Forest([p], d.Slots())
+        d.extract(p, f.marginals(model.weight, model.edge)[0] >= 0.5)
+        assert time.time() - start < 10, source[:20]
