@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.shared import Tables, few, join_counted
+from folioframe.llm.shared import Tables, join_counted
 
 #: One line in so many ends a chunk, and so many words make a single line a passage.
 ONE_IN, LONG_LINE = 2, 50
@@ -118,8 +118,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", one_in: i
         told = bind(passages(F.col("text"), one_in, words), lambda x: F.transform(x["runs"], lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), F.xxhash64(said(x["lines"], r)).alias("hash"))))
         marks = own.stash(rows.select("key", F.explode(told).alias("r")).select("key", "r.*"), "passages")
         often = own.stash(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "repeated")
-        some = often.select("hash")
-        found = marks.join(F.broadcast(some), "hash") if few(some) else join_counted(marks, often, ["hash"], F.col("key"))
+        found = join_counted(marks, often, ["hash"], F.col("key"))
         places = own.stash(found.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("maybe")), "places")
         bodies = bind(F.col("maybe"), lambda x: F.transform(x["runs"], lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), said(x["lines"], r).alias("body"))))
         exploded = rows.select("key", "text").join(places, "key").select("key", F.explode(bodies).alias("r")).select("key", "r.*")

@@ -42,7 +42,7 @@ KIND[[32, 9]], KIND[[10, 11, 12, 13]], KIND[[44, 46, 59, 58, 39, 34, 63, 33]] =
 IS_WORD = ~np.isin(KIND, [3, 4])
 #: Slots of hashed words and word pairs; the least spread that they are scaled by, so that rare words weigh little;
 #: rows whose features are held at once.
-HASHED, LEAST_SPREAD, ROWS = 2048, 0.2, 2048
+HASHED, LEAST_SPREAD, ROWS = 1024, 0.2, 2048
 SHAPES = CLASSES**3 + 9
 N_FEATURES = SHAPES + HASHED
 
@@ -127,11 +127,16 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     if not len(positive) or not len(unlabelled):
         return model
     n = len(positive) + len(unlabelled)
-    total = positive.sum(0, dtype=np.float64) + unlabelled.sum(0, dtype=np.float64)
-    squares = (positive.astype(np.float64) ** 2).sum(0) + (unlabelled.astype(np.float64) ** 2).sum(0)
-    model.mean = total / n
-    model.scale = np.maximum(np.sqrt(np.maximum(squares / n - model.mean**2, 0)), np.where(np.arange(N_FEATURES) < SHAPES, 1e-2, LEAST_SPREAD))
-    ready = lambda x: np.hstack([np.clip((x - model.mean) / model.scale, -6, 6).astype(np.float32), np.ones((len(x), 1), np.float32)])
+    model.mean = (positive.sum(0, dtype=np.float64) + unlabelled.sum(0, dtype=np.float64)) / n
+    squares = sum(np.sum((x[i : i + ROWS] - model.mean) ** 2, 0) for x in (positive, unlabelled) for i in range(0, len(x), ROWS))
+    model.scale = np.maximum(np.sqrt(squares / n), np.where(np.arange(N_FEATURES) < SHAPES, 1e-2, LEAST_SPREAD))
+
+    def ready(x: np.ndarray) -> np.ndarray:
+        out = np.ones((len(x), N_FEATURES + 1), np.float32)
+        for i in range(0, len(x), ROWS):
+            out[i : i + ROWS, :-1] = np.clip((x[i : i + ROWS] - model.mean) / model.scale, -6, 6)
+        return out
+
     p, u = ready(positive), ready(unlabelled)
     w, m, v = np.zeros(p.shape[1], np.float32), 0.0, 0.0
     for k in range(1, rounds + 1):
@@ -165,13 +170,13 @@ def prior_of(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 
 def _described(rows: DataFrame) -> DataFrame:
-    """rows (id, text) -> (id, x): the features as float32 bytes."""
+    """rows (id, text) -> (id, x): the features as bytes of half precision, which is enough to learn from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column("text"), rows=ROWS):
                 x = features(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["id", "x"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, x binary")
 
@@ -186,7 +191,7 @@ def _first(rows: DataFrame, most: int) -> np.ndarray:
     if n > 2 * most:
         rows = rows.where(F.pmod("id", F.lit(2**32)) < int(1.5 * most / n * 2**32))
     got = _described(rows).orderBy("id", "x").limit(most).collect()
-    return np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(-1, N_FEATURES)
+    return np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float16).reshape(-1, N_FEATURES).astype(np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, train_on: Column, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Model:
