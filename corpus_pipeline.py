@@ -36,8 +36,13 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take later copies of repeated passages out of the texts; every document stays."""
-    return _counted(linechunks.dedup(docs))
+    """Take later copies of repeated passages out of the texts.
+
+    A document of which nothing is left is a copy itself and goes; all others stay, those that were empty before too.
+    """
+    out = linechunks.dedup(docs.select(*COLUMNS))
+    left = F.length(F.trim(F.translate("text", "\n\t", ""))) > 0
+    return _counted(out.where((F.col("_n_gone") == 0) | left))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
