@@ -118,21 +118,21 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", one_in: i
         told = bind(passages(F.col("text"), one_in, words), lambda x: F.transform(x["runs"], lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), F.xxhash64(said(x["lines"], r)).alias("hash"))))
         marks = own.stash(rows.select("key", F.explode(told).alias("r")).select("key", "r.*"), "passages")
         often = own.stash(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "repeated")
-        found = join_counted(marks, often, ["hash"], F.col("key"))
+        found = join_counted(marks, often, ["hash"], F.col("key"), hint="merge")
         places = own.stash(found.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("maybe")), "places")
         bodies = bind(F.col("maybe"), lambda x: F.transform(x["runs"], lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), said(x["lines"], r).alias("body"))))
-        exploded = rows.select("key", "text").join(places, "key").select("key", F.explode(bodies).alias("r")).select("key", "r.*")
+        exploded = rows.select("key", "text").join(places.hint("merge"), "key").select("key", F.explode(bodies).alias("r")).select("key", "r.*")
         texts = exploded.where(F.length(F.trim(F.translate("body", "\n\t", ""))) > 0).withColumn("digest", F.unhex(F.md5(F.col("body").cast("binary"))))
         texts = own.stash(texts, "bodies")
         kept = texts.groupBy("digest").agg(F.min(F.struct("key", "first", "last", "body")).alias("kept"), F.count(F.lit(1)).alias("k")).where("k > 1")
         overlaps = (F.col("key") == F.col("kept.key")) & (F.col("first") <= F.col("kept.last"))
-        later = join_counted(texts, own.stash(kept, "kept"), ["digest"], F.col("key")).where((F.col("body") == F.col("kept.body")) & ~overlaps)
+        later = join_counted(texts, own.stash(kept, "kept"), ["digest"], F.col("key"), hint="merge").where((F.col("body") == F.col("kept.body")) & ~overlaps)
         gone = own.keep(later.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "gone")
     lost = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"]))))
     left = bind(F.array_except(F.sequence(F.lit(1), n_lines), lost), lambda x: F.array_join(F.transform(x["runs"], lambda i: F.element_at(x["lines"], i)), "\n"))
     has = F.col("runs").isNotNull()
     of = lambda c: F.col("now").alias(c) if c == text else F.col("rest")[c].alias(c)
-    out = rows.join(gone, "key", "left").select("rest", F.when(has, left).otherwise(F.col("text")).alias("now"), n_lines.alias("_n_lines"), F.when(has, F.size(lost)).otherwise(0).alias("_n_gone"))
+    out = rows.join(gone.hint("merge"), "key", "left").select("rest", F.when(has, left).otherwise(F.col("text")).alias("now"), n_lines.alias("_n_lines"), F.when(has, F.size(lost)).otherwise(0).alias("_n_gone"))
     out = out.select(*[of(c) for c in columns], "_n_lines", "_n_gone")
     same = docs.where(~apart).select(*[body.alias(c) if c == text else F.col(c) for c in columns], F.when(body.isNotNull(), F.size(F.split(body, "\n", -1))).otherwise(0).alias("_n_lines"), F.lit(0).alias("_n_gone"))
     return out.unionByName(same)

@@ -42,7 +42,7 @@ KIND[[32, 9]], KIND[[10, 11, 12, 13]], KIND[[44, 46, 59, 58, 39, 34, 63, 33]] =
 IS_WORD = ~np.isin(KIND, [3, 4])
 #: Slots of hashed words and word pairs; the least spread that they are scaled by, so that rare words weigh little;
 #: rows whose features are held at once.
-HASHED, LEAST_SPREAD, ROWS = 1024, 0.2, 2048
+HASHED, LEAST_SPREAD, ROWS = 1024, 0.2, 256
 SHAPES = CLASSES**3 + 9
 N_FEATURES = SHAPES + HASHED
 

@@ -107,11 +107,12 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if few(df) else df
 
 
-def join_counted(big: DataFrame, small: DataFrame, keys: list[str], by: Column, n: str = "k") -> DataFrame:
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], by: Column, n: str = "k", hint: str | None = None) -> DataFrame:
     """Inner join of ``big`` with ``small``, which has a row for each key and the count ``n`` of the key's rows in big.
 
     A key of more rows than an average partition is dealt out over several, by a hash of ``by``, and its row of
-    ``small`` goes to each of those. There are fewer hot keys than partitions, so their list is broadcast.
+    ``small`` goes to each of those. There are fewer hot keys than partitions, so their list is broadcast. A ``hint``
+    of the join's kind keeps that from changing with the size of ``small``.
     """
     spark = big.sparkSession
     total = small.agg(F.sum(n)).head()[0] or 0
@@ -120,7 +121,7 @@ def join_counted(big: DataFrame, small: DataFrame, keys: list[str], by: Column,
     hot = small.where(F.col(n) > limit).select(*keys, parts.alias("_parts"))
     dealt = big.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts").cast("bigint")), F.lit(0).cast("bigint"))).drop("_parts")
     copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts.cast("bigint") - 1)))
-    return dealt.join(copies, [*keys, "_part"]).drop("_part")
+    return dealt.join(copies if hint is None else copies.hint(hint), [*keys, "_part"]).drop("_part")
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
