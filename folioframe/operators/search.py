@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Patterns of personal data.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "ipv4": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
+    "ipv4": r"[\p{L}0-9_.]*[0-9]\.[0-9]+\.[0-9]+\.[0-9][\p{L}0-9_.]*",
     "phone": r"\+[0-9][0-9 ().-]{6,}[0-9]",
     "digits": r"[0-9](?:[ -]?[0-9]){12,18}",
 }
@@ -34,13 +34,40 @@ def find(lines: DataFrame, pattern: str, keys: list[str], text: str = "line") ->
     return both.select(*keys, F.col("m.start").alias("start"), (F.col("m.start") + F.length("m.hit")).alias("end"), F.col("m.hit").alias("hit"))
 
 
+def find_across_lines(docs: DataFrame, needle: str, key: str, text: str = "text") -> DataFrame:
+    """(key, match, start, end): non-overlapping occurrences of ``needle`` in whole texts, whatever their case.
+
+    Line breaks count as blanks, one for one, so that a match may run on over the ends of lines; empty lines end a
+    paragraph, which no match crosses, as two blanks stand there. Positions from 1, ends exclusive.
+    """
+    folded = F.lower(F.translate(F.col(text), "\n\t", "  "))
+    # the gaps between matches tell where each match starts
+    gaps = F.split(folded, r"\Q" + needle.lower() + r"\E", -1)
+    rows = docs.where(F.contains(folded, F.lit(needle.lower()))).select(key, F.posexplode(F.transform(gaps, F.length)).alias("match", "gap"))
+    before = F.sum("gap").over(Window.partitionBy(key).orderBy("match").rowsBetween(Window.unboundedPreceding, 0))
+    last = F.max("match").over(Window.partitionBy(key))
+    at = rows.withColumn("start", before + F.col("match") * len(needle) + 1).withColumn("_last", last).where(F.col("match") < F.col("_last"))
+    return at.select(key, (F.col("match") + 1).cast("long").alias("match"), "start", (F.col("start") + len(needle)).alias("end"))
+
+
+def pieces(matches: DataFrame, lines: DataFrame, key: str, line: str = "line") -> DataFrame:
+    """(key, match, line_no, start, end): each match cut at the ends of lines (key, line_no, line); positions in the line."""
+    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(F.length(line) + 1).over(w), F.lit(0)) + 1
+    spans = lines.select(key, "line_no", begin.alias("_a"), F.length(line).alias("_n"))
+    both = matches.join(spans, key).where((F.col("start") < F.col("_a") + F.col("_n")) & (F.col("end") > F.col("_a")))
+    return both.select(key, "match", "line_no", (F.greatest("start", "_a") - F.col("_a") + 1).alias("start"), (F.least(F.col("end"), F.col("_a") + F.col("_n")) - F.col("_a") + 1).alias("end"))
+
+
 def candidates(lines: DataFrame, keys: list[str], text: str = "line") -> DataFrame:
     """(keys, kind, start, end, hit): the matches of all patterns, checked where the kind has a check."""
     out = None
     for kind, pattern in PATTERNS.items():
         some = find(lines, pattern, keys, text).withColumn("kind", F.lit(kind))
         if kind == "ipv4":
-            some = some.where(F.forall(F.split("hit", r"\."), lambda p: p.cast("int") <= 255))
+            # the pattern takes whole runs of letters, digits and dots, so that nothing adjoins a run that is a quad
+            some = some.withColumn("hit", F.regexp_replace("hit", r"\.$", "")).where(F.col("hit").rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"))
+            some = some.where(F.forall(F.split("hit", r"\."), lambda p: p.cast("int") <= 255)).withColumn("end", F.col("start") + F.length("hit"))
         if kind == "digits":
             some = some.where(F.call_function("luhn_check", F.translate("hit", " -", "")))
         out = some if out is None else out.unionByName(some)

@@ -28,17 +28,36 @@ def nested(marks: DataFrame, keys: list[str]) -> DataFrame:
     return named.withColumn("parent", parent).drop(*[f"_l{k}" for k in range(1, 6)])
 
 
-def threads(replies: DataFrame, most: int = 64) -> DataFrame:
-    """(doc, idx, root, depth, path): comments (doc, idx, parent) in depth-first order; an absent parent makes a root."""
+def _jumped(rows: DataFrame, path: bool) -> DataFrame:
+    """Rows (doc, idx, up, top, depth[, path]) whose ``up`` has come to be null, by doubling the steps in each round.
+
+    After as many rounds as a chain of all rows needs, what is left runs in circles and has no root.
+    """
+    n, rounds = rows.count(), 0
+    while 2**rounds <= 2 * n:
+        above = rows.select("doc", F.col("idx").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("depth").alias("_depth"), *([F.col("path").alias("_path")] if path else []))
+        joined = rows.join(above, ["doc", "up"], "left")
+        named = [F.coalesce("_top", "top").alias("top"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")]
+        if path:
+            named.append(F.concat(F.coalesce(F.concat("_path", F.lit("/")), F.lit("")), F.col("path")).alias("path"))
+        rows, rounds = joined.select("doc", "idx", F.col("_up").alias("up"), *named).checkpoint(), rounds + 1
+        if rows.where("up IS NOT NULL").isEmpty():
+            break
+    return rows.where("up IS NULL")
+
+
+def threads(replies: DataFrame) -> DataFrame:
+    """(doc, idx, root, depth, path): comments (doc, idx, parent) in depth-first order; an absent parent makes a root.
+
+    Threads may be of any depth: ancestors are met by doubling steps. Comments in a circle, and under one, are in none.
+    """
     known = replies.select(F.col("doc"), F.col("idx").alias("parent"), F.lit(True).alias("_known"))
-    rows = replies.join(known, ["doc", "parent"], "left").withColumn("parent", F.when(F.col("_known"), F.col("parent"))).drop("_known")
-    rows.createOrReplaceTempView("folioframe_replies")
-    return replies.sparkSession.sql(f"""
-        WITH RECURSIVE t(doc, idx, root, depth, path) AS (
-            SELECT doc, idx, idx, 0, lpad(CAST(idx AS STRING), 9, '0') FROM folioframe_replies WHERE parent IS NULL
-            UNION ALL
-            SELECT r.doc, r.idx, t.root, t.depth + 1, concat(t.path, '/', lpad(CAST(r.idx AS STRING), 9, '0')) FROM t JOIN folioframe_replies r ON r.doc = t.doc AND r.parent = t.idx WHERE t.depth < {most}
-        ) SELECT doc, idx, root, depth, path FROM t""")
+    up = F.when(F.col("_known"), F.col("parent"))
+    rows = replies.join(known, ["doc", "parent"], "left").select("doc", "idx", up.alias("up"), F.col("idx").alias("top"), up.isNotNull().cast("int").alias("depth")).checkpoint()
+    # paths are built only once it is known which comments have a root, as they would double in a circle
+    rooted = _jumped(rows, path=False).select("doc", "idx")
+    named = rows.join(rooted, ["doc", "idx"], "left_semi").withColumn("path", F.lpad(F.col("idx").cast("string"), 9, "0")).checkpoint()
+    return _jumped(named, path=True).select("doc", "idx", F.col("top").alias("root"), "depth", "path")
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:

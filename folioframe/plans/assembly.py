@@ -81,7 +81,7 @@ def register(r: Registry) -> None:
     @r.add(
         "d6_anchors",
         f"""
-        WITH t AS ({NEXT_SQL}), o AS (SELECT pair, side, word, min(pos) AS pos FROM t GROUP BY pair, side, word HAVING count(*) = 1)
+        WITH t AS MATERIALIZED ({NEXT_SQL}), o AS MATERIALIZED (SELECT pair, side, word, min(pos) AS pos FROM t GROUP BY pair, side, word HAVING count(*) = 1)
         SELECT x.pair, x.word, x.pos AS old_pos, y.pos AS new_pos FROM o x JOIN o y ON x.pair = y.pair AND x.word = y.word AND x.side = 'old' AND y.side = 'new'
         """,
     )

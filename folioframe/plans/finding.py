@@ -32,6 +32,25 @@ def register(r: Registry) -> None:
         """All non-overlapping occurrences of a needle, whatever its case."""
         return search.find(lines(spark, sf_dir), "(?i)" + needle, KEYS)
 
+    phrase = "of the"
+    matches_sql = f"""SELECT doc_id, k AS match, (1 + list_sum(list_transform(gaps[1:k], lambda g: length(g))) + (k - 1) * {len(phrase)})::BIGINT AS start, (1 + list_sum(list_transform(gaps[1:k], lambda g: length(g))) + k * {len(phrase)})::BIGINT AS "end"
+        FROM (SELECT doc_id, gaps, unnest(range(1, len(gaps))) AS k FROM (SELECT doc_id, string_split(lower(translate(text, chr(10) || chr(9), '  ')), '{phrase}') AS gaps FROM documents))"""
+
+    @r.add("e1_find_across_lines", matches_sql)
+    def e1_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """All non-overlapping occurrences of a phrase in whole texts, on over the ends of lines."""
+        return search.find_across_lines(table(spark, sf_dir, "documents"), phrase, "doc_id")
+
+    @r.add(
+        "e2_match_pieces",
+        f"""WITH s AS (SELECT doc_id, line_no, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS a, length(line) AS n FROM ({LINES_SQL}))
+        SELECT m.doc_id, match, line_no, (greatest(start, a) - a + 1)::BIGINT AS start, (least("end", a + n) - a + 1)::BIGINT AS "end" FROM ({matches_sql}) m JOIN s ON m.doc_id = s.doc_id AND start < a + n AND "end" > a""",
+    )
+    def e2(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The part of each match that stands on each line."""
+        found = search.find_across_lines(table(spark, sf_dir, "documents"), phrase, "doc_id")
+        return search.pieces(found, lines(spark, sf_dir), "doc_id")
+
     @r.add("c4_whole_word", f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM documents) WHERE w = '{needle}' GROUP BY doc_id")
     def c4(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Matches that no letter or digit adjoins."""
@@ -66,7 +85,8 @@ def register(r: Registry) -> None:
 
     _luhn = """list_sum(list_transform(range(length(s)), lambda i: CASE WHEN i % 2 = 0 THEN substr(s, length(s) - i, 1)::INT ELSE (2 * substr(s, length(s) - i, 1)::INT) // 10 + (2 * substr(s, length(s) - i, 1)::INT) % 10 END)) % 10 = 0"""
     card_sql = f"SELECT doc_id, line_no, start, \"end\", hit FROM (SELECT *, translate(hit, ' -', '') AS s FROM ({_hits_sql(search.PATTERNS['digits'])})) WHERE {_luhn}"
-    ip_sql = f"SELECT * FROM ({_hits_sql(search.PATTERNS['ipv4'])}) WHERE len(list_filter(string_split(hit, '.'), lambda p: p::INT > 255)) = 0"
+    ip_sql = f"""SELECT doc_id, line_no, start, (start + length(quad))::INT AS "end", quad AS hit FROM (SELECT *, regexp_replace(hit, '\\.$', '') AS quad FROM ({_hits_sql(search.PATTERNS['ipv4'])}))
+        WHERE CASE WHEN regexp_full_match(quad, '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}') THEN len(list_filter(string_split(quad, '.'), lambda p: p::INT > 255)) = 0 ELSE false END"""
 
     @r.add("p4_payment_card", card_sql)
     def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,5 +144,5 @@ def register(r: Registry) -> None:
         """Links by target, and targets that no page's first path part answers."""
         pages = table(spark, sf_dir, "pages")
         names = pages.select(F.regexp_extract("url", "^https?://[^/]+/([^/?#]*)", 1).alias("name")).distinct()
-        links = search.hrefs(pages).withColumn("name", F.substring("target", 2, 10_000)).join(names.withColumn("known", F.lit(True)), "name", "left")
+        links = search.hrefs(pages).withColumn("name", F.substr("target", F.lit(2))).join(names.withColumn("known", F.lit(True)), "name", "left")
         return links.groupBy("target").agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("page_id").alias("n_pages"), F.bool_and(F.col("known").isNull()).alias("broken"))

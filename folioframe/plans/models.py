@@ -136,6 +136,7 @@ def register(r: Registry) -> None:
         """,
     )
     def m2(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ensure_checkpoints(spark)
         return trees.threads(comments(spark, sf_dir).select("doc", "idx", "parent"))
 
     states_sql = "SELECT user_id AS doc, event_id % 5 AS target, CASE WHEN event_id % 2 = 0 THEN 'review' ELSE 'checked' END AS model, event_type AS state, event_id % 3 AS author, strftime(ts, '%Y%m%d%H') AS modified, event_id AS idx FROM events"
@@ -149,6 +150,7 @@ def register(r: Registry) -> None:
     @r.add("m6_remove_thread", f"WITH RECURSIVE c AS ({COMMENTS_SQL}), g AS (SELECT doc, idx FROM c WHERE idx = 1 UNION ALL SELECT c.doc, c.idx FROM g JOIN c ON c.doc = g.doc AND c.parent = g.idx) SELECT doc, idx FROM c WHERE (doc, idx) NOT IN (SELECT (doc, idx) FROM g)")
     def m6(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Comments without those of turn 1 and everything under it."""
+        ensure_checkpoints(spark)
         c = comments(spark, sf_dir).select("doc", "idx", "parent")
         under = trees.threads(c).where(F.col("path").rlike("(^|/)000000001(/|$)")).select("doc", "idx")
         return c.join(under, ["doc", "idx"], "left_anti").select("doc", "idx")
@@ -156,13 +158,13 @@ def register(r: Registry) -> None:
     # metadata
     @r.add(
         "i1_i2_metadata",
-        """SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v, a.v IS NOT NULL AND b.v IS NOT NULL AND a.v <> b.v AS differs FROM (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 3 <> 0) a
-        FULL JOIN (SELECT o_custkey AS k, arg_min(o_orderpriority, o_orderkey) AS v FROM orders WHERE o_custkey % 2 = 0 GROUP BY o_custkey) b ON a.k = b.k""",
+        """SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v, a.v IS NOT NULL AND b.v IS NOT NULL AND a.v <> b.v AS differs FROM (SELECT c_custkey AS k, c_mktsegment AS v FROM customer) a
+        FULL JOIN (SELECT o_custkey AS k, arg_min(o_orderpriority, o_orderkey) AS v FROM orders GROUP BY o_custkey) b ON a.k = b.k""",
     )
     def i1(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Values of two sources: the first wins, and where both differ."""
-        a = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("va"))
-        b = table(spark, sf_dir, "orders").where("o_custkey % 2 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.min_by("o_orderpriority", "o_orderkey").alias("vb"))
+        a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("va"))
+        b = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.min_by("o_orderpriority", "o_orderkey").alias("vb"))
         return a.join(b, "k", "full").select("k", F.coalesce("va", "vb").alias("v"), F.coalesce(F.col("va") != F.col("vb"), F.lit(False)).alias("differs"))
 
     @r.add("i5_first_seen", "SELECT p_brand AS font, p_type AS kind, min(l_orderkey) AS first_page, count(*) AS n, bool_or(l_returnflag = 'R') AS embedded FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
@@ -183,12 +185,13 @@ def register(r: Registry) -> None:
     def i8(spark: SparkSession, sf_dir: str) -> DataFrame:
         return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("checksum"), F.octet_length("text").cast("long").alias("n_bytes"), (F.length("text") == F.col("n_chars")).alias("as_declared"))
 
-    @r.add("i10_changed_since", "WITH v AS (SELECT user_id, arg_max(event_type, event_id) FILTER (WHERE event_id < 5000) AS before, arg_max(event_type, event_id) AS after FROM events GROUP BY user_id) SELECT user_id, before, after FROM v WHERE before IS DISTINCT FROM after")
+    @r.add("i10_changed_since", "WITH v AS (SELECT user_id, arg_max(event_type, event_id) FILTER (WHERE event_id < (SELECT max(event_id) // 2 FROM events)) AS before, arg_max(event_type, event_id) AS after FROM events GROUP BY user_id) SELECT user_id, before, after FROM v WHERE before IS DISTINCT FROM after")
     def i10(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Objects whose newest revision is not that of an earlier cut."""
+        """Objects whose newest revision is not that of the middle of the log."""
         e = table(spark, sf_dir, "events")
         cut = lambda df, name: df.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias(name))
-        both = cut(e, "after").join(cut(e.where("event_id < 5000"), "before"), "user_id", "left")
+        half = e.agg(F.floor(F.max("event_id") / 2).alias("half"))
+        both = cut(e, "after").join(cut(e.join(F.broadcast(half)).where("event_id < half"), "before"), "user_id", "left")  # one row
         return both.where(~F.col("before").eqNullSafe(F.col("after"))).select("user_id", "before", "after")
 
     # rules
@@ -261,7 +264,7 @@ def register(r: Registry) -> None:
         return pixels(spark, sf_dir).groupBy("image").agg(F.round(F.avg(255 - F.greatest("r", "g", "b")) / 2.55, 4).alias("black"), F.round(F.max(ink) / 2.55, 4).alias("most_ink"))
 
     # graphs and revisions
-    @r.add("o1_reachable", "SELECT 'c' || o_custkey AS id, 1 AS hops FROM orders WHERE o_orderkey < 500 GROUP BY 1 UNION ALL SELECT 'o' || o_orderkey, 0 FROM orders WHERE o_orderkey < 500 UNION ALL SELECT DISTINCT 'n' || c_nationkey, 2 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 500 UNION ALL SELECT DISTINCT 'r' || n_regionkey, 3 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey < 500")
+    @r.add("o1_reachable", "SELECT 'c' || o_custkey AS id, 1 AS hops FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1 UNION ALL SELECT 'o' || o_orderkey, 0 FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT DISTINCT 'n' || c_nationkey, 2 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT DISTINCT 'r' || n_regionkey, 3 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '1-URGENT'")
     def o1(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Objects that some orders reach: customers, nations, regions."""
         ensure_checkpoints(spark)
@@ -271,11 +274,13 @@ def register(r: Registry) -> None:
             .unionByName(table(spark, sf_dir, "customer").select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst")))
             .unionByName(table(spark, sf_dir, "nation").select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst")))
         )
-        return trees.reachable(edges, table(spark, sf_dir, "orders").where("o_orderkey < 500").select(name("o", "o_orderkey").alias("id")))
+        return trees.reachable(edges, table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(name("o", "o_orderkey").alias("id")))
 
-    @r.add("o2_unreferenced", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+    @r.add("o2_unreferenced", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
     def o2(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+        """Customers that no urgent order refers to."""
+        urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+        return table(spark, sf_dir, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
     @r.add("o3_footprint", "SELECT c_nationkey, count(DISTINCT c_custkey) AS n_customers, count(o_orderkey) AS n_orders, round(coalesce(sum(o_totalprice), 0), 2) AS weight FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_nationkey")
     def o3(spark: SparkSession, sf_dir: str) -> DataFrame:

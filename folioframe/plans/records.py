@@ -125,7 +125,7 @@ def register(r: Registry) -> None:
         k = F.col("c_custkey")
         iban = F.concat(F.lit("FR"), F.lpad((k % 97).cast("string"), 2, "0"), F.lpad((k * 7919).cast("string"), 20, "0"))
         rows = table(spark, sf_dir, "customer").select("c_custkey", iban.alias("iban"))
-        return rows.select("c_custkey", "iban", (N.mod97(F.concat(F.substring("iban", 5, 99), F.substring("iban", 1, 4))) == 1).alias("valid"))
+        return rows.select("c_custkey", "iban", (N.mod97(F.concat(F.substr("iban", F.lit(5)), F.substring("iban", 1, 4))) == 1).alias("valid"))
 
     @r.add("p5_social_security", "SELECT c_custkey, 97 - (1000000000000 + c_custkey * 104729) % 97 = c_custkey % 97 + 1 AS valid FROM customer")
     def p5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,20 +333,33 @@ def register(r: Registry) -> None:
         groups = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(6).cast("bigint"))).alias("page"))
         return groups.join(page_table(spark, sf_dir).select("doc", "page"), ["doc", "page"], "left_semi").select("doc", "page", (F.col("page") % 3).alias("part"))
 
-    @r.add("l3_autolink", "WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS t FROM pages), c AS (SELECT page_id, '/' || split_part(trim(regexp_extract(html, '<li><a[^>]*>([^<]*)</a>', 1)), ' ', 1) AS t FROM pages) SELECT count(*) AS n, count(*) FILTER (WHERE (page_id, t) NOT IN (SELECT (page_id, t) FROM h)) AS added FROM c")
+    @r.add(
+        "l3_autolink",
+        """WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS t FROM pages),
+        c AS (SELECT page_id, '/' || split_part(trim(label), ' ', 1) AS t FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a[^>]*>([^<]*)</a>', 1)) AS label FROM pages))
+        SELECT page_id, count(*) AS n, count(*) FILTER (WHERE (page_id, t) NOT IN (SELECT (page_id, t) FROM h)) AS added FROM c GROUP BY page_id""",
+    )
     def l3(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Candidate links of pages, less those that the page has already: found and added."""
+        """Candidate links of each page, one for each entry of its lists, less those that it has already."""
         pages = table(spark, sf_dir, "pages")
         have = search.hrefs(pages).select("page_id", F.col("target").alias("t")).distinct().withColumn("have", F.lit(True))
-        name = F.element_at(F.split(F.trim(F.regexp_extract("html", "<li><a[^>]*>([^<]*)</a>", 1)), " "), 1)
-        found = pages.select("page_id", F.concat(F.lit("/"), name).alias("t")).join(have, ["page_id", "t"], "left")
-        return found.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("have").isNull()).alias("added"))
+        labels = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<li><a[^>]*>([^<]*)</a>"), F.lit(1))).alias("label"))
+        name = F.element_at(F.split(F.trim("label"), " "), 1)
+        found = labels.select("page_id", F.concat(F.lit("/"), name).alias("t")).join(have, ["page_id", "t"], "left")
+        return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("have").isNull()).alias("added"))
 
-    @r.add("k4_subtree_removed", "SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS ord FROM nation WHERE n_regionkey <> 2 AND n_nationkey % 5 <> 1")
+    @r.add(
+        "k4_subtree_removed",
+        f"""WITH RECURSIVE c AS ({COMMENTS_SQL}), g AS (SELECT doc, idx FROM c WHERE idx = 2 UNION ALL SELECT c.doc, c.idx FROM g JOIN c ON c.doc = g.doc AND c.parent = g.idx)
+        SELECT doc, idx, row_number() OVER (PARTITION BY doc, parent ORDER BY idx) AS ord FROM c WHERE (doc, idx) NOT IN (SELECT (doc, idx) FROM g)""",
+    )
     def k4(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Nodes left when a branch (a region) and some leaves are taken out, siblings counted anew."""
-        left = table(spark, sf_dir, "nation").where("n_regionkey <> 2 AND n_nationkey % 5 <> 1")
-        return left.select("n_nationkey", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).cast("bigint").alias("ord"))
+        """Nodes of each tree left when the branch under node 2 is taken out, siblings numbered anew."""
+        ensure_checkpoints(spark)
+        nodes = comments(spark, sf_dir).select("doc", "idx", "parent")
+        out = trees.threads(nodes).where(F.col("path").rlike("(^|/)000000002(/|$)")).select("doc", "idx")
+        left = nodes.join(out, ["doc", "idx"], "left_anti")
+        return left.select("doc", "idx", F.row_number().over(Window.partitionBy("doc", "parent").orderBy("idx")).cast("bigint").alias("ord"))
 
     @r.add("t1_t2_orders", f"SELECT page, l_orderkey, l_linenumber, x0, row_number() OVER (PARTITION BY page ORDER BY y1 DESC, x0, l_orderkey, l_linenumber, x1) AS place FROM ({BOX_SQL})")
     def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,7 +389,9 @@ def register(r: Registry) -> None:
         ensure_checkpoints(spark)
         cx, cy = F.floor(F.col("x") / 8), F.floor(F.col("y") / 8)
         c = pixels(spark, sf_dir).where("r > 200 AND g > 60").select((F.col("image") * 1000 + cx * 10 + cy).alias("id"), "image", cx.alias("cx"), cy.alias("cy")).distinct().checkpoint()
-        q = c.select(F.col("id").alias("b"), "image", F.col("cx").alias("qx"), F.col("cy").alias("qy"))
-        edges = c.join(q, "image").where("abs(cx - qx) <= 1 AND abs(cy - qy) <= 1 AND id < b").select(F.col("id").alias("a"), "b")
+        # each cell meets the nine places around it, so that cells far apart are never paired
+        around = F.array(*[F.struct((F.col("cx") + dx).alias("qx"), (F.col("cy") + dy).alias("qy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+        near = c.select(F.col("id").alias("a"), "image", F.explode(around).alias("q")).select("a", "image", "q.*")
+        edges = near.join(c.select(F.col("id").alias("b"), "image", F.col("cx").alias("qx"), F.col("cy").alias("qy")), ["image", "qx", "qy"]).where("a < b").select("a", "b")
         found = trees.regions(c, edges).join(c, "id")
         return found.groupBy("image", "region").agg(F.count(F.lit(1)).alias("n_cells"), F.min("cx").alias("x0"), F.min("cy").alias("y0"), F.max("cx").alias("x1"), F.max("cy").alias("y1"))

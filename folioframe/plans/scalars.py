@@ -40,10 +40,10 @@ def register(r: Registry) -> None:
 
     @r.add(
         "b3_header_key",
-        f"SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '#', 'g'), '[ \\t]+', ' ', 'g')) AS line_key FROM ({LINES_SQL}) WHERE length(line) <= 80",
+        f"SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '#', 'g'), '[ \\t]+', ' ', 'g')) AS line_key FROM ({LINES_SQL})",
     )
     def b3(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return lines(spark, sf_dir).where(F.length("line") <= 80).select("doc_id", "line_no", T.header_key(F.col("line")).alias("line_key"))
+        return lines(spark, sf_dir).select("doc_id", "line_no", T.header_key(F.col("line")).alias("line_key"))
 
     @r.add(
         "b4_b6_line_shapes",

@@ -39,22 +39,22 @@ def register(r: Registry) -> None:
         "w2_w4_lines_and_words",
         f"""
         SELECT doc, page, line, count(*) AS n_words, string_agg(w, ' ' ORDER BY i) AS text
-        FROM (SELECT doc, page, line, unnest(string_split(row_text, ' ')) AS w, generate_subscripts(string_split(row_text, ' '), 1) AS i FROM ({ROWS_SQL}) WHERE page = 1)
+        FROM (SELECT doc, page, line, unnest(string_split(row_text, ' ')) AS w, generate_subscripts(string_split(row_text, ' '), 1) AS i FROM ({ROWS_SQL}))
         WHERE w <> '' GROUP BY doc, page, line
         """,
     )
     def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Glyphs on a grid, back to words and lines, for the first page of every document."""
-        found = layout.words_of(layout.glyphs(wrapped(spark, sf_dir).where("page = 1")))
+        """Glyphs on a grid, back to words and lines."""
+        found = layout.words_of(layout.glyphs(wrapped(spark, sf_dir)))
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda s: s["text"]), " ")
         return found.groupBy("doc", "page", "line").agg(F.count(F.lit(1)).alias("n_words"), text.alias("text"))
 
     @r.add(
         "w2_glyph_lines",
-        f"SELECT doc, page, count(*) AS n_lines FROM ({ROWS_SQL}) WHERE page = 1 AND length(row_text) > 0 GROUP BY doc, page",
+        f"SELECT doc, page, count(*) AS n_lines FROM ({ROWS_SQL}) WHERE length(row_text) > 0 GROUP BY doc, page",
     )
     def w2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return layout.lines_of(layout.glyphs(wrapped(spark, sf_dir).where("page = 1"))).groupBy("doc", "page").agg(F.max("line_no").alias("n_lines"))
+        return layout.lines_of(layout.glyphs(wrapped(spark, sf_dir))).groupBy("doc", "page").agg(F.max("line_no").alias("n_lines"))
 
     @r.add(
         "w5_upper_median",
@@ -203,12 +203,12 @@ def register(r: Registry) -> None:
         "w17_grid_cells",
         """
         SELECT l_suppkey, floor(l_quantity / 10)::BIGINT AS col, floor(l_discount * 50 + 0.000001)::BIGINT AS row, count(*) AS n, string_agg(l_orderkey || '-' || l_linenumber, ' ' ORDER BY l_orderkey, l_linenumber) AS cell
-        FROM lineitem WHERE l_suppkey < 20 AND l_returnflag = 'R' GROUP BY 1, 2, 3
+        FROM lineitem GROUP BY 1, 2, 3
         """,
     )
     def w17(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Points placed in the cells of a grid, one text for each cell."""
-        rows = table(spark, sf_dir, "lineitem").where("l_suppkey < 20 AND l_returnflag = 'R'")
+        rows = table(spark, sf_dir, "lineitem")
         cell = F.struct("l_orderkey", "l_linenumber")
         text = F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda s: F.concat_ws("-", s["l_orderkey"].cast("string"), s["l_linenumber"].cast("string"))), " ")
         return rows.groupBy("l_suppkey", F.floor(F.col("l_quantity") / 10).alias("col"), F.floor(F.col("l_discount") * 50 + 0.000001).alias("row")).agg(F.count(F.lit(1)).alias("n"), text.alias("cell"))

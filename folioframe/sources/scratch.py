@@ -9,15 +9,18 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset (a local session) a temporary folder is set once."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A new path under spark.checkpoint.dir; where that is unset, see ``ensure_checkpoints``."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-folioframe-"))
+        ensure_checkpoints(spark)
         named = spark.sparkContext.getCheckpointDir()
     return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Have a checkpoint folder set: that of the cluster, or a temporary one in a local session."""
+    """Have a checkpoint folder set: that of the cluster, or a temporary one in a local session (elsewhere an error)."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-folioframe-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-folioframe-"))

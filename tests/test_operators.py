@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import numbers as N
 from folioframe.functions import text as T
 from folioframe.operators import compare, forms, layout, pages, rules, search, trees
+from folioframe.sources.scratch import ensure_checkpoints
 
 
 def one(spark, column, **values):
@@ -135,3 +136,28 @@ def test_forms_and_rules(spark):
     i = rules.issues(spark.range(12).withColumn("doc", F.lit(1)), F.lit(True), 2, "r", "m", page=F.col("id"))
     out = rules.report(i).collect()
     assert len(out) == 9 and [r.message for r in out if r.severity == 0] == ["4 more"]
+
+
+def test_threads_of_any_depth(spark):
+    """A chain of 90 comments, one of which a third of the others answer, and a circle with a comment under it."""
+    rows = [("a", k, k - 1 if k else None) for k in range(90)] + [("a", 100 + k, 50) for k in range(40)] + [("b", 1, 2), ("b", 2, 1), ("b", 3, 2), ("b", 4, 99)]
+    replies = spark.createDataFrame(rows, "doc string, idx long, parent long")
+    ensure_checkpoints(spark)
+    got = {(r.doc, r.idx): (r.root, r.depth, r.path) for r in trees.threads(replies).collect()}
+    assert len(got) == 131 and got["b", 4] == (4, 0, "000000004")
+    assert all(got["a", k] == (0, k, "/".join(f"{i:09}" for i in range(k + 1))) for k in range(90))
+    assert got["a", 139] == (0, 51, got["a", 50][2] + "/000000139")
+
+
+def test_addresses_stand_alone(spark):
+    lines = spark.createDataFrame([(k, t) for k, t in enumerate(["v1.2.3.4567", "1.2.3.4.5", "at 10.0.0.1.", "x10.0.0.1", "(192.168.0.255)", "1.2.3.256", "é1.2.3.4", "1.2.3.4,5.6.7.8"])], "k long, line string")
+    got = sorted((r.k, r.start, r.end, r.hit) for r in search.candidates(lines, ["k"]).where("kind = 'ipv4'").collect())
+    assert got == [(2, 4, 12, "10.0.0.1"), (4, 2, 15, "192.168.0.255"), (7, 1, 8, "1.2.3.4"), (7, 9, 16, "5.6.7.8")]
+
+
+def test_matches_over_line_ends(spark):
+    docs = spark.createDataFrame([(1, "on the\nroad The  road, the\n\nroad the road"), (2, ""), (3, None)], "k long, text string")
+    found = search.find_across_lines(docs, "the road", "k")
+    assert [tuple(r) for r in found.orderBy("match").collect()] == [(1, 1, 4, 12), (1, 2, 34, 42)]
+    lines = docs.select("k", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    assert [tuple(r) for r in search.pieces(found, lines, "k").orderBy("match", "line_no").collect()] == [(1, 1, 0, 4, 7), (1, 1, 1, 1, 5), (1, 2, 3, 6, 14)]
