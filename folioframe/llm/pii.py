@@ -16,6 +16,7 @@ code points, ends exclusive. Only the id and text columns are read, so further c
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -36,7 +37,7 @@ DIGIT = re.compile(r"[0-9]")
 TERM = re.compile(r"[^\W\d_]{2,}")
 #: Terms of a context at most.
 CONTEXT = 64
-#: As many terms are sent to every task at most; beyond that they are joined by shuffle.
+#: As many disclosing terms are sent to every task at most; beyond that they are joined by shuffle.
 SENT_TERMS = 200_000
 
 
@@ -143,18 +144,16 @@ def beside(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "entity string, words bigint, terms array<string>")
 
 
-def term_counts(texts: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-    """(term, n): contexts of each wanted term (None: of all), summed in the tasks; the null term counts all contexts."""
-    sent = texts.sparkSession.sparkContext.broadcast(wanted)
+def term_counts(texts: DataFrame) -> DataFrame:
+    """(term, n): contexts of each term, summed in the tasks; the null term counts all contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, some in _texts(batches):
-            n: dict[str | None, int] = {None: 0}
+            n: Counter[str | None] = Counter()
             for x in some:
                 for terms, _ in contexts(x, base_spans(x)):
                     n[None] += 1
-                    for t in terms if sent.value is None else sent.value.intersection(terms):
-                        n[t] = n.get(t, 0) + 1
+                    n.update(terms)
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
 
     return texts.mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
@@ -174,8 +173,7 @@ def disclosures(docs: DataFrame, own: Tables, text: str = "text", generalise: fl
     apart = near.join(sized(entities.where(F.col("n_words") >= support).select("entity")), "entity").select("entity", "words", F.explode("terms").alias("term"))
     same = apart.groupBy("entity", "term", "words").agg(F.count(F.lit(1)).alias("n"))
     pairs = own.stash(same.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_words")).where(F.col("n_words") >= support).drop("n_words"), "pii-pairs")
-    listed = _listed(pairs.select("term").distinct())
-    counts = own.stash(term_counts(texts, None if listed is None else frozenset(r["term"] for r in listed)), "pii-counts")
+    counts = own.stash(term_counts(texts), "pii-counts")
     n = counts.where("term IS NULL").select(F.col("n").alias("n_contexts"))
     share = F.log(F.col("n_both") * F.col("n_contexts") / (F.col("n_entity") * F.col("n_term"))) / F.log(F.col("n_contexts") / F.col("n_entity"))
     return (
