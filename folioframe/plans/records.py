@@ -179,11 +179,15 @@ def register(r: Registry) -> None:
         source = p.where("page % 2 = 0").select((F.col("doc") - 1).alias("doc"), "page", F.col("body").alias("new"))
         return p.join(source, ["doc", "page"], "left").select("doc", "page", F.coalesce("new", "body").alias("body"))
 
-    @r.add("n2_label_lookup", "SELECT p_brand, min(p_partkey) FILTER (WHERE p_name LIKE '%ring') AS exact, min(p_partkey) FILTER (WHERE lower(p_name) LIKE '%ring') AS any_case FROM part GROUP BY p_brand")
+    wanted = ["II", " 2 ", "annex-a", "zzz"]
+    wanted_sql = ", ".join(f"('{w}')" for w in wanted)
+
+    @r.add("n2_label_lookup", f"SELECT doc, wanted, arg_min(page, page + CASE WHEN label = trim(wanted) THEN 0 ELSE 1000000000 END) AS page FROM ({r.sql['n1_page_labels']}) JOIN (VALUES {wanted_sql}) w(wanted) ON lower(label) = lower(trim(wanted)) GROUP BY doc, wanted")
     def n2(spark: SparkSession, sf_dir: str) -> DataFrame:
-        name = F.col("p_name")
-        first = lambda c: F.min(F.when(c.endswith("ring"), F.col("p_partkey")))
-        return table(spark, sf_dir, "part").groupBy("p_brand").agg(first(name).alias("exact"), first(F.lower(name)).alias("any_case"))
+        """The page of each document that a label names: the same letters first, then whatever their case; the first page wins."""
+        asked = spark.createDataFrame([(w, w.strip().lower()) for w in wanted], "wanted string, k string")
+        hits = r.queries["n1_page_labels"](spark, sf_dir).join(F.broadcast(asked), F.lower("label") == F.col("k"))
+        return hits.groupBy("doc", "wanted").agg(F.min_by("page", F.struct(F.col("label") != F.trim("wanted"), F.col("page"))).alias("page"))
 
     @r.add("n3_range_clean_up", "SELECT doc, first_page, style FROM (SELECT doc, first_page, arg_min(style, k) AS style FROM (SELECT o_custkey AS doc, o_orderkey % 5 AS first_page, o_orderpriority AS style, o_orderkey AS k FROM orders) GROUP BY doc, first_page) UNION ALL SELECT o_custkey, 0, 'D' FROM orders GROUP BY o_custkey HAVING min(o_orderkey % 5) > 0")
     def n3(spark: SparkSession, sf_dir: str) -> DataFrame:
