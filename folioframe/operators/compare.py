@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +49,19 @@ def near_pairs(bags: DataFrame, threshold: float = 0.5) -> DataFrame:
     return dice_of_pairs(pairs, bags).where(F.col("dice") >= threshold)
 
 
+def near_links(docs: DataFrame, bags: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(a, b, dice), a < b: near pairs of different bags, and each document of an equal bag linked to the first of its class.
+
+    ``docs`` is (doc), also of documents without words, which are one class. A class stands in pairs by its smallest
+    document, so that a group of n copies gives n - 1 links and not all pairs of it.
+    """
+    keys = bags.groupBy("doc").agg(F.md5(F.to_json(F.array_sort(F.collect_list(F.struct("word", "n")))).cast("binary")).alias("bag"))
+    keyed = docs.select("doc").distinct().join(keys, "doc", "left").withColumn("bag", F.coalesce("bag", F.lit("")))
+    first = keyed.groupBy("bag").agg(F.min("doc").alias("a"))
+    copies = keyed.join(first, "bag").where(F.col("doc") > F.col("a")).select("a", F.col("doc").alias("b"), F.lit(1.0).alias("dice"))
+    return near_pairs(bags.join(first.select(F.col("a").alias("doc")), "doc", "left_semi"), threshold).unionByName(copies)
+
+
 def anchors(tokens: DataFrame) -> DataFrame:
     """(pair, word, old_pos, new_pos): words that stand exactly once on either side (pair, side, pos, word)."""
     once = tokens.groupBy("pair", "side", "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos")).where("n = 1")
@@ -76,29 +90,65 @@ def anchor_chain(found: DataFrame) -> DataFrame:
     return found.groupBy("pair").applyInPandas(chain, found.schema)
 
 
-def word_diff(tokens: DataFrame, chain: DataFrame) -> DataFrame:
+def common_subsequence(old: list[str], new: list[str]) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence, by a table of its lengths."""
+    size = np.zeros((len(old) + 1, len(new) + 1), dtype=np.int32)
+    codes = {w: k for k, w in enumerate(dict.fromkeys(old + new))}
+    b = np.array([codes[w] for w in new])
+    for i in range(len(old) - 1, -1, -1):
+        # taking a word of the new side or leaving it; what is left of a row is its running maximum from the right
+        take = np.where(b == codes[old[i]], size[i + 1, 1:] + 1, size[i + 1, :-1])
+        size[i, :-1] = np.maximum.accumulate(np.maximum(take, size[i + 1, :-1])[::-1])[::-1]
+    i, j, out = 0, 0, []
+    while i < len(old) and j < len(new):
+        if old[i] == new[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif size[i + 1, j] >= size[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def word_diff(tokens: DataFrame, chain: DataFrame, most_cells: int = 4_000_000) -> DataFrame:
     """(pair, kind, old_text, new_text, at): removed, added and replaced runs between the anchors of a pair.
 
-    Anchors cut a pair into gaps; equal heads and tails of a gap are stripped, and what is left is one change.
+    Anchors cut a pair into gaps; equal heads and tails of a gap are stripped, and a longest common subsequence cuts what
+    is left into changes. A gap whose table would exceed ``most_cells`` is one change. ``at`` orders a pair's changes.
     """
     w = Window.partitionBy("pair", "side").orderBy("pos")
     marks = chain.select("pair", F.explode(F.array(F.struct(F.lit("old").alias("side"), F.col("old_pos").alias("pos")), F.struct(F.lit("new").alias("side"), F.col("new_pos").alias("pos")))).alias("m")).select("pair", "m.side", "m.pos", F.lit(1).alias("anchor"))
     placed = tokens.join(marks, ["pair", "side", "pos"], "left").withColumn("gap", F.sum(F.coalesce("anchor", F.lit(0))).over(w))
     rest = placed.where("anchor IS NULL")
     text = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "word")))), lambda s: s["word"])
-    gaps = rest.groupBy("pair", "gap").agg(text("old").alias("o"), text("new").alias("n"))
-    least = F.least(F.size("o"), F.size("n"))
-
-    def same(a, b):
-        flags = F.transform(F.sequence(F.lit(1), F.greatest(F.col("least"), F.lit(1))), lambda i: F.when(F.col("least") == 0, False).otherwise(F.get(a, i - 1) == F.get(b, i - 1)))
-        first = F.array_position(flags, False)
-        return F.when(first == 0, F.col("least")).otherwise(first - 1).cast("int")
-
-    cut = gaps.withColumn("least", least).withColumn("head", same(F.col("o"), F.col("n"))).withColumn("tail", F.least(same(F.reverse("o"), F.reverse("n")), F.col("least") - F.col("head")))
-    part = lambda c: F.array_join(F.slice(c, F.col("head") + 1, F.greatest(F.size(c) - F.col("head") - F.col("tail"), F.lit(0))), " ")
-    out = cut.select("pair", F.col("gap").alias("at"), part("o").alias("old_text"), part("n").alias("new_text")).where("old_text <> '' OR new_text <> ''")
-    kind = F.when(F.col("old_text") == "", "added").when(F.col("new_text") == "", "removed").otherwise("replaced")
-    return out.select("pair", kind.alias("kind"), "old_text", "new_text", "at")
+    gaps = rest.groupBy("pair", "gap").agg(text("old").alias("o"), text("new").alias("n")).where("o <> n")
+
+    def changes(batches):
+        for batch in batches:
+            out = []
+            for pair, gap, o, n in zip(batch["pair"], batch["gap"], batch["o"], batch["n"], strict=True):
+                old, new = list(o), list(n)
+                head = 0
+                while head < min(len(old), len(new)) and old[head] == new[head]:
+                    head += 1
+                tail = 0
+                while tail < min(len(old), len(new)) - head and old[-1 - tail] == new[-1 - tail]:
+                    tail += 1
+                old, new = old[head : len(old) - tail], new[head : len(new) - tail]
+                kept = common_subsequence(old, new) if len(old) * len(new) <= most_cells else []
+                i = j = 0
+                for k, m in [*kept, (len(old), len(new))]:
+                    if i < k or j < m:
+                        kind = "added" if i == k else "removed" if j == m else "replaced"
+                        out.append((pair, kind, " ".join(old[i:k]), " ".join(new[j:m]), gap, head + i, head + j))
+                    i, j = k + 1, m + 1
+            yield pd.DataFrame(out, columns=["pair", "kind", "old_text", "new_text", "gap", "i", "j"])
+
+    kind = tokens.schema["pair"].dataType.simpleString()
+    found = gaps.mapInPandas(changes, f"pair {kind}, kind string, old_text string, new_text string, gap long, i long, j long")
+    at = F.row_number().over(Window.partitionBy("pair").orderBy("gap", "i", "j"))
+    return found.withColumn("at", at.cast("bigint")).select("pair", "kind", "old_text", "new_text", "at")
 
 
 def moved(removed: DataFrame, added: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.operators import ranges
+
 FILLABLE = ["text", "check", "radio", "choice"]
 
 
@@ -24,9 +26,10 @@ def reset(fields: DataFrame) -> DataFrame:
 
 
 def merged_names(fields: DataFrame) -> DataFrame:
-    """With ``new_name``: the k-th document that uses a name gets name_k, from the second on."""
-    k = F.row_number().over(Window.partitionBy("name").orderBy("doc"))
-    return fields.withColumn("new_name", F.when(k == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), k.cast("string"))))
+    """With ``new_name``: the k-th document (a number) that uses a name gets name_k, from the second on."""
+    k = F.col("_k")
+    placed = ranges.row_numbers(fields, ["name"], ["doc"], "doc", "_k", ranges.range_bounds(fields, "doc"))
+    return placed.withColumn("new_name", F.when(k == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), k.cast("string")))).drop("_k")
 
 
 def latest_state(states: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioframe.operators import ranges
+
 
 def renumber(pages: DataFrame, order: list, doc: str = "doc", page: str = "page") -> DataFrame:
     """Pages counted anew from 1 within each document."""
@@ -45,24 +47,21 @@ def parts_by_size(pages: DataFrame, most: int, weight: str = "weight") -> DataFr
     return listed.select("doc", F.explode(F.aggregate("ps", start, put, lambda acc: acc["out"])).alias("x")).select("doc", "x.page", "x.part")
 
 
-def number_across(docs: DataFrame, order: Column, pages: str = "n_pages", start: int = 1, part_rows: int = 1000) -> DataFrame:
+def number_across(docs: DataFrame, order: Column, pages: str = "n_pages", start: int = 1, part_rows: int = 1_000_000) -> DataFrame:
     """With ``first`` and ``last`` numbers, each document going on where the one before stopped.
 
-    ``order`` is a dense integer order of the documents. Sums of ranges of that order are added up first, so that no
-    window holds all documents; only one row for each range stands together.
+    ``order`` is a number for each document, dense or not; ranges of it of about ``part_rows`` documents are summed first.
     """
-    part = F.floor(order / part_rows)
-    sums = docs.groupBy(part.alias("_part")).agg(F.sum(pages).alias("_sum"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = docs.withColumn("_part", part).withColumn("_upto", F.sum(pages).over(w)).join(before, "_part")
-    last = F.col("_before") + F.col("_upto") + (start - 1)
-    return placed.withColumn("last", last).withColumn("first", last - F.col(pages) + 1).drop("_part", "_upto", "_before")
+    ordered = docs.withColumn("_order", order).withColumn("_all", F.lit(0))
+    bounds = ranges.range_bounds(ordered, "_order", part_rows)
+    last = F.col("_last") + (start - 1)
+    out = ranges.running(ordered, ["_all"], ["_order"], "_order", F.col(pages), "_last", bounds)
+    return out.withColumn("last", last).withColumn("first", last - F.col(pages) + 1).drop("_order", "_all", "_last")
 
 
-def labels(pages: DataFrame, ranges: DataFrame) -> DataFrame:
+def labels(pages: DataFrame, spans: DataFrame) -> DataFrame:
     """With the range (style, prefix, start, first_page) that holds for each page: the last that starts at or before it."""
-    marks = ranges.select("doc", F.col("first_page").alias("page"), F.struct("style", "prefix", "start", "first_page").alias("_range"))
+    marks = spans.select("doc", F.col("first_page").alias("page"), F.struct("style", "prefix", "start", "first_page").alias("_range"))
     joined = pages.join(marks, ["doc", "page"], "left")
     w = Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn("range", F.last("_range", ignorenulls=True).over(w)).drop("_range")

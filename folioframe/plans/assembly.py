@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import numbers as N
 from folioframe.functions.text import safe_file_name, words
-from folioframe.operators import compare, pages
+from folioframe.operators import compare, pages, ranges
 from folioframe.plans import Registry
 from folioframe.plans.scalars import LINES_SQL, lines
 from folioframe.plans.structure import ROWS_SQL, WORDS_SQL, wrapped
@@ -57,12 +57,16 @@ def register(r: Registry) -> None:
         "d2_near_pairs",
         f"""
         WITH b AS ({bags_sql}), t AS (SELECT doc, sum(n) AS total FROM b GROUP BY doc),
-        s AS (SELECT x.doc AS a, y.doc AS b, sum(least(x.n, y.n)) AS shared FROM b x JOIN b y ON x.word = y.word AND x.doc < y.doc GROUP BY 1, 2)
-        SELECT a, b, round(2 * shared::DOUBLE / (u.total + v.total), 9) AS dice FROM s JOIN t u ON u.doc = a JOIN t v ON v.doc = b WHERE 2 * shared::DOUBLE / (u.total + v.total) >= 0.8
+        s AS (SELECT x.doc AS a, y.doc AS b, sum(least(x.n, y.n)) AS shared FROM b x JOIN b y ON x.word = y.word AND x.doc < y.doc GROUP BY 1, 2),
+        k AS (SELECT doc_id AS doc, coalesce(bag, '') AS bag FROM documents LEFT JOIN (SELECT doc, string_agg(word || ':' || n, ' ' ORDER BY word) AS bag FROM b GROUP BY doc) ON doc = doc_id), f AS (SELECT bag, min(doc) AS a FROM k GROUP BY bag)
+        SELECT a, b, round(2 * shared::DOUBLE / (u.total + v.total), 9) AS dice FROM s JOIN t u ON u.doc = a JOIN t v ON v.doc = b WHERE 2 * shared::DOUBLE / (u.total + v.total) >= 0.8 AND a IN (SELECT a FROM f) AND b IN (SELECT a FROM f)
+        UNION ALL SELECT a, doc, 1.0 FROM k JOIN f USING (bag) WHERE doc > a
         """,
     )
     def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return compare.near_pairs(bags(spark, sf_dir), 0.8).withColumn("dice", F.round("dice", 9))
+        """Near pairs of different word bags, and copies with the first of their class."""
+        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"))
+        return compare.near_links(docs, bags(spark, sf_dir), 0.8).withColumn("dice", F.round("dice", 9))
 
     @r.add(
         "d5_common_prefix",
@@ -125,6 +129,20 @@ def register(r: Registry) -> None:
         found = compare.moved(rows.where("side = 0"), rows.where("side = 1"), ["pair"]).where("old_at <> new_at")
         return found.select("pair", F.md5(F.col("key").cast("binary")).alias("key_md5"), "old_at", "new_at")
 
+    @r.add(
+        "d11_change_counts",
+        f"""
+        WITH d AS ({r.sql['d9_line_diff']}), m AS (SELECT pair, count(*) AS moved FROM ({r.sql['d10_moved_lines']}) GROUP BY pair), c AS (SELECT pair, coalesce(sum(n) FILTER (WHERE kind = 'added'), 0)::BIGINT AS added, coalesce(sum(n) FILTER (WHERE kind = 'removed'), 0)::BIGINT AS removed FROM d GROUP BY pair)
+        SELECT pair, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed, least(coalesce(added, 0), coalesce(removed, 0)) AS replaced, coalesce(moved, 0) AS moved FROM c FULL JOIN m USING (pair)
+        """,
+    )
+    def d11c(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Lines added, removed and moved between neighbouring documents; as many are replaced as are both added and removed."""
+        changes = r.queries["d9_line_diff"](spark, sf_dir)
+        n = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(kind)
+        both = changes.groupBy("pair").agg(n("added"), n("removed")).join(r.queries["d10_moved_lines"](spark, sf_dir).groupBy("pair").agg(F.count(F.lit(1)).alias("moved")), "pair", "full")
+        return both.na.fill(0, ["added", "removed", "moved"]).select("pair", "added", "removed", F.least("added", "removed").alias("replaced"), "moved")
+
     sim_sql = f"""SELECT o.doc - o.doc % 2 AS pair, o.page AS old_page, n.page AS new_page, o.body = n.body AS same, abs(o.weight - n.weight)::BIGINT AS d FROM ({PAGES_SQL}) o JOIN ({PAGES_SQL}) n ON o.doc + 1 = n.doc AND o.doc % 2 = 0"""
 
     def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +201,8 @@ def register(r: Registry) -> None:
         """Pages of all documents of a source in one run."""
         docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source")
         p = page_table(spark, sf_dir).select("doc", F.col("page").alias("old_page")).join(docs, "doc")
-        return p.select("source", F.row_number().over(Window.partitionBy("source").orderBy("doc", "old_page")).cast("long").alias("page"), "doc", "old_page")
+        bounds = ranges.range_bounds(docs, "doc", 100_000)
+        return ranges.row_numbers(p, ["source"], ["doc", "old_page"], "doc", "page", bounds).select("source", "page", "doc", "old_page")
 
     @r.add("g4_delete", f"SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY page) AS page, body FROM ({PAGES_SQL}) p WHERE page % 3 <> 1 OR doc IN (SELECT doc FROM ({PAGES_SQL}) GROUP BY doc HAVING count(*) = 1)")
     def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,13 +290,13 @@ def register(r: Registry) -> None:
         doc = F.col("doc_id").alias("doc")
         docs = table(spark, sf_dir, "documents")
         rows = [("r", "", 1, "doc_id >= 0"), ("D", "", 3, "doc_id % 2 = 0"), ("A", "Annex-", 6, "doc_id % 3 = 0")]
-        ranges = None
+        spans = None
         for style, prefix, first, where in rows:
             some = docs.where(where).select(doc, F.lit(first).cast("long").alias("first_page"), F.lit(style).alias("style"), F.lit(prefix).alias("prefix"), F.lit(1).alias("start"))
-            ranges = some if ranges is None else ranges.unionByName(some)
+            spans = some if spans is None else spans.unionByName(some)
         n = F.col("range.start") + F.col("page") - F.col("range.first_page")
         label = F.when(F.col("range.style") == "D", n.cast("string")).when(F.col("range.style") == "A", N.letters(n, "A")).otherwise(F.lower(N.roman(n)))
-        return pages.labels(page_table(spark, sf_dir).select("doc", "page"), ranges).select("doc", "page", F.concat("range.prefix", label).alias("label"))
+        return pages.labels(page_table(spark, sf_dir).select("doc", "page"), spans).select("doc", "page", F.concat("range.prefix", label).alias("label"))
 
     @r.add("n4_bates", f"SELECT doc, page, 'B' || lpad((row_number() OVER (PARTITION BY doc ORDER BY page) + 99)::VARCHAR, 6, '0') AS bates FROM ({PAGES_SQL}) WHERE page % 2 = 1")
     def n4(spark: SparkSession, sf_dir: str) -> DataFrame:

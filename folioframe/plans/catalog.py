@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folioframe.plans import Registry, assembly, audits, finding, models, records, scalars, streams, structure
+from folioframe.plans import Registry, addresses, assembly, audits, finding, models, records, scalars, streams, structure
 
 REGISTRY = Registry()
-for _module in (structure, scalars, finding, assembly, models, records, streams, audits):
+for _module in (structure, scalars, finding, assembly, models, records, streams, audits, addresses):
     _module.register(REGISTRY)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions.text import words
-from folioframe.operators import forms, rules, trees
+from folioframe.operators import forms, ranges, rules, trees
 from folioframe.plans import Registry
 from folioframe.plans.scalars import LINES_SQL, lines
 from folioframe.plans.structure import WORDS_SQL
@@ -298,7 +298,8 @@ def register(r: Registry) -> None:
         """New ids of referred objects within a document (nation); references to those left behind are null."""
         used = table(spark, sf_dir, "orders").select("o_custkey").distinct()
         kept = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").join(used, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
-        ids = kept.select("c_custkey", (F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) + 1000).cast("long").alias("new_ref"))
+        placed = ranges.row_numbers(kept.select("c_nationkey", "c_custkey"), ["c_nationkey"], ["c_custkey"], "c_custkey", "k", ranges.range_bounds(table(spark, sf_dir, "customer"), "c_custkey"))
+        ids = placed.select("c_custkey", (F.col("k") + 1000).alias("new_ref"))
         return table(spark, sf_dir, "orders").join(ids, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "new_ref")
 
     # orders

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import numbers as N
 from folioframe.functions import text as T
-from folioframe.operators import compare, forms, layout, pages, rules, search, trees
+from folioframe.operators import compare, forms, layout, pages, ranges, rules, search, trees, uris
+from folioframe.plans.records import nearest
 from folioframe.sources.scratch import ensure_checkpoints
 
 
@@ -161,3 +162,70 @@ def test_matches_over_line_ends(spark):
     assert [tuple(r) for r in found.orderBy("match").collect()] == [(1, 1, 4, 12), (1, 2, 34, 42)]
     lines = docs.select("k", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     assert [tuple(r) for r in search.pieces(found, lines, "k").orderBy("match", "line_no").collect()] == [(1, 1, 0, 4, 7), (1, 1, 1, 1, 5), (1, 2, 3, 6, 14)]
+
+
+def test_addresses(spark):
+    def found(*texts):
+        rows = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "page long, line_no long, line string")
+        return [r.uri for r in uris.joined(rows, ["page"], "line_no").orderBy("line_no", "k").collect()]
+
+    assert found("Voir https://exemple.test/page.") == ["https://exemple.test/page"]
+    assert found("https://exemple.test/wiki/Test_(page)", "(voir https://exemple.test/a)") == ["https://exemple.test/wiki/Test_(page)", "https://exemple.test/a"]
+    assert found("WWW.Exemple.Test", "www.fr", "nowww.exemple.test", None, "", "http://.", "mailto:x") == ["https://WWW.Exemple.Test"]
+    assert found("https://exemple.test/", "partie-2/index.html suite") == ["https://exemple.test/partie-2/index.html"]
+    assert found("https://exemple.test/", "Introduction") == ["https://exemple.test/"]
+    assert found("https://a.test/x mailto:me@b.test, http://localhost:80/y?") == ["https://a.test/x", "mailto:me@b.test", "http://localhost:80/y"]
+
+
+def test_row_numbers_of_sparse_orders(spark):
+    rows = [(None if k % 3 == 0 else k % 2, 7 ** (k % 17) * 1000 + k) for k in range(300)]
+    df = spark.createDataFrame(rows, "key long, ord long")
+    bounds = ranges.range_bounds(df, "ord", 20)
+    assert len(bounds) > 5
+    got = {(r.key, r.ord): r.n for r in ranges.row_numbers(df, ["key"], ["ord"], "ord", "n", bounds).collect()}
+    for key in (None, 0, 1):
+        for n, o in enumerate(sorted(o for k, o in rows if k == key), 1):
+            assert got[key, o] == n
+
+
+def test_nearest_in_blocks(spark):
+    rows = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(6)], "vec_id long, embedding array<float>")
+    marks = spark.createDataFrame([(k, [k * 1.1, 1.0]) for k in range(7)], "label int, m array<double>")
+    whole, blocks = ([tuple(r) for r in nearest(rows, marks, block=b).orderBy("vec_id", "k").collect()] for b in (100, 2))
+    assert whole == blocks and [r[1] for r in whole if r[2] == 1] == [0, 1, 2, 3, 4, 5]
+    assert nearest(rows, marks.limit(0)).count() == 0
+
+
+def test_near_links_keep_classes(spark):
+    docs = [(1, "a b c d".split()), (2, "d c b a".split()), (3, "a b c d e".split()), (4, []), (5, []), (6, "a b c d".split()), (7, ["z"])]
+    df = spark.createDataFrame(docs, "doc_id long, words array<string>")
+    got = sorted((r.a, r.b, round(r.dice, 3)) for r in compare.near_links(df.select(F.col("doc_id").alias("doc")), compare.word_bags(df), 0.8).collect())
+    assert got == [(1, 2, 1.0), (1, 3, 0.889), (1, 6, 1.0), (4, 5, 1.0)]
+
+
+def test_word_diff_rebuilds_the_new_text(spark):
+    import random
+
+    r = random.Random(3)
+    texts = [([r.choice("abcdef") for _ in range(r.randint(0, 14))], [r.choice("abcdef") for _ in range(r.randint(0, 14))]) for _ in range(25)]
+    rows = [(p, side, k, w) for p, both in enumerate(texts) for side, t in zip(("old", "new"), both) for k, w in enumerate(t, 1)]
+    t = spark.createDataFrame(rows, "pair long, side string, pos long, word string")
+    changed = {}
+    for x in compare.word_diff(t, compare.anchor_chain(compare.anchors(t))).collect():
+        changed.setdefault(x.pair, [0, 0])
+        changed[x.pair][0] += len(x.old_text.split())
+        changed[x.pair][1] += len(x.new_text.split())
+        assert {"added": (x.old_text == "") and x.new_text != "", "removed": (x.new_text == "") and x.old_text != "", "replaced": x.old_text != "" and x.new_text != ""}[x.kind]
+    for p, (old, new) in enumerate(texts):
+        gone, come = changed.get(p, (0, 0))
+        # what stays is a common subsequence: as many words on either side
+        assert len(old) - gone == len(new) - come >= 0
+
+    for old, new in texts:
+        pairs = compare.common_subsequence(old, new)
+        assert all(old[i] == new[j] for i, j in pairs) and pairs == sorted(pairs)
+        best = [[0] * (len(new) + 1) for _ in range(len(old) + 1)]
+        for i in range(len(old)):
+            for j in range(len(new)):
+                best[i + 1][j + 1] = best[i][j] + 1 if old[i] == new[j] else max(best[i][j + 1], best[i + 1][j])
+        assert len(pairs) == best[-1][-1]
