@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioframe.functions import numbers as N
+
 #: Patterns of personal data.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -13,6 +15,20 @@ PATTERNS = {
     "digits": r"[0-9](?:[ -]?[0-9]){12,18}",
 }
 
+#: Months of French dates, and what stands in identifiers.
+MONTHS = "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split()
+_GAP, _S = r"[ \x{A0}]?", r"[ ./\x{A0}\x{202F}-]?"
+_DATE = "|".join(rf"[0-9]{{1,2}}{s}[0-9]{{1,2}}{s}(?:[0-9]{{4}}|[0-9]{{2}})" for s in ("/", "-", r"\."))
+#: French phone numbers, account and social-security numbers, and dates. No letter or digit stands before them.
+NATIONAL = {
+    "phone_fr": rf"(?:\+(?:0{_S}0{_S})?3{_S}3|0{_S}0{_S}3{_S}3|0){_S}[1-9](?:{_S}[0-9]){{8}}",
+    "iban": rf"[A-Z]{{2}}[0-9]{{2}}(?:{_GAP}[A-Za-z0-9]){{11,30}}",
+    "nir": rf"[12](?:{_GAP}[0-9]){{4}}{_GAP}[0-9ABab](?:{_GAP}[0-9]){{9}}",
+    "date_fr": rf"{_DATE}|[0-9]{{1,2}}(?:[eE][rR])? (?i:{'|'.join(MONTHS)}) [0-9]{{4}}",
+}
+#: What must not follow them; an account number may run on, as its key says where it ends.
+NOT_AFTER = {"phone_fr": rf"{_S}[0-9]|[\p{{L}}\p{{N}}]", "iban": None, "nir": r"[\p{L}\p{N}]", "date_fr": r"[\p{L}\p{N}]"}
+
 
 def starts(text: Column, parts: Column) -> Column:
     """Where each of ``parts``, the matches of a text in order, starts (from 1)."""
@@ -34,6 +50,38 @@ def find(lines: DataFrame, pattern: str, keys: list[str], text: str = "line") ->
     return both.select(*keys, F.col("m.start").alias("start"), (F.col("m.start") + F.length("m.hit")).alias("end"), F.col("m.hit").alias("hit"))
 
 
+def find_anywhere(lines: DataFrame, pattern: str, after: str | None, keys: list[str], text: str = "line") -> DataFrame:
+    """(keys, start, hit): what a pattern matches from every place that no letter or digit precedes; matches may overlap."""
+    form = rf"(?<![\p{{L}}\p{{N}}])(?=({pattern}){f'(?!{after})' if after else ''})"
+    rows = lines.where(F.col(text).rlike(form)).withColumn("_hits", F.regexp_extract_all(text, F.lit(form), F.lit(1))).withColumn("_gaps", F.split(text, form, -1))
+    # a match at the very start leaves no empty gap before it
+    gaps = F.when(F.size("_gaps") == F.size("_hits"), F.concat(F.array(F.lit("")), F.col("_gaps"))).otherwise(F.col("_gaps"))
+    start = F.transform("_hits", lambda h, k: 1 + F.aggregate(F.slice(gaps, F.lit(1), k + 1), F.lit(0), lambda n, g: n + F.length(g)))
+    return rows.select(*keys, F.explode(F.arrays_zip(start.alias("start"), F.col("_hits").alias("hit"))).alias("m")).select(*keys, "m.start", "m.hit")
+
+
+def national(lines: DataFrame, keys: list[str], text: str = "line") -> DataFrame:
+    """(keys, kind, start, end, hit): French phone, account and social-security numbers and dates, each with its check."""
+    out = None
+    for kind, pattern in NATIONAL.items():
+        some = find_anywhere(lines, pattern, NOT_AFTER[kind], keys, text).withColumn("kind", F.lit(kind))
+        plain = F.upper(F.regexp_replace("hit", r"[ \x{A0}]", ""))
+        if kind == "iban":
+            # the longest head whose key is right; then back to the blanks of the text
+            key = lambda n: N.mod97(F.concat(F.substring(plain, F.lit(5), n - 4), F.substring(plain, 1, 4))) == 1
+            size = F.get(F.filter(F.sequence(F.length(plain), F.lit(15), F.lit(-1)), key), 0)
+            some = some.withColumn("_n", size).where("_n IS NOT NULL").withColumn("hit", F.call_function("regexp_extract", F.col("hit"), F.concat(F.lit(r"^(?:[ \x{A0}]?[A-Za-z0-9]){"), F.col("_n").cast("string"), F.lit("}")), F.lit(0))).drop("_n")
+        if kind == "nir":
+            digits = F.replace(F.replace(F.substring(plain, 1, 13), F.lit("2A"), F.lit("19")), F.lit("2B"), F.lit("18"))
+            some = some.where(97 - digits.cast("bigint") % 97 == F.substring(plain, 14, 2).cast("int"))
+        if kind == "date_fr":
+            part = lambda p: F.regexp_extract("hit", p, 1).try_cast("int")
+            month, year = F.coalesce(part("^[0-9]+[/.-]([0-9]+)"), F.lit(1)), F.regexp_extract("hit", "([0-9]+)$", 1)
+            some = some.where(part("^([0-9]+)").between(1, 31) & month.between(1, 12) & ((F.length(year) == 2) | year.try_cast("int").between(1000, 3000)))
+        out = some if out is None else out.unionByName(some)
+    return out.select(*keys, "kind", "start", (F.col("start") + F.length("hit")).alias("end"), "hit")
+
+
 def find_across_lines(docs: DataFrame, needle: str, key: str, text: str = "text") -> DataFrame:
     """(key, match, start, end): non-overlapping occurrences of ``needle`` in whole texts, whatever their case.
 
@@ -61,7 +109,7 @@ def pieces(matches: DataFrame, lines: DataFrame, key: str, line: str = "line") -
 
 def candidates(lines: DataFrame, keys: list[str], text: str = "line") -> DataFrame:
     """(keys, kind, start, end, hit): the matches of all patterns, checked where the kind has a check."""
-    out = None
+    out = national(lines, keys, text)
     for kind, pattern in PATTERNS.items():
         some = find(lines, pattern, keys, text).withColumn("kind", F.lit(kind))
         if kind == "ipv4":
@@ -70,7 +118,7 @@ def candidates(lines: DataFrame, keys: list[str], text: str = "line") -> DataFra
             some = some.where(F.forall(F.split("hit", r"\."), lambda p: p.cast("int") <= 255)).withColumn("end", F.col("start") + F.length("hit"))
         if kind == "digits":
             some = some.where(F.call_function("luhn_check", F.translate("hit", " -", "")))
-        out = some if out is None else out.unionByName(some)
+        out = out.unionByName(some)
     return out
 
 

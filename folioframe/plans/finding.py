@@ -24,7 +24,41 @@ def _hits_sql(pattern: str) -> str:
     ) SELECT doc_id, line_no, start::INT AS start, (start + length(hit))::INT AS "end", hit FROM m WHERE hit IS NOT NULL"""
 
 
+#: One line of text about each customer, with numbers written from its key, some of them wrong.
+TELLING = """concat('Client ', k, ', tel. ', CASE k % 4 WHEN 0 THEN concat('0', 1 + k % 9, ' ', lpad(CAST(k * 7919 % 100000000 AS STRING), 8, '0')) WHEN 1 THEN concat('+33 6', lpad(CAST(k * 7919 % 100000000 AS STRING), 8, '0'))
+    WHEN 2 THEN concat('0033-7', lpad(CAST(k * 7919 % 100000000 AS STRING), 8, '0'), '1') ELSE concat('12 0', 1 + k % 9, lpad(CAST(k * 7919 % 100000000 AS STRING), 8, '0')) END,
+    ', IBAN FR', lpad(CAST(CASE WHEN k % 2 = 0 THEN 98 - (k * 7919 * 1000000 + 152700) % 97 ELSE k % 97 END AS STRING), 2, '0'), ' ', lpad(CAST(k * 7919 AS STRING), 20, '0'), ' ok, no ',
+    1000000000000 + k * 104729, ' ', lpad(CAST(CASE WHEN k % 3 = 0 THEN 97 - (1000000000000 + k * 104729) % 97 ELSE k % 97 END AS STRING), 2, '0'), ', le ', 1 + k % 33, CASE k % 3 WHEN 0 THEN concat('/', 1 + k % 13, '/20', 10 + k % 80) WHEN 1 THEN concat(' mars ', 900 + k % 2200) ELSE concat('.', 1 + k % 13, '.', 10 + k % 80) END, '.')"""
+TELLING_SQL = f"(SELECT k AS doc_id, 1 AS line_no, {TELLING} AS line FROM (SELECT c_custkey AS k FROM customer))"
+
+
+def _national_sql(source: str) -> str:
+    """Every place of the lines that no letter or digit precedes is tried, with the check of the kind."""
+    compact = "upper(regexp_replace(hit, '[ \\x{A0}]', '', 'g'))"
+    fold = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(c[5:n] || c[1:4], ''), lambda ch: CASE WHEN ch BETWEEN '0' AND '9' THEN (ascii(ch) - 48)::BIGINT ELSE (ascii(ch) - 55)::BIGINT END)), lambda a, x: CASE WHEN x < 10 THEN (a * 10 + x) % 97 ELSE (a * 100 + x) % 97 END)"
+    parts = []
+    for kind, pattern in search.NATIONAL.items():
+        after = search.NOT_AFTER[kind]
+        hits = f"""SELECT doc_id, line_no, i AS start, regexp_extract(line[i:], '^(?:{pattern})') AS hit, line FROM (SELECT doc_id, line_no, line, unnest(list_filter(range(1, length(line) + 1), lambda i: (i = 1 OR NOT regexp_matches(line[i - 1:i - 1], '[\\p{{L}}\\p{{N}}]')) AND regexp_matches(line[i:], '^(?:{pattern})'))) AS i FROM ({source}) WHERE regexp_matches(line, '{pattern}'))"""
+        if after:
+            hits = f"SELECT * FROM ({hits}) WHERE NOT regexp_matches(line[start + length(hit):], '^(?:{after})')"
+        if kind == "iban":
+            hits = f"""SELECT doc_id, line_no, start, regexp_extract(hit, '^(?:[ \\x{{A0}}]?[A-Za-z0-9]){{' || n || '}}') AS hit FROM (SELECT doc_id, line_no, start, any_value(hit) AS hit, max(n) AS n FROM (SELECT *, {compact} AS c FROM ({hits})), (SELECT unnest(range(15, 35)) AS n) WHERE n <= length(c) AND {fold} = 1 GROUP BY ALL)"""
+        if kind == "nir":
+            hits = f"SELECT * FROM ({hits}) WHERE 97 - replace(replace({compact}[1:13], '2A', '19'), '2B', '18')::BIGINT % 97 = {compact}[14:15]::INT"
+        if kind == "date_fr":
+            hits = f"SELECT * FROM ({hits}) WHERE regexp_extract(hit, '^([0-9]+)', 1)::INT BETWEEN 1 AND 31 AND coalesce(TRY_CAST(regexp_extract(hit, '^[0-9]+[/.-]([0-9]+)', 1) AS INT), 1) BETWEEN 1 AND 12 AND (length(regexp_extract(hit, '([0-9]+)$', 1)) = 2 OR regexp_extract(hit, '([0-9]+)$', 1)::INT BETWEEN 1000 AND 3000)"
+        parts.append(f"SELECT doc_id, line_no, '{kind}' AS kind, start::INT AS start, (start + length(hit))::INT AS \"end\", hit FROM ({hits})")
+    return " UNION ALL ".join(parts)
+
+
 def register(r: Registry) -> None:
+    @r.add("p2_p6_national", _national_sql(TELLING_SQL))
+    def p2n(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Phone, account and social-security numbers and dates of French form, in lines about customers."""
+        told = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).select(F.col("k").alias("doc_id"), F.lit(1).alias("line_no"), F.expr(TELLING).alias("line"))
+        return search.national(told, KEYS)
+
     needle = "the"
 
     @r.add("e1_find", _hits_sql("(?i)" + needle))
@@ -96,7 +130,7 @@ def register(r: Registry) -> None:
     def p7(spark: SparkSession, sf_dir: str) -> DataFrame:
         return search.candidates(lines(spark, sf_dir), KEYS).where("kind = 'ipv4'").drop("kind")
 
-    all_sql = " UNION ALL ".join(f"SELECT doc_id, line_no, '{k}' AS kind, start, \"end\", hit FROM ({q})" for k, q in (("email", _hits_sql(search.PATTERNS["email"])), ("phone", _hits_sql(search.PATTERNS["phone"])), ("ipv4", ip_sql), ("digits", card_sql)))
+    all_sql = " UNION ALL ".join(f"SELECT doc_id, line_no, '{k}' AS kind, start, \"end\", hit FROM ({q})" for k, q in (("email", _hits_sql(search.PATTERNS["email"])), ("phone", _hits_sql(search.PATTERNS["phone"])), ("ipv4", ip_sql), ("digits", card_sql))) + " UNION ALL " + _national_sql(LINES_SQL)
 
     @r.add("p9_candidates", all_sql)
     def p9(spark: SparkSession, sf_dir: str) -> DataFrame:
