@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bpe, crf, decontaminate, domtree, imatch, linechunks, pii, quality, sigtree, warc
+from folioframe.llm import bpe, crf, decontaminate, domtree, imatch, linechunks, merkle, pii, quality, sigtree, warc
 from folioframe.plans import Registry
 from folioframe.sources.tables import table
 
@@ -129,3 +129,9 @@ def op2_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_dom_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page; see domtree."""
     return domtree.main_text(table(spark, sf_dir, "pages"))
+
+
+@REGISTRY.add("op12_merkle", merkle.SQL)
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of every row against the root of the dataset, and whether the row handed on fits it; see merkle."""
+    return merkle.verify(table(spark, sf_dir, "documents"))
