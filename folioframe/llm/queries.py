@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bpe, crf, decontaminate, domtree, imatch, linechunks, merkle, pii, quality, sigtree, warc
+from folioframe.llm import bpe, crf, decontaminate, domtree, hostrules, imatch, linechunks, merkle, pii, quality, sigtree, warc
 from folioframe.plans import Registry
 from folioframe.sources.tables import table
 
@@ -135,3 +135,9 @@ def op3_dom_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of every row against the root of the dataset, and whether the row handed on fits it; see merkle."""
     return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("op13_host_rules", hostrules.SQL)
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every whole text, its base rules and the verdict on its source; see hostrules."""
+    return hostrules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
