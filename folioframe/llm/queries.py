@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bpe, crf, decontaminate, domtree, hostrules, imatch, linechunks, merkle, pii, quality, sigtree, warc
+from folioframe.llm import bpe, crf, decontaminate, domtree, hostrules, imatch, linechunks, merkle, pii, quality, sigtree, trie, warc
 from folioframe.plans import Registry
 from folioframe.sources.tables import table
 
@@ -141,3 +141,9 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every whole text, its base rules and the verdict on its source; see hostrules."""
     return hostrules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@REGISTRY.add("op11_prefix_trie", trie.SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations; see trie."""
+    return trie.nodes(table(spark, sf_dir, "conversations"))
