@@ -6,11 +6,12 @@ many words, is a passage. The edges of a passage fuse with the lines around it w
 that it is found whole in any context, the least runs of lines with ``LONG_LINE`` words from each line, downward and
 upward, are passages too: their boundaries depend on their own lines alone.
 
-A passage whose hash occurs more than once in the corpus is a candidate. Candidates of one digest are compared byte by
-byte with the earliest (smallest doc_id, then place in the document), which stays; lines of equal ones go.
+A passage whose hash occurs more than once in the corpus is a candidate, and the earliest one of its 128-bit hash
+(smallest doc_id, then place in the document) stays. The others are joined to spans of lines at one distance from the
+same earlier text, and each span is compared byte by byte with what stands there; lines of equal spans go.
 
-Hashes are counted in the tasks before they are shuffled; texts move by document, and the text of a candidate once
-more. Digests and hashes of many rows are dealt out over tasks before they meet the one kept row.
+Hashes are counted in the tasks before they are shuffled; texts move by document, and the bytes of a span once
+more. Hashes and spans of many rows are dealt out over tasks before they meet the one kept row.
 
 Rows: null texts stay null and empty ones empty; a document all of whose lines are removed has the empty text.
 Rows with a null id are kept as they are. Rows that repeat an id and text are one document and are treated alike; of
@@ -19,7 +20,7 @@ one id with several texts each text is a document. Extra columns pass through, w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.llm.shared import Tables, join_counted
@@ -64,14 +65,19 @@ def _is_passage(chunk: Column) -> Column:
     return ((chunk["last"] > chunk["first"]) | (words >= LONG_LINE)) & (F.length(F.trim(F.translate(chunk["body"], "\n\t", ""))) > 0)
 
 
+def _pair(first: Column, last: Column) -> Column:
+    """Two line numbers in one number, which Spark's array functions hash; structs they compare all with all."""
+    return F.shiftleft(first.cast("bigint"), 32) + last.cast("bigint")
+
+
 def passages(text: Column, one_in: int = ONE_IN, words: int = LONG_LINE) -> Column:
-    """array<struct<first, last>> of a text: its chunks that are passages, and its least runs of ``words`` words.
+    """array<bigint> of a text: its chunks that are passages, and its least runs of ``words`` words (see ``_pair``).
 
     From each line goes one run downward and one upward, which ends with the line that brings it to ``words`` words;
     a line counts as one word at least. Any passage of so many words is covered by the runs inside it, and whether a
     run is least is told by its own lines, so that every copy of the passage has the same runs.
     """
-    lines = F.split(text, "\n", -1)
+    sizes = F.transform(F.split(text, "\n", -1), lambda x: F.size(F.split(F.trim(x), r"\s+")))
 
     def reach(some: Column) -> Column:
         """So many of the first lines hold enough words; 0 where all of them don't."""
@@ -79,27 +85,52 @@ def passages(text: Column, one_in: int = ONE_IN, words: int = LONG_LINE) -> Colu
         add = lambda acc, w: F.when(acc["sum"] >= words, acc).otherwise(F.struct((acc["n"] + 1).alias("n"), (acc["sum"] + w).alias("sum")))
         return F.aggregate(some, zero, add, lambda acc: F.when(acc["sum"] >= words, acc["n"]).otherwise(0))
 
-    def ends(sizes: Column) -> Column:
-        """Lengths of the run from each line on; few lines are looked at first, as most runs are short."""
+    def ends(of: Column) -> Column:
+        """Lengths of the run from each line on; few lines are looked at first, as most runs are short.
 
-        def of(i: Column) -> Column:
-            near = F.array(reach(F.slice(sizes, i, min(8, words))))
-            return F.element_at(F.transform(near, lambda n: F.when(n > 0, n).otherwise(reach(F.slice(sizes, i, words)))), 1)
+        ``of`` must be bound already: what stands in the inner lambda is worked out anew for each line.
+        """
 
-        return F.transform(F.sequence(F.lit(1), F.size(sizes)), of)
+        def at(i: Column) -> Column:
+            near = F.array(reach(F.slice(of, i, min(8, words))))
+            return F.element_at(F.transform(near, lambda n: F.when(n > 0, n).otherwise(reach(F.slice(of, i, words)))), 1)
+
+        return F.transform(F.sequence(F.lit(1), F.size(of)), at)
 
     def build(x: Column) -> Column:
-        n = F.size(x["sizes"])
-        pair = lambda a, b: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"))
-        down = F.transform(ends(x["sizes"]), lambda k, i: F.when(k > 0, pair(i + 1, i + k)))
-        up = F.transform(ends(F.reverse(x["sizes"])), lambda k, i: F.when(k > 0, pair(n - i - k + 1, n - i)))
+        n = F.size(x["down"])
+        down = F.transform(ends(x["down"]), lambda k, i: F.when(k > 0, _pair(i + 1, i + k)))
+        up = F.transform(ends(x["up"]), lambda k, i: F.when(k > 0, _pair(n - i - k + 1, n - i)))
         return F.filter(F.concat(down, up), lambda r: r.isNotNull())
 
-    runs = F.element_at(F.transform(F.array(F.struct(F.transform(lines, lambda x: F.size(F.split(F.trim(x), r"\s+"))).alias("sizes"))), build), 1)
-    whole = F.transform(F.filter(chunks(text, one_in), _is_passage), lambda c: F.struct(c["first"].cast("int").alias("first"), c["last"].cast("int").alias("last")))
+    both = F.transform(F.array(sizes), lambda x: F.struct(x.alias("down"), F.reverse(x).alias("up")))
+    runs = F.element_at(F.transform(both, build), 1)
+    whole = F.transform(F.filter(chunks(text, one_in), _is_passage), lambda c: _pair(c["first"], c["last"]))
     return F.array_distinct(F.concat(whole, runs))
 
 
+def _marks(text: Column, one_in: int, words: int) -> Column:
+    """array<struct<first, last, hash, check>>: the passages that aren't blank, with 128 bits of hash over line hashes."""
+    bound = F.struct(
+        F.split(text, "\n", -1).alias("lines"),
+        F.transform(F.split(text, "\n", -1), lambda x: F.xxhash64(x)).alias("one"),
+        F.transform(F.split(text, "\n", -1), lambda x: F.xxhash64(F.lit(1), x)).alias("two"),
+        passages(text, one_in, words).alias("runs"),
+    )
+
+    def build(x: Column) -> Column:
+        said = lambda r: F.exists(F.slice(x["lines"], r["first"], r["last"] - r["first"] + 1), lambda y: F.length(F.trim(F.translate(y, "\t", ""))) > 0)
+        of = lambda name, r: F.xxhash64(F.slice(x[name], r["first"], r["last"] - r["first"] + 1))
+        runs = F.transform(x["runs"], lambda r: F.struct(F.shiftright(r, 32).cast("int").alias("first"), r.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("last")))
+        return F.transform(F.filter(runs, said), lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), of("one", r).alias("hash"), of("two", r).alias("check")))
+
+    return F.element_at(F.transform(F.array(bound), build), 1)
+
+
+def _body(lines: Column, first: Column, last: Column) -> Column:
+    return F.array_join(F.slice(lines, first, last - first + 1), "\n")
+
+
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", one_in: int = ONE_IN, words: int = LONG_LINE) -> DataFrame:
     """``docs`` with later copies of repeated passages taken out of ``text``, and the columns _n_lines, _n_gone.
 
@@ -110,24 +141,34 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", one_in: i
     apart = F.col(doc_id).isNotNull() & F.col(text).isNotNull()
     body = F.col(text).cast("string")
     n_lines = F.size(F.split("text", "\n", -1))
-    said = lambda lines, r: F.array_join(F.slice(lines, r["first"], r["last"] - r["first"] + 1), "\n")
     bind = lambda runs, f: F.element_at(F.transform(F.array(F.struct(F.split("text", "\n", -1).alias("lines"), runs.alias("runs"))), f), 1)
     # a row's key tells texts of one id apart; the other columns travel in one struct, so that no name can clash
     rows = docs.where(apart).select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(body).alias("of")).alias("key"), body.alias("text"), F.struct(*[F.col(c) for c in columns if c != text] or [F.lit(0)]).alias("rest"))
     with Tables() as own:
-        told = bind(passages(F.col("text"), one_in, words), lambda x: F.transform(x["runs"], lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), F.xxhash64(said(x["lines"], r)).alias("hash"))))
-        marks = own.stash(rows.select("key", F.explode(told).alias("r")).select("key", "r.*"), "passages")
+        marks = own.stash(rows.select("key", F.explode(_marks(F.col("text"), one_in, words)).alias("r")).select("key", "r.*"), "passages")
         often = own.stash(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "repeated")
-        found = join_counted(marks, often, ["hash"], F.col("key"), hint="merge")
-        places = own.stash(found.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("maybe")), "places")
-        bodies = bind(F.col("maybe"), lambda x: F.transform(x["runs"], lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), said(x["lines"], r).alias("body"))))
-        exploded = rows.select("key", "text").join(places.hint("merge"), "key").select("key", F.explode(bodies).alias("r")).select("key", "r.*")
-        texts = exploded.where(F.length(F.trim(F.translate("body", "\n\t", ""))) > 0).withColumn("digest", F.unhex(F.md5(F.col("body").cast("binary"))))
-        texts = own.stash(texts, "bodies")
-        kept = texts.groupBy("digest").agg(F.min(F.struct("key", "first", "last", "body")).alias("kept"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        found = own.stash(join_counted(marks, often, ["hash"], F.col("key"), hint="merge"), "found")
+        kept = found.groupBy("hash", "check").agg(F.min(F.struct("key", "first", "last")).alias("kept"), F.count(F.lit(1)).alias("k")).where("k > 1")
         overlaps = (F.col("key") == F.col("kept.key")) & (F.col("first") <= F.col("kept.last"))
-        later = join_counted(texts, own.stash(kept, "kept"), ["digest"], F.col("key"), hint="merge").where((F.col("body") == F.col("kept.body")) & ~overlaps)
-        gone = own.keep(later.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "gone")
+        later = join_counted(found, own.stash(kept, "kept"), ["hash", "check"], F.col("key"), hint="merge").where(~overlaps)
+        # runs of one text that stand at one distance from the same earlier text are joined, so that each line's bytes move once
+        pair = [F.col("key"), F.col("kept.key").alias("of"), (F.col("kept.first") - F.col("first")).alias("away")]
+        order = Window.partitionBy("key", "of", "away").orderBy("first", "last")
+        runs = later.select(*pair, "first", "last").withColumn("reach", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+        runs = runs.withColumn("span", F.count(F.when(F.col("reach").isNull() | (F.col("first") > F.col("reach") + 1), 1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        spans = own.stash(runs.groupBy("key", "of", "away", "span").agg(F.min("first").alias("first"), F.max("last").alias("last")), "spans")
+        named = F.transform("runs", lambda r: F.struct(r["of"].alias("of"), (r["first"] + r["away"]).alias("at"), (r["last"] + r["away"]).alias("upto"), r["first"].alias("first"), r["last"].alias("last")))
+        mine = spans.groupBy("key").agg(F.collect_list(F.struct("of", "away", "first", "last")).alias("runs")).select("key", named.alias("runs"))
+        theirs = spans.select(F.col("of").alias("key"), (F.col("first") + F.col("away")).alias("first"), (F.col("last") + F.col("away")).alias("last")).groupBy("key", "first", "last").agg(F.count(F.lit(1)).alias("k"))
+        theirs = own.stash(theirs, "earlier")
+        sources = theirs.groupBy("key").agg(F.collect_list(F.struct("first", "last", "k")).alias("runs"))
+        read = lambda x: F.transform(x["runs"], lambda r: F.struct(r.alias("r"), _body(x["lines"], r["first"], r["last"]).alias("body")))
+        texts = rows.select("key", "text").dropDuplicates(["key"])
+        copies = rows.select("key", "text").join(mine.hint("merge"), "key").select("key", F.explode(bind(F.col("runs"), read)).alias("r")).select("key", "r.r.*", "r.body")
+        originals = texts.join(sources.hint("merge"), "key").select(F.col("key").alias("of"), F.explode(bind(F.col("runs"), read)).alias("r"))
+        originals = own.stash(originals.select("of", F.col("r.r.first").alias("at"), F.col("r.r.last").alias("upto"), F.col("r.r.k").alias("k"), F.col("r.body").alias("kept")), "originals")
+        same_bytes = join_counted(own.stash(copies, "copies"), originals, ["of", "at", "upto"], F.col("key"), hint="merge").where(F.col("body") == F.col("kept"))
+        gone = own.keep(same_bytes.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "gone")
     lost = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"]))))
     left = bind(F.array_except(F.sequence(F.lit(1), n_lines), lost), lambda x: F.array_join(F.transform(x["runs"], lambda i: F.element_at(x["lines"], i)), "\n"))
     has = F.col("runs").isNotNull()

@@ -84,12 +84,6 @@ def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_gone").cast("long").alias("n_gone"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-@REGISTRY.add("op4_line_passages", linechunks.SQL)
-def op4_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows under the name that the passages in any context had before op4_line_chunks took them in."""
-    return op4_line_chunks(spark, sf_dir)
-
-
 @REGISTRY.add("op10_imatch", imatch.SQL)
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I-Match fingerprints of every whole text, its edited text and the next document's; see imatch."""

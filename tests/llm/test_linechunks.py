@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from folioframe.llm import linechunks as lc
 from folioframe.llm import shared
 
@@ -86,3 +88,17 @@ def test_shift_resistant():
     lines = [f"line {k}" for k in range(200)]
     a, b = {x[2] for x in cut("\n".join(lines))}, {x[2] for x in cut("\n".join(["new", *lines[:100], "more", *lines[100:]]))}
     assert len(a & b) >= len(a) - 4
+
+
+def test_lines_of_a_long_text_cost_the_same_each(spark):
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([("\n".join(f"w{i * 7919 % n}" for i in range(n)),)], "text string")
+        began = time.time()
+        assert df.select(F.size(lc._marks(F.col("text"), lc.ONE_IN, lc.LONG_LINE))).head()[0] > n // 2
+        return time.time() - began
+
+    took(100)
+    half, whole = took(25_000), took(50_000)
+    assert whole < 10 and whole < 4 * half + 1  # about 2 x; a quadratic way takes minutes
