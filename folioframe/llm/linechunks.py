@@ -79,31 +79,38 @@ def passages(text: Column, one_in: int = ONE_IN, words: int = LONG_LINE) -> Colu
     """
     sizes = F.transform(F.split(text, "\n", -1), lambda x: F.size(F.split(F.trim(x), r"\s+")))
 
-    def reach(some: Column) -> Column:
-        """So many of the first lines hold enough words; 0 where all of them don't."""
-        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"))
-        add = lambda acc, w: F.when(acc["sum"] >= words, acc).otherwise(F.struct((acc["n"] + 1).alias("n"), (acc["sum"] + w).alias("sum")))
-        return F.aggregate(some, zero, add, lambda acc: F.when(acc["sum"] >= words, acc["n"]).otherwise(0))
+    def doubled(of: Column) -> Column:
+        """array<struct<j, sums>>: words of the j lines from each on, for j = 1, 2, 4, .. below ``words``; null past the end."""
+        level = F.struct(F.lit(1).alias("j"), of.alias("sums"))
+        wider = lambda x: F.transform(x["sums"], lambda v, i: v + F.get(x["sums"], i + x["j"]))
+        grow = lambda have, _: F.concat(have, F.transform(F.slice(have, -1, 1), lambda x: F.struct((x["j"] * 2).alias("j"), wider(x).alias("sums"))))
+        return F.aggregate(F.array_repeat(F.lit(0), max(1, (words - 1).bit_length()) - 1), F.array(level), grow)
 
-    def ends(of: Column) -> Column:
-        """Lengths of the run from each line on; few lines are looked at first, as most runs are short.
+    def ends(of: Column, levels: Column) -> Column:
+        """Lengths of the run from each line on, 0 where the rest has too few words: the most lines below ``words``, and one.
 
-        ``of`` must be bound already: what stands in the inner lambda is worked out anew for each line.
+        Both must be bound already: what stands in the inner lambda is worked out anew for each line.
         """
 
         def at(i: Column) -> Column:
-            near = F.array(reach(F.slice(of, i, min(8, words))))
-            return F.element_at(F.transform(near, lambda n: F.when(n > 0, n).otherwise(reach(F.slice(of, i, words)))), 1)
+            zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"))
 
-        return F.transform(F.sequence(F.lit(1), F.size(of)), at)
+            def add(acc: Column, x: Column) -> Column:
+                more = F.get(x["sums"], i + acc["n"]) + acc["sum"]
+                return F.when(more < words, F.struct((acc["n"] + x["j"]).alias("n"), more.alias("sum"))).otherwise(acc)
+
+            return F.aggregate(levels, zero, add, lambda acc: F.when(i + acc["n"] < F.size(of), acc["n"] + 1).otherwise(0))
+
+        return F.transform(F.sequence(F.lit(0), F.size(of) - 1), at)
 
     def build(x: Column) -> Column:
         n = F.size(x["down"])
-        down = F.transform(ends(x["down"]), lambda k, i: F.when(k > 0, _pair(i + 1, i + k)))
-        up = F.transform(ends(x["up"]), lambda k, i: F.when(k > 0, _pair(n - i - k + 1, n - i)))
+        down = F.transform(ends(x["down"], x["down_sums"]), lambda k, i: F.when(k > 0, _pair(i + 1, i + k)))
+        up = F.transform(ends(x["up"], x["up_sums"]), lambda k, i: F.when(k > 0, _pair(n - i - k + 1, n - i)))
         return F.filter(F.concat(down, up), lambda r: r.isNotNull())
 
     both = F.transform(F.array(sizes), lambda x: F.struct(x.alias("down"), F.reverse(x).alias("up")))
+    both = F.transform(both, lambda x: F.struct(x["down"], x["up"], F.reverse(doubled(x["down"])).alias("down_sums"), F.reverse(doubled(x["up"])).alias("up_sums")))
     runs = F.element_at(F.transform(both, build), 1)
     whole = F.transform(F.filter(chunks(text, one_in), _is_passage), lambda c: _pair(c["first"], c["last"]))
     return F.array_distinct(F.concat(whole, runs))
