@@ -8,8 +8,9 @@ edge potentials are learned by gradient ascent on the likelihood of labelled pag
 between the labels and those marginals.
 
 Labelled pages: pages of the corpus that mark their main text themselves (one ``article`` or ``main`` element), at
-most ``PAGES`` of them, and layouts made of the same pages' blocks and of further kinds of page parts (side bars,
-comments, notices, forms, adverts), without the marking tags, so that the model learns to do without them.
+most ``PAGES`` of them, each once more without names and marking tags, and layouts made of the same pages' blocks and
+of further kinds of page parts (side bars, comments, notices, forms, adverts), whose names are known, invented or
+absent. So the model learns to do without tags and names, by text, links, marks, place and share of the page's text.
 
 Text: character references are decoded, white space within a block is one space, blocks are trimmed, empty ones
 left out, and the rest joined in page order by two line breaks.
@@ -18,7 +19,7 @@ Rows: null html is an empty page; pages without content have empty text and 0 ch
 unclosed elements end with their parents. Repeated rows give repeated rows. Only the three named columns are read.
 Where no page of a corpus marks its main text, the layouts are made of the blocks of any pages, so that what is known
 of tags and of common names still tells menus and footers from content. Text in script, style, textarea, select, title,
-iframe, template and svg elements is none of the page; that of noscript, math and (undecoded) xmp elements is.
+iframe, template, svg and button elements is none of the page (left open, they end with their parents); that of noscript, math and (undecoded) xmp elements is.
 """
 
 from __future__ import annotations
@@ -46,12 +47,15 @@ SPACE = re.compile(r"\s+")
 # Fixed values of HTML: elements without content, of left-out content, those of them without markup inside (with their
 # closing tags), of inline level, and those that end an open <p>.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe template svg select".split())
+RAW = frozenset("script style textarea title iframe template svg select button".split())
 LITERAL = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.IGNORECASE) for t in "script style textarea title iframe xmp".split()}
 INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label map mark meter nobr object output picture progress q rp rt ruby s samp slot small span strike strong sub sup time tt u var video".split())
 FORMULA = frozenset("math merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Start tags at which a drawing ends, though it wasn't closed, unless they stand in one of its parts that hold text.
+ENDS_DRAWING = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_TEXT = ("foreignobject", "desc", "title")
 #: Kinds of child tags that have edge potentials of their own.
 EDGE_KINDS = {t: k for k, t in enumerate("? div section p h li article main aside nav header footer form table td ul blockquote".split())}
 
@@ -76,6 +80,7 @@ class Page:
         self.pieces: list[tuple[int, int, str]] = []  # (node, block, text)
         self.n_blocks = 1
         stack, block, at, raw = [0], 0, 0, None
+        within: dict[str, int] = {}  # open elements of a left-out one, itself included
         open_at: dict[str, list[int]] = {}  # places in the stack of the open elements of a tag
         open_blocks: list[int] = []  # and of those that aren't inline
 
@@ -99,9 +104,16 @@ class Page:
             tag, closing = (m.group(1) or "").lower(), m.group().startswith("</")
             attributes = m.group(2) or ""
             inside = raw is not None
-            if inside and closing and tag == raw:
-                at, raw = look, None
-                continue
+            if inside and tag not in LITERAL:
+                if closing and within.get(tag):
+                    within[tag] -= 1
+                    if tag == raw and not within[tag]:
+                        at, raw = look, None
+                    continue
+                if closing and open_at.get(tag) or raw == "svg" and not closing and tag in ENDS_DRAWING and not any(within.get(t) for t in HOLDS_TEXT):
+                    at, raw, inside = m.start(), None, False  # left out elements end with their parents
+                elif not closing and tag and tag not in VOID and not attributes.rstrip().endswith("/"):
+                    within[tag] = within.get(tag, 0) + 1
             literal = None
             if tag in LITERAL and not closing and not attributes.rstrip().endswith("/"):
                 # no markup up to the closing tag, whatever stands there
@@ -142,7 +154,7 @@ class Page:
                     cut(last(ends))
             if tag in RAW:
                 if tag not in LITERAL and not attributes.rstrip().endswith("/"):
-                    raw = tag
+                    raw, within = tag, {tag: 1}
                 continue
             names = tuple(p.lower() for a in ATTRIBUTE.finditer(attributes) for p in NAME_PART.findall(a.group(2) or a.group(3) or a.group(4) or "")) if attributes else ()
             if attributes and HIDDEN.search(attributes):
@@ -234,6 +246,12 @@ class Forest:
         for family, x in (("len", _bucket(text)), ("own", _bucket(own)), ("link", whole(4 * link / some)), ("marks", _bucket(100 * marks / some)), ("depth", np.minimum(depth, 8)), ("at", whole(5 * at)), ("kids", _bucket(kids))):
             fixed.append(table(family, x))
         fixed.append(by_tag[tag, whole(2 * link / some)])
+        plain = text - link  # how much of the running text of the page, and of its parent, is here
+        above = np.maximum(self.parent, 0)
+        paragraphs = np.bincount(self.parent[(self.parent >= 0) & np.isin(names[tag], ["p"])], minlength=n)
+        whose = (("part", 10 * plain / np.maximum(plain[base], 1)), ("of", 5 * plain / np.maximum(plain[above], 1)), ("p", np.minimum(paragraphs, 6)), ("p+", np.minimum(paragraphs[above], 6)), ("rest", _bucket((plain[above] - plain).clip(0))))
+        for family, x in whose if n else ():
+            fixed.append(table(family, whole(x)))
         named = [[*(slots[f"n:{x}"] for x in names), *above] for p in pages for names, above in zip(p.names, _above(p, slots), strict=True)]
         self.slot = np.concatenate([*fixed, np.fromiter(itertools.chain.from_iterable(named), np.int64)])
         self.of = np.concatenate([np.tile(np.arange(n), len(fixed)), np.repeat(np.arange(n), [len(x) for x in named])]).astype(np.int64)
@@ -349,60 +367,94 @@ PARTS = {
 }
 
 
+#: Syllables of the invented names that the parts of some layouts bear.
+SYLLABLES = "ba ko ti ru le mo sa ne vi du pro gan hel zit quo wex".split()
+
+
+def anonymous(page: Page, rng: np.random.Generator) -> Page:
+    """The page without its names, its telling tags as plain ones (those of menus and the like in part)."""
+    out = Page("")
+    out.__dict__ |= page.__dict__
+    plain = {"article", "main", *(t for t in ("nav", "aside", "header", "footer", "section") if rng.random() < 0.3)}
+    out.names = [tuple(x for x in names if x == "#hidden") for names in page.names]
+    out.tag = ["div" if t in plain else t for t in page.tag]
+    return out
+
+
 def relaid(texts: list[str], rng: np.random.Generator) -> tuple[Page, np.ndarray]:
-    """A page made of the blocks ``texts``, part of them as content and part in other page parts; its labels."""
+    """A page made of the blocks ``texts``, part of them as content and part in other page parts; its labels.
+
+    Names are those that style sheets use in two fifths of the pages, invented ones in others, and absent in the rest;
+    the content is in an element that marks it, a plain one, or none of its own.
+    """
     safe = [entities.escape(t[:400]) for t in texts if t.strip()] or ["text"]
+    naming = rng.choice(["known", "known", "invented", "none", "none"])
+    invented = lambda: "".join(rng.choice(SYLLABLES, int(rng.integers(2, 5))))
     pick = lambda: safe[rng.integers(len(safe))]
     words = lambda k: " ".join(pick().split()[:k]) or "x"
-    mark = lambda kind: rng.choice(["class", "id"]) + f'="{rng.choice(PARTS[kind])}"'
+
+    def named(known: list[str]) -> str:
+        if naming == "none":
+            return ""
+        return f' {rng.choice(["class", "id"])}="{rng.choice(known) if naming == "known" else invented()}"'
+
+    mark = lambda kind: named(PARTS[kind])
     links = lambda k: "<ul>" + "".join(f'<li><a href="/x">{words(3)}</a></li>' for _ in range(k)) + "</ul>"
 
     def part(kind: str) -> str:
         semantic = {"nav": "nav", "side": "aside", "head": "header", "foot": "footer", "form": "form"}.get(kind)
-        tag = semantic if semantic and rng.random() < 0.6 else rng.choice(["div", "section"])
-        names = "" if tag == semantic and rng.random() < 0.5 else " " + mark(kind)
+        # what has neither a telling tag nor a name can only be told by its links, place and length
+        tag = semantic if semantic and (rng.random() < 0.6 or kind == "form") else rng.choice(["div", "section"])
+        names = "" if tag == semantic and rng.random() < 0.5 else mark(kind)
+        told = tag == semantic or naming == "known"
         k = int(rng.integers(1, 5))
         inside = {
             "nav": lambda: links(k + 2),
-            "side": lambda: f"<h3>{words(3)}</h3>" + (links(k) if rng.random() < 0.6 else f"<p>{pick()}</p>"),
+            "side": lambda: f"<h3>{words(3)}</h3>" + (links(k) if rng.random() < 0.6 or not told else f"<p>{pick()}</p>"),
             "head": lambda: f"<a href='/'>{words(3)}</a>" + (links(k) if rng.random() < 0.5 else f"<p>{words(8)}</p>"),
             "foot": lambda: f"<p>&copy; {words(6)}</p>" + (links(k) if rng.random() < 0.5 else ""),
-            "notice": lambda: f"<p>{pick()}</p><button>{words(1)}</button>" if rng.random() < 0.5 else pick(),
-            "ad": lambda: rng.choice([pick(), f"<p>{words(12)}</p>", f"<a href='/ad'>{words(8)}</a>"]),
-            "comments": lambda: f"<h3>{words(2)}</h3>" * int(rng.integers(2)) + "".join(f'<{t} {mark("comments")}><p>{pick()}</p></{t}>' for t in [rng.choice(["div", "li", "article"])] for _ in range(k)),
+            "notice": lambda: f"<p>{pick() if told else words(8)}</p><button>{words(1)}</button>" if rng.random() < 0.5 or not told else pick(),
+            "ad": lambda: rng.choice([pick(), f"<p>{words(12)}</p>", f"<a href='/ad'>{words(8)}</a>"]) if told else f"<a href='/ad'>{words(8)}</a>",
+            "comments": lambda: f"<h3>{words(2)}</h3>" * int(rng.integers(2)) + "".join(f'<{t}{mark("comments")}><p>{pick()}</p></{t}>' for t in [rng.choice(["div", "li", "article"])] for _ in range(k)),
             "form": lambda: f"<label>{words(2)}</label><input><p>{words(6)}</p><button>{words(1)}</button>",
-            "share": lambda: links(k) if rng.random() < 0.5 else f"<span>{words(4)}</span>",
+            "share": lambda: links(k) if rng.random() < 0.5 or not told else f"<span>{words(4)}</span>",
         }[kind]()
-        return f"<{tag}{names}>{inside}</{tag}>"
+        return f'<{tag}{names} class="yyout">{inside}</{tag}>'
 
-    some = lambda kinds, p: "".join(part(k) for k in kinds if rng.random() < p)
+    def some(kinds: list[str], p: float) -> str:
+        return "".join(part(k) for k in kinds if rng.random() < p and (k != "comments" or naming == "known"))
 
-    def prose() -> str:
+    def prose(text: str) -> str:
         """Running text, part of it in elements of that kind."""
-        some = pick().split()
+        some = text.split()
         for _ in range(int(rng.integers(0, 3))):
             k, tag = int(rng.integers(len(some))) if some else 0, rng.choice(["b", "i", "em", "strong", "a", "code", "span", "u", "sup"])
             some[k : k + 1] = [f"<{tag}{' href=/y' if tag == 'a' else ''}>{x}</{tag}>" for x in some[k : k + 1]]
         return " ".join(some)
 
-    paragraphs = [f"<p>{prose()}</p>" if rng.random() < 0.85 else rng.choice([f"<h2>{words(5)}</h2>", f"<blockquote><p>{pick()}</p></blockquote>", f"<ul><li>{pick()}</li><li>{words(9)}</li></ul>", f"<table><tr><td>{words(6)}</td><td>{words(4)}</td></tr></table>", f"<pre>{pick()}</pre>"]) for _ in range(int(rng.integers(1, 9)))]
+    bare = rng.random() < 0.25  # the content has no element of its own
+    own = ' class="yymark"' if bare else ""
+    short = rng.random() < 0.2
+    text = lambda: words(int(rng.integers(8, 25))) if short else pick()
+    other = [lambda: f"<h2{own}>{words(5)}</h2>", lambda: f"<blockquote{own}><p>{pick()}</p></blockquote>", lambda: f"<ul{own}><li>{pick()}</li><li>{words(9)}</li></ul>", lambda: f"<table{own}><tr><td>{words(6)}</td><td>{words(4)}</td></tr></table>", lambda: f"<pre{own}>{pick()}</pre>"]
+    block = rng.choice(["p", "p", "p", "div"])
+    paragraphs = [f"<{block}{own}>{prose(text())}</{block}>" if rng.random() < 0.85 else other[rng.integers(len(other))]() for _ in range(int(rng.integers(2 if short else 1, 4 if short else 9)))]
     if rng.random() < 0.3:
-        paragraphs.insert(int(rng.integers(len(paragraphs) + 1)), part(rng.choice(["ad", "share", "notice", "side", "form"])))
-    tag = rng.choice(["article", "main", "div", "div", "section"])
-    title = f"<h1>{words(6)}</h1>"
-    inside = title + "".join(paragraphs)
-    body = f'<{tag} data-y="1"' + ("" if tag in ("article", "main") and rng.random() < 0.5 else f' {rng.choice(["class", "id"])}="{rng.choice(CONTENT_NAMES)}"') + f">{inside}</{tag}>"
-    wrap = (lambda x: f'<div class="{rng.choice(["wrapper", "container", "page", "row", "layout"])}">{x}</div>') if rng.random() < 0.5 else (lambda x: x)
-    page = "<html><body>" + some(["notice", "head", "nav", "ad", "form"], 0.5) + wrap(some(["nav", "side", "ad"], 0.3) + body + some(["share", "comments", "side", "ad", "notice", "form"], 0.45)) + some(["side", "nav", "notice"], 0.2) + some(["foot"], 0.85) + "</body></html>"
-    start = page.index(' data-y="1"')
-    made = Page(page)
-    main = len(Page(page[:start]).tag)  # the tag itself isn't closed there, so it is the next node
+        paragraphs.insert(int(rng.integers(len(paragraphs) + 1)), part(rng.choice(["ad", "share", "notice", "side", "form"] if naming == "known" else ["share", "form"])))
+    tag = rng.choice(["article", "main", "div", "div", "section"] if naming == "known" else ["article", "div", "div", "div", "section"])
+    inside = (f"<h1{own}>{words(6)}</h1>" if rng.random() < 0.8 else "") + "".join(paragraphs)
+    for _ in range(int(rng.integers(0, 3)) if not bare and rng.random() < 0.4 else 0):
+        inside = f"<div>{inside}</div>"
+    body = inside if bare else f'<{tag} class="yymark"' + ("" if tag in ("article", "main") and rng.random() < 0.5 else named(CONTENT_NAMES)) + f">{inside}</{tag}>"
+    wrap = (lambda x: f'<div{named(["wrapper", "container", "page", "row", "layout"])}>{x}</div>') if rng.random() < 0.5 else (lambda x: x)
+    around = [some(["notice", "head", "nav", "ad", "form"], 0.5), some(["nav", "side", "ad"], 0.3), some(["share", "comments", "side", "ad", "notice", "form"], 0.45), some(["side", "nav", "notice"], 0.2), some(["foot"], 0.85)]
+    if rng.random() < 0.08:
+        around = [""] * 5  # nothing but content
+    made = Page("<html><body>" + around[0] + wrap(around[1] + body + around[2]) + around[3] + around[4] + "</body></html>")
     y = np.zeros(len(made.tag), np.int8)
-    names = {w for ws in PARTS.values() for n in ws for w in NAME_PART.findall(n.lower())}
-    for k in range(main, len(made.tag)):
-        p = made.parent[k]
-        boiler = made.tag[k] in ("nav", "aside", "header", "footer", "form", "button", "label") or made.tag[k] in ("div", "section") and set(made.names[k]) & names
-        y[k] = k == main or (p >= main and y[p] and not boiler)
+    for k in range(1, len(made.tag)):
+        y[k] = "yymark" in made.names[k] or y[made.parent[k]] and "yyout" not in made.names[k] and made.tag[k] != "label"
+    made.names = [tuple(x for x in names if x not in ("yymark", "yyout")) for names in made.names]
     return made, y
 
 
@@ -414,7 +466,7 @@ def labelled_pages(sources: list[str], layouts: int = 3, seed: int = 3, marked:
         page = Page(source)
         y = self_labelled(page)
         if y is not None:
-            out.append((page, y))
+            out += [(page, y), (anonymous(page, rng), y)]
         elif marked:
             continue
         texts = [t for t in extract(page, np.ones(len(page.tag)) if y is None else y).split("\n\n") if t]

@@ -148,3 +148,104 @@ def test_deep_pages_take_linear_time():
         f = d.Forest([p], d.Slots())
         d.extract(p, f.marginals(model.weight, model.edge)[0] >= 0.5)
         assert time.time() - start < 10, source[:20]
+
+
+LONG = [f"{a} {b} {c}"[:300] for a, b, c in itertools.permutations(PROSE, 3)]
+
+
+def around(top, main, foot):
+    """Six long paragraphs between a header and a footer whose elements have these attributes."""
+    inside = f"<div{top}><a href='/'>Valley News</a> <a href='/s'>Sport</a></div><div{main}><h1>Water in the fields</h1>" + "".join(f"<p>{x}</p>" for x in LONG[:6])
+    return f"<html><body>{inside}</div><div{foot}><p>Valley News, all rights reserved</p><a href='/i'>Imprint</a></div></body></html>", ["Water in the fields", *LONG[:6]]
+
+
+#: Pages whose content no known name or tag marks.
+UNNAMED = [
+    around("", "", ""),
+    around(" class='kopfzeile'", " class='hauptteil'", " class='fusszeile'"),
+    around(" class='top'", " class='prose'", " class='btm'"),
+    around(" id='x1'", " id='x2'", " id='x3'"),
+    around(" class='css-1ab'", " class='css-9zq'", " class='css-7m'"),
+    ("<html><body>" + "".join(f"<p>{x}</p>" for x in PROSE) + "</body></html>", PROSE),
+    (f"<html><body><h1>Flood</h1><p>{LONG[0]}</p><p>{LONG[1]}</p></body></html>", ["Flood", *LONG[:2]]),
+    (f"<html><body><nav><a href='/'>Start</a><a href='/b'>Sport</a></nav><article><p>{PROSE[0]}</p><p>{PROSE[1]}</p></article><footer>Imprint</footer></body></html>", PROSE[:2]),
+    (f"<html><body><table><tr><td><a href='/'>Start</a><br><a href='/a'>Archive</a></td><td><p>{LONG[0]}</p><p>{LONG[1]}</p><p>{LONG[2]}</p></td></tr></table></body></html>", LONG[:3]),
+    (f"<html><body><div><div><div><h1>Soup</h1><div>{LONG[3]}</div><div>{LONG[4]}</div><div>{LONG[5]}</div></div></div></div><div><ul><li><a href='/1'>Ten walks</a></li><li><a href='/2'>Five pies</a></li></ul></div></body></html>", ["Soup", *LONG[3:6]]),
+    (f"<html><body><ul><li><a href='/'>Inicio</a></li><li><a href='/d'>Deportes</a></li></ul><section id='noticia'><h2>Agua</h2><p>{LONG[6]}</p><p>{LONG[7]}</p></section><div id='pie'><a href='/c'>Contacto</a></div></body></html>", ["Agua", *LONG[6:8]]),
+    (f"<html><body><div class='zufil'><a href=/>x</a></div><div class='grubel'><p>{LONG[8]}</p><ul><li>{PROSE[0]}</li><li>{PROSE[1]}</li></ul><p>{LONG[9]}</p></div></body></html>", [LONG[8], PROSE[0], PROSE[1], LONG[9]]),
+    (f"<html><body><section><h1>Bridge</h1><p>{LONG[10]}</p><blockquote><p>{PROSE[2]}</p></blockquote><p>{LONG[11]}</p></section><section><h3>More</h3><ul><li><a href='/7'>Bread</a></li><li><a href='/8'>Salt</a></li></ul></section></body></html>", ["Bridge", LONG[10], PROSE[2], LONG[11]]),
+]
+
+
+def kept_blocks(model, sources):
+    parsed = [d.Page(h) for h in sources]
+    f = d.Forest(parsed, d.Slots())
+    content = f.marginals(model.weight, model.edge)[0] >= 0.5
+    return [d.extract(p, content[a:b]).split("\n\n") for p, a, b in zip(parsed, f.first, f.first[1:])]
+
+
+def test_content_that_nothing_names():
+    r = np.random.default_rng(5)
+    model = d.train(d.labelled_pages([page(k, r)[0] for k in range(120)]))
+    for (source, want), kept in zip(UNNAMED, kept_blocks(model, [h for h, _ in UNNAMED]), strict=True):
+        assert len(set(want) & set(kept)) >= 0.9 * len(want) and len(set(kept) - set(want)) <= 1, (source[:80], kept)
+
+
+def test_given_pages_without_names_and_marks():
+    import os
+    import re
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        return
+    import pyarrow.parquet as pq
+
+    sources = [h for h in pq.read_table(path)["html"].to_pylist() if h and d.self_labelled(d.Page(h)) is not None]
+    model = d.train(d.labelled_pages(sources[:100]))
+    held_out = sources[100:]
+    bare = [re.sub(r"(</?)(article|main)\b", r"\1div", re.sub(r"\s(class|id)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", h)) for h in held_out]
+    want = [d.extract(p, d.self_labelled(p)).split("\n\n") for p in map(d.Page, held_out)]
+    for pages, least in ((held_out, 0.99), (bare, 0.95)):
+        kept = kept_blocks(model, pages)
+        found = sum(len(set(w) & set(k)) for w, k in zip(want, kept, strict=True)) / sum(len(set(w)) for w in want)
+        foreign = sum(len(set(k) - set(w)) for w, k in zip(want, kept, strict=True)) / sum(len(set(w)) for w in want)
+        assert found >= least and foreign <= 0.05, (found, foreign)
+        assert all(k != [""] for w, k in zip(want, kept, strict=True) if max(map(len, w)) >= 200)
+
+
+def test_left_out_elements_end_with_their_parents():
+    text = lambda source: (lambda p: d.extract(p, np.ones(len(p.tag), bool)))(d.Page(source))
+    assert text("<article><p>a</p><div><select><option>x</div><p>b</p></article>") == "a\n\nb"
+    assert text("<article><p>a</p><svg><path d='z'><p>b</p></article>c") == "a\n\nb\n\nc"
+    assert text("<p>a<svg><g><text>no</text></svg>b</p>") == "ab"
+    assert text("<svg><foreignObject><p>no</p></foreignObject></svg>a") == "a"
+    assert text("a<template><template><p>x</p></template><p>y</p></template>b") == "ab"
+    assert text("a<svg><svg><text>x</text></svg><text>y</text></svg>b") == "ab"
+    assert text("<div><template><p>x</p></div><p>b</p>") == "b"
+    assert text("<article><p>a</p><button type=submit><b>Share</b></button><p>b</p></article>") == "a\n\nb"
+
+
+def test_the_gradient_is_that_of_the_likelihood():
+    """One step's direction against differences of the enumerated likelihood of a page's labels."""
+    r = np.random.default_rng(3)
+    p = d.Page("<div><p>a</p><section><p>b</p></section></div>")
+    f, n = d.Forest([p], d.Slots()), len(p.tag)
+    weight, edge, y = r.normal(size=d.WEIGHTS), r.normal(size=(len(d.EDGE_KINDS), 2, 2)), r.integers(0, 2, n)
+
+    def likelihood(w, e):
+        own = np.bincount(f.of, w[f.slot], n)
+        score = lambda s: sum(own[k] for k in range(n) if s[k]) + sum(e[f.kind[k], s[p.parent[k]], s[k]] for k in range(1, n))
+        return score(y) - np.logaddexp.reduce([score(s) for s in itertools.product((0, 1), repeat=n)])
+
+    got, joint = f.marginals(weight, edge)
+    by_weight = np.bincount(f.slot, (y - got)[f.of], d.WEIGHTS)
+    for slot in np.unique(f.slot)[:12]:
+        w = weight.copy()
+        w[slot] += 1e-5
+        assert abs((likelihood(w, edge) - likelihood(weight, edge)) / 1e-5 - by_weight[slot]) < 1e-3
+    k = n - 1
+    e = edge.copy()
+    e[f.kind[k], 1, 0] += 1e-5
+    told = sum(joint[j][1, 0] for j in range(1, n) if f.kind[j] == f.kind[k])
+    seen = sum(y[p.parent[j]] == 1 and y[j] == 0 for j in range(1, n) if f.kind[j] == f.kind[k])
+    assert abs((likelihood(weight, e) - likelihood(weight, edge)) / 1e-5 - (seen - told)) < 1e-3
