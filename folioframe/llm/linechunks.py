@@ -6,9 +6,10 @@ many words, is a passage. The edges of a passage fuse with the lines around it w
 that it is found whole in any context, the least runs of lines with ``LONG_LINE`` words from each line, downward and
 upward, are passages too: their boundaries depend on their own lines alone.
 
-A passage whose hash occurs more than once in the corpus is a candidate, and the earliest one of its 128-bit hash
-(smallest doc_id, then place in the document) stays. The others are joined to spans of lines at one distance from the
-same earlier text, and each span is compared byte by byte with what stands there; lines of equal spans go.
+A passage whose hash occurs more than once in the corpus is a candidate, and the earliest one of a hash (smallest
+doc_id, then place in the document) stays. The others are joined to spans of lines at one distance from the
+same earlier text, and each span is compared byte by byte with what stands there; lines of equal spans go, and others (of passages whose
+64-bit hashes collide) stay.
 
 Hashes are counted in the tasks before they are shuffled; texts move by document, and the bytes of a span once
 more. Hashes and spans of many rows are dealt out over tasks before they meet the one kept row.
@@ -70,6 +71,14 @@ def _pair(first: Column, last: Column) -> Column:
     return F.shiftleft(first.cast("bigint"), 32) + last.cast("bigint")
 
 
+def _first(pair: Column) -> Column:
+    return F.shiftright(pair, 32).cast("int")
+
+
+def _last(pair: Column) -> Column:
+    return pair.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+
 def passages(text: Column, one_in: int = ONE_IN, words: int = LONG_LINE) -> Column:
     """array<bigint> of a text: its chunks that are passages, and its least runs of ``words`` words (see ``_pair``).
 
@@ -79,57 +88,45 @@ def passages(text: Column, one_in: int = ONE_IN, words: int = LONG_LINE) -> Colu
     """
     sizes = F.transform(F.split(text, "\n", -1), lambda x: F.size(F.split(F.trim(x), r"\s+")))
 
-    def doubled(of: Column) -> Column:
-        """array<struct<j, sums>>: words of the j lines from each on, for j = 1, 2, 4, .. below ``words``; null past the end."""
-        level = F.struct(F.lit(1).alias("j"), of.alias("sums"))
-        wider = lambda x: F.transform(x["sums"], lambda v, i: v + F.get(x["sums"], i + x["j"]))
-        grow = lambda have, _: F.concat(have, F.transform(F.slice(have, -1, 1), lambda x: F.struct((x["j"] * 2).alias("j"), wider(x).alias("sums"))))
-        return F.aggregate(F.array_repeat(F.lit(0), max(1, (words - 1).bit_length()) - 1), F.array(level), grow)
+    def reach(some: Column) -> Column:
+        """So many of the first lines hold enough words; 0 where all of them don't."""
+        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"))
+        add = lambda acc, w: F.when(acc["sum"] >= words, acc).otherwise(F.struct((acc["n"] + 1).alias("n"), (acc["sum"] + w).alias("sum")))
+        return F.aggregate(some, zero, add, lambda acc: F.when(acc["sum"] >= words, acc["n"]).otherwise(0))
 
-    def ends(of: Column, levels: Column) -> Column:
-        """Lengths of the run from each line on, 0 where the rest has too few words: the most lines below ``words``, and one.
+    def ends(of: Column) -> Column:
+        """Lengths of the run from each line on; few lines are looked at first, as most runs are short.
 
-        Both must be bound already: what stands in the inner lambda is worked out anew for each line.
+        ``of`` must be bound already: what stands in the inner lambda is worked out anew for each line.
         """
 
         def at(i: Column) -> Column:
-            zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"))
+            near = F.array(reach(F.slice(of, i, min(8, words))))
+            return F.element_at(F.transform(near, lambda n: F.when(n > 0, n).otherwise(reach(F.slice(of, i, words)))), 1)
 
-            def add(acc: Column, x: Column) -> Column:
-                more = F.get(x["sums"], i + acc["n"]) + acc["sum"]
-                return F.when(more < words, F.struct((acc["n"] + x["j"]).alias("n"), more.alias("sum"))).otherwise(acc)
-
-            return F.aggregate(levels, zero, add, lambda acc: F.when(i + acc["n"] < F.size(of), acc["n"] + 1).otherwise(0))
-
-        return F.transform(F.sequence(F.lit(0), F.size(of) - 1), at)
+        return F.transform(F.sequence(F.lit(1), F.size(of)), at)
 
     def build(x: Column) -> Column:
         n = F.size(x["down"])
-        down = F.transform(ends(x["down"], x["down_sums"]), lambda k, i: F.when(k > 0, _pair(i + 1, i + k)))
-        up = F.transform(ends(x["up"], x["up_sums"]), lambda k, i: F.when(k > 0, _pair(n - i - k + 1, n - i)))
+        down = F.transform(ends(x["down"]), lambda k, i: F.when(k > 0, _pair(i + 1, i + k)))
+        up = F.transform(ends(x["up"]), lambda k, i: F.when(k > 0, _pair(n - i - k + 1, n - i)))
         return F.filter(F.concat(down, up), lambda r: r.isNotNull())
 
     both = F.transform(F.array(sizes), lambda x: F.struct(x.alias("down"), F.reverse(x).alias("up")))
-    both = F.transform(both, lambda x: F.struct(x["down"], x["up"], F.reverse(doubled(x["down"])).alias("down_sums"), F.reverse(doubled(x["up"])).alias("up_sums")))
     runs = F.element_at(F.transform(both, build), 1)
     whole = F.transform(F.filter(chunks(text, one_in), _is_passage), lambda c: _pair(c["first"], c["last"]))
     return F.array_distinct(F.concat(whole, runs))
 
 
 def _marks(text: Column, one_in: int, words: int) -> Column:
-    """array<struct<first, last, hash, check>>: the passages that aren't blank, with 128 bits of hash over line hashes."""
-    bound = F.struct(
-        F.split(text, "\n", -1).alias("lines"),
-        F.transform(F.split(text, "\n", -1), lambda x: F.xxhash64(x)).alias("one"),
-        F.transform(F.split(text, "\n", -1), lambda x: F.xxhash64(F.lit(1), x)).alias("two"),
-        passages(text, one_in, words).alias("runs"),
-    )
+    """array<struct<run, hash>>: the passages that aren't blank, with a hash over the hashes of their lines."""
+    lines = F.split(text, "\n", -1)
+    bound = F.struct(lines.alias("lines"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"), passages(text, one_in, words).alias("runs"))
 
     def build(x: Column) -> Column:
-        said = lambda r: F.exists(F.slice(x["lines"], r["first"], r["last"] - r["first"] + 1), lambda y: F.length(F.trim(F.translate(y, "\t", ""))) > 0)
-        of = lambda name, r: F.xxhash64(F.slice(x[name], r["first"], r["last"] - r["first"] + 1))
-        runs = F.transform(x["runs"], lambda r: F.struct(F.shiftright(r, 32).cast("int").alias("first"), r.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("last")))
-        return F.transform(F.filter(runs, said), lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), of("one", r).alias("hash"), of("two", r).alias("check")))
+        of = lambda name, r: F.slice(x[name], _first(r), _last(r) - _first(r) + 1)
+        said = lambda r: F.exists(of("lines", r), lambda y: F.length(F.trim(F.translate(y, "\t", ""))) > 0)
+        return F.transform(F.filter(x["runs"], said), lambda r: F.struct(r.alias("run"), F.xxhash64(of("hashes", r)).alias("hash")))
 
     return F.element_at(F.transform(F.array(bound), build), 1)
 
@@ -152,29 +149,33 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", one_in: i
     # a row's key tells texts of one id apart; the other columns travel in one struct, so that no name can clash
     rows = docs.where(apart).select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(body).alias("of")).alias("key"), body.alias("text"), F.struct(*[F.col(c) for c in columns if c != text] or [F.lit(0)]).alias("rest"))
     with Tables() as own:
-        marks = own.stash(rows.select("key", F.explode(_marks(F.col("text"), one_in, words)).alias("r")).select("key", "r.*"), "passages")
-        often = own.stash(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "repeated")
-        found = own.stash(join_counted(marks, often, ["hash"], F.col("key"), hint="merge"), "found")
-        kept = found.groupBy("hash", "check").agg(F.min(F.struct("key", "first", "last")).alias("kept"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        overlaps = (F.col("key") == F.col("kept.key")) & (F.col("first") <= F.col("kept.last"))
-        later = join_counted(found, own.stash(kept, "kept"), ["hash", "check"], F.col("key"), hint="merge").where(~overlaps)
+        with Tables() as early:  # rows of four numbers, as there are some for each line
+            marks = early.stash(rows.select("key.id", "key.of", F.explode(_marks(F.col("text"), one_in, words)).alias("r")).select("id", "of", "r.*"), "passages")
+            often = early.stash(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "repeated")
+            found = own.stash(join_counted(marks, often, ["hash"], F.col("id"), hint="merge").drop("k"), "found")
+        del marks, often
+        kept = own.stash(found.groupBy("hash").agg(F.min(F.struct("id", "of", "run")).alias("kept"), F.count(F.lit(1)).alias("k")), "kept")
+        overlaps = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("of") == F.col("kept.of")) & (_first(F.col("run")) <= _last(F.col("kept.run")))
+        later = join_counted(found, kept, ["hash"], F.col("id"), hint="merge").where(~overlaps)
+        named = [F.struct("id", "of").alias("key"), F.struct("kept.id", "kept.of").alias("of"), (_first(F.col("kept.run")) - _first(F.col("run"))).alias("away")]
+        later = later.select(*named, _first(F.col("run")).alias("first"), _last(F.col("run")).alias("last"))
         # runs of one text that stand at one distance from the same earlier text are joined, so that each line's bytes move once
-        pair = [F.col("key"), F.col("kept.key").alias("of"), (F.col("kept.first") - F.col("first")).alias("away")]
         order = Window.partitionBy("key", "of", "away").orderBy("first", "last")
-        runs = later.select(*pair, "first", "last").withColumn("reach", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+        runs = later.withColumn("reach", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
         runs = runs.withColumn("span", F.count(F.when(F.col("reach").isNull() | (F.col("first") > F.col("reach") + 1), 1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         spans = own.stash(runs.groupBy("key", "of", "away", "span").agg(F.min("first").alias("first"), F.max("last").alias("last")), "spans")
         named = F.transform("runs", lambda r: F.struct(r["of"].alias("of"), (r["first"] + r["away"]).alias("at"), (r["last"] + r["away"]).alias("upto"), r["first"].alias("first"), r["last"].alias("last")))
-        mine = spans.groupBy("key").agg(F.collect_list(F.struct("of", "away", "first", "last")).alias("runs")).select("key", named.alias("runs"))
-        theirs = spans.select(F.col("of").alias("key"), (F.col("first") + F.col("away")).alias("first"), (F.col("last") + F.col("away")).alias("last")).groupBy("key", "first", "last").agg(F.count(F.lit(1)).alias("k"))
-        theirs = own.stash(theirs, "earlier")
-        sources = theirs.groupBy("key").agg(F.collect_list(F.struct("first", "last", "k")).alias("runs"))
+        theirs = spans.groupBy("of", (F.col("first") + F.col("away")).alias("first"), (F.col("last") + F.col("away")).alias("last")).agg(F.count(F.lit(1)).alias("k"))
+        # what to read of each text: its own spans, and (with the count k of those that ask) what others are compared with
+        mine = spans.select("key", "of", "away", "first", "last", F.lit(None).cast("bigint").alias("k"))
+        asked = theirs.select(F.col("of").alias("key"), "of", F.lit(0).alias("away"), "first", "last", "k")
+        wanted = mine.unionByName(asked).groupBy("key").agg(F.collect_list(F.struct("of", "away", "first", "last", "k")).alias("runs"))
         read = lambda x: F.transform(x["runs"], lambda r: F.struct(r.alias("r"), _body(x["lines"], r["first"], r["last"]).alias("body")))
-        texts = rows.select("key", "text").dropDuplicates(["key"])
-        copies = rows.select("key", "text").join(mine.hint("merge"), "key").select("key", F.explode(bind(F.col("runs"), read)).alias("r")).select("key", "r.r.*", "r.body")
-        originals = texts.join(sources.hint("merge"), "key").select(F.col("key").alias("of"), F.explode(bind(F.col("runs"), read)).alias("r"))
-        originals = own.stash(originals.select("of", F.col("r.r.first").alias("at"), F.col("r.r.last").alias("upto"), F.col("r.r.k").alias("k"), F.col("r.body").alias("kept")), "originals")
-        same_bytes = join_counted(own.stash(copies, "copies"), originals, ["of", "at", "upto"], F.col("key"), hint="merge").where(F.col("body") == F.col("kept"))
+        pieces = rows.select("key", "text").join(wanted.hint("merge"), "key").select("key", F.explode(bind(F.col("runs"), read)).alias("r")).select("key", "r.r.*", "r.body")
+        pieces = own.stash(pieces.withColumns({"at": F.col("first") + F.col("away"), "upto": F.col("last") + F.col("away")}), "pieces")
+        originals = pieces.where("k IS NOT NULL").dropDuplicates(["of", "at", "upto"]).select("of", "at", "upto", "k", F.col("body").alias("kept"))
+        copies = pieces.where("k IS NULL").drop("k")
+        same_bytes = join_counted(copies, own.stash(originals, "originals"), ["of", "at", "upto"], F.col("key"), hint="merge").where(F.col("body") == F.col("kept"))
         gone = own.keep(same_bytes.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "gone")
     lost = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"]))))
     left = bind(F.array_except(F.sequence(F.lit(1), n_lines), lost), lambda x: F.array_join(F.transform(x["runs"], lambda i: F.element_at(x["lines"], i)), "\n"))
