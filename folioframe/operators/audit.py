@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions import numbers as N
-from folioframe.operators import rules
+from folioframe.operators import geometry, rules
 
 ERROR, WARNING = 2, 1
 #: The newest format version that each profile allows (none: any), times ten.
@@ -68,10 +68,10 @@ def contrast(runs: DataFrame, fills: DataFrame, tolerance: float = 0.5) -> DataF
 
     Behind a run lies the last earlier fill (same columns) that covers it, else white; each pair of colours once a page.
     """
-    over = fills.select("doc", "page", *(F.col(c).alias("f_" + c) for c in ("ord", "x0", "y0", "x1", "y1", "r", "g", "b")))
     text = runs.where("NOT artifact")
-    covers = (F.col("f_ord") < F.col("ord")) & (F.col("f_x0") <= F.col("x0") + tolerance) & (F.col("f_y0") <= F.col("y0") + tolerance) & (F.col("f_x1") >= F.col("x1") - tolerance) & (F.col("f_y1") >= F.col("y1") - tolerance)
-    behind = text.join(over, ["doc", "page"]).where(covers).groupBy("doc", "page", "ord").agg(F.max_by(F.struct(F.col("f_r").alias("r"), F.col("f_g").alias("g"), F.col("f_b").alias("b")), "f_ord").alias("back"))
+    met = geometry.overlapping(text.select("doc", "page", "ord", *geometry.BOX), fills.select("doc", "page", "ord", *geometry.BOX, "r", "g", "b"), ["doc", "page"], touch=tolerance)
+    covers = (F.col("o_ord") < F.col("ord")) & (F.col("o_x0") <= F.col("x0") + tolerance) & (F.col("o_y0") <= F.col("y0") + tolerance) & (F.col("o_x1") >= F.col("x1") - tolerance) & (F.col("o_y1") >= F.col("y1") - tolerance)
+    behind = met.where(covers).groupBy("doc", "page", "ord").agg(F.max_by(F.struct(*(F.col("o_" + c).alias(c) for c in "rgb")), "o_ord").alias("back"))
     white = F.struct(*(F.lit(255).cast("bigint").alias(c) for c in "rgb"))
     both = text.join(behind, ["doc", "page", "ord"], "left").withColumn("back", F.coalesce("back", white))
     lum = lambda p: N.luminance(*(F.col(p + c) / 255 for c in "rgb"))
@@ -171,8 +171,10 @@ def ruled_grids(flat: DataFrame, upright: DataFrame, tolerance: float = 3.0) ->
     grouped = flat.withColumn("band", F.sum(new.cast("int")).over(extent.rowsBetween(Window.unboundedPreceding, 0)))
     lines = _apart(grouped, [*keys, "band"], "y", tolerance)
     bands = grouped.join(lines.select(*keys, "band", "lines"), [*keys, "band"]).groupBy(*keys, "band", "lines").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).where("lines >= 2")
-    up = upright.select(*keys, "x", F.col("y0").alias("a"), F.col("y1").alias("b"))
-    crossing = bands.join(up, keys).where((F.col("x") >= F.col("x0") - tolerance) & (F.col("x") <= F.col("x1") + tolerance) & (2 * (F.least("b", "y1") - F.greatest("a", "y0")) >= F.col("y1") - F.col("y0")))
+    up = upright.select(*keys, F.col("x").alias("x0"), F.col("x").alias("x1"), "y0", "y1")
+    met = geometry.overlapping(up, bands, keys, touch=tolerance)
+    half = 2 * (F.least("y1", "o_y1") - F.greatest("y0", "o_y0")) >= F.col("o_y1") - F.col("o_y0")
+    crossing = met.where(half & F.col("x0").between(F.col("o_x0") - tolerance, F.col("o_x1") + tolerance)).select(*keys, F.col("o_band").alias("band"), F.col("x0").alias("x"))
     columns = _apart(crossing, [*keys, "band"], "x", tolerance).select(*keys, "band", F.col("lines").alias("edges"))
     out = bands.join(columns, [*keys, "band"]).where("edges >= 2")
     return out.select(*keys, "x0", "x1", "y0", "y1", (F.col("lines") - 1).alias("n_rows"), (F.col("edges") - 1).alias("n_columns"))
@@ -187,13 +189,11 @@ def _apart(rows: DataFrame, keys: list[str], value: str, tolerance: float) -> Da
 
 def gutters(boxes: DataFrame, least: float) -> DataFrame:
     """(doc, page, left, right): the widest upright gap of each page with two baselines (y0) or more on either side."""
-    w = Window.partitionBy("doc", "page").orderBy("x0", "x1")
-    reach = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    gaps = boxes.withColumn("left", reach).withColumn("right", F.col("x0")).where(F.col("right") - F.col("left") >= least).select("doc", "page", "left", "right").distinct()
-    side = boxes.select("doc", "page", F.col("x0").alias("a"), F.col("x1").alias("b"), "y0")
-    both = gaps.join(side, ["doc", "page"]).groupBy("doc", "page", "left", "right").agg(
-        F.size(F.collect_set(F.when(F.col("b") <= F.col("left"), F.col("y0")))).alias("n_left"), F.size(F.collect_set(F.when(F.col("a") >= F.col("right"), F.col("y0")))).alias("n_right")
-    )
-    wide = both.where("n_left >= 2 AND n_right >= 2")
+    page = Window.partitionBy("doc", "page")
+    left = page.orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
+    right = page.orderBy(F.desc("x0")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    two = lambda w: F.min("y0").over(w) < F.max("y0").over(w)
+    gaps = boxes.select("doc", "page", F.max("x1").over(left).alias("left"), F.col("x0").alias("right"), (two(left) & two(right)).alias("two"))
+    wide = gaps.where((F.col("right") - F.col("left") >= least) & F.col("two"))
     best = F.max_by(F.struct("left", "right"), F.struct((F.col("right") - F.col("left")).alias("w"), (-F.col("left")).alias("l")))
     return wide.groupBy("doc", "page").agg(best.alias("g")).select("doc", "page", "g.left", "g.right")

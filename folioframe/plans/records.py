@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import numbers as N
 from folioframe.functions.text import words
-from folioframe.operators import search, trees
+from folioframe.operators import geometry, search, trees
 from folioframe.plans import Registry
 from folioframe.plans.assembly import PAGES_SQL, page_table
 from folioframe.plans.models import COMMENTS_SQL, ENGLISH, FIELDS_SQL, FRENCH, PIXELS_SQL, TAGS_SQL, comments, fields, pixels
@@ -338,10 +338,11 @@ def register(r: Registry) -> None:
     def p11(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Rectangles that a zone of their page touches are gone."""
         k = F.col("s_suppkey")
-        zones = table(spark, sf_dir, "supplier").select(k.alias("zpage"), (k % 60).alias("zx0"), (k % 60 + 20).alias("zx1"))
-        b = boxes(spark, sf_dir)
-        touched = (b["page"] == zones["zpage"]) & (b["x0"] < zones["zx1"]) & (b["x1"] > zones["zx0"]) & (b["y0"] < 40) & (b["y1"] > 10)
-        return b.join(zones, touched, "left_anti").select("page", "l_orderkey", "l_linenumber", "x0")
+        b = boxes(spark, sf_dir).withColumn("page", F.col("page").cast("bigint"))
+        zones = table(spark, sf_dir, "supplier").select(k.alias("page"), (k % 60).alias("x0"), F.lit(10).alias("y0"), (k % 60 + 20).alias("x1"), F.lit(40).alias("y1"))
+        met = geometry.overlapping(b, zones, ["page"]).where("x0 < o_x1 AND x1 > o_x0 AND y0 < 40 AND y1 > 10")
+        rows = ["page", "l_orderkey", "l_linenumber"]
+        return b.join(met.select(*rows, *geometry.BOX), [*rows, *geometry.BOX], "left_anti").select(*rows, "x0")
 
     @r.add("g13_split_by_groups", f"SELECT doc, page, (page % 3)::BIGINT AS part FROM ({PAGES_SQL}) WHERE page <= 6")
     def g13(spark: SparkSession, sf_dir: str) -> DataFrame:
