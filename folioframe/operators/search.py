@@ -102,9 +102,14 @@ def pieces(matches: DataFrame, lines: DataFrame, key: str, line: str = "line") -
     """(key, match, line_no, start, end): each match cut at the ends of lines (key, line_no, line); positions in the line."""
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.coalesce(F.sum(F.length(line) + 1).over(w), F.lit(0)) + 1
-    spans = lines.select(key, "line_no", begin.alias("_a"), F.length(line).alias("_n"))
-    both = matches.join(spans, key).where((F.col("start") < F.col("_a") + F.col("_n")) & (F.col("end") > F.col("_a")))
-    return both.select(key, "match", "line_no", (F.greatest("start", "_a") - F.col("_a") + 1).alias("start"), (F.least(F.col("end"), F.col("_a") + F.col("_n")) - F.col("_a") + 1).alias("end"))
+    spans = lines.select(key, "line_no", begin.alias("_a"), F.length(line).alias("_n")).join(matches.select(key).distinct(), key, "left_semi")
+    # the lines on which a match begins and ends are those that began last before
+    ends = matches.select(key, "match", F.explode(F.array(F.col("start").cast("long"), F.col("end").cast("long") - 1)).alias("_a"))
+    both = spans.select(key, F.lit(None).cast("long").alias("match"), F.col("_a").cast("long").alias("_a"), "line_no").unionByName(ends.withColumn("line_no", F.lit(None).cast("int")))
+    order = Window.partitionBy(key).orderBy("_a", F.col("match").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    on = both.withColumn("_on", F.last("line_no", ignorenulls=True).over(order)).where("match IS NOT NULL").groupBy(key, "match").agg(F.min("_on").alias("_from"), F.max("_on").alias("_to"))
+    met = matches.join(on, [key, "match"]).withColumn("line_no", F.explode(F.sequence("_from", "_to"))).join(spans, [key, "line_no"]).where((F.col("start") < F.col("_a") + F.col("_n")) & (F.col("end") > F.col("_a")))
+    return met.select(key, "match", "line_no", (F.greatest("start", "_a") - F.col("_a") + 1).alias("start"), (F.least(F.col("end"), F.col("_a") + F.col("_n")) - F.col("_a") + 1).alias("end"))
 
 
 def candidates(lines: DataFrame, keys: list[str], text: str = "line") -> DataFrame:

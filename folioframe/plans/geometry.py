@@ -13,7 +13,7 @@ from folioframe.operators import geometry
 from folioframe.plans import Registry
 from folioframe.plans.audits import DRAWN_SQL, drawn
 from folioframe.plans.structure import ROWS_SQL, wrapped
-from folioframe.sources.scratch import shared_folder
+from folioframe.sources.scratch import written
 
 KEYS = ["doc", "page"]
 #: Rows of a page of 50 by how its document is set: one column, two, two under a band of two rows, three. The last element of a row is its column.
@@ -104,12 +104,6 @@ def drawn_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return rules.select(*KEYS, *box), words.select(*KEYS, "ord", *box, "text")
 
 
-def written(rows: DataFrame, what: str) -> DataFrame:
-    """The rows written in the shared folder and read again."""
-    rows.write.parquet(path := shared_folder(rows.sparkSession, what))
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of wrapped documents as text items with boxes, by how their document is set."""
     rows = wrapped(spark, sf_dir).where(F.trim("row_text") != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
@@ -24,3 +24,9 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         if not named and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-folioframe-"))
+
+
+def written(rows: DataFrame, what: str) -> DataFrame:
+    """The rows written in the shared folder and read again: what several steps read is worked out once."""
+    rows.write.parquet(path := shared_folder(rows.sparkSession, what))
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
