@@ -90,7 +90,11 @@ def anchor_chain(found: DataFrame) -> DataFrame:
     return found.groupBy("pair").applyInPandas(chain, found.schema)
 
 
-def common_subsequence(old: list[str], new: list[str]) -> list[tuple[int, int]]:
+#: Cells of a table of lengths that is held at once; larger gaps are halved first.
+CELLS = 4_000_000
+
+
+def _by_table(old: list[str], new: list[str]) -> list[tuple[int, int]]:
     """Positions of a longest common subsequence, by a table of its lengths."""
     size = np.zeros((len(old) + 1, len(new) + 1), dtype=np.int32)
     codes = {w: k for k, w in enumerate(dict.fromkeys(old + new))}
@@ -111,11 +115,74 @@ def common_subsequence(old: list[str], new: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def word_diff(tokens: DataFrame, chain: DataFrame, most_cells: int = 4_000_000) -> DataFrame:
+def _lengths(old: list[str], new: list[str]) -> np.ndarray:
+    """Lengths of longest common subsequences of ``old`` with each head of ``new``, shortest head first.
+
+    A row of the table is one number, of which a bit is 0 where the length grows by one from a head to the next; a word
+    of old takes a few operations on it. Memory is that of a row.
+    """
+    at: dict[str, list[int]] = {}
+    for j, w in enumerate(new):
+        at.setdefault(w, []).append(j)
+    kept: dict[str, int] = {}
+
+    def mask(w: str) -> int:
+        """The places of a word as bits; kept for words of many places, of which there are few."""
+        if w in kept:
+            return kept[w]
+        bits = np.zeros(len(new) // 8 + 1, np.uint8)
+        places = np.array(at[w])
+        np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
+        out = int.from_bytes(bits.tobytes(), "little")
+        if len(places) ** 2 > len(new):
+            kept[w] = out
+        return out
+
+    whole = (1 << len(new)) - 1
+    row = whole
+    for w in old:
+        if w in at:
+            met = row & mask(w)
+            row = ((row + met) | (row - met)) & whole
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(new) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(new)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common_subsequence(old: list[str], new: list[str], cells: int = CELLS) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence of any two lists, in memory proportional to their lengths.
+
+    Words of one side only are left out, equal heads and tails are taken as they are. Where a table would be too large,
+    the old side is halved and the new side cut where the two halves have most in common; both parts go on alone.
+    """
+    out: list[tuple[int, int]] = []
+    both = set(old) & set(new)
+    a, b = [i for i, w in enumerate(old) if w in both], [j for j, w in enumerate(new) if w in both]
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, k, j, m = todo.pop()
+        while i < k and j < m and old[a[i]] == new[b[j]]:
+            out.append((a[i], b[j]))
+            i, j = i + 1, j + 1
+        while i < k and j < m and old[a[k - 1]] == new[b[m - 1]]:
+            k, m = k - 1, m - 1
+            out.append((a[k], b[m]))
+        if i == k or j == m:
+            continue
+        x, y = [old[p] for p in a[i:k]], [new[p] for p in b[j:m]]
+        if len(x) * len(y) <= cells or len(x) == 1:
+            out += [(a[i + p], b[j + q]) for p, q in _by_table(x, y)]
+            continue
+        half = len(x) // 2
+        cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+        todo += [(i, i + half, j, j + cut), (i + half, k, j + cut, m)]
+    return sorted(out)
+
+
+def word_diff(tokens: DataFrame, chain: DataFrame) -> DataFrame:
     """(pair, kind, old_text, new_text, at): removed, added and replaced runs between the anchors of a pair.
 
     Anchors cut a pair into gaps; equal heads and tails of a gap are stripped, and a longest common subsequence cuts what
-    is left into changes. A gap whose table would exceed ``most_cells`` is one change. ``at`` orders a pair's changes.
+    is left into changes, however long it is. ``at`` orders a pair's changes.
     """
     w = Window.partitionBy("pair", "side").orderBy("pos")
     marks = chain.select("pair", F.explode(F.array(F.struct(F.lit("old").alias("side"), F.col("old_pos").alias("pos")), F.struct(F.lit("new").alias("side"), F.col("new_pos").alias("pos")))).alias("m")).select("pair", "m.side", "m.pos", F.lit(1).alias("anchor"))
@@ -136,7 +203,7 @@ def word_diff(tokens: DataFrame, chain: DataFrame, most_cells: int = 4_000_000)
                 while tail < min(len(old), len(new)) - head and old[-1 - tail] == new[-1 - tail]:
                     tail += 1
                 old, new = old[head : len(old) - tail], new[head : len(new) - tail]
-                kept = common_subsequence(old, new) if len(old) * len(new) <= most_cells else []
+                kept = common_subsequence(old, new)
                 i = j = 0
                 for k, m in [*kept, (len(old), len(new))]:
                     if i < k or j < m:
@@ -162,25 +229,28 @@ def moved(removed: DataFrame, added: DataFrame, keys: list[str]) -> DataFrame:
 def align_pages(similar: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(pair, old_page, new_page): the monotone alignment of largest gain (similarity less threshold), gaps free.
 
-    ``similar`` is (pair, old_page, new_page, sim), rows above the threshold only; one small group for each pair.
+    ``similar`` is (pair, old_page, new_page, sim), rows above the threshold only. A pair's rows are one group, whose time
+    and memory are those of its rows (and a logarithm), not of all old by all new pages.
     """
 
     def align(group: pd.DataFrame) -> pd.DataFrame:
-        gain = {(int(a), int(b)): s - threshold for a, b, s in zip(group["old_page"], group["new_page"], group["sim"], strict=True)}
-        olds, news = sorted({a for a, _ in gain}), sorted({b for _, b in gain})
-        best = [[0.0] * (len(news) + 1) for _ in range(len(olds) + 1)]
-        for i, a in enumerate(olds):
-            for j, b in enumerate(news):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + gain.get((a, b), -1.0))
-        i, j, out = len(olds), len(news), []
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                out.append((group["pair"].iloc[0], olds[i], news[j]))
+        rows = sorted(zip(group["old_page"], group["new_page"], group["sim"] - threshold, strict=True), key=lambda r: (r[0], -r[1]))
+        places = {b: k for k, b in enumerate(sorted({b for _, b, _ in rows}), 1)}
+        tree: list[tuple[float, int]] = [(0.0, -1)] * (len(places) + 1)  # best gain, and its last row, among new pages up to a place
+        back, gains = [], []
+        for i, (_, b, g) in enumerate(rows):
+            at, best = places[b] - 1, (0.0, -1)
+            while at:
+                best, at = max(best, tree[at]), at & (at - 1)
+            back.append(best[1])
+            gains.append(best[0] + g)
+            at = places[b]
+            while at < len(tree):
+                tree[at], at = max(tree[at], (gains[-1], i)), at + (at & -at)
+        i, out = max(range(len(rows)), key=gains.__getitem__), []
+        while i >= 0:
+            out.append((group["pair"].iloc[0], rows[i][0], rows[i][1]))
+            i = back[i]
         return pd.DataFrame(out[::-1], columns=["pair", "old_page", "new_page"])
 
     kind = similar.schema["pair"].dataType.simpleString()

@@ -85,8 +85,8 @@ def register(r: Registry) -> None:
     @r.add(
         "d6_anchors",
         f"""
-        WITH t AS MATERIALIZED ({NEXT_SQL}), o AS MATERIALIZED (SELECT pair, side, word, min(pos) AS pos FROM t GROUP BY pair, side, word HAVING count(*) = 1)
-        SELECT x.pair, x.word, x.pos AS old_pos, y.pos AS new_pos FROM o x JOIN o y ON x.pair = y.pair AND x.word = y.word AND x.side = 'old' AND y.side = 'new'
+        WITH o AS MATERIALIZED (SELECT doc_id, word, min(pos) AS pos FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, {WORDS_SQL.format('text')} AS ws FROM documents)) GROUP BY doc_id, word HAVING count(*) = 1)
+        SELECT x.doc_id AS pair, x.word, x.pos AS old_pos, y.pos AS new_pos FROM (SELECT * FROM o WHERE doc_id % 2 = 0) x JOIN (SELECT *, doc_id - 1 AS pair FROM o WHERE doc_id % 2 = 1) y ON x.doc_id = y.pair AND x.word = y.word
         """,
     )
     def d6(spark: SparkSession, sf_dir: str) -> DataFrame:

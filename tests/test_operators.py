@@ -229,3 +229,62 @@ def test_word_diff_rebuilds_the_new_text(spark):
             for j in range(len(new)):
                 best[i + 1][j + 1] = best[i][j] + 1 if old[i] == new[j] else max(best[i][j + 1], best[i + 1][j])
         assert len(pairs) == best[-1][-1]
+
+
+def test_long_gaps_are_cut_exactly_and_in_little_memory():
+    import random
+    import time
+    import tracemalloc
+
+    r = random.Random(5)
+    for _ in range(60):
+        old, new = ([r.choice("abcdefgh") for _ in range(r.randint(0, 40))] for _ in range(2))
+        whole, halved = compare.common_subsequence(old, new), compare.common_subsequence(old, new, cells=6)
+        assert len(halved) == len(whole) == len(compare._by_table(old, new))
+        assert halved == sorted(halved) and len({i for i, _ in halved}) == len({j for _, j in halved}) == len(halved)
+        assert all(old[i] == new[j] for i, j in halved) and [j for _, j in halved] == sorted(j for _, j in halved)
+    words = [f"w{int(r.paretovariate(0.7)) % 5000}" for _ in range(20_000)]
+    new = [w if r.random() < 0.9 else f"w{r.randrange(5000)}" for w in words]
+    r.shuffle(new[5000:6000])
+    tracemalloc.start()
+    began = time.time()
+    kept = compare.common_subsequence(words, new)
+    assert tracemalloc.get_traced_memory()[1] < 200e6 and time.time() - began < 120
+    tracemalloc.stop()
+    assert all(words[i] == new[j] for i, j in kept) and len(kept) >= sum(a == b for a, b in zip(words, new))
+
+
+def test_page_alignment_and_moves_against_all_choices(spark):
+    import itertools
+    import random
+
+    r = random.Random(2)
+    sims = {p: {(a, b): r.choice([0.6, 0.7, 0.9, 1.0]) for a in range(6) for b in range(6) if r.random() < 0.3} for p in range(12)}
+    rows = [(p, a, b, s) for p, x in sims.items() for (a, b), s in x.items()]
+    df = spark.createDataFrame(rows, "pair long, old_page long, new_page long, sim double")
+    got = {}
+    for x in compare.align_pages(df, 0.5).collect():
+        got.setdefault(x.pair, []).append((x.old_page, x.new_page))
+    for p, x in sims.items():
+        best = 0.0
+        for n in range(1, 7):
+            for olds in itertools.combinations(range(6), n):
+                for news in itertools.combinations(range(6), n):
+                    pairs = list(zip(olds, news))
+                    if all(q in x for q in pairs):
+                        best = max(best, sum(x[q] - 0.5 for q in pairs))
+        mine = sorted(got.get(p, []))
+        assert all(b[0] > a[0] and b[1] > a[1] for a, b in zip(mine, mine[1:]))
+        assert abs(sum(x[q] - 0.5 for q in mine) - best) < 1e-9
+    spark.sparkContext.setCheckpointDir("/tmp/spark-folioframe-tests")
+    greedy = {}
+    for p, x in sims.items():
+        left = dict(x)
+        while left:
+            q = min(left, key=lambda q: (-left[q], q))
+            greedy.setdefault(p, set()).add(q)
+            left = {k: v for k, v in left.items() if k[0] != q[0] and k[1] != q[1]}
+    found = {}
+    for x in compare.mutual_best(df).collect():
+        found.setdefault(x.pair, set()).add((x.old_page, x.new_page))
+    assert found == greedy
