@@ -13,6 +13,7 @@ from folioframe.operators import geometry
 from folioframe.plans import Registry
 from folioframe.plans.audits import DRAWN_SQL, drawn
 from folioframe.plans.structure import ROWS_SQL, wrapped
+from folioframe.sources import sinks
 from folioframe.sources.scratch import written
 
 KEYS = ["doc", "page"]
@@ -154,3 +155,19 @@ def register(r: Registry) -> None:
         rules, words = drawn_table(spark, sf_dir)
         out = geometry.cells(words, geometry.grids(rules, words, KEYS, written), KEYS)
         return out.select(*KEYS, *(F.col(c).cast("long").alias(c) for c in ("grid", "row", "column")), "text")
+
+    _cell = "CASE WHEN p % 3 = 0 THEN concat('a, \"', p, '\"') WHEN p % 3 = 1 THEN concat('b', p) END"
+
+    @r.add(
+        "a5_table_cells",
+        f"""
+        WITH c AS (SELECT doc AS "table", page + 1 AS row, ord AS col, {_cell.replace(chr(92), '')} AS text FROM {DRAWN_SQL}), w AS (SELECT "table", max(col) AS n FROM c GROUP BY 1),
+        g AS (SELECT "table", row, col FROM (SELECT DISTINCT "table", row FROM c) JOIN (SELECT "table", unnest(range(1, n + 1)) AS col FROM w) USING ("table"))
+        SELECT "table", row, string_agg(coalesce(CASE WHEN contains(text, ',') OR contains(text, '"') THEN '"' || replace(text, '"', '""') || '"' ELSE text END, ''), ',' ORDER BY col) AS line FROM g LEFT JOIN c USING ("table", row, col) GROUP BY "table", row
+        UNION ALL SELECT "table", 0, string_agg('c' || k, ',' ORDER BY k) FROM (SELECT "table", unnest(range(1, n + 1)) AS k FROM w) GROUP BY "table"
+        """,
+    )
+    def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Line items as cells of tables, as lines of CSV; the rows are the pages of a document, 1 to 8."""
+        cells = drawn(spark, sf_dir).select(F.col("doc").alias("table"), (F.col("page") + 1).alias("row"), F.col("ord").cast("int").alias("col"), F.expr(_cell).alias("text"))
+        return sinks.csv_lines(cells)

@@ -19,13 +19,13 @@ def register(r: Registry) -> None:
     def z1(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Newest event of each user, from the events read as a stream."""
         newest = incremental.newest_revisions(incremental.file_stream(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ["event_id", "event_type", "value"])
-        return incremental.run_to_table(newest, shared_folder(spark, "z1"))
+        return incremental.run_to_table(newest, shared_folder(spark, "z1"), ["user_id"])
 
     @r.add("z2_search_stream", f"SELECT source, needle, count(*) AS n FROM (SELECT source, unnest({WORDS_SQL.format('text')}) AS needle FROM documents) WHERE needle IN ('the', 'of', 'la', 'der') GROUP BY source, needle")
     def z2(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Counts of a few words by source, from the documents read as a stream."""
         hits = incremental.running_hits(incremental.file_stream(spark, sf_dir, "documents"), NEEDLES, "source")
-        return incremental.run_to_table(hits, shared_folder(spark, "z2"))
+        return incremental.run_to_table(hits, shared_folder(spark, "z2"), ["source", "needle"])
 
     @r.add("a2_file_inventory")
     def a2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,10 +36,26 @@ def write_form_values(fields: DataFrame, folder: str) -> None:
     fields.where("value IS NOT NULL AND kind NOT IN ('button', 'signature')").select("doc", "name", "value").write.json(folder)
 
 
-def write_tables(cells: DataFrame, folder: str, most_columns: int = 64) -> None:
-    """Cells (table, row, col, text) as CSV, a folder for each table, columns c1, c2, .. in a fixed number."""
-    wide = cells.groupBy("table", "row").pivot("col", list(range(1, most_columns + 1))).agg(F.first("text"))
-    wide.toDF("table", "row", *[f"c{k}" for k in range(1, most_columns + 1)]).write.partitionBy("table").csv(folder, header=True)
+def csv_lines(cells: DataFrame, table: str = "table", least_columns: int = 1) -> DataFrame:
+    """(table, row, line): rows of cells (table, row, col, text) as lines of CSV, each table as wide as its widest row.
+
+    Columns count from 1; missing cells are empty, and several texts of one cell go by their order. Texts with a comma, a
+    quote or a line end are quoted. Row 0 is the header, c1, c2, ..
+    """
+    one = cells.groupBy(table, "row", "col").agg(F.min("text").alias("text"))
+    rows = one.groupBy(table, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("_cells"), F.max("col").alias("_widest"))
+    width = F.greatest(F.max("_widest").over(Window.partitionBy(table)), F.lit(least_columns))
+    quoted = lambda x: F.when(x.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(x, F.lit("")))
+    wide = rows.withColumn("_width", width)
+    lines = wide.select(table, "row", F.array_join(F.transform(F.sequence(F.lit(1), F.col("_width")), lambda c: quoted(F.try_element_at("_cells", c))), ",").alias("line"))
+    names = wide.groupBy(table).agg(F.first("_width").alias("_width")).select(table, F.lit(0).cast(cells.schema["row"].dataType).alias("row"), F.array_join(F.transform(F.sequence(F.lit(1), F.col("_width")), lambda c: F.concat(F.lit("c"), c.cast("string"))), ",").alias("line"))
+    return names.unionByName(lines)
+
+
+def write_tables(cells: DataFrame, folder: str, least_columns: int = 1) -> None:
+    """Cells (table, row, col, text) as CSV, a folder with one file for each table; any number of columns."""
+    lines = csv_lines(cells, "table", least_columns)
+    lines.repartition("table").sortWithinPartitions("table", "row").select("table", "line").write.partitionBy("table").text(folder)
 
 
 def outline_rows(spark: SparkSession, path: str) -> DataFrame:

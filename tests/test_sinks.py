@@ -13,6 +13,15 @@ def test_parts_and_tables(spark, tmp_path):
     assert {(r.c1, r.c2) for r in spark.read.csv(f"{tmp_path}/tables", header=True).collect()} == {("a", "b"), (None, "d")}
 
 
+def test_tables_of_any_width_and_texts_that_need_quotes(spark, tmp_path):
+    cells = [(1, 1, k, f"x{k}") for k in range(1, 201)] + [(1, 2, 150, 'say "a, b"'), (2, 1, 1, "line\nend"), (2, 3, 2, None), (2, 3, 1, "")]
+    sinks.write_tables(spark.createDataFrame(cells, "table int, row int, col int, text string"), f"{tmp_path}/tables")
+    first, second = (spark.read.csv(f"{tmp_path}/tables/table={k}", header=True, multiLine=True, escape='"').collect() for k in (1, 2))
+    assert len(first[0]) == 200 and first[0]["c200"] == "x200" and first[1]["c150"] == 'say "a, b"' and first[1]["c1"] is None
+    assert [tuple(r) for r in second] == [("line\nend", None), (None, None)]
+    assert len(list((tmp_path / "tables" / "table=1").glob("*.txt"))) == 1
+
+
 def test_outline_file(spark, tmp_path):
     (tmp_path / "o.txt").write_text("One\t1\n\tTwo\t3\n\n\tno page\nBad\t0\n")
     rows = sinks.outline_rows(spark, str(tmp_path / "o.txt")).orderBy("ord").collect()
