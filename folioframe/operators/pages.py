@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +67,26 @@ def labels(pages: DataFrame, spans: DataFrame) -> DataFrame:
     joined = pages.join(marks, ["doc", "page"], "left")
     w = Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn("range", F.last("_range", ignorenulls=True).over(w)).drop("_range")
+
+
+def combined(files: DataFrame, keys: list[str], written: Callable[[DataFrame, str], DataFrame], per_page: int = 40, width: int = 60) -> DataFrame:
+    """(keys, file, title, n_pages, contents, entry_page, start): files put together behind a contents page, pages from 1.
+
+    Files (keys, ord, file, title, n_pages) follow one another. An entry is its title and the page at which its file
+    starts, broken at ``width``; the contents take as many pages as all entries fill, which moves the starts, which may
+    lengthen the entries: so lengths are worked out again until none of them changes, nine times at most, of which the
+    last counts (lengths that go to and fro end so).
+    """
+    w = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    placed = written(files.withColumn("_before", F.coalesce(F.sum("n_pages").over(w), F.lit(0))), "placed")
+    lines = F.ceil(F.length(F.concat("title", F.lit(" "), (F.col("_before") + F.col("contents") + 1).cast("string"))) / width)
+    lengths = placed.select(*keys).distinct().withColumn("contents", F.lit(1).cast("bigint"))
+    for k in range(9):
+        now = placed.join(lengths, keys).groupBy(*keys, "contents").agg(F.ceil(F.sum(lines) / per_page).alias("_now"))
+        found = written(now.select(*keys, F.col("_now").alias("contents"), (F.col("_now") != F.col("contents")).alias("_moved")), f"contents-{k}")
+        lengths = found.drop("_moved")
+        if found.where("_moved").isEmpty():
+            break
+    out = placed.join(lengths, keys).withColumn("_lines", lines)
+    entry = F.floor(F.coalesce(F.sum("_lines").over(w), F.lit(0)) / per_page) + 1
+    return out.select(*keys, "file", "title", "n_pages", "contents", entry.alias("entry_page"), (F.col("_before") + F.col("contents") + 1).alias("start"))

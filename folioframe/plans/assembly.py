@@ -11,7 +11,7 @@ from folioframe.operators import compare, pages, ranges
 from folioframe.plans import Registry
 from folioframe.plans.scalars import LINES_SQL, lines
 from folioframe.plans.structure import ROWS_SQL, WORDS_SQL, wrapped
-from folioframe.sources.scratch import ensure_checkpoints
+from folioframe.sources.scratch import ensure_checkpoints, written
 from folioframe.sources.tables import table
 
 PAGES_SQL = f"SELECT doc, page, count(*) AS n_rows, sum(length(row_text))::BIGINT AS weight, md5(string_agg(row_text, chr(10) ORDER BY line)) AS body FROM ({ROWS_SQL}) GROUP BY doc, page"
@@ -308,3 +308,25 @@ def register(r: Registry) -> None:
     def n6(spark: SparkSession, sf_dir: str) -> DataFrame:
         total = F.max("page").over(Window.partitionBy("doc")).cast("string")
         return page_table(spark, sf_dir).select("doc", "page", F.concat(F.lit("doc "), F.col("doc").cast("string")).alias("top_left"), F.concat(F.col("page").cast("string"), F.lit(" / "), total).alias("bottom_right"))
+
+    entry_sql = "ceil(length(concat(title, ' ', before + contents + 1)) / 30.0)"
+
+    @r.add(
+        "g14_contents_page",
+        f"""
+        WITH RECURSIVE p AS MATERIALIZED (
+            SELECT source, doc_id, title, n_pages, coalesce(sum(n_pages) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+            FROM (SELECT source, doc_id, substr(split_part(text, chr(10), 1), 1, 10 + doc_id % 40) AS title FROM documents) JOIN (SELECT doc AS doc_id, count(*) AS n_pages FROM ({PAGES_SQL}) GROUP BY doc) USING (doc_id)
+        ), l AS (
+            SELECT DISTINCT source, 1::BIGINT AS contents, 0 AS k FROM p
+            UNION ALL SELECT source, ceil(sum({entry_sql}) / 12.0)::BIGINT, k + 1 FROM l JOIN p USING (source) WHERE k < 9 GROUP BY source, k
+        ), e AS (SELECT p.*, contents, {entry_sql} AS n_lines FROM p JOIN l USING (source) WHERE k = 9)
+        SELECT source, doc_id, title, n_pages, contents, (coalesce(sum(n_lines) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 12 + 1)::BIGINT AS entry_page, before + contents + 1 AS start FROM e
+        """,
+    )
+    def g14_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The documents of each source behind contents pages, whose length depends on the numbers on them."""
+        counts = page_table(spark, sf_dir).groupBy(F.col("doc").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_pages"))
+        title = F.substring(F.element_at(F.split("text", "\n", 2), 1), F.lit(1), (10 + F.col("doc_id") % 40).cast("int"))
+        files = table(spark, sf_dir, "documents").select("source", "doc_id", title.alias("title")).join(counts, "doc_id").select("source", F.col("doc_id").alias("ord"), F.col("doc_id").alias("file"), "title", "n_pages")
+        return pages.combined(files, ["source"], written, 12, 30).withColumnRenamed("file", "doc_id")

@@ -288,3 +288,27 @@ def test_page_alignment_and_moves_against_all_choices(spark):
     for x in compare.mutual_best(df).collect():
         found.setdefault(x.pair, set()).add((x.old_page, x.new_page))
     assert found == greedy
+
+
+def test_contents_pages_until_their_length_holds(spark):
+    import math
+    import random
+
+    from folioframe.operators import pages
+    from folioframe.sources.scratch import written
+
+    r = random.Random(4)
+    rows = [(f"c{c}", k, k, "t" * r.randint(1, 30), r.randint(1, 40)) for c in range(6) for k in range(r.randint(1, 60))] + [("long", k, k, "t" * 7, 1) for k in range(200)]
+    got = {}
+    for x in pages.combined(spark.createDataFrame(rows, "source string, ord long, file long, title string, n_pages long"), ["source"], written, 5, 10).collect():
+        got[x.source, x.file] = (x.contents, x.entry_page, x.start)
+    for source in {x[0] for x in rows}:
+        mine = sorted(x for x in rows if x[0] == source)
+        before = [sum(x[4] for x in mine[:k]) for k in range(len(mine))]
+        size = 1
+        for _ in range(9):
+            n = [math.ceil(len(f"{x[3]} {b + size + 1}") / 10) for x, b in zip(mine, before)]
+            size = math.ceil(sum(n) / 5)
+        n = [math.ceil(len(f"{x[3]} {b + size + 1}") / 10) for x, b in zip(mine, before)]
+        for k, x in enumerate(mine):
+            assert got[source, x[2]] == (size, sum(n[:k]) // 5 + 1, before[k] + size + 1)
