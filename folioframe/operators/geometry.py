@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioframe.functions.text import looks_like_page_number
 from folioframe.operators.layout import islands
 
 BOX = ["x0", "y0", "x1", "y1"]
@@ -195,3 +196,33 @@ def cells(words: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda w: w["text"]), " ")
     out = placed.withColumn("column", column).groupBy(*keys, "grid", "row", "column").agg(text.alias("text"))
     return out.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "grid"))).where("_n >= 2").drop("_n")
+
+
+def heading_level(n_lines: Column, n_words: Column, marked: Column, size: Column, median: Column) -> Column:
+    """1 to 3 for paragraphs of at most two lines and 20 words, without a list marker, in type larger than the page's median; else 0."""
+    ratio = size / median
+    fits = (median > 0) & (n_lines <= 2) & ~marked & (n_words <= 20)
+    return F.when(fits & (ratio >= 1.6), 1).when(fits & (ratio >= 1.3), 2).when(fits & (ratio >= 1.15), 3).otherwise(0)
+
+
+def page_edges(blocks: DataFrame, keys: list[str], part: float = 0.1) -> DataFrame:
+    """Blocks (keys, block, y0, y1, n_lines, size, text, page_y0, page_y1, median, pitch) with ``edge``: header, footer or null.
+
+    From the head of a page on, a block is a header while it reaches into the uppermost ``part`` of the page, has one or two
+    lines of ordinary size, and stands apart from the next by 1.5 of the pitch, or reads like a page number; footers likewise
+    from the foot. The first block that isn't one ends the run. A page of a single block has none.
+    """
+    page = Window.partitionBy(*keys)
+    down, up = page.orderBy("block"), page.orderBy(F.desc("block"))
+    high = part * (F.col("page_y1") - F.col("page_y0"))
+    plain = F.col("n_lines").between(1, 2) & (F.col("size") <= 1.1 * F.col("median"))
+    number = looks_like_page_number(F.col("text"))
+    below, above = F.lead("y1").over(down), F.lag("y0").over(down)
+    apart_below = F.coalesce(F.col("y0") - below >= 1.5 * F.col("pitch"), F.lit(True))
+    apart_above = F.coalesce(above - F.col("y1") >= 1.5 * F.col("pitch"), F.lit(True))
+    rows = blocks.withColumn("_many", F.count(F.lit(1)).over(page) > 1)
+    rows = rows.withColumn("_head", plain & (F.col("y1") >= F.col("page_y1") - high) & (apart_below | number)).withColumn("_foot", plain & (F.col("y0") <= F.col("page_y0") + high) & (apart_above | number))
+    so_far = lambda c, w: F.min(F.col(c).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1
+    rows = rows.withColumn("_is_head", F.col("_many") & so_far("_head", down))
+    rows = rows.withColumn("_foot", F.col("_foot") & ~F.col("_is_head")).withColumn("_is_foot", F.col("_many") & so_far("_foot", up))
+    return rows.withColumn("edge", F.when(F.col("_is_head"), "header").when(F.col("_is_foot"), "footer")).drop("_many", "_head", "_foot", "_is_head", "_is_foot")

@@ -6,12 +6,14 @@ that what is cut grows with them; an order stands for a page whose line items ar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioframe.functions.text import list_marker
 from folioframe.operators import geometry
 from folioframe.plans import Registry
 from folioframe.plans.audits import DRAWN_SQL, drawn
+from folioframe.plans.scalars import LINES_SQL, lines
 from folioframe.plans.structure import ROWS_SQL, wrapped
 from folioframe.sources import sinks
 from folioframe.sources.scratch import written
@@ -171,3 +173,41 @@ def register(r: Registry) -> None:
         """Line items as cells of tables, as lines of CSV; the rows are the pages of a document, 1 to 8."""
         cells = drawn(spark, sf_dir).select(F.col("doc").alias("table"), (F.col("page") + 1).alias("row"), F.col("ord").cast("int").alias("col"), F.expr(_cell).alias("text"))
         return sinks.csv_lines(cells)
+
+    size_sql, number_sql = "10.0 + (doc_id * 7 + line_no * 3) % 9", "list_filter(list_transform(string_split(lower(trim(text)), ' '), lambda t: regexp_replace(t, '^[-–—.,/|]+|[-–—.,/|]+$', '', 'g')), lambda t: t <> '')"
+    marker = "'^([•◦▪*–-]|\\(?[0-9]{1,4}[.)]|\\(?[a-zA-Z][.)]|\\(?[ivxIVX]{1,4}[.)])$'"
+
+    @r.add(
+        "w11_heading_rules",
+        f"""
+        WITH p AS (SELECT doc_id, line_no, line, {size_sql} AS size FROM ({LINES_SQL}) WHERE trim(line) <> ''), m AS (SELECT doc_id, (list_sort(list(size)))[count(*) // 2 + 1] AS med FROM p GROUP BY doc_id)
+        SELECT doc_id, line_no, CASE WHEN length(line) > 160 OR len(list_filter(string_split(line, ' '), lambda w: w <> '')) > 20 OR regexp_matches(split_part(ltrim(line), ' ', 1), {marker}) THEN 0 WHEN size / med >= 1.6 THEN 1 WHEN size / med >= 1.3 THEN 2 WHEN size / med >= 1.15 THEN 3 ELSE 0 END AS level
+        FROM p JOIN m USING (doc_id)
+        """,
+    )
+    def w11(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Levels of lines as paragraphs of 80 characters a row, in sizes from 10 to 18."""
+        p = lines(spark, sf_dir).where(F.trim("line") != "").withColumn("size", F.expr(size_sql).cast("double"))
+        w = Window.partitionBy("doc_id")
+        ranked = p.withColumn("_k", F.row_number().over(w.orderBy("size", "line_no"))).withColumn("_n", F.count(F.lit(1)).over(w))
+        median = F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 2) + 1, F.col("size"))).over(w)
+        words = F.size(F.filter(F.split("line", " "), lambda x: x != ""))
+        level = geometry.heading_level(F.ceil(F.length("line") / 80), words, list_marker(F.col("line")), F.col("size"), F.col("median"))
+        return ranked.withColumn("median", median).select("doc_id", "line_no", level.alias("level"))
+
+    @r.add(
+        "w12_isolated_edges",
+        f"""{CUT_SQL}, b AS (SELECT doc, page, leaf AS block, min(y0) AS y0, max(y1) AS y1, count(DISTINCT y0) AS n_lines, string_agg(row_text, ' ' ORDER BY item) AS text FROM leaves GROUP BY doc, page, leaf),
+        n AS (SELECT *, {number_sql} AS toks FROM b),
+        f AS (SELECT *, n_lines <= 2 AS plain, len(toks) BETWEEN 1 AND 4 AND len(list_filter(toks, lambda t: NOT (regexp_matches(t, '^[0-9]{{1,4}}$') OR t IN ('page', 'p', 'pg', 'of', 'sur', 'de', 'seite')))) = 0 AND len(list_filter(toks, lambda t: regexp_matches(t, '^[0-9]{{1,4}}$'))) > 0 AS num,
+            lead(y1) OVER w AS below, lag(y0) OVER w AS above, count(*) OVER (PARTITION BY doc, page) AS k FROM n WINDOW w AS (PARTITION BY doc, page ORDER BY block)),
+        h AS (SELECT *, k > 1 AND bool_and(plain AND y1 >= 658 AND (coalesce(y0 - below >= 18, true) OR num)) OVER (PARTITION BY doc, page ORDER BY block ROWS UNBOUNDED PRECEDING) AS head FROM f),
+        e AS (SELECT *, k > 1 AND bool_and(NOT head AND plain AND y0 <= 162 AND (coalesce(above - y1 >= 18, true) OR num)) OVER (PARTITION BY doc, page ORDER BY block DESC ROWS UNBOUNDED PRECEDING) AS foot FROM h)
+        SELECT doc, page, block, CASE WHEN head THEN 'header' WHEN foot THEN 'footer' END AS edge FROM e""",
+    )
+    def w12(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Headers and footers of pages by their own look: regions at the edge that stand apart or read like page numbers."""
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", "row_text"))), lambda x: x["row_text"]), " ")
+        blocks = leaves(spark, sf_dir).groupBy("doc", "page", F.col("leaf").cast("long").alias("block")).agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.countDistinct("y0").alias("n_lines"), F.max("size").alias("size"), text.alias("text"))
+        fixed = {"page_y0": F.lit(100.0), "page_y1": F.lit(720.0), "median": F.lit(10.0), "pitch": F.lit(12.0)}
+        return geometry.page_edges(blocks.withColumns(fixed), KEYS).select("doc", "page", "block", "edge")

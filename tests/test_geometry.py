@@ -5,6 +5,7 @@ import tempfile
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioframe.operators import geometry as g
 
@@ -111,3 +112,27 @@ def test_tables_by_rules_and_by_gaps(spark, written):
     cells = {(r.page, r.row, r.column): r.text for r in g.cells(df, found, ["doc", "page"]).collect()}
     want = {(p, r + 1, c + 1): f"{r}{c}0 {r}{c}1" for p in (1, 2) for r in range(3) for c in range(3) if (r, c) != (1, 1)}
     assert cells == want
+
+
+def test_heading_levels(spark):
+    rows = [(1, 5, False, 16.0, 1), (1, 5, False, 13.0, 2), (2, 20, False, 11.5, 3), (1, 5, False, 11.4, 0), (3, 5, False, 16.0, 0), (1, 21, False, 16.0, 0), (1, 5, True, 16.0, 0)]
+    df = spark.createDataFrame(rows, "n_lines int, n_words int, marked boolean, size double, want int").withColumn("median", F.lit(10.0))
+    got = df.select(g.heading_level(F.col("n_lines"), F.col("n_words"), F.col("marked"), F.col("size"), F.col("median")).alias("level"), "want").collect()
+    assert [r.level for r in got] == [r.want for r in got]
+    assert df.limit(1).select(g.heading_level(F.col("n_lines"), F.col("n_words"), F.col("marked"), F.col("size"), F.lit(0.0)).alias("level")).head()[0] == 0
+
+
+def test_headers_and_footers_of_one_page(spark):
+    schema = "page int, block int, y0 double, y1 double, n_lines int, size double, text string"
+    rows = [
+        (1, 1, 770.0, 780.0, 1, 10.0, "Report"), (1, 2, 300.0, 700.0, 30, 10.0, "body"), (1, 3, 20.0, 30.0, 1, 10.0, "Page 3"),
+        (2, 1, 770.0, 780.0, 1, 10.0, "Heading close to its text"), (2, 2, 300.0, 765.0, 30, 10.0, "body"),
+        (3, 1, 770.0, 780.0, 1, 10.0, "7"), (3, 2, 755.0, 765.0, 1, 10.0, "Report"), (3, 3, 100.0, 700.0, 30, 10.0, "body"),
+        (4, 1, 770.0, 780.0, 1, 14.0, "Large"), (4, 2, 100.0, 700.0, 30, 10.0, "body"), (4, 3, 60.0, 70.0, 1, 10.0, "note"), (4, 4, 20.0, 30.0, 1, 10.0, "4"),
+        (5, 1, 770.0, 780.0, 1, 10.0, "alone"),
+        (6, 1, 740.0, 790.0, 3, 10.0, "three lines"), (6, 2, 100.0, 700.0, 30, 10.0, "body"),
+    ]
+    fixed = {"page_y0": F.lit(0.0), "page_y1": F.lit(800.0), "median": F.lit(10.0), "pitch": F.lit(12.0)}
+    got = {(r.page, r.block): r.edge for r in g.page_edges(spark.createDataFrame(rows, schema).withColumns(fixed), ["page"]).collect()}
+    assert {k for k, v in got.items() if v == "header"} == {(1, 1), (3, 1), (3, 2)}
+    assert {k for k, v in got.items() if v == "footer"} == {(1, 3), (4, 3), (4, 4)}
