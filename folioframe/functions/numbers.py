@@ -27,15 +27,14 @@ def letters(n: Column, base: str = "a") -> Column:
 
 
 def alpha(n: Column) -> Column:
-    """A..Z, AA, AB ..: bijective base 26, up to four letters."""
-    letter = lambda x: F.char(F.lit(65) + (x % 26).cast("int"))
-    one, two, three = n - 1, n - 27, n - 703
-    return (
-        F.when(n <= 26, letter(one))
-        .when(n <= 702, F.concat(letter(F.floor(two / 26)), letter(two)))
-        .when(n <= 18278, F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26)), letter(three)))
-        .otherwise(F.concat(letter(F.floor((n - 18279) / 17576)), letter(F.floor((n - 18279) / 676)), letter(F.floor((n - 18279) / 26)), letter(n - 18279)))
-    )
+    """A..Z, AA, AB ..: bijective base 26; empty below 1. Fourteen letters hold any bigint."""
+    start = F.struct(n.cast("bigint").alias("n"), F.lit("").alias("out"))
+
+    def letter(acc: Column, _: Column) -> Column:
+        rest = acc["n"] - 1
+        return F.when(acc["n"] > 0, F.struct(F.call_function("div", rest, F.lit(26)).alias("n"), F.concat(F.char(65 + rest % 26), acc["out"]).alias("out"))).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, letter, lambda acc: acc["out"])
 
 
 def bates_label(number: Column, digits: int, prefix: str = "", suffix: str = "") -> Column:

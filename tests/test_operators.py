@@ -312,3 +312,12 @@ def test_contents_pages_until_their_length_holds(spark):
         n = [math.ceil(len(f"{x[3]} {b + size + 1}") / 10) for x, b in zip(mine, before)]
         for k, x in enumerate(mine):
             assert got[source, x[2]] == (size, sum(n[:k]) // 5 + 1, before[k] + size + 1)
+
+
+@pytest.mark.parametrize("n", [1, 26, 27, 702, 703, 18278, 18279, 475254, 475255, 12356630, 12356631, 2**53 + 1, 2**63 - 1, 0])
+def test_alpha_of_any_length(spark, n):
+    want, k = "", n
+    while k > 0:
+        k, r = divmod(k - 1, 26)
+        want = chr(65 + r) + want
+    assert one(spark, N.alpha(F.lit(n).cast("bigint"))) == want
