@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm import bpe, decontaminate, linechunks, quality, sigtree
-from folioframe.llm.shared import stash
+from folioframe.llm.shared import Tables
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The vocabulary of the last stage, by its name in the installed package of public tokenizers.
@@ -79,9 +79,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a data directory."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stash(docs, name)
+            now = Tables()
+            docs = now.stash(docs, name)
+            held.drop()  # what this stage read is not read any more
+            held = now
     return docs
