@@ -43,6 +43,8 @@ IS_WORD = ~np.isin(KIND, [3, 4])
 #: Slots of hashed words and word pairs; the least spread that they are scaled by, so that rare words weigh little;
 #: rows whose features are held at once.
 HASHED, LEAST_SPREAD, ROWS = 1024, 0.2, 256
+#: Bytes of text whose features are made together; what is made on the way takes about a hundred times as much memory.
+BYTES = 1 << 18
 SHAPES = CLASSES**3 + 9
 N_FEATURES = SHAPES + HASHED
 
@@ -174,7 +176,7 @@ def _described(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in blocks(batch.column("text"), rows=ROWS):
+            for i, j, data, offsets in blocks(batch.column("text"), BYTES, ROWS):
                 x = features(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["id", "x"])
 
@@ -213,7 +215,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in blocks(batch.column("text"), rows=ROWS):
+            for i, j, data, offsets in blocks(batch.column("text"), BYTES, ROWS):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(sent.value.score(features(data, offsets)), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -227,7 +229,7 @@ def keep(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(text).cast(pa.string())
-            for i, j, data, offsets in blocks(column, rows=ROWS):
+            for i, j, data, offsets in blocks(column, BYTES, ROWS):
                 yield batch.slice(i, j - i).filter(pa.array(sent.value.score(features(data, offsets)) >= least))
 
     return docs.mapInArrow(run, docs.schema)

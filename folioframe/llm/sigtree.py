@@ -48,6 +48,8 @@ SAMPLE_ROWS, SAMPLE_OFTEN = 4000, 5
 SPARSE, LEAST_BITS, FAN, TILE, STARS = 2, 256, 16, 2048, 4
 #: Shingles of a tile, which bound its memory where sets are large.
 TILE_SHINGLES = 4_000_000
+#: Bytes of text that are shingled together.
+BYTES = 1 << 18
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[32, 9, 10, 11, 12, 13]] = False
@@ -74,7 +76,7 @@ def tokens(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in blocks(batch.column("text")):
+            for i, j, data, offsets in blocks(batch.column("text"), BYTES):
                 sets = list(_shingles(data, offsets))
                 keys = [xxh3_128_digest(u.tobytes()) for u in sets]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(keys, pa.binary()), _lists(sets)], ["id", "key", "tokens"])
@@ -106,7 +108,7 @@ def summaries(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) ->
         last = sent.value
         turns = np.arange(1, STARS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            for i, j, data, offsets in blocks(batch.column("text")):
+            for i, j, data, offsets in blocks(batch.column("text"), BYTES):
                 sizes, keys, prefixes, stars, bits, heaps = [], [], [], [], [], []
                 for u in _shingles(data, offsets):
                     n = len(u)
