@@ -58,7 +58,8 @@ def table_headers(cells: DataFrame) -> DataFrame:
 def untagged(marks: DataFrame, roots: DataFrame) -> DataFrame:
     """Per page, marks (doc, page, image, mcid, artifact) outside the structure; images count only beside text."""
     loose = F.col("mcid").isNull() & ~F.col("artifact")
-    n = marks.join(roots.where("has_root").select("doc"), "doc", "left_semi").groupBy("doc", "page").agg(F.count_if(loose & ~F.col("image")).alias("texts"), F.count_if(loose & F.col("image")).alias("images"))
+    n = marks.groupBy("doc", "page").agg(F.count_if(loose & ~F.col("image")).alias("texts"), F.count_if(loose & F.col("image")).alias("images"))
+    n = n.where("texts > 0").join(roots.where("has_root").select("doc"), "doc", "left_semi")
     texts = rules.issues(n, F.col("texts") > 0, ERROR, "untagged-content", F.concat(F.col("texts").cast("string"), F.lit(" texts")), page=F.col("page"))
     return texts.unionByName(rules.issues(n, (F.col("texts") > 0) & (F.col("images") > 0), ERROR, "untagged-content", F.concat(F.col("images").cast("string"), F.lit(" images")), page=F.col("page")))
 

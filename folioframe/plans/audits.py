@@ -15,7 +15,7 @@ from folioframe.plans import Registry
 from folioframe.plans.models import FIELDS_SQL, fields
 from folioframe.plans.scalars import LINES_SQL, lines
 from folioframe.plans.structure import ROWS_SQL, wrapped
-from folioframe.sources.tables import table
+from folioframe.sources.tables import dealt, table
 
 DRAWN_SQL = "(SELECT l_orderkey // 8 AS doc, l_orderkey % 8 AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS ord, l_partkey AS p, l_suppkey AS s, l_quantity::BIGINT AS q, l_returnflag AS f FROM lineitem)"
 PAGE_SQL = "(SELECT o_orderkey // 8 AS doc, o_orderkey % 8 AS page, * FROM orders)"
@@ -23,11 +23,10 @@ PAGE_SQL = "(SELECT o_orderkey // 8 AS doc, o_orderkey % 8 AS page, * FROM order
 
 def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, page, ord, p, s, q, f): line items as what is drawn on pages, numbered on each page."""
-    k = F.col("l_orderkey")
-    ord = F.row_number().over(Window.partitionBy(k).orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"))
-    return table(spark, sf_dir, "lineitem").select(
-        F.floor(k / 8).alias("doc"), (k % 8).alias("page"), ord.cast("bigint").alias("ord"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("bigint").alias("q"), F.col("l_returnflag").alias("f")
-    )
+    k, items = F.col("l_orderkey"), table(spark, sf_dir, "lineitem")
+    rows = items.select(F.floor(k / 8).alias("doc"), (k % 8).alias("page"), "l_linenumber", F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), "l_quantity", F.col("l_returnflag").alias("f"))
+    ord = F.row_number().over(Window.partitionBy("doc", "page").orderBy("l_linenumber", "p", "s", "l_quantity", "f"))
+    return dealt(rows, ["doc", "page"], items.count()).select("doc", "page", ord.cast("bigint").alias("ord"), "p", "s", F.col("l_quantity").cast("bigint").alias("q"), "f")
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
