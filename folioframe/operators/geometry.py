@@ -51,6 +51,23 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], touch: float = 0.0,
     return pairs.where(meet & here).select(*a.columns, *theirs, *(prefix + c for c in b.columns if c not in (*keys, *BOX)))
 
 
+def beside(a: DataFrame, b: DataFrame, keys: list[str], touch: float = 0.0, prefix: str = "o_", few: int = 16) -> DataFrame:
+    """The same pairs as of ``overlapping``, by page where b has at most ``few`` rectangles there, and by cells elsewhere.
+
+    Each of a's rectangles meets at most ``few`` others in the first case, in one shuffle by page.
+    """
+    crowded = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > few).select(*keys)
+    some = not crowded.isEmpty()
+    ours, theirs = (a.join(crowded, keys, "left_anti"), b.join(crowded, keys, "left_anti")) if some else (a, b)
+    wide = theirs.select(*keys, *(F.col(c).alias(prefix + c) for c in [*BOX, *(c for c in b.columns if c not in (*keys, *BOX))]))
+    o = {c: F.col(prefix + c) for c in BOX}
+    meet = (F.col("x0") <= o["x1"] + touch) & (o["x0"] - touch <= F.col("x1")) & (F.col("y0") <= o["y1"] + touch) & (o["y0"] - touch <= F.col("y1"))
+    out = ours.join(wide, keys).where(meet).select(*a.columns, *(c for c in wide.columns if c not in keys))
+    if not some:
+        return out
+    return out.unionByName(overlapping(a.join(crowded, keys, "left_semi"), b.join(crowded, keys, "left_semi"), keys, touch, prefix))
+
+
 def _cut(items: DataFrame, keys: list[str], depth: int) -> DataFrame:
     """One round of cuts: each region's items with ``side`` 0 or 1 of its cut, or null where nothing cuts it.
 
@@ -134,11 +151,12 @@ def collinear(rules: DataFrame, keys: list[str], level: bool, apart: float = 1.0
     return runs.groupBy(*keys, "_line", "_run").agg(*((F.min if c[1] == "0" else F.max)(c).alias(c) for c in BOX)).drop("_line", "_run")
 
 
-def _means(rows: DataFrame, keys: list[str], value: str, tolerance: float, name: str) -> DataFrame:
-    """(keys, name): means of values that stand within the tolerance of the one before, ascending."""
+def _means(rows: DataFrame, keys: list[str], value: str, tolerance: float, name: str, extent: list[str] = ()) -> DataFrame:
+    """(keys, name): means of values that stand within the tolerance of the one before, ascending; and the ``extent``, of x0 and x1."""
     w = Window.partitionBy(*keys).orderBy(value)
-    found = islands(rows.select(*keys, value), F.coalesce(F.col(value) - F.lag(value).over(w) > tolerance, F.lit(True)), w, "_c").groupBy(*keys, "_c").agg(F.avg(value).alias("_v"))
-    return found.groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias(name))
+    whole = [(F.min if c[1] == "0" else F.max)(c).alias(c) for c in extent]
+    found = islands(rows.select(*keys, value, *extent), F.coalesce(F.col(value) - F.lag(value).over(w) > tolerance, F.lit(True)), w, "_c").groupBy(*keys, "_c").agg(F.avg(value).alias("_v"), *whole)
+    return found.groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias(name), *whole)
 
 
 def grids(rules: DataFrame, words: DataFrame, keys: list[str], written: Callable[[DataFrame, str], DataFrame], em: float = 10.0) -> DataFrame:
@@ -146,18 +164,19 @@ def grids(rules: DataFrame, words: DataFrame, keys: list[str], written: Callable
 
     Rules (box) come in pieces. Level ones of one extent (within 3 or 3 % of their width) make a band; upright ones that
     cross half of it cut its columns. Where fewer than two do, columns are told by the gaps of an em or more that all
-    rows with words (box) have in common, if two rows have words. ``written`` writes what several steps read.
+    rows with words (box) have in common, if two rows have words. ``written`` writes what several steps read. All steps on
+    rules and words go by page, so that rows dealt by ``keys`` are not shuffled again.
     """
     flat = F.col("x1") - F.col("x0") >= F.col("y1") - F.col("y0")
     level, upright = collinear(rules.where(flat), keys, True), collinear(rules.where(~flat), keys, False)
     extent = Window.partitionBy(*keys).orderBy("x0", "x1", "y0")
     tolerance = F.greatest(F.lit(3.0), 0.03 * (F.col("x1") - F.col("x0")))
     new = F.coalesce((F.col("x0") - F.lag("x0").over(extent) > tolerance) | (F.abs(F.col("x1") - F.lag("x1").over(extent)) > tolerance), F.lit(True))
-    grouped = written(islands(level, new, extent, "grid").withColumn("y", (F.col("y0") + F.col("y1")) / 2), "level-rules")
+    grouped = islands(level, new, extent, "grid").withColumn("y", (F.col("y0") + F.col("y1")) / 2)
     own = [*keys, "grid"]
-    bands = grouped.groupBy(*own).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).join(_means(grouped, own, "y", 1.5, "up"), own).where("size(up) >= 2")
+    bands = _means(grouped, own, "y", 1.5, "up", ["x0", "x1"]).where("size(up) >= 2")
     bands = written(bands.select(*own, "x0", F.element_at("up", 1).alias("y0"), "x1", F.element_at("up", -1).alias("y1"), F.reverse("up").alias("ys")), "bands")
-    met = overlapping(upright, bands, keys, touch=2.0)
+    met = beside(upright, bands.drop("ys"), keys, touch=2.0)
     middle, crosses = (F.col("x0") + F.col("x1")) / 2, F.least("y1", "o_y1") - F.greatest("y0", "o_y0") >= 0.5 * (F.col("o_y1") - F.col("o_y0"))
     drawn = met.where(crosses & middle.between(F.col("o_x0") - 2, F.col("o_x1") + 2)).select(*keys, F.col("o_grid").alias("grid"), middle.alias("x"))
     ruled = written(_means(drawn, own, "x", 1.5, "xs").where("size(xs) >= 2"), "ruled")
@@ -166,22 +185,22 @@ def grids(rules: DataFrame, words: DataFrame, keys: list[str], written: Callable
     row = Window.partitionBy(*own, "row").orderBy("x0", "x1")
     reach = F.max("x1").over(row.rowsBetween(Window.unboundedPreceding, -1))
     spans = islands(inside, F.coalesce(F.col("x0") > reach + em, F.lit(True)), row, "_s").groupBy(*own, "row", "_s").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
-    spans = written(spans, "spans")
-    rows = spans.groupBy(*own).agg(F.countDistinct("row").alias("n")).where("n >= 2").drop("n")
     band = Window.partitionBy(*own).orderBy("x0", "x1")
-    gaps = spans.join(rows, own).withColumn("_reach", F.max("x1").over(band.rowsBetween(Window.unboundedPreceding, -1))).where(F.col("x0") - F.col("_reach") >= em)
-    middles = gaps.groupBy(*own).agg(F.array_sort(F.collect_list((F.col("x0") + F.col("_reach")) / 2)).alias("_m"))
-    by_text = told.join(rows, own).join(middles, own, "left").select(*own, F.concat(F.array("x0"), F.coalesce("_m", F.array().cast("array<double>")), F.array("x1")).alias("xs"))
+    gap = F.when(F.col("x0") - F.col("_reach") >= em, (F.col("x0") + F.col("_reach")) / 2)
+    gaps = spans.withColumn("_reach", F.max("x1").over(band.rowsBetween(Window.unboundedPreceding, -1))).groupBy(*own)
+    middles = gaps.agg(F.array_sort(F.collect_list(gap)).alias("_m"), (F.min("row") < F.max("row")).alias("_two")).where("_two")
+    by_text = told.join(middles, own).select(*own, F.concat(F.array("x0"), "_m", F.array("x1")).alias("xs"))
     return written(bands.join(ruled.unionByName(by_text), own).select(*own, *BOX, "xs", "ys"), "grids")
 
 
-def _placed(words: DataFrame, bands: DataFrame, keys: list[str]) -> DataFrame:
-    """Words with the grid and row (from the top, from 1) in which their middle lies."""
+def _placed(words: DataFrame, bands: DataFrame, keys: list[str], also: list[str] = ()) -> DataFrame:
+    """Words with the grid and row (from the top, from 1) in which their middle lies, and columns ``also`` of the grid."""
     mid = [((F.col(f"{c}0") + F.col(f"{c}1")) / 2).alias(f"{c}{k}") for c in "xy" for k in "01"]
-    points = words.select(*keys, F.struct(*(F.col(c) for c in words.columns)).alias("_w"), *mid)
-    met = overlapping(points, bands.select(*keys, "grid", *BOX, "ys"), keys)
+    rest = [c for c in words.columns if c not in keys]
+    points = words.select(*keys, F.struct(*(F.col(c) for c in rest)).alias("_w"), *mid)
+    met = beside(points, bands.select(*keys, "grid", *BOX, "ys", *also), keys)
     row = F.size(F.filter("o_ys", lambda y: y >= F.col("y0")))
-    return met.where(F.col("y0") > F.element_at("o_ys", -1)).select("_w.*", F.col("o_grid").alias("grid"), row.alias("row"))
+    return met.where(F.col("y0") > F.element_at("o_ys", -1)).select(*keys, "_w.*", F.col("o_grid").alias("grid"), row.alias("row"), *(F.col("o_" + c).alias(c) for c in also))
 
 
 def cells(words: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
@@ -190,7 +209,7 @@ def cells(words: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     Tables of fewer than two rows or columns, or with fewer than two cells that hold words, are none.
     """
     grown = found.where("size(xs) >= 3 AND size(ys) >= 3")
-    placed = _placed(words, grown, keys).join(grown.select(*keys, "grid", "xs"), [*keys, "grid"])
+    placed = _placed(words, grown, keys, ["xs"])
     middle = (F.col("x0") + F.col("x1")) / 2
     column = F.greatest(F.lit(1), F.least(F.size(F.filter("xs", lambda x: x <= middle)), F.size("xs") - 1))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda w: w["text"]), " ")

@@ -92,14 +92,16 @@ def drawn_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """(rules, words) of the tables that orders stand for."""
     d = drawn(spark, sf_dir)
     jitter, box = 0.25 * (F.col("p") % 3), [F.col(c).cast("double").alias(c) for c in geometry.BOX]
+    rect = lambda x0, y0, x1, y1: F.struct(*(v.cast("double").alias(c) for v, c in zip((x0, y0, x1, y1), geometry.BOX, strict=True)))
+    none = F.array().cast("array<struct<x0: double, y0: double, x1: double, y1: double>>")
 
-    def level(rows: DataFrame, k: Column) -> DataFrame:
+    def level(k: Column) -> Column:
         y = 700 - 20 * k + jitter
-        return rows.withColumn("x", F.explode(F.expr(PIECES))).select("doc", "page", F.col("x.x0").alias("x0"), y.alias("y0"), F.col("x.x1").alias("x1"), (y + 0.5).alias("y1"))
+        return F.transform(F.expr(PIECES), lambda x: rect(x["x0"], y, x["x1"], y + 0.5))
 
-    x = F.explode(F.array(*(F.lit(v) for v in (50, 150, 250, 350)))).alias("x0")
-    upright = d.where("doc % 2 = 0").select("doc", "page", x, (700 - 20 * F.col("ord")).alias("y0"), (720 - 20 * F.col("ord")).alias("y1")).withColumn("x1", F.col("x0") + 0.5)
-    rules = level(d, F.col("ord")).unionByName(level(d.where("ord = 1"), F.lit(0))).unionByName(upright)
+    upright = F.array(*(rect(F.lit(v), 700 - 20 * F.col("ord"), F.lit(v + 0.5), 720 - 20 * F.col("ord")) for v in (50, 150, 250, 350)))
+    pieces = F.concat(level(F.col("ord")), F.when(F.col("ord") == 1, level(F.lit(0))).otherwise(none), F.when(F.col("doc") % 2 == 0, upright).otherwise(none))
+    rules = d.select(*KEYS, F.explode(pieces).alias("r")).select(*KEYS, "r.*")
     c = F.col("c")
     left = 55 + 100 * c + F.col("p") % 10
     words = d.withColumn("c", F.explode(F.array(*map(F.lit, (0, 1, 2))))).where("(p + c) % 5 <> 0")
