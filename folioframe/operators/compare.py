@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,57 +11,73 @@ from pyspark.sql import functions as F
 
 
 def word_bags(docs: DataFrame, words: str = "words", doc: str = "doc_id") -> DataFrame:
-    """(doc, word, n): how often each word stands in a document; ``words`` is an array column."""
+    """(doc, word, n): how often each word stands in a document; ``words`` is an array column. No shuffle where docs are dealt by ``doc``."""
     return docs.select(F.col(doc).alias("doc"), F.explode(words).alias("word")).groupBy("doc", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def dice_of_pairs(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """(a, b, dice): 2 sum(min(n, m)) / (total of both) for each pair (a, b); two empty documents are alike."""
     totals = bags.groupBy("doc").agg(F.sum("n").alias("total"))
-    shared = (
-        pairs.join(bags.select(F.col("doc").alias("a"), "word", F.col("n").alias("x")), "a")
-        .join(bags.select(F.col("doc").alias("b"), "word", F.col("n").alias("y")), ["b", "word"])
-        .groupBy("a", "b")
-        .agg(F.sum(F.least("x", "y")).alias("both"))
-    )
+    old, new = (pairs.join(bags.select(F.col("doc").alias(side), "word", F.col("n").alias(n)), side).select("a", "b", "word", n) for side, n in (("a", "x"), ("b", "y")))
+    shared = old.join(new, ["a", "b", "word"]).groupBy("a", "b").agg(F.sum(F.least("x", "y")).alias("both"))
     sides = pairs.join(shared, ["a", "b"], "left").join(totals.select(F.col("doc").alias("a"), F.col("total").alias("ta")), "a", "left").join(totals.select(F.col("doc").alias("b"), F.col("total").alias("tb")), "b", "left")
     total = F.coalesce("ta", F.lit(0)) + F.coalesce("tb", F.lit(0))
     return sides.select("a", "b", F.when(total == 0, 1.0).otherwise(2 * F.coalesce("both", F.lit(0)) / total).alias("dice"))
 
 
-def near_pairs(bags: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(a, b, dice), a < b: all pairs of at least ``threshold``, without pairing all documents.
+def _kept(rows: DataFrame, _: str) -> DataFrame:
+    return rows
 
-    Word occurrences (word, k) make bags sets of ``total`` elements. Two sets of Dice t share one of the first
-    total - ceil(t/(2 - t) total) + 1 elements of each in an order of all elements; rarest elements come first, so
-    common words make no pairs. Sizes cut further: the smaller is at least t/(2 - t) of the larger.
-    """
-    part = threshold / (2 - threshold)
-    items = bags.select("doc", "word", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
-    often = items.groupBy("word", "k").agg(F.count(F.lit(1)).alias("df"))
-    ranked = items.join(often, ["word", "k"])
-    totals = bags.groupBy("doc").agg(F.sum("n").alias("total"))
-    order = Window.partitionBy("doc").orderBy("df", "word", "k")
-    prefix = ranked.withColumn("place", F.row_number().over(order)).join(totals, "doc").where(F.col("place") <= F.col("total") - F.ceil(F.col("total") * part - 1e-9) + 1).where("df > 1")
-    left, right = prefix.select("word", "k", F.col("doc").alias("a"), F.col("total").alias("ta"), F.col("place").alias("pa")), prefix.select("word", "k", F.col("doc").alias("b"), F.col("total").alias("tb"), F.col("place").alias("pb"))
-    # at the first shared element, what may still be shared is bounded by what is left of either
-    left_over = F.least(F.col("ta") - F.col("pa"), F.col("tb") - F.col("pb")) + 1
-    sized = (2 * left_over >= (F.col("ta") + F.col("tb")) * threshold - 1e-9) & (F.col("a") < F.col("b")) & (F.least("ta", "tb") >= F.greatest("ta", "tb") * part - 1e-9)
-    pairs = left.join(right, ["word", "k"]).where(sized).select("a", "b").distinct()
-    return dice_of_pairs(pairs, bags).where(F.col("dice") >= threshold)
 
+def near_candidates(bags: DataFrame, threshold: float, written: Callable[[DataFrame, str], DataFrame] = _kept) -> DataFrame:
+    """(a, b), a < b: all pairs of at least ``threshold`` and few others, without pairing all documents.
 
-def near_links(docs: DataFrame, bags: DataFrame, threshold: float = 0.5) -> DataFrame:
+    Word occurrences (word, k), by their hash, make bags sets of ``total`` elements. Two sets of Dice t share one of the
+    first total - ceil(t/(2 - t) total) + 1 elements of each in an order of all elements; rarest elements come first, so
+    common words make no pairs. What two such heads share, and all that is left of the one that ends first, bounds what the
+    sets share. Sizes cut further: the smaller is at least t/(2 - t) of the larger.
+    """
+    part = threshold / (2 - threshold)
+    items = bags.select("doc", "n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"), "word").select("doc", F.xxhash64("word", "k").alias("e"))
+    often = written(items.groupBy("e").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1"), "often")
+    ranked = items.join(F.broadcast(often) if often.count() <= ROWS_SENT else often, "e", "left")
+    w = Window.partitionBy("doc")
+    placed = ranked.withColumn("place", F.row_number().over(w.orderBy(F.coalesce("df", F.lit(1)), "e")).cast("int")).withColumn("total", F.count(F.lit(1)).over(w).cast("int"))
+    head = (F.col("total") - F.ceil(F.col("total") * part - 1e-9) + 1).cast("int")
+    prefix = written(placed.where((F.col("place") <= head) & F.col("df").isNotNull()).select("e", "doc", "total", "place"), "heads")
+    left, right = prefix.select("e", F.col("doc").alias("a"), F.col("total").alias("ta"), F.col("place").alias("pa")), prefix.select("e", F.col("doc").alias("b"), F.col("total").alias("tb"), F.col("place").alias("pb"))
+    alike = (F.col("a") < F.col("b")) & (F.least("ta", "tb") >= F.greatest("ta", "tb") * part - 1e-9)
+    need = F.ceil((F.col("ta") + F.col("tb")) * threshold / 2 - 1e-9)
+    rest = lambda t: F.ceil(t * part - 1e-9) - 1
+    short = (need - F.greatest(rest(F.col("ta")), rest(F.col("tb")))).cast("int")  # what the heads must share at least
+    met = left.join(right, "e").where(alike).groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("c"), F.first(short).alias("least"), F.max(F.least(F.col("ta") - F.col("pa"), F.col("tb") - F.col("pb")) + 1 - need).alias("spare"))
+    return met.where("c >= least AND spare >= 0").select("a", "b")
+
+
+#: Rows of counted lists that are sent to every task; beyond, they are joined by a shuffle.
+ROWS_SENT = 1_000_000
+
+
+def near_pairs(bags: DataFrame, threshold: float = 0.5, written: Callable[[DataFrame, str], DataFrame] = _kept) -> DataFrame:
+    """(a, b, dice), a < b: all pairs of at least ``threshold``; only the bags of candidates are compared word by word."""
+    pairs = written(near_candidates(bags, threshold, written), "candidates")
+    both = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    return dice_of_pairs(pairs, bags.join(both, "doc", "left_semi")).where(F.col("dice") >= threshold)
+
+
+def near_links(docs: DataFrame, bags: DataFrame, threshold: float = 0.5, written: Callable[[DataFrame, str], DataFrame] = _kept) -> DataFrame:
     """(a, b, dice), a < b: near pairs of different bags, and each document of an equal bag linked to the first of its class.
 
     ``docs`` is (doc), also of documents without words, which are one class. A class stands in pairs by its smallest
-    document, so that a group of n copies gives n - 1 links and not all pairs of it.
+    document, so that a group of n copies gives n - 1 links and not all pairs of it. ``written`` writes what is read several times.
     """
-    keys = bags.groupBy("doc").agg(F.md5(F.to_json(F.array_sort(F.collect_list(F.struct("word", "n")))).cast("binary")).alias("bag"))
+    bags = written(bags, "bags")
+    keys = bags.groupBy("doc").agg(F.array(F.sum("n"), F.count(F.lit(1)), *(F.bit_xor(F.xxhash64(F.lit(salt), "word", "n")) for salt in (1, 2, 3))).cast("string").alias("bag"))
     keyed = docs.select("doc").distinct().join(keys, "doc", "left").withColumn("bag", F.coalesce("bag", F.lit("")))
+    keyed = written(keyed, "classes")
     first = keyed.groupBy("bag").agg(F.min("doc").alias("a"))
     copies = keyed.join(first, "bag").where(F.col("doc") > F.col("a")).select("a", F.col("doc").alias("b"), F.lit(1.0).alias("dice"))
-    return near_pairs(bags.join(first.select(F.col("a").alias("doc")), "doc", "left_semi"), threshold).unionByName(copies)
+    return near_pairs(bags.join(first.select(F.col("a").alias("doc")), "doc", "left_semi"), threshold, written).unionByName(copies)
 
 
 def anchors(tokens: DataFrame) -> DataFrame:

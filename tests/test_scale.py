@@ -6,6 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from folioframe.operators import compare
 from folioframe.operators import geometry as g
 from folioframe.sources.tables import dealt
 
@@ -45,3 +46,25 @@ def test_rows_are_dealt_to_more_tasks_as_they_grow(spark):
     rows = spark.range(1000).select((F.col("id") % 100).alias("k"), "id")
     assert dealt(rows, ["k"], 1000).rdd.getNumPartitions() == 1
     assert dealt(rows, ["k"], 1000, 10).rdd.getNumPartitions() == 101
+
+
+def test_candidates_are_near_pairs_and_few_others(spark):
+    """Documents that share one rare word in twenty are no candidates."""
+    rng = random.Random(6)
+    docs = [(d, f"w{rng.randrange(4000)}") for d in range(60) for _ in range(60)] + [(d, f"r{d // 2}") for d in range(60)]
+    docs += [(100 + d, w) for d in range(10) for i, w in enumerate(w for k, w in docs if k == d) if i % 12]  # near copies
+    bags = spark.createDataFrame(docs, "doc int, word string").groupBy("doc", "word").agg(F.count("*").alias("n"))
+    found = {(r.a, r.b) for r in compare.near_candidates(bags, 0.8).collect()}
+    assert {(d, 100 + d) for d in range(10)} <= found and len(found) <= 15
+    by = {}
+    for r in bags.collect():
+        by.setdefault(r.doc, {})[r.word] = r.n
+    size = {d: sum(b.values()) for d, b in by.items()}
+    for t in (0.05, 0.4, 0.8):
+        want = {(a, b) for a in by for b in by if a < b and 2 * sum(min(n, by[b].get(w, 0)) for w, n in by[a].items()) >= t * (size[a] + size[b])}
+        assert {(r.a, r.b) for r in compare.near_pairs(bags, t).collect()} == want
+
+
+def test_bags_of_dealt_documents_and_their_dice_shuffle_the_text_once(spark):
+    docs = spark.range(8).select(F.col("id").alias("doc_id"), F.split(F.lit("a b c a"), " ").alias("words")).repartition("doc_id")
+    assert compare.word_bags(docs)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
