@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,15 @@ def dice_of_pairs(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return sides.select("a", "b", F.when(total == 0, 1.0).otherwise(2 * F.coalesce("both", F.lit(0)) / total).alias("dice"))
 
 
+def dice_of_documents(pairs: DataFrame, docs: DataFrame, words: Callable[[Column], Column]) -> DataFrame:
+    """(a, b, dice) as ``dice_of_pairs``, from texts (doc, text): those of a pair are brought together, and counted there."""
+    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("doc"), F.lit(True).alias("old")), F.struct(F.col("b").alias("doc"), F.lit(False).alias("old")))).alias("s"))
+    texts = sides.select("a", "b", "s.*").join(docs, "doc").repartition("a", "b")
+    n = texts.select("a", "b", "old", F.explode_outer(words(F.col("text"))).alias("word")).groupBy("a", "b", "word").agg(F.count_if(F.col("old") & F.col("word").isNotNull()).alias("x"), F.count_if(~F.col("old") & F.col("word").isNotNull()).alias("y"))
+    sums = n.groupBy("a", "b").agg(F.sum(F.least("x", "y")).alias("both"), F.sum(F.col("x") + F.col("y")).alias("total"))
+    return sums.select("a", "b", F.when(F.col("total") == 0, 1.0).otherwise(2 * F.col("both") / F.col("total")).alias("dice"))
+
+
 def _kept(rows: DataFrame, _: str) -> DataFrame:
     return rows
 

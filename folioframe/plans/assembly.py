@@ -52,7 +52,8 @@ def register(r: Registry) -> None:
     def d1(spark: SparkSession, sf_dir: str) -> DataFrame:
         ids = table(spark, sf_dir, "documents").select("doc_id")
         pairs = ids.where("doc_id % 2 = 0").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")).join(ids.select(F.col("doc_id").alias("b")), "b")
-        return compare.dice_of_pairs(pairs.select("a", "b"), bags(spark, sf_dir)).withColumn("dice", F.round("dice", 9))
+        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+        return compare.dice_of_documents(pairs.select("a", "b"), docs, words).withColumn("dice", F.round("dice", 9))
 
     @r.add(
         "d2_near_pairs",
