@@ -9,7 +9,10 @@ from folioframe.functions.text import ends_sentence, header_key, words
 from folioframe.operators import layout
 from folioframe.plans import Registry
 from folioframe.plans.scalars import LINES_SQL, lines
-from folioframe.sources.tables import table
+from folioframe.sources.tables import dealt, table
+
+#: Characters that a task sorts.
+GLYPHS = 2_000_000
 
 ROWS_SQL = """
     SELECT doc_id AS doc, (n // 50 + 1)::BIGINT AS page, (n % 50 + 1)::BIGINT AS line, row_text FROM (
@@ -25,6 +28,16 @@ def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.paginate(table(spark, sf_dir, "documents"))
 
 
+def n_chars(spark: SparkSession, sf_dir: str) -> int:
+    """How many characters the documents have, to tell how many tasks their rows need."""
+    return table(spark, sf_dir, "documents").agg(F.sum("n_chars")).head()[0] or 0
+
+
+def glyphs(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
+    """Each character of wrapped documents; the rows are dealt by ``keys`` before, so that characters are not shuffled."""
+    return layout.glyphs(dealt(wrapped(spark, sf_dir), keys, n_chars(spark, sf_dir), GLYPHS))
+
+
 def register(r: Registry) -> None:
     @r.add("a1_corpus_scan", "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'fr' AND n_chars > 1000")
     def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +58,7 @@ def register(r: Registry) -> None:
     )
     def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Glyphs on a grid, back to words and lines."""
-        found = layout.words_of(layout.glyphs(wrapped(spark, sf_dir)))
+        found = layout.words_of(glyphs(spark, sf_dir, ["doc", "page", "line"]))
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda s: s["text"]), " ")
         return found.groupBy("doc", "page", "line").agg(F.count(F.lit(1)).alias("n_words"), text.alias("text"))
 
@@ -54,7 +67,7 @@ def register(r: Registry) -> None:
         f"SELECT doc, page, count(*) AS n_lines FROM ({ROWS_SQL}) WHERE length(row_text) > 0 GROUP BY doc, page",
     )
     def w2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return layout.lines_of(layout.glyphs(wrapped(spark, sf_dir))).groupBy("doc", "page").agg(F.max("line_no").alias("n_lines"))
+        return layout.lines_of(layout.baselines(glyphs(spark, sf_dir, ["doc", "page"]))).groupBy("doc", "page").agg(F.max("line_no").alias("n_lines"))
 
     @r.add(
         "w5_upper_median",
