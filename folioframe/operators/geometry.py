@@ -95,16 +95,17 @@ def _cut(items: DataFrame, keys: list[str], depth: int) -> DataFrame:
     return out.drop("_size", "_n", "_rank", "_left", "_bottom", "_x", "_y")
 
 
-def columns(items: DataFrame, keys: list[str], written: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def columns(items: DataFrame, keys: list[str], written: Callable[[DataFrame, str], DataFrame], deal: Callable[[DataFrame, list[str]], DataFrame] = lambda rows, _: rows) -> DataFrame:
     """Items (keys, item, box, base, size, is_table) with ``leaf``, the number of their region in reading order, and its column's box.
 
     A page is cut at upright gaps (columns) and level gaps (bands) until no region can be cut: a round cuts every
     region of every page once, and what isn't cut any more is put aside. ``written`` writes a round's rows and gives
     them back, so that lineage and plans stay short; there are as many rounds as cuts lie within each other, at most 49.
+    ``deal`` deals rows out by columns to as many tasks as they need; a round's windows go on from there.
     """
     page = Window.partitionBy(*keys)
     whole = F.struct(*((F.min if c[1] == "0" else F.max)(c).over(page).alias(c) for c in BOX))
-    rest = items.select(*keys, "item", *BOX, "base", "size", "is_table", F.lit("").alias("path"), whole.alias("col"))
+    rest = deal(items, keys).select(*keys, "item", *BOX, "base", "size", "is_table", F.lit("").alias("path"), whole.alias("col"))
     done: DataFrame | None = None
     for depth in range(50):
         found = written(_cut(rest, keys, depth), f"cut-{depth}")
@@ -114,10 +115,12 @@ def columns(items: DataFrame, keys: list[str], written: Callable[[DataFrame, str
             break
         part = Window.partitionBy(*keys, "path", "side")
         own = F.struct(*((F.min if c[1] == "0" else F.max)(c).over(part).alias(c) for c in BOX))
-        more = found.where("side IS NOT NULL").withColumn("col", F.when(F.col("upright"), own).otherwise(F.col("col")))
+        more = deal(found.where("side IS NOT NULL"), keys).withColumn("col", F.when(F.col("upright"), own).otherwise(F.col("col")))
         rest = more.withColumn("path", F.concat("path", F.col("side").cast("string"))).drop("side", "upright")
     leaf = F.dense_rank().over(Window.partitionBy(*keys).orderBy("path"))
-    return items.join(done.select(*keys, "item", leaf.alias("leaf"), "col"), [*keys, "item"])
+    own = [*keys, "item"]
+    ranked = deal(done, keys).select(*own, leaf.alias("leaf"), "col")
+    return deal(deal(items, own).join(deal(ranked, own), own), keys)
 
 
 def continued(blocks: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,11 +14,14 @@ from folioframe.operators import geometry
 from folioframe.plans import Registry
 from folioframe.plans.audits import DRAWN_SQL, drawn
 from folioframe.plans.scalars import LINES_SQL, lines
-from folioframe.plans.structure import ROWS_SQL, wrapped
+from folioframe.plans.structure import ROWS_SQL, n_chars, wrapped
 from folioframe.sources import sinks
 from folioframe.sources.scratch import written
+from folioframe.sources.tables import dealt
 
 KEYS = ["doc", "page"]
+#: Rows of a page's text that a task sorts in several orders.
+ROWS = 150_000
 #: Rows of a page of 50 by how its document is set: one column, two, two under a band of two rows, three. The last element of a row is its column.
 SET = """CASE doc % 4 WHEN 0 THEN {one} WHEN 1 THEN {two} WHEN 2 THEN CASE WHEN line <= 2 THEN {band} ELSE {under} END ELSE {three} END"""
 X0 = SET.format(one="50.0", two="50.0 + 250 * {half}", band="50.0", under="50.0 + 250 * {half}", three="50.0 + 170 * {third}").format(half="(CASE WHEN line > 25 THEN 1 ELSE 0 END)", third="(CASE WHEN line > 34 THEN 2 WHEN line > 17 THEN 1 ELSE 0 END)")
@@ -118,8 +121,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items with the number of their region."""
-
-    return geometry.columns(items(spark, sf_dir), KEYS, written)
+    n_rows = n_chars(spark, sf_dir) // 40
+    return geometry.columns(items(spark, sf_dir), KEYS, written, lambda rows, keys: dealt(rows, keys, n_rows, ROWS))
 
 
 def register(r: Registry) -> None:

@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from folioframe.operators import compare
+from folioframe.operators import compare, layout
 from folioframe.operators import geometry as g
 from folioframe.sources.tables import dealt
 
@@ -68,3 +68,31 @@ def test_candidates_are_near_pairs_and_few_others(spark):
 def test_bags_of_dealt_documents_and_their_dice_shuffle_the_text_once(spark):
     docs = spark.range(8).select(F.col("id").alias("doc_id"), F.split(F.lit("a b c a"), " ").alias("words")).repartition("doc_id")
     assert compare.word_bags(docs)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_dice_of_documents_is_that_of_bags(spark):
+    texts = ["a b c a", "a c d", None, "", "x x", "x x", "q", "..", "a", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    words = lambda t: F.filter(F.split(t, " "), lambda w: w.rlike("[a-z]"))
+    pairs = spark.range(5).select((F.col("id") * 2).cast("int").alias("a"), (F.col("id") * 2 + 1).cast("int").alias("b"))
+    found = compare.dice_of_documents(pairs, docs, words)
+    want = compare.dice_of_pairs(pairs, compare.word_bags(docs.select("doc", words(F.col("text")).alias("words")), doc="doc"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_lines_by_baselines_alone(spark):
+    rows = spark.createDataFrame([(1, 1, n, "abc " * n) for n in (1, 2, 5)] + [(1, 2, 1, "x")], "doc int, page int, line int, row_text string")
+    glyphs = layout.glyphs(rows.repartition(3, "doc", "page"))
+    n = lambda df: sorted(map(tuple, df.groupBy("doc", "page").agg(F.max("line_no")).collect()))
+    assert layout.baselines(glyphs).count() == 4 and n(layout.lines_of(layout.baselines(glyphs))) == n(layout.lines_of(glyphs))
+    dealt_once = layout.words_of(layout.glyphs(rows.repartition(3, "doc", "page", "line")))
+    assert dealt_once._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_cuts_in_as_many_tasks_as_asked_for(spark, written):
+    items = spark.createDataFrame([(0, 1, k, float(x), 700.0 - 12 * k, x + 200.0, 710.0 - 12 * k, 700.0 - 12 * k, 10.0, False) for x in (50, 300) for k in range(x, x + 4)], BOX + ", base double, size double, is_table boolean")
+    asked = []
+    deal = lambda rows, keys: asked.append(keys) or rows.repartition(7, *keys)
+    got = g.columns(items, ["doc", "page"], written, deal)
+    assert sorted(map(tuple, got.select("item", "leaf").collect())) == sorted(map(tuple, g.columns(items, ["doc", "page"], written).select("item", "leaf").collect()))
+    assert got.rdd.getNumPartitions() == 7 and ["doc", "page"] in asked
