@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folioframe.operators import compare, layout
 from folioframe.operators import geometry as g
+from folioframe.operators import intervals
 from folioframe.sources.tables import dealt
 
 BOX = "doc int, page int, item int, x0 double, y0 double, x1 double, y1 double"
@@ -96,3 +97,12 @@ def test_cuts_in_as_many_tasks_as_asked_for(spark, written):
     got = g.columns(items, ["doc", "page"], written, deal)
     assert sorted(map(tuple, got.select("item", "leaf").collect())) == sorted(map(tuple, g.columns(items, ["doc", "page"], written).select("item", "leaf").collect()))
     assert got.rdd.getNumPartitions() == 7 and ["doc", "page"] in asked
+
+
+def test_rounds_of_labels_follow_the_depth(spark, written):
+    """A flat tree of 5000 nodes is labelled in a few rounds, and only nodes with children take part in them."""
+    nodes = spark.range(5000).select(F.lit(1).alias("doc"), "id", F.when(F.col("id") > 0, 0).cast("bigint").alias("parent"), F.col("id").alias("ord")).withColumnRenamed("id", "node")
+    kept = []
+    got = intervals.label(nodes, ["doc"], lambda rows, what: kept.append(what) or written(rows, f"{what}-{len(kept)}"))
+    assert len(kept) <= 8
+    assert {(r.node, r.first, r.last, r.depth) for r in got.collect()} == {(0, 0, 9999, 0)} | {(n, 2 * n - 1, 2 * n, 1) for n in range(1, 5000)}
