@@ -100,11 +100,13 @@ def luhn_ok(digits: Column) -> Column:
 def mod97(text: Column) -> Column:
     """Remainder by 97 of letters and digits, letters as 10 to 35."""
 
-    def step(acc: Column, c: Column) -> Column:
-        value = F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
-        return F.when(value < 10, (acc * 10 + value) % 97).otherwise((acc * 100 + value) % 97)
+    return F.aggregate(F.split(F.upper(text), ""), F.lit(0), lambda acc, c: F.when(c == "", acc).otherwise(mod97_step(acc, c)))
 
-    return F.aggregate(F.split(F.upper(text), ""), F.lit(0), lambda acc, c: F.when(c == "", acc).otherwise(step(acc, c)))
+
+def mod97_step(acc: Column, c: Column) -> Column:
+    """The remainder after one more letter or digit, in upper case."""
+    value = F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.when(value < 10, (acc * 10 + value) % 97).otherwise((acc * 100 + value) % 97)
 
 
 def mime_of(name: Column) -> Column:

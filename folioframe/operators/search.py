@@ -26,6 +26,8 @@ NATIONAL = {
     "nir": rf"[12](?:{_GAP}[0-9]){{4}}{_GAP}[0-9ABab](?:{_GAP}[0-9]){{9}}",
     "date_fr": rf"{_DATE}|[0-9]{{1,2}}(?:[eE][rR])? (?i:{'|'.join(MONTHS)}) [0-9]{{4}}",
 }
+#: What they begin with: one quick test for most places of a line.
+BEGINS = {"phone_fr": r"[+0]", "iban": r"[A-Z]", "nir": r"[12]", "date_fr": r"[0-9]"}
 #: What must not follow them; an account number may run on, as its key says where it ends.
 NOT_AFTER = {"phone_fr": rf"{_S}[0-9]|[\p{{L}}\p{{N}}]", "iban": None, "nir": r"[\p{L}\p{N}]", "date_fr": r"[\p{L}\p{N}]"}
 
@@ -50,9 +52,32 @@ def find(lines: DataFrame, pattern: str, keys: list[str], text: str = "line") ->
     return both.select(*keys, F.col("m.start").alias("start"), (F.col("m.start") + F.length("m.hit")).alias("end"), F.col("m.hit").alias("hit"))
 
 
-def find_anywhere(lines: DataFrame, pattern: str, after: str | None, keys: list[str], text: str = "line") -> DataFrame:
-    """(keys, start, hit): what a pattern matches from every place that no letter or digit precedes; matches may overlap."""
-    form = rf"(?<![\p{{L}}\p{{N}}])(?=({pattern}){f'(?!{after})' if after else ''})"
+def iban_size(plain: Column) -> Column:
+    """Length of the longest head, of 15 characters at least, whose key is right (null: none); in one pass.
+
+    The first four characters, two letters and two digits, are read last: as six digits after each head.
+    """
+    first = F.element_at(F.transform(F.array(F.substring(plain, 1, 4)), N.mod97), 1)
+    zero = F.struct(F.lit(4).alias("n"), F.lit(0).alias("rest"), F.lit(None).cast("int").alias("size"))
+
+    def read(chars: Column, key: Column) -> Column:
+        def step(acc: Column, c: Column) -> Column:
+            rest = N.mod97_step(acc["rest"], c)
+            right = (acc["n"] >= 14) & ((rest * (10**6 % 97) + key) % 97 == 1)
+            return F.struct((acc["n"] + 1).alias("n"), rest.alias("rest"), F.when(right, acc["n"] + 1).otherwise(acc["size"]).alias("size"))
+
+        return F.aggregate(chars, zero, step, lambda acc: acc["size"])
+
+    bound = F.array(F.struct(F.filter(F.split(F.substr(plain, F.lit(5)), ""), lambda c: c != "").alias("chars"), first.alias("key")))
+    return F.element_at(F.transform(bound, lambda x: read(x["chars"], x["key"])), 1)
+
+
+def find_anywhere(lines: DataFrame, pattern: str, after: str | None, keys: list[str], text: str = "line", begins: str = "") -> DataFrame:
+    """(keys, start, hit): what a pattern matches from every place that no letter or digit precedes; matches may overlap.
+
+    ``begins``, if given, is a class that holds the first character of every match.
+    """
+    form = rf"{f'(?={begins})' if begins else ''}(?<![\p{{L}}\p{{N}}])(?=({pattern}){f'(?!{after})' if after else ''})"
     rows = lines.where(F.col(text).rlike(form)).withColumn("_hits", F.regexp_extract_all(text, F.lit(form), F.lit(1))).withColumn("_gaps", F.split(text, form, -1))
     # a match at the very start leaves no empty gap before it
     gaps = F.when(F.size("_gaps") == F.size("_hits"), F.concat(F.array(F.lit("")), F.col("_gaps"))).otherwise(F.col("_gaps"))
@@ -64,13 +89,11 @@ def national(lines: DataFrame, keys: list[str], text: str = "line") -> DataFrame
     """(keys, kind, start, end, hit): French phone, account and social-security numbers and dates, each with its check."""
     out = None
     for kind, pattern in NATIONAL.items():
-        some = find_anywhere(lines, pattern, NOT_AFTER[kind], keys, text).withColumn("kind", F.lit(kind))
+        some = find_anywhere(lines, pattern, NOT_AFTER[kind], keys, text, BEGINS[kind]).withColumn("kind", F.lit(kind))
         plain = F.upper(F.regexp_replace("hit", r"[ \x{A0}]", ""))
         if kind == "iban":
             # the longest head whose key is right; then back to the blanks of the text
-            key = lambda n: N.mod97(F.concat(F.substring(plain, F.lit(5), n - 4), F.substring(plain, 1, 4))) == 1
-            size = F.get(F.filter(F.sequence(F.length(plain), F.lit(15), F.lit(-1)), key), 0)
-            some = some.withColumn("_n", size).where("_n IS NOT NULL").withColumn("hit", F.call_function("regexp_extract", F.col("hit"), F.concat(F.lit(r"^(?:[ \x{A0}]?[A-Za-z0-9]){"), F.col("_n").cast("string"), F.lit("}")), F.lit(0))).drop("_n")
+            some = some.withColumn("_n", F.element_at(F.transform(F.array(plain), iban_size), 1)).where("_n IS NOT NULL").withColumn("hit", F.call_function("regexp_extract", F.col("hit"), F.concat(F.lit(r"^(?:[ \x{A0}]?[A-Za-z0-9]){"), F.col("_n").cast("string"), F.lit("}")), F.lit(0))).drop("_n")
         if kind == "nir":
             digits = F.replace(F.replace(F.substring(plain, 1, 13), F.lit("2A"), F.lit("19")), F.lit("2B"), F.lit("18"))
             some = some.where(97 - digits.cast("bigint") % 97 == F.substring(plain, 14, 2).cast("int"))

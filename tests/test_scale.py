@@ -106,3 +106,24 @@ def test_rounds_of_labels_follow_the_depth(spark, written):
     got = intervals.label(nodes, ["doc"], lambda rows, what: kept.append(what) or written(rows, f"{what}-{len(kept)}"))
     assert len(kept) <= 8
     assert {(r.node, r.first, r.last, r.depth) for r in got.collect()} == {(0, 0, 9999, 0)} | {(n, 2 * n - 1, 2 * n, 1) for n in range(1, 5000)}
+
+
+def test_account_keys_in_one_pass(spark):
+    """The longest head with a right key, like trying all heads; lines of customers go to more tasks as they grow."""
+    from folioframe.functions import numbers as N
+    from folioframe.operators import search
+
+    rng = random.Random(4)
+    texts = ["FR7630006000011234567890189", "FR", "", "GB82WEST12345698765432"] + ["".join([*rng.choices("ABXYZ", k=2), *rng.choices("0123456789", k=2), *rng.choices("0123456789AZ", k=rng.randint(11, 30))]) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    every = F.get(F.filter(F.sequence(F.greatest(F.length("t"), F.lit(15)), F.lit(15), F.lit(-1)), lambda n: (n <= F.length("t")) & (N.mod97(F.concat(F.substring("t", F.lit(5), n - 4), F.substring("t", 1, 4))) == 1)), 0)
+    rows = df.select("t", search.iban_size(F.col("t")).alias("got"), every.alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows] and rows[0].got == 27 and sum(r.got is not None for r in rows) > 10
+
+
+def test_lines_of_customers_go_to_more_tasks(spark, monkeypatch):
+    from folioframe.plans import finding
+    from folioframe.plans.catalog import REGISTRY
+
+    monkeypatch.setattr(finding, "LINES_SEARCHED", 10)
+    assert REGISTRY.queries["p2_p6_national"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 15  # 150 customers
