@@ -102,3 +102,17 @@ def test_lines_of_a_long_text_cost_the_same_each(spark):
     took(100)
     half, whole = took(25_000), took(50_000)
     assert whole < 30 and whole < 4 * half + 1  # about 2 x; a quadratic way takes minutes
+
+
+def test_blank_lines_are_told_once_for_each_line(spark):
+    from pyspark.sql import functions as F
+
+    from folioframe.llm import linechunks
+
+    texts = [" \t\n\t\n \nwords here\n", "\n\n", "a\n \n \t", ""]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    marks = df.select("text", linechunks._marks(F.col("text"), 2, 2).alias("m"))
+    assert "translate" not in marks._jdf.queryExecution().analyzed().toString()
+    for r in marks.collect():
+        lines = r.text.split("\n")
+        assert all(any(x.strip(" \t") for x in lines[(m.run >> 32) - 1 : m.run & 0xFFFFFFFF]) for m in r.m)
