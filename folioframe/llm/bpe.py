@@ -21,8 +21,8 @@ import re
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -314,18 +314,18 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
             out = []
             for raw in ids.slice(i, 256).to_pylist():
                 stream, got = Utf8Stream(), []
-                todo = iter(memoryview(raw or b"").cast("I"))
-                while some := list(islice(todo, DECODE_IDS)):
-                    got.append(stream.feed(b"".join(map(table.__getitem__, some))))
+                of = np.frombuffer(raw or b"", "<u4")
+                for k in range(0, len(of), DECODE_IDS):
+                    got.append(stream.feed(b"".join(table[of[k : k + DECODE_IDS]].tolist())))
                 out.append("".join([*got, stream.end()]))
             yield pa.RecordBatch.from_arrays([*(c.slice(i, 256) for c in batch.columns), pa.array(out, pa.string())], ["doc_id", "ids", "text"])
 
 
 @lru_cache(2)
-def _spelled(path: str) -> list[bytes]:
+def _spelled(path: str) -> np.ndarray:
     """The bytes of each id."""
     ranks = vocabulary(path)
-    table = [b""] * (max(ranks.values(), default=0) + 1)
+    table = np.full(max(ranks.values(), default=0) + 1, b"", dtype=object)
     for t, i in ranks.items():
         table[i] = t
     return table
