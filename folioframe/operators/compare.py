@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,28 +92,32 @@ def near_links(docs: DataFrame, bags: DataFrame, threshold: float = 0.5, written
 
 def anchors(tokens: DataFrame) -> DataFrame:
     """(pair, word, old_pos, new_pos): words that stand exactly once on either side (pair, side, pos, word)."""
-    once = tokens.groupBy("pair", "side", "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos")).where("n = 1")
-    old, new = (once.where(F.col("side") == s).select("pair", "word", F.col("pos").alias(f"{s}_pos")) for s in ("old", "new"))
-    return old.join(new, ["pair", "word"])
+    old, new = F.col("side") == "old", F.col("side") == "new"
+    pos = lambda side: F.min(F.when(side, F.col("pos")))
+    n = tokens.where(F.col("word").isNotNull()).groupBy("pair", "word").agg(F.count_if(old).alias("x"), F.count_if(new).alias("y"), pos(old).alias("old_pos"), pos(new).alias("new_pos"))
+    return n.where("x = 1 AND y = 1 AND pair IS NOT NULL").select("pair", "word", "old_pos", "new_pos")
+
+
+def _longest_run(places: Iterable[int]) -> list[int]:
+    """Indices of a longest rising run of ``places``."""
+    tails, at, back = [], [], []
+    for i, p in enumerate(places):
+        k = bisect_left(tails, p)
+        back.append(at[k - 1] if k else -1)
+        tails[k : k + 1], at[k : k + 1] = [p], [i]
+    keep, i = [], at[-1] if at else -1
+    while i >= 0:
+        keep.append(i)
+        i = back[i]
+    return keep[::-1]
 
 
 def anchor_chain(found: DataFrame) -> DataFrame:
     """The longest run of anchors in order on both sides, for each pair (a small group)."""
 
     def chain(group: pd.DataFrame) -> pd.DataFrame:
-        from bisect import bisect_left
-
         rows = group.sort_values("old_pos").reset_index(drop=True)
-        tails, at, back = [], [], [-1] * len(rows)
-        for i, p in enumerate(rows["new_pos"]):
-            k = bisect_left(tails, p)
-            back[i] = at[k - 1] if k else -1
-            tails[k : k + 1], at[k : k + 1] = [p], [i]
-        keep, i = [], at[-1] if at else -1
-        while i >= 0:
-            keep.append(i)
-            i = back[i]
-        return rows.iloc[keep[::-1]]
+        return rows.iloc[_longest_run(rows["new_pos"])]
 
     return found.groupBy("pair").applyInPandas(chain, found.schema)
 
@@ -122,23 +127,34 @@ CELLS = 4_000_000
 
 
 def _by_table(old: list[str], new: list[str]) -> list[tuple[int, int]]:
-    """Positions of a longest common subsequence, by a table of its lengths."""
-    size = np.zeros((len(old) + 1, len(new) + 1), dtype=np.int32)
-    codes = {w: k for k, w in enumerate(dict.fromkeys(old + new))}
-    b = np.array([codes[w] for w in new])
-    for i in range(len(old) - 1, -1, -1):
-        # taking a word of the new side or leaving it; what is left of a row is its running maximum from the right
-        take = np.where(b == codes[old[i]], size[i + 1, 1:] + 1, size[i + 1, :-1])
-        size[i, :-1] = np.maximum.accumulate(np.maximum(take, size[i + 1, :-1])[::-1])[::-1]
-    i, j, out = 0, 0, []
-    while i < len(old) and j < len(new):
-        if old[i] == new[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif size[i + 1, j] >= size[i, j + 1]:
-            i += 1
-        else:
-            j += 1
+    """Positions of a longest common subsequence, by a table of the lengths of tails.
+
+    A row of the table is one number, whose bit t is 1 where the length grows by one from the last t words of new to one
+    more. A word of old is taken at its next place in new unless the words of new up to there give as much without it.
+    """
+    m, at = len(new), {}
+    for j, w in enumerate(new):
+        at.setdefault(w, []).append(j)
+    masks = {}
+    for w in set(old) & at.keys():
+        bits = bytearray(m // 8 + 1)
+        for j in at[w]:
+            bits[(m - 1 - j) >> 3] |= 1 << ((m - 1 - j) & 7)
+        masks[w] = int.from_bytes(bits, "little")
+    row = whole = (1 << m) - 1
+    rows = [0]  # of the tails of old, shortest first
+    for w in reversed(old):
+        if w in masks:
+            met = row & masks[w]
+            row = ((row + met) | (row - met)) & whole
+        rows.append(row ^ whole)
+    j, out = 0, []
+    for i, w in enumerate(old):
+        if w in at and j <= at[w][-1]:
+            k = at[w][bisect_left(at[w], j)]
+            if k == j or not (rows[len(old) - i - 1] >> (m - 1 - k)) & ((1 << (k - j + 1)) - 1):
+                out.append((i, k))
+                j = k + 1
     return out
 
 
@@ -182,7 +198,7 @@ def common_subsequence(old: list[str], new: list[str], cells: int = CELLS) -> li
     the old side is halved and the new side cut where the two halves have most in common; both parts go on alone.
     """
     out: list[tuple[int, int]] = []
-    both = set(old) & set(new)
+    both = set(old).intersection(new)
     a, b = [i for i, w in enumerate(old) if w in both], [j for j, w in enumerate(new) if w in both]
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -205,6 +221,25 @@ def common_subsequence(old: list[str], new: list[str], cells: int = CELLS) -> li
     return sorted(out)
 
 
+def _gap_changes(old: list[str], new: list[str]) -> Iterator[tuple[str, str, str, int, int]]:
+    """(kind, old_text, new_text, i, j) of each change between two lists, by a longest common subsequence."""
+    if old == new:
+        return
+    head = 0
+    while head < min(len(old), len(new)) and old[head] == new[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(old), len(new)) - head and old[-1 - tail] == new[-1 - tail]:
+        tail += 1
+    old, new = old[head : len(old) - tail], new[head : len(new) - tail]
+    i = j = 0
+    for k, m in [*common_subsequence(old, new), (len(old), len(new))]:
+        if i < k or j < m:
+            kind = "added" if i == k else "removed" if j == m else "replaced"
+            yield kind, " ".join(old[i:k]), " ".join(new[j:m]), head + i, head + j
+        i, j = k + 1, m + 1
+
+
 def word_diff(tokens: DataFrame, chain: DataFrame) -> DataFrame:
     """(pair, kind, old_text, new_text, at): removed, added and replaced runs between the anchors of a pair.
 
@@ -222,21 +257,7 @@ def word_diff(tokens: DataFrame, chain: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for pair, gap, o, n in zip(batch["pair"], batch["gap"], batch["o"], batch["n"], strict=True):
-                old, new = list(o), list(n)
-                head = 0
-                while head < min(len(old), len(new)) and old[head] == new[head]:
-                    head += 1
-                tail = 0
-                while tail < min(len(old), len(new)) - head and old[-1 - tail] == new[-1 - tail]:
-                    tail += 1
-                old, new = old[head : len(old) - tail], new[head : len(new) - tail]
-                kept = common_subsequence(old, new)
-                i = j = 0
-                for k, m in [*kept, (len(old), len(new))]:
-                    if i < k or j < m:
-                        kind = "added" if i == k else "removed" if j == m else "replaced"
-                        out.append((pair, kind, " ".join(old[i:k]), " ".join(new[j:m]), gap, head + i, head + j))
-                    i, j = k + 1, m + 1
+                out += [(pair, kind, a, b, gap, i, j) for kind, a, b, i, j in _gap_changes(list(o), list(n))]
             yield pd.DataFrame(out, columns=["pair", "kind", "old_text", "new_text", "gap", "i", "j"])
 
     kind = tokens.schema["pair"].dataType.simpleString()
@@ -245,6 +266,52 @@ def word_diff(tokens: DataFrame, chain: DataFrame) -> DataFrame:
     return found.withColumn("at", at.cast("bigint")).select("pair", "kind", "old_text", "new_text", "at")
 
 
+#: Pairs whose changes are handed on together.
+PAIRS_HELD = 100
+
+
+def diff_of_documents(docs: DataFrame, words: Callable[[Column], Column], parts: int) -> DataFrame:
+    """(pair, kind, old_text, new_text, at) as ``word_diff``, from texts (pair, side, text), their words without blanks.
+
+    Texts are brought together by ``pair``, in ``parts`` partitions, and nothing is shuffled after that: words are grouped
+    for anchors where their texts lie, and only a pair's anchors are joined to its texts, for the run that is kept and the
+    changes between. Several texts of one side are read in turn, a word of each.
+    """
+    text, side = F.col("text"), F.col("side")
+    # a struct is never null, so that no filter keeps the join's sides from sharing the shuffle
+    met = docs.select(F.struct("pair").alias("pair"), "side", F.array_join(words(text), " ").alias("text")).repartition(parts, "pair")
+    numbered = lambda t: F.transform(F.split(t, " "), lambda w, k: F.struct(k.alias("k"), w.alias("w")))
+
+    def whole(s: str) -> Column:
+        several = F.collect_list(F.when((side == s) & (text != ""), text))
+        in_turn = F.transform(F.array_sort(F.flatten(F.transform(several, numbered))), lambda x: x["w"])
+        return F.when(F.size(several) < 2, F.array_join(several, " ")).otherwise(F.array_join(in_turn, " "))
+
+    texts = met.groupBy("pair").agg(whole("old").alias("old"), whole("new").alias("new")).where("old <> new")
+    sides = texts.select("pair", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("text")) for s in ("old", "new")))).alias("s")).select("pair", "s.*")
+    tokens = sides.select("pair", "side", F.posexplode(F.split(text, " ")).alias("pos", "word")).where("word <> ''")
+    places = F.array_sort(F.collect_list(F.struct("old_pos", "new_pos")))
+    marked = texts.join(anchors(tokens).groupBy("pair").agg(places.alias("a")), "pair", "left")
+    both = marked.select("pair.pair", "old", "new", *(F.coalesce(F.col(f"a.{p}"), F.array().cast("array<int>")).alias(p) for p in ("old_pos", "new_pos")))
+
+    def changes(batches):
+        for batch in batches:
+            for first in range(0, len(batch), PAIRS_HELD):
+                out = []
+                for pair, o, n, at_old, at_new in batch.iloc[first : first + PAIRS_HELD].itertuples(index=False):
+                    old, new = o.split(" ") if o else [], n.split(" ") if n else []
+                    i = j = at = 0
+                    for k, m in [*((at_old[x], at_new[x]) for x in _longest_run(at_new)), (len(old), len(new))]:
+                        for kind, a, b, *_ in _gap_changes(old[i:k], new[j:m]):
+                            at += 1
+                            out.append((pair, kind, a, b, at))
+                        i, j = k + 1, m + 1
+                yield pd.DataFrame(out, columns=["pair", "kind", "old_text", "new_text", "at"])
+
+    kind = docs.schema["pair"].dataType.simpleString()
+    return both.mapInPandas(changes, f"pair {kind}, kind string, old_text string, new_text string, at long")
+
+
 def moved(removed: DataFrame, added: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, key, old_at, new_at): a removed and an added block of the same key are one move, k-th with k-th."""
     rank = lambda at: F.row_number().over(Window.partitionBy(*keys, "key").orderBy(at))

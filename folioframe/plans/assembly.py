@@ -18,6 +18,9 @@ PAGES_SQL = f"SELECT doc, page, count(*) AS n_rows, sum(length(row_text))::BIGIN
 NEXT_SQL = f"""SELECT pair, side, pos, word FROM (SELECT doc_id - doc_id % 2 AS pair, CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'new' END AS side, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos
     FROM (SELECT doc_id, {WORDS_SQL.format('text')} AS ws FROM documents))"""
 
+#: Documents in a task that compares their words.
+DOCS_DEALT = 2_000
+
 
 def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, page, n_rows, weight, body) of wrapped documents."""
@@ -97,8 +100,9 @@ def register(r: Registry) -> None:
     @r.add("d7_d8_word_diff")
     def d7(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Changes between neighbouring documents of one opening line; tests rebuild the new text from them."""
-        t = neighbours(spark, sf_dir)
-        return compare.word_diff(t, compare.anchor_chain(compare.anchors(t)))
+        doc = F.col("doc_id")
+        docs = table(spark, sf_dir, "documents").select((doc - doc % 2).alias("pair"), F.when(doc % 2 == 0, "old").otherwise("new").alias("side"), "text")
+        return compare.diff_of_documents(docs, words, docs.count() // DOCS_DEALT + 1)
 
     side_sql = f"SELECT doc_id - doc_id % 2 AS pair, doc_id % 2 AS side, line FROM ({LINES_SQL})"
 

@@ -2,6 +2,7 @@
 
 import random
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +128,46 @@ def test_lines_of_customers_go_to_more_tasks(spark, monkeypatch):
 
     monkeypatch.setattr(finding, "LINES_SEARCHED", 10)
     assert REGISTRY.queries["p2_p6_national"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 15  # 150 customers
+
+
+def test_diff_of_documents_is_that_of_their_words(spark):
+    rng = random.Random(8)
+    texts = [(p, side, " ".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))) for p, letters in ((p, "abcdefghijklmnopqrstuvwxyz"[: rng.choice([3, 9, 26])]) for p in range(40)) for side in ("old", "new")]
+    texts += [(100, "old", "a b"), (101, "new", "a b"), (102, "old", None), (102, "new", "x"), (103, "old", " "), (103, "new", None), (104, "old", "same"), (104, "new", "same"), (None, "new", "n")]
+    texts += [(105, "old", "b c x"), (105, "old", "b b"), (105, "old", None), (105, "new", "b x c")]  # two texts of a side are read in turn
+    docs = spark.createDataFrame(texts, "pair long, side string, text string")
+    words = lambda t: F.filter(F.split(t, " "), lambda w: w != "")
+    tokens = docs.select("pair", "side", F.posexplode(words(F.col("text"))).alias("pos", "word")).withColumn("pos", F.col("pos").cast("long"))
+    found, want = compare.diff_of_documents(docs, words, 3), compare.word_diff(tokens, compare.anchor_chain(compare.anchors(tokens)))
+    key = lambda r: (r[0] is None, r)
+    assert found.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+
+
+def test_word_diff_shuffles_texts_once_and_goes_to_more_tasks(spark, monkeypatch):
+    from folioframe.plans import assembly
+    from folioframe.plans.catalog import REGISTRY
+
+    monkeypatch.setattr(assembly, "DOCS_DEALT", 50, raising=False)
+    n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    found = REGISTRY.queries["d7_d8_word_diff"](spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() == n // 50 + 1
+    monkeypatch.undo()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found.collect()
+        final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Window" not in final and final.count("- ReusedExchange") == 1 and final.count("- Exchange") == 1
+
+
+def test_table_of_a_gap_grows_by_its_words_not_its_cells():
+    rng = random.Random(9)
+    old, new = ([f"w{rng.randrange(60)}" for _ in range(n)] for n in (2000, 2000))
+    took = []
+    for _ in range(5):
+        began = time.process_time()
+        found = compare._by_table(old, new)
+        took.append(time.process_time() - began)
+    assert min(took) < 0.03 and [old[i] for i, _ in found] == [new[j] for _, j in found]
