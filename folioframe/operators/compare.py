@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioframe.operators import nearpairs
+
 
 def word_bags(docs: DataFrame, words: str = "words", doc: str = "doc_id") -> DataFrame:
     """(doc, word, n): how often each word stands in a document; ``words`` is an array column. No shuffle where docs are dealt by ``doc``."""
@@ -40,32 +42,9 @@ def _kept(rows: DataFrame, _: str) -> DataFrame:
 
 
 def near_candidates(bags: DataFrame, threshold: float, written: Callable[[DataFrame, str], DataFrame] = _kept) -> DataFrame:
-    """(a, b), a < b: all pairs of at least ``threshold`` and few others, without pairing all documents.
-
-    Word occurrences (word, k), by their hash, make bags sets of ``total`` elements. Two sets of Dice t share one of the
-    first total - ceil(t/(2 - t) total) + 1 elements of each in an order of all elements; rarest elements come first, so
-    common words make no pairs. What two such heads share, and all that is left of the one that ends first, bounds what the
-    sets share. Sizes cut further: the smaller is at least t/(2 - t) of the larger.
-    """
-    part = threshold / (2 - threshold)
-    items = bags.select("doc", "n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"), "word").select("doc", F.xxhash64("word", "k").alias("e"))
-    often = written(items.groupBy("e").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1"), "often")
-    ranked = items.join(F.broadcast(often) if often.count() <= ROWS_SENT else often, "e", "left")
-    w = Window.partitionBy("doc")
-    placed = ranked.withColumn("place", F.row_number().over(w.orderBy(F.coalesce("df", F.lit(1)), "e")).cast("int")).withColumn("total", F.count(F.lit(1)).over(w).cast("int"))
-    head = (F.col("total") - F.ceil(F.col("total") * part - 1e-9) + 1).cast("int")
-    prefix = written(placed.where((F.col("place") <= head) & F.col("df").isNotNull()).select("e", "doc", "total", "place"), "heads")
-    left, right = prefix.select("e", F.col("doc").alias("a"), F.col("total").alias("ta"), F.col("place").alias("pa")), prefix.select("e", F.col("doc").alias("b"), F.col("total").alias("tb"), F.col("place").alias("pb"))
-    alike = (F.col("a") < F.col("b")) & (F.least("ta", "tb") >= F.greatest("ta", "tb") * part - 1e-9)
-    need = F.ceil((F.col("ta") + F.col("tb")) * threshold / 2 - 1e-9)
-    rest = lambda t: F.ceil(t * part - 1e-9) - 1
-    short = (need - F.greatest(rest(F.col("ta")), rest(F.col("tb")))).cast("int")  # what the heads must share at least
-    met = left.join(right, "e").where(alike).groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("c"), F.first(short).alias("least"), F.max(F.least(F.col("ta") - F.col("pa"), F.col("tb") - F.col("pb")) + 1 - need).alias("spare"))
-    return met.where("c >= least AND spare >= 0").select("a", "b")
-
-
-#: Rows of counted lists that are sent to every task; beyond, they are joined by a shuffle.
-ROWS_SENT = 1_000_000
+    """(a, b), a < b: all pairs of at least ``threshold`` and few others, without pairing all documents; see ``nearpairs``."""
+    repeated = F.flatten(F.collect_list(F.array_repeat(F.xxhash64("word"), F.col("n").cast("int"))))
+    return nearpairs.candidates(bags.groupBy("doc").agg(repeated.alias("words")), threshold, written)
 
 
 def near_pairs(bags: DataFrame, threshold: float = 0.5, written: Callable[[DataFrame, str], DataFrame] = _kept) -> DataFrame:
@@ -75,6 +54,12 @@ def near_pairs(bags: DataFrame, threshold: float = 0.5, written: Callable[[DataF
     return dice_of_pairs(pairs, bags.join(both, "doc", "left_semi")).where(F.col("dice") >= threshold)
 
 
+def _copies(keyed: DataFrame) -> DataFrame:
+    """(a, b): each document (doc, bag) of an equal bag with the first of its class."""
+    first = keyed.groupBy("bag").agg(F.min("doc").alias("a"))
+    return keyed.join(first, "bag").where(F.col("doc") > F.col("a")).select("a", F.col("doc").alias("b"))
+
+
 def near_links(docs: DataFrame, bags: DataFrame, threshold: float = 0.5, written: Callable[[DataFrame, str], DataFrame] = _kept) -> DataFrame:
     """(a, b, dice), a < b: near pairs of different bags, and each document of an equal bag linked to the first of its class.
 
@@ -83,11 +68,31 @@ def near_links(docs: DataFrame, bags: DataFrame, threshold: float = 0.5, written
     """
     bags = written(bags, "bags")
     keys = bags.groupBy("doc").agg(F.array(F.sum("n"), F.count(F.lit(1)), *(F.bit_xor(F.xxhash64(F.lit(salt), "word", "n")) for salt in (1, 2, 3))).cast("string").alias("bag"))
-    keyed = docs.select("doc").distinct().join(keys, "doc", "left").withColumn("bag", F.coalesce("bag", F.lit("")))
-    keyed = written(keyed, "classes")
-    first = keyed.groupBy("bag").agg(F.min("doc").alias("a"))
-    copies = keyed.join(first, "bag").where(F.col("doc") > F.col("a")).select("a", F.col("doc").alias("b"), F.lit(1.0).alias("dice"))
-    return near_pairs(bags.join(first.select(F.col("a").alias("doc")), "doc", "left_semi"), threshold, written).unionByName(copies)
+    copies = written(_copies(docs.select("doc").distinct().join(keys, "doc", "left").withColumn("bag", F.coalesce("bag", F.lit("")))), "copies")
+    firsts = bags.join(copies.select(F.col("b").alias("doc")), "doc", "left_anti")
+    return near_pairs(firsts, threshold, written).unionByName(copies.withColumn("dice", F.lit(1.0)))
+
+
+def near_links_of_documents(docs: DataFrame, words: Callable[[Column], Column], threshold: float = 0.5, written: Callable[[DataFrame, str], DataFrame] = _kept) -> DataFrame:
+    """(a, b, dice) as ``near_links``, from texts (doc, text), which are read where they lie; the words of a repeated id are one bag.
+
+    Shuffled are the rare elements of texts (``nearpairs``), the texts of repeated ids, and those of candidates once for each cell.
+    """
+    docs = docs.where("doc IS NOT NULL")
+    repeated = written(docs.groupBy("doc").count().where("count > 1").select("doc"), "repeated")
+    if not repeated.isEmpty():
+        sent = nearpairs.sent(repeated)
+        joined = docs.join(sent, "doc", "left_semi").groupBy("doc").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+        docs = docs.join(sent, "doc", "left_anti").unionByName(joined)
+    found = F.coalesce(words(F.col("text")), F.array().cast("array<string>"))
+    bag = F.sha2(F.array_join(F.sort_array("words"), " ").cast("binary"), 256)
+    keyed = written(docs.select("doc", found.alias("words")).select("doc", bag.alias("bag"), F.size("words").alias("total")), "classes")
+    copies = written(_copies(keyed), "copies")
+    firsts = docs.join(nearpairs.sent(copies.select(F.col("b").alias("doc"))), "doc", "left_anti")
+    hashed = firsts.select("doc", nearpairs.hashes(words(F.col("text"))).alias("words"))
+    pairs = written(nearpairs.candidates(hashed, threshold, written, keyed.select("total")), "candidates")
+    near = nearpairs.dice_within_cells(pairs, docs, words, written)
+    return near.where(F.col("dice") >= threshold).unionByName(copies.withColumn("dice", F.lit(1.0)))
 
 
 def anchors(tokens: DataFrame) -> DataFrame:

@@ -39,10 +39,6 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def register(r: Registry) -> None:
     bags_sql = f"SELECT doc_id AS doc, word, count(*) AS n FROM (SELECT doc_id, unnest({WORDS_SQL.format('text')}) AS word FROM documents) GROUP BY ALL"
 
-    def bags(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
-        return compare.word_bags(docs.select("doc_id", words(F.col("text")).alias("words")))
-
     @r.add(
         "d1_dice",
         f"""
@@ -70,8 +66,8 @@ def register(r: Registry) -> None:
     )
     def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Near pairs of different word bags, and copies with the first of their class."""
-        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"))
-        return compare.near_links(docs, bags(spark, sf_dir), 0.8, written).withColumn("dice", F.round("dice", 9))
+        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+        return compare.near_links_of_documents(docs, words, 0.8, written).withColumn("dice", F.round("dice", 9))
 
     @r.add(
         "d5_common_prefix",
