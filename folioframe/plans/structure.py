@@ -58,9 +58,7 @@ def register(r: Registry) -> None:
     )
     def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Glyphs on a grid, back to words and lines."""
-        found = layout.words_of(glyphs(spark, sf_dir, ["doc", "page", "line"]))
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda s: s["text"]), " ")
-        return found.groupBy("doc", "page", "line").agg(F.count(F.lit(1)).alias("n_words"), text.alias("text"))
+        return layout.lines_and_words(wrapped(spark, sf_dir))
 
     @r.add(
         "w2_glyph_lines",

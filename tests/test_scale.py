@@ -171,3 +171,30 @@ def test_table_of_a_gap_grows_by_its_words_not_its_cells():
         found = compare._by_table(old, new)
         took.append(time.process_time() - began)
     assert min(took) < 0.03 and [old[i] for i, _ in found] == [new[j] for _, j in found]
+
+
+def test_words_of_rows_are_those_of_glyphs(spark):
+    """The same lines and words as from rows of glyphs, without a row or a shuffle for them."""
+    texts = ["", " ", "a", " a  bc ", "   ", "é 😀x ﬁ", "tab\there", "no break   z", "x" * 80, "end "]
+    rows = spark.createDataFrame([(d, p, n, t) for d in (1, 2) for p in (1, 2) for n, t in enumerate(texts[d - 1 :], 1)] + [(3, 1, 1, " ")], "doc long, page long, line long, row_text string")
+    for size in (10.0, 7.0):
+        words = layout.words_of(layout.glyphs(rows, size))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda s: s["text"]), " ")
+        want = words.groupBy("doc", "page", "line").agg(F.count("*").alias("n_words"), text.alias("text"))
+        found = layout.lines_and_words(rows, size)
+        assert found.columns == want.columns and sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert layout.lines_and_words(rows.limit(0)).count() == 0
+    from folioframe.plans.catalog import REGISTRY
+
+    plan = REGISTRY.queries["w2_w4_lines_and_words"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and plan.count("Generate") == 1
+
+
+def test_a_long_line_is_wrapped_in_time_of_its_length(spark):
+    """Rows are cut in turn, not each counted from the line's start."""
+    wrap = lambda n: layout.paginate(spark.range(1).select("id", F.repeat(F.lit("é😀 \r"), n).alias("text")), doc="id")
+    rows = wrap(43).collect()
+    assert "".join(r.row_text for r in rows) == "é😀 \r" * 43 and [len(r.row_text) for r in rows] == [80, 80, 12]
+    began = time.time()
+    assert wrap(500_000).agg(F.sum(F.length("row_text"))).head()[0] == 2_000_000
+    assert time.time() - began < 8
