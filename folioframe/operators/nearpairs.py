@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Elements that are sorted at once, pairs that are compared at once, and 64-bit words of sketches compared at once.
-ELEMENTS, PAIRS, SKETCHED = 500_000, 1_000_000, 2_000_000
+ELEMENTS, PAIRS, SKETCHED = 500_000, 500_000, 1_000_000
 #: Postings of a group, up to which a band of sizes is cut into at most SHARDS groups, and of larger bands.
-POSTINGS, MOST_POSTINGS, SHARDS = 500_000, 4_000_000, 8
+POSTINGS, MOST_POSTINGS, SHARDS = 500_000, 4_000_000, 4
 #: Rows of counted lists that are sent to every task; beyond, they are joined by a shuffle.
 ROWS_SENT = 1_000_000
 #: Documents of a cell, and of a block that a larger group is cut into.
@@ -169,7 +169,7 @@ def candidates(hashed: DataFrame, threshold: float, written: Callable[[DataFrame
         first = np.flatnonzero((total < low[group + 1]) & (place <= total - need(total, total) + 1) & (end > np.arange(len(key)) + 1))
         n_after = end[first] - first - 1
         upto = np.cumsum(n_after)
-        found, i = [np.empty(0, np.int64)], 0
+        found, once, i = [np.empty(0, np.int64)], 0, 0
         while i < len(first):
             k = max(int(np.searchsorted(upto, upto[i] - n_after[i] + PAIRS, "right")), i + 1)
             x = np.repeat(first[i:k], n_after[i:k])
@@ -183,6 +183,9 @@ def candidates(hashed: DataFrame, threshold: float, written: Callable[[DataFrame
                 x, y = np.divmod(met[j : j + step], n)
                 differ = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
                 found.append(met[j : j + step][differ <= size[x] + size[y] - 2 * need(size[x], size[y])])
+            if sum(map(len, found)) > 2 * once + PAIRS:  # pairs of many common elements come again and again
+                found = [np.unique(np.concatenate(found))]
+                once = len(found[0])
             i = k
         x, y = np.divmod(np.unique(np.concatenate(found)), n)
         docs = t["doc"].combine_chunks()
